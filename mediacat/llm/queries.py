@@ -7,13 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import language_id, sample_texts
+from .packing import best_fit_packing
+from .quality_classifier import fit, quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .shared import crc_fold
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    samples = sample_texts(docs.where(~held_out), "doc_id", "text", "lang")
+    return language_id(docs, samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    model = fit(docs, labels.where(~held_out))
+    return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,7 +87,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op10_quality_rules]
+    named = [op2_token_counts, op4_language_id, op5_best_fit_packing, op7_quality_classifier, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
