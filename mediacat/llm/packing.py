@@ -195,7 +195,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     groups = max(1, -(-cut.count() // group_pieces))
     dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
-    def fill(key, table: pa.Table) -> pa.Table:
+    def fill(key, table):
         lengths = table["length"].to_numpy()
         by = defaultdict(list)
         for i in np.lexsort((table["start"].to_numpy(), lengths)).tolist():
