@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontamination
+from .jaccard_join import jaccard_components
 from .langid import language_id, sample_texts
 from .packing import best_fit_packing
 from .quality_classifier import fit, quality_scores
@@ -29,6 +31,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
+    similarity = F.coalesce(F.array_max(F.transform("matches", lambda m: m["similarity"])), F.lit(0.0))
+    return found.select("doc_id", "contaminated", F.array_distinct("matches.item_id").alias("item_ids"), similarity.alias("similarity"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 4) == 2
@@ -47,6 +55,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -87,7 +99,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_token_counts, op4_language_id, op5_best_fit_packing, op7_quality_classifier, op10_quality_rules]
+    named = [op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op7_quality_classifier, op9_ngram_jaccard_join, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
