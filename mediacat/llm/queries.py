@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import brown_lm
 from .decontamination import decontamination
 from .jaccard_join import jaccard_components
 from .langid import language_id, sample_texts
@@ -48,6 +49,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 5) == 1
+    scores = brown_lm.perplexity_scores(docs, brown_lm.fit(docs, ~held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = crc_fold(F.col("doc_id"), 4) == 2
@@ -99,7 +107,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op7_quality_classifier, op9_ngram_jaccard_join, op10_quality_rules]
+    named = [op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op9_ngram_jaccard_join, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
