@@ -21,22 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored, text_rows
-from .words import slices
+from .words import SPACE, buffers, slices, word_spans
 
 CAPACITY = 4096
 #: Pieces packed together by one task; the last bins of a group are the only ones that grouping can waste.
 GROUP_PIECES = 8192
 #: Fillings tried beyond the incumbent before it stands, and alternatives for each bin.
 SEARCH_NODES, BRANCHES = 4000, 4
-#: Chunks whose ids a worker remembers before it starts afresh.
-CACHE_CHUNKS = 600_000
-#: Fixed value: characters at which str.split() cuts and the tokenizer does not.
-UNSURE = re.compile("[\x1c-\x1f]")
+#: Chunks, and lower-cased words, whose ids a worker remembers before it starts afresh: memory, not results, depends on them.
+CACHE_CHUNKS, CACHE_WORDS = 900_000, 500_000
+#: Letters that lower-casing and composition leave single, then signs: two pieces of the tokenizer's pattern at most.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@[-`{-~]*)")
 
 
 class ChunkIds:
     """Little-endian unsigned 32-bit ids of whole texts.  The tokenizer drops white space and no piece spans
-    it, so a text's ids are those of its chunks in turn; texts with doubtful white space are encoded whole."""
+    it, so a text's ids are those of its chunks between ASCII white space in turn."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -45,19 +45,48 @@ class ChunkIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(UNSURE.search(t)) for t in texts]
-        chunks = [[] if w else t.split() for t, w in zip(texts, whole)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks; those of letters and signs by way of their two pieces, which many chunks share."""
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        simple, other = [], []
+        for x in chunks:
+            m = SIMPLE.fullmatch(x)
+            if m and "<|" not in x:
+                simple.append((x, m[1].lower(), m[2]))
+            else:
+                other.append(x)
+        new = list({y for _, a, b in simple for y in (a, b)}.difference(self.pieces))
+        self.pieces.update(zip(new, self._encode(new)))
+        get = self.pieces.__getitem__
+        self.known.update((x, get(a) + get(b)) for x, a, b in simple)
+        self.known.update(zip(other, self._encode(other)))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with an end id after each, first id of each text and the total)."""
+        raw, offsets = buffers(texts)
+        starts, ends, firsts = word_spans(raw, offsets)
+        sizes = ends - starts
+        data = raw[~SPACE[raw]]
+        chunks = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data)).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        new = list({x for c in chunks for x in c if x not in self.known})
-        self.known.update(zip(new, self._encode(new)))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, chunks)]
+        self._learn([x for x in distinct if x not in self.known])
+        ids = [*map(self.known.__getitem__, distinct), np.array([end_id], "<u4").tobytes()]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(length) - length
+        # the chunks of each text, then the end
+        which = np.insert(chunks.indices.to_numpy(), firsts[1:], len(distinct))
+        held = length[which]
+        total = np.append(0, np.cumsum(held))
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[which] - total[:-1], held) + np.arange(int(total[-1]))]
+        return flat, total[firsts + np.arange(len(firsts))]
 
 
 @lru_cache(maxsize=2)
@@ -71,18 +100,17 @@ def chunk_ids(path: str) -> ChunkIds:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
     source = text_rows(docs, id_col, text_col)
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         own = chunk_ids(tokenizer)
         for batch in batches:
-            for ids, texts in slices(batch["text"], batch["doc_id"]):
+            for ids, texts in slices(batch["text"], batch["doc_id"], 16 << 20):
+                flat, firsts = own.encode(texts, end_id)
                 rows = []
-                for i, raw in enumerate(own.encode([t or "" for t in texts.to_pylist()])):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                for i, (first, last) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
+                    for k, at in enumerate(range(first, last, capacity)):
+                        to = min(at + capacity, last)
+                        rows.append((i, k, at - first, to - at, zlib.crc32(flat[at:to])))
                 i, k, start, length, crc = (np.array(c, np.int64) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(i)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import brown_lm
 from .decontamination import decontamination
+from .html_extraction import extract
 from .jaccard_join import jaccard_components
 from .langid import language_id, sample_texts
 from .packing import best_fit_packing
@@ -28,6 +29,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -107,7 +112,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op9_ngram_jaccard_join, op10_quality_rules]
+    named = [op1_html_extraction, op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op9_ngram_jaccard_join, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 

@@ -23,10 +23,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: White space and ASCII punctuation, for words without their punctuation.
-SPACE_OR_PUNCTUATION = _SPACE.copy()
+SPACE_OR_PUNCTUATION = SPACE.copy()
 SPACE_OR_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))[_LOWER]
 _POW = np.ones(1, np.uint64)
@@ -59,7 +59,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each text and the total) of all words, in order."""
     inside = ~between[raw]
     first = np.zeros(len(raw) + 1, bool)
@@ -69,7 +69,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPAC
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(texts: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the total); ``between`` says which bytes part words."""
     raw, offsets = buffers(texts)
     starts, ends, firsts = word_spans(raw, offsets, between)
