@@ -17,6 +17,8 @@ from .quality_classifier import fit, quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .shared import crc_fold
 from .token_counts import token_counts
+from .url_filters import FANOUT, PRIOR, PURITY, TREE_SQL, Z, url_filters
+from .url_filters import RULES as URL_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -89,7 +95,7 @@ OP10_SQL = f"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
 win AS (
   SELECT doc_id, i, {{'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}} AS g
@@ -98,11 +104,11 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 m AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-         len(list_intersect(list_distinct(list_transform(w, x -> lower(x))), [{', '.join(f"'{s}'" for s in STOP_WORDS)}]))::BIGINT AS n_stop_words
+         len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), [{', '.join(f"'{s}'" for s in STOP_WORDS)}]))::BIGINT AS n_stop_words
   FROM t LEFT JOIN cov ON cov.doc_id = t.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -111,10 +117,49 @@ FROM b
 """
 
 
+def _fits_sql() -> tuple[str, str]:
+    rule = verdict = "CASE"
+    for kind, text in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, slash, path = text.partition("/")
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}')"
+        rule, verdict = f"{rule} {fits} THEN '{text}'", f"{verdict} {fits} THEN '{kind}'"
+    return f"{rule} END", f"{verdict} END"
+
+
+OP8_SQL = f"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+j AS (SELECT page_id, host, path, {_fits_sql()[0]} AS rule, {_fits_sql()[1]} AS ruled,
+             regexp_replace(coalesce(list_filter(string_split(path, '/'), lambda x: x <> '')[1], ''), '^.*[0-9].*$', '*') AS s1,
+             regexp_replace(coalesce(list_filter(string_split(path, '/'), lambda x: x <> '')[2], ''), '^.*[0-9].*$', '*') AS s2 FROM p),
+t0 AS (SELECT host, s1, s2, count(ruled) AS l, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) AS b FROM j GROUP BY host, s1, s2),
+pi AS (SELECT (coalesce(sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END), 0) + 1.0) / (count(ruled) + 2) AS v FROM j),
+tree AS ({TREE_SQL.format(t0='t0', fanout=FANOUT, prior=f'{PRIOR}::DOUBLE', pi='(SELECT v::DOUBLE FROM pi)', z=f'{Z}::DOUBLE')})
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN tree.purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN tree ON tree.host = j.host AND tree.s1 = j.s1 AND tree.s2 = j.s2
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM t WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, w AS g FROM t WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c.c >= 85 * (p.n + q.n - c.c)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT t.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(min(reach.b), t.doc_id))::BIGINT AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN reach ON reach.a = t.doc_id GROUP BY t.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_html_extraction, op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op9_ngram_jaccard_join, op10_quality_rules]
+    named = [op1_html_extraction, op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op8_url_filters, op9_ngram_jaccard_join, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10_SQL}
+    return {"op8_url_filters": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
