@@ -28,7 +28,7 @@ from .components import components
 from .shared import stored, text_rows
 from .words import mix, shingle_hashes, shingle_sets, slices, word_hashes
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 #: Classes of a block searched by one task; larger blocks are cut into parts, and pairs of parts are tasks.
 PART = 2048
 LEAF = 16
@@ -45,11 +45,11 @@ def pair_overlap(a, b, percent: int):
 
 
 def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
-    """A rank for each slot of shingle hashes: 0 unless the slot is far fuller than the mean.  At most SLOTS numbers
+    """A rank for each slot of shingle hashes: 0 unless the slot is fuller than chance has it.  At most SLOTS numbers
     come to the driver, however large the corpus."""
 
     def count(batches):
-        counts, total = np.zeros(SLOTS, np.int64), 0
+        counts, total = np.zeros(SLOTS, np.int32), 0
         for batch in batches:
             for _, texts in slices(batch["text"], batch["doc_id"]):
                 words, firsts = word_hashes(texts)
@@ -60,20 +60,25 @@ def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
                     inside[at[at >= 0]] = False
                 h = h[inside]
                 total += len(h)
-                counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        full = np.flatnonzero(counts > max(8, 4 * total / SLOTS))
+                np.add.at(counts, (h & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        full = np.flatnonzero(counts > above_noise(total / SLOTS, 4))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(counts[full], total))], ["slot", "n"])
 
     rows = source.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     counts = {r["slot"]: r["n"] for r in rows}
-    mean = max(counts.pop(-1, 0) / SLOTS, 2.0)
+    mean = counts.pop(-1, 0) / SLOTS
     ranks = np.zeros(SLOTS, np.uint8)
     for slot, n in counts.items():
-        if n > 4 * mean:
-            ranks[slot] = int(np.log2(n / mean))
+        if n > above_noise(mean, 6):
+            ranks[slot] = int(2 * np.log2(n - mean))
     return ranks
 
 
+def above_noise(mean: float, sigmas: float) -> float:
+    """A count that a slot of rare shingles alone does not reach."""
+    return mean + sigmas * mean**0.5 + 4
+
+
 def sets_with_prefixes(source: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
     """doc_id, n (set size), fp (fingerprint, null for the empty set), prefix."""
 
@@ -214,32 +219,109 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int):
             stack += [(a, b.left), (a, b.right)]
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the blocks: members has key, fp, n, label, bits."""
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = members.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+def sized_pairs(sizes: np.ndarray, labels: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs in small groups whose sizes allow a link; rows come by group, then size.  Each small
+    group is a single leaf, and all leaves are searched at once."""
+    here = np.arange(len(sizes))
+    found_i, found_j = [here[:0]], [here[:0]]
+    step = 1
+    while len(here):
+        here = here[here + step < len(sizes)]
+        there = here + step
+        ok = (group[here] == group[there]) & (100 * sizes[here] >= percent * sizes[there])  # later ones are larger still
+        here, there = here[ok], there[ok]
+        differ = labels[here] != labels[there]
+        found_i.append(here[differ])
+        found_j.append(there[differ])
+        step += 1
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def bounded_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose bitmaps leave room for enough overlap."""
+    both = pairs.join(signatures.toDF("b", "n_b", "bits_b"), "b").join(signatures.toDF("a", "n_a", "bits_a"), "a")
+
+    def bound(batches):
+        for batch in batches:
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            bits_a, bits_b = batch["bits_a"].to_pylist(), batch["bits_b"].to_pylist()
+            w_a, w_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (bits_a, bits_b))
+            keep = np.zeros(len(n_a), bool)
+            for u, v in np.unique(np.stack([w_a, w_b], 1), axis=0).tolist():
+                at = np.flatnonzero((w_a == u) & (w_b == v))
+                x, y = (fold(np.frombuffer(b"".join([bits[k] for k in at.tolist()]), np.uint8).reshape(len(at), w), min(u, v)) for bits, w in ((bits_a, u), (bits_b, v)))
+                extra = np.minimum(*(n[at] - np.bitwise_count(m).sum(1).astype(np.int64) for n, m in ((n_a, x), (n_b, y))))
+                most = np.minimum(np.bitwise_count(x & y).sum(1).astype(np.int64) + extra, np.minimum(n_a[at], n_b[at]))
+                keep[at] = most >= pair_overlap(n_a[at], n_b[at], percent)
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], ["a", "b"])
+
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a long, b long")
+
+
+#: Blocks of so many classes or fewer are one leaf.
+SMALL = 64
+
+
+def search_blocks(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of whole blocks; rows come by (key, i, j) and size, with bitmaps in large blocks."""
+    key, i, j, part = (table[c].to_numpy() for c in ("key", "i", "j", "part"))
+    fps, sizes, labels = table["fp"].to_numpy(), table["n"].to_numpy(), table["label"].to_numpy()
+    begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    counts = np.diff(np.append(begins, len(key)))
+    large = table["bits"].is_valid().to_numpy()
+    at = np.flatnonzero(~large)
+    p, q = sized_pairs(sizes[at], labels[at], np.repeat(np.arange(len(begins)), counts)[at], percent)
+    found = [(at[p], at[q])]
+    for b, c in zip(begins.tolist(), counts.tolist()):
+        if not large[b]:
+            continue
+        bits = table["bits"].slice(b, c).to_pylist()
+        trees = {}
+        for side in {int(i[b]), int(j[b])}:
+            own = np.flatnonzero(part[b : b + c] == side)
+            if len(own):
+                trees[side] = b + own, SignatureTree(sizes[b + own], labels[b + own], [bits[k] for k in own.tolist()])
+        if int(i[b]) in trees and int(j[b]) in trees:
+            (own_x, x), (own_y, y) = trees[int(i[b])], trees[int(j[b])]
+            found += [(own_x[s], own_y[t]) for s, t in traverse(x, y, percent)]
+    p, q = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return np.minimum(fps[p], fps[q]), np.maximum(fps[p], fps[q])
+
+
+def block_pairs(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the blocks: members has key, fp, n, label, c (block size), signatures fp, n, bits."""
+    large = members.where(F.col("c") > SMALL).join(signatures.select("fp", "bits"), "fp")
+    members = members.where(F.col("c") <= SMALL).withColumn("bits", F.lit(None).cast("binary")).unionByName(large)
+    dealt = members.withColumn("parts", F.ceil(F.col("c") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # a row of part p goes to the tasks (i, j), i <= j, with i = p or j = p
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "n", "label", "bits")
 
-    def search(key, table):
-        part = table["part"].to_numpy()
-        i, j = key[1].as_py(), key[2].as_py()
-        fps, sizes, labels = table["fp"].to_numpy(), table["n"].to_numpy(), table["label"].to_numpy()
-        bits = table["bits"].to_pylist()
+    def search(batches):
+        rest: list[pa.RecordBatch] = []  # rows of a block that may go on in the next batch
+        for batch in batches:
+            key = [batch[c].to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], 0)) + 1
+            cut = int(new[-1]) if len(new) else 0
+            if rest and any(rest[0][c][0].as_py() != batch[c][0].as_py() for c in ("key", "i", "j")) and not cut:
+                yield _emit(rest, percent)
+                rest = []
+            if cut:
+                yield _emit([*rest, batch.slice(0, cut)], percent)
+                rest = []
+            rest.append(batch.slice(cut))
+        if rest:
+            yield _emit(rest, percent)
 
-        def tree(p):
-            at = np.flatnonzero(part == p)
-            return at, SignatureTree(sizes[at], labels[at], [bits[k] for k in at]) if len(at) else None
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "fp")
+    return bounded_pairs(ordered.mapInArrow(search, "a long, b long").distinct(), signatures, percent)
 
-        at_i, x = tree(i)
-        at_j, y = (at_i, x) if i == j else tree(j)
-        found = [] if x is None or y is None else [(fps[at_i[p]], fps[at_j[q]]) for p, q in traverse(x, y, percent)]
-        p = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        q = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
+def _emit(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    a, b = search_blocks(pa.Table.from_batches(batches), percent)
+    pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,9 +334,10 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     blocks = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key", "c")
     members = stored(keyed.join(blocks, "key"))  # of blocks with two classes or more
     central = members.groupBy("fp").agg(F.sum("c").alias("w"))
-    leaders = members.join(central, "fp").groupBy("key").agg(F.max_by("fp", F.struct("w", "fp")).alias("leader"))
-    pairs = members.join(leaders, "key").groupBy("fp", "leader").agg(F.count(F.lit(1)).alias("shared")).join(central.select(F.col("fp").alias("leader"), "w"), "leader")
-    pairs = pairs.where("fp <> leader").groupBy(F.col("fp").alias("b")).agg(F.max_by("leader", F.struct("shared", "w", "leader")).alias("a"))
+    leaders = members.join(central, "fp").groupBy("key").agg(F.max(F.struct("w", "fp", "n")).alias("l"))
+    led = members.join(leaders, "key").where((F.col("fp") != F.col("l.fp")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
+    pairs = led.groupBy("fp", "l").agg(F.count(F.lit(1)).alias("shared")).groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("shared", "l")).alias("best"))
+    pairs = pairs.select(F.col("best.l.fp").alias("a"), "b")
 
     active = central.select("fp")
     where = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("own")).join(active, "fp")
@@ -264,17 +347,17 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
         for batch in batches:
             keep = [i for i, (fp, s) in enumerate(zip(batch["fp"].to_pylist(), shingle_sets(batch["text"], size))) if fp == fingerprint(s)]
             at = pa.array(keep, pa.int64())
-            bits = [bitmap(s) for s in shingle_sets(batch["text"].take(at), size)]
-            yield pa.RecordBatch.from_arrays([batch["fp"].take(at), batch["text"].take(at), pa.array(bits, pa.binary())], ["fp", "text", "bits"])
+            sets = shingle_sets(batch["text"].take(at), size)
+            n, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["fp"].take(at), batch["text"].take(at), n, bits], ["fp", "text", "n", "bits"])
 
-    texts = stored(texts.mapInArrow(own_texts, "fp long, text string, bits binary").groupBy("fp").agg(F.first("text").alias("text"), F.first("bits").alias("bits")))
+    texts = stored(texts.mapInArrow(own_texts, "fp long, text string, n long, bits binary").dropDuplicates(["fp"]))
     links = stored(verified(pairs.select("a", "b"), texts, size, percent))
     roots = components(links)
 
     labelled = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    labelled = labelled.join(open_, "key").join(texts.select("fp", "bits"), "fp")
-    more = stored(verified(block_pairs(labelled, percent), texts, size, percent))
+    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "c")
+    more = stored(verified(block_pairs(labelled.join(open_, "key"), texts.select("fp", "n", "bits"), percent), texts, size, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
 

@@ -28,21 +28,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: White space and ASCII punctuation, for words without their punctuation.
 SPACE_OR_PUNCTUATION = SPACE.copy()
 SPACE_OR_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))[_LOWER]
+VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))[_LOWER]
 _POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
+def _powers(n: int) -> np.ndarray:
+    global _POW
     if len(_POW) < n:
-        m = 1 << (n - 1).bit_length()
-        step = np.full(m, _R, np.uint64)
-        step[0] = 1
-        _POW = np.cumprod(step)
-        step[1:] = pow(_R, -1, 1 << 64)
-        _INV = np.cumprod(step)
-    return _POW[:n], _INV[:n]
+        _POW = np.cumprod(np.append(np.ones(1, np.uint64), np.full((1 << (n - 1).bit_length()) - 1, _R, np.uint64)))
+    return _POW
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +67,13 @@ def word_hashes(texts: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarra
     """(hash of each word, first word of each text and the total); ``between`` says which bytes part words."""
     raw, offsets = buffers(texts)
     starts, ends, firsts = word_spans(raw, offsets, between)
-    pow_, inv = _powers(len(raw) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * pow_[: len(raw)])))
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64)), firsts
+    if not len(starts):
+        return np.zeros(0, np.uint64), firsts
+    sizes = ends - starts
+    begins = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)  # place of each byte in its word
+    value = VALUE[raw[~between[raw]]] * _powers(int(sizes.max()))[at]
+    return mix(np.add.reduceat(value, begins) + sizes.astype(np.uint64)), firsts
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -88,7 +86,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts: pa.Array, ids: pa.Array, most: int = 8 << 20):
+def slices(texts: pa.Array, ids: pa.Array, most: int = 2 << 20):
     """Parts of a batch with about ``most`` bytes of text each, so that memory follows one part."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
