@@ -1,10 +1,72 @@
-"""A corpus pipeline: quality rules, quality classifier, near duplicates, decontamination, packing."""
+"""A corpus pipeline over ``documents``: quality rules, quality classifier, near duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
+next one's docs.  All stages but the last return the columns of ``documents``; rows that a stage rejects go.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediacat.llm import packing, quality_classifier, quality_rules
+from mediacat.llm.decontamination import decontamination
+from mediacat.llm.jaccard_join import jaccard_components
+from mediacat.llm.shared import shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The stages' operators need SQL-inexpressible models and tokenizers; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("its operators come first")
+def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality rules keep."""
+    return quality_rules.quality_rules(docs, carry=COLUMNS).where("kept").select("carried.*")
+
+
+def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier, fitted on the labels, predicts to be good."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.quality_scores(docs, model, carry=COLUMNS).where("predicted = 1").select("carried.*")
+
+
+def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates (five words, similarity 0.8) the document with the smallest id.
+
+    Rows that repeat id and text are one document; those without an id stay unless they repeat a text or are near one with an id."""
+    found = jaccard_components(docs, size=5, percent=80).where("component_id <=> doc_id").select(F.col("doc_id").alias("kept")).distinct()
+    return docs.select(COLUMNS).join(found, docs["doc_id"].eqNullSafe(found["kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold an item of the benchmark."""
+    found = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, least=0.8, carry=COLUMNS)
+    return found.where("NOT contaminated").select("carried.*")
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents left into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", by_rules),
+    ("quality_classifier", by_classifier),
+    ("near_duplicates", by_near_duplicates),
+    ("decontamination", by_benchmark),
+    ("packing", into_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

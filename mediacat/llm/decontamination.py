@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_rows
+from .shared import carried_part, carried_schema, text_rows
 from .words import SPACE_OR_PUNCTUATION, mix, shingle_hashes, slices, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
@@ -182,13 +182,16 @@ class Items:
 
 def decontamination(
     docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", item_block: int = ITEM_BLOCK,
+    item_col: str = "item_id", item_text_col: str = "text", item_block: int = ITEM_BLOCK, carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, contaminated, matches (array of item_id, start, end, similarity; words of the document)."""
-    source = text_rows(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    """One row a document: doc_id, contaminated, matches (array of item_id, start, end, similarity; words of the document),
+    and ``carried`` if columns are to come along."""
+    source = text_rows(docs, id_col, text_col, carry).withColumn("row", F.monotonically_increasing_id())
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     parts = max(1, -(-items.count() // item_block))
     kind = source.schema["doc_id"].dataType.simpleString()
+    along = ["carried"] if carry else []
+    names = ["doc_id", "row", "matches", *along]
     match = "array<struct<item_id: long, start: long, end: long, similarity: double>>"
 
     def against(own: Items):
@@ -197,7 +200,7 @@ def decontamination(
                 for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
                     got = [[dict(zip(("item_id", "start", "end", "similarity"), m)) for m in x] for x in own.matches(texts)]
                     kind_ = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64())]))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(where), batch["row"].take(where), pa.array(got, kind_)], ["doc_id", "row", "matches"])
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(where), batch["row"].take(where), pa.array(got, kind_), *carried_part(batch, where)], names)
 
         return search
 
@@ -205,8 +208,8 @@ def decontamination(
     for k in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # of a bounded size
         own = Items([r["item_id"] for r in block], [r["text"] for r in block], shingle, least)
-        one = source.mapInArrow(against(own), f"doc_id {kind}, row long, matches {match}")
+        one = source.mapInArrow(against(own), f"doc_id {kind}, row long, matches {match}{carried_schema(source)}")
         found = one if found is None else found.union(one)
     if parts > 1:
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
-    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches")
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in along], F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches", *along)

@@ -10,7 +10,7 @@ fixed-size table of hash slots, filled over all texts, says which), then goes by
 3. Blocks with two components or more are searched exhaustively: a signature tree over its classes
    (nodes: OR of the members' bitmaps, size range, the one component if there is only one) is traversed
    against itself, and node pairs that cannot hold a link between different components are left out;
-   large blocks are dealt in pairs of parts.  Candidate pairs are compared exactly.
+   large blocks are dealt in pairs of parts, and a pair needs enough shingles from the block's own on.  Candidate pairs are compared exactly.
 4. Links of 2 and 3 give the components.
 
 Null and empty texts have no shingles and are linked with nothing; repeated rows are one class; other
@@ -28,7 +28,7 @@ from .components import components
 from .shared import stored, text_rows
 from .words import mix, shingle_hashes, shingle_sets, slices, word_hashes
 
-SLOTS = 1 << 22
+SLOTS = 1 << 23
 #: Classes of a block searched by one task; larger blocks are cut into parts, and pairs of parts are tasks.
 PART = 2048
 LEAF = 16
@@ -155,32 +155,33 @@ def fold(rows: np.ndarray, width: int) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("low", "high", "bits", "size_low", "size_high", "extra", "label", "left", "right")
+    __slots__ = ("low", "high", "bits", "size_low", "size_high", "extra", "rest", "label", "left", "right")
 
-    def __init__(self, low: int, high: int, bits: np.ndarray, sizes: np.ndarray, extra: np.ndarray, labels: np.ndarray) -> None:
+    def __init__(self, low: int, high: int, bits: np.ndarray, sizes: np.ndarray, rests: np.ndarray, extra: np.ndarray, labels: np.ndarray) -> None:
         self.low, self.high = low, high
         self.bits = np.bitwise_or.reduce(bits[low:high], 0)
         self.size_low, self.size_high = int(sizes[low:high].min()), int(sizes[low:high].max())
+        self.rest = int(rests[low:high].max())
         self.extra = int(extra[low:high].max())  # shingles of a member beyond its own bits
         self.label = int(labels[low]) if (labels[low:high] == labels[low]).all() else None
         self.left = self.right = None
         if high - low > LEAF:
             mid = (low + high) // 2
-            self.left, self.right = (Node(a, b, bits, sizes, extra, labels) for a, b in ((low, mid), (mid, high)))
+            self.left, self.right = (Node(a, b, bits, sizes, rests, extra, labels) for a, b in ((low, mid), (mid, high)))
 
 
 class SignatureTree:
     """Classes ordered by component and size; ``pairs`` yields all pairs of places (i, j) that may link two components."""
 
-    def __init__(self, sizes: np.ndarray, labels: np.ndarray, bitmaps: list[bytes]) -> None:
+    def __init__(self, sizes: np.ndarray, rests: np.ndarray, labels: np.ndarray, bitmaps: list[bytes]) -> None:
         self.order = np.lexsort((labels, sizes)) if len(set(labels.tolist())) > len(labels) // 2 else np.lexsort((sizes, labels))
         width = min(map(len, bitmaps))
         own = [np.frombuffer(b, np.uint8) for b in bitmaps]
         self.bits = np.stack([fold(own[i], width) for i in self.order])
-        self.sizes, self.labels = sizes[self.order], labels[self.order]
+        self.sizes, self.rests, self.labels = sizes[self.order], rests[self.order], labels[self.order]
         self.counts = np.bitwise_count(self.bits).sum(1).astype(np.int64)
         self.extra = self.sizes - self.counts
-        self.root = Node(0, len(self.order), self.bits, self.sizes, self.extra, self.labels)
+        self.root = Node(0, len(self.order), self.bits, self.sizes, self.rests, self.extra, self.labels)
 
 
 def traverse(x: SignatureTree, y: SignatureTree, percent: int):
@@ -198,7 +199,7 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int):
         if 100 * a.size_high < percent * b.size_low or 100 * b.size_high < percent * a.size_low:
             continue
         common = int(np.bitwise_count(fold(a.bits, width) & fold(b.bits, width)).sum())
-        most = min(common + min(a.extra + grow_x, b.extra + grow_y), a.size_high, b.size_high)
+        most = min(common + min(a.extra + grow_x, b.extra + grow_y), a.size_high, b.size_high, a.rest, b.rest)
         if most < pair_overlap(a.size_low, b.size_low, percent):
             continue
         if a.left is None and b.left is None:
@@ -208,7 +209,7 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int):
                 ok &= i < j
             i, j = i[ok], j[ok]
             both = np.bitwise_count(xb[i] & yb[j]).sum(1)
-            ok = np.minimum(both + np.minimum(x_extra[i], y_extra[j]), np.minimum(x.sizes[i], y.sizes[j])) >= pair_overlap(x.sizes[i], y.sizes[j], percent)
+            ok = np.minimum(both + np.minimum(x_extra[i], y_extra[j]), np.minimum(x.rests[i], y.rests[j])) >= pair_overlap(x.sizes[i], y.sizes[j], percent)
             yield x.order[i[ok]], y.order[j[ok]]
         elif b.left is None or (a.left is not None and a.high - a.low >= b.high - b.low):
             if same and a is b:
@@ -219,9 +220,10 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int):
             stack += [(a, b.left), (a, b.right)]
 
 
-def sized_pairs(sizes: np.ndarray, labels: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs in small groups whose sizes allow a link; rows come by group, then size.  Each small
-    group is a single leaf, and all leaves are searched at once."""
+def sized_pairs(sizes: np.ndarray, rests: np.ndarray, labels: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs in small groups whose sizes allow a link, and whose shingles from the group's own on
+    (``rests``) do too: the block of a pair's first common shingle finds it.  Rows come by group, then size.  Each
+    small group is a single leaf, and all leaves are searched at once."""
     here = np.arange(len(sizes))
     found_i, found_j = [here[:0]], [here[:0]]
     step = 1
@@ -230,7 +232,7 @@ def sized_pairs(sizes: np.ndarray, labels: np.ndarray, group: np.ndarray, percen
         there = here + step
         ok = (group[here] == group[there]) & (100 * sizes[here] >= percent * sizes[there])  # later ones are larger still
         here, there = here[ok], there[ok]
-        differ = labels[here] != labels[there]
+        differ = (labels[here] != labels[there]) & (np.minimum(rests[here], rests[there]) >= pair_overlap(sizes[here], sizes[there], percent))
         found_i.append(here[differ])
         found_j.append(there[differ])
         step += 1
@@ -266,12 +268,12 @@ SMALL = 64
 def search_blocks(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of whole blocks; rows come by (key, i, j) and size, with bitmaps in large blocks."""
     key, i, j, part = (table[c].to_numpy() for c in ("key", "i", "j", "part"))
-    fps, sizes, labels = table["fp"].to_numpy(), table["n"].to_numpy(), table["label"].to_numpy()
+    fps, sizes, rests, labels = (table[c].to_numpy() for c in ("fp", "n", "rest", "label"))
     begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     counts = np.diff(np.append(begins, len(key)))
     large = table["bits"].is_valid().to_numpy()
     at = np.flatnonzero(~large)
-    p, q = sized_pairs(sizes[at], labels[at], np.repeat(np.arange(len(begins)), counts)[at], percent)
+    p, q = sized_pairs(sizes[at], rests[at], labels[at], np.repeat(np.arange(len(begins)), counts)[at], percent)
     found = [(at[p], at[q])]
     for b, c in zip(begins.tolist(), counts.tolist()):
         if not large[b]:
@@ -281,7 +283,7 @@ def search_blocks(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray
         for side in {int(i[b]), int(j[b])}:
             own = np.flatnonzero(part[b : b + c] == side)
             if len(own):
-                trees[side] = b + own, SignatureTree(sizes[b + own], labels[b + own], [bits[k] for k in own.tolist()])
+                trees[side] = b + own, SignatureTree(sizes[b + own], rests[b + own], labels[b + own], [bits[k] for k in own.tolist()])
         if int(i[b]) in trees and int(j[b]) in trees:
             (own_x, x), (own_y, y) = trees[int(i[b])], trees[int(j[b])]
             found += [(own_x[s], own_y[t]) for s, t in traverse(x, y, percent)]
@@ -290,13 +292,13 @@ def search_blocks(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 def block_pairs(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the blocks: members has key, fp, n, label, c (block size), signatures fp, n, bits."""
+    """Distinct candidate pairs (a, b) of the blocks: members has key, fp, n, rest, label, c (block size), signatures fp, n, bits."""
     large = members.where(F.col("c") > SMALL).join(signatures.select("fp", "bits"), "fp")
     members = members.where(F.col("c") <= SMALL).withColumn("bits", F.lit(None).cast("binary")).unionByName(large)
     dealt = members.withColumn("parts", F.ceil(F.col("c") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # a row of part p goes to the tasks (i, j), i <= j, with i = p or j = p
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "n", "label", "bits")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "n", "rest", "label", "bits")
 
     def search(batches):
         rest: list[pa.RecordBatch] = []  # rows of a block that may go on in the next batch
@@ -330,7 +332,7 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     ranks = frequent_slots(source, size)
     rows = stored(sets_with_prefixes(source, size, percent, ranks))
     classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keyed = classes.select("fp", "n", F.explode("prefix").alias("key"))
+    keyed = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
     blocks = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key", "c")
     members = stored(keyed.join(blocks, "key"))  # of blocks with two classes or more
     central = members.groupBy("fp").agg(F.sum("c").alias("w"))
@@ -355,7 +357,7 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     links = stored(verified(pairs.select("a", "b"), texts, size, percent))
     roots = components(links)
 
-    labelled = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("label"))
+    labelled = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("root", "fp").alias("label"))
     open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "c")
     more = stored(verified(block_pairs(labelled.join(open_, "key"), texts.select("fp", "n", "bits"), percent), texts, size, percent))
     if not more.isEmpty():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_rows
+from .shared import carried_part, carried_schema, stored, text_rows
 from .words import slices
 
 #: Bound of the fitted sample, in labelled rows.
@@ -155,14 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, score (0 to 1), predicted (1 where score >= threshold)."""
-    source = text_rows(docs, id_col, text_col)
+def quality_scores(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+) -> DataFrame:
+    """One row a document: doc_id, score (0 to 1), predicted (1 where score >= threshold), and ``carried`` if asked for."""
+    source = text_rows(docs, id_col, text_col, carry)
+    names = ["doc_id", "score", "predicted", *(["carried"] if carry else [])]
 
     def judge(batches):
         for batch in batches:
-            for ids, texts in slices(batch["text"], batch["doc_id"]):
+            for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
                 score = model.score(np.array([statistics(t) for t in texts.to_pylist()]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+                own = [batch["doc_id"].take(where), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *carried_part(batch, where)]
+                yield pa.RecordBatch.from_arrays(own, names)
 
-    return source.mapInArrow(judge, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return source.mapInArrow(judge, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, predicted int{carried_schema(source)}")

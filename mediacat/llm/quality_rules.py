@@ -30,11 +30,12 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
 ]
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measures of every whole text."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id and the measures of every whole text, and ``carried`` if columns are to come along."""
+    along = ["carried"] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = text_rows(docs, id_col, text_col).select(
-        "doc_id", text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), F.split(text, "\n").alias("lines")
+    words = text_rows(docs, id_col, text_col, carry).select(
+        "doc_id", *along, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), F.split(text, "\n").alias("lines")
     )
     windows = F.when(
         F.size("words") >= 3,
@@ -43,6 +44,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept_lines = F.expr("filter(lines, x -> length(trim(BOTH ' \t\n\u000b\f\r' FROM x)) > 0)")
     first = words.select(
         "doc_id",
+        *along,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -83,9 +85,11 @@ def verdicts(measured: DataFrame, rules: list[tuple[str, str, float | None, floa
     any_broken = base
     for x in broken.values():
         any_broken = any_broken | x
-    return measured.withColumns({"base_failed": base, **broken, "kept": ~any_broken})
+    # an id that is never negative keeps filters on `kept` above the measures, which they would otherwise repeat
+    settled = F.monotonically_increasing_id() >= 0
+    return measured.withColumns({"base_failed": base, **broken, "kept": ~any_broken & settled})
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """One row a document: its measures, base_failed, the broken rules and kept."""
-    return verdicts(measures(docs, id_col, text_col), rules)
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, carry: list[str] | None = None) -> DataFrame:
+    """One row a document: its measures, base_failed, the broken rules and kept (and ``carried``)."""
+    return verdicts(measures(docs, id_col, text_col, carry), rules)

@@ -34,6 +34,17 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, under the names ``doc_id`` and ``text``: other columns cannot clash."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def text_rows(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """Only the id and the text, under the names ``doc_id`` and ``text``, and ``carried``, a struct of the columns that
+    are to come along: no other column can clash."""
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
+
+
+def carried_schema(source: DataFrame) -> str:
+    """The schema text of ``carried``, for functions that pass it on."""
+    return f", carried {source.schema['carried'].dataType.simpleString()}" if "carried" in source.columns else ""
+
+
+def carried_part(batch, where) -> list:
+    return [batch["carried"].take(where)] if "carried" in batch.schema.names else []
