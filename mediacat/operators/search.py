@@ -176,6 +176,10 @@ def live_file(files: DataFrame, file_id: int) -> DataFrame:
     return files.where((F.col("id") == file_id) & (F.col("status") != "missing")).limit(1)
 
 
+def _begins(parts: Column, word: str) -> Column:
+    return F.exists(parts, lambda p: F.startswith(p, F.lit(word)))
+
+
 def autocomplete(people: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """people: id, name, files.  Names that begin with the text, then those all of whose words do, then those that hold them."""
     kind, _ = person_reference(text)
@@ -185,7 +189,7 @@ def autocomplete(people: DataFrame, text: str, limit: int = 8) -> DataFrame:
     whole = fts_fold_py(text.strip())
     name = ui_fold(F.col("name"))
     parts = F.split(name, r"\s+")
-    begins = [F.exists(parts, lambda p, w=w: F.startswith(p, F.lit(w))) for w in words]
+    begins = [_begins(parts, w) for w in words]
     every = lambda cs: reduce(lambda a, b: a & b, cs)
     ok = every([b | F.contains(name, F.lit(w)) for b, w in zip(begins, words)])
     rank = F.when(F.startswith(name, F.lit(whole)), 0).when(every(begins), 1).otherwise(2)
