@@ -19,8 +19,11 @@ columns are not read; an empty table gives no rows.  No candidate is dropped at
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from .components import components
 from .shared import stored, text_rows
 from .words import mix, shingle_hashes, shingle_sets, slices, word_hashes
 
-SLOTS = 1 << 23
+SLOTS, CHUNKS, MERGED = 1 << 22, 16, 64
 #: Classes of a block searched by one task; larger blocks are cut into parts, and pairs of parts are tasks.
 PART = 2048
 LEAF = 16
@@ -45,11 +48,14 @@ def pair_overlap(a, b, percent: int):
 
 
 def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
-    """A rank for each slot of shingle hashes: 0 unless the slot is fuller than chance has it.  At most SLOTS numbers
-    come to the driver, however large the corpus."""
+    """A rank for each slot of shingle hashes: 0 unless the slot is fuller than chance has it.
+
+    Each task counts its shingles in a table of SLOTS numbers; the tables are added up chunk by chunk, first those of
+    MERGED tasks, then these sums.  At most SLOTS numbers come to the driver, however large the corpus."""
+    width = SLOTS // CHUNKS
 
     def count(batches):
-        counts, total = np.zeros(SLOTS, np.int32), 0
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for _, texts in slices(batch["text"], batch["doc_id"]):
                 words, firsts = word_hashes(texts)
@@ -58,19 +64,33 @@ def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
                 for k in range(1, size):  # shingles that run into the next text
                     at = firsts[1:] - k
                     inside[at[at >= 0]] = False
-                h = h[inside]
-                total += len(h)
-                np.add.at(counts, (h & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        full = np.flatnonzero(counts > above_noise(total / SLOTS, 4))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(counts[full], total))], ["slot", "n"])
-
-    rows = source.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    counts = {r["slot"]: r["n"] for r in rows}
-    mean = counts.pop(-1, 0) / SLOTS
+                np.add.at(counts, (h[inside] & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        task = TaskContext.get().partitionId() // MERGED
+        own = [zlib.compress(counts[k * width : (k + 1) * width].tobytes(), 1) for k in range(CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(own, pa.binary())], ["chunk", "task", "counts"])
+
+    def total(table):
+        out = np.zeros(width, np.uint64)
+        for packed in table["counts"].to_pylist():
+            raw = zlib.decompress(packed)
+            out += np.frombuffer(raw, np.uint32 if len(raw) == 4 * width else np.uint64)
+        return out
+
+    def merge(key, table):
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total(table).tobytes(), 1)], pa.binary())})
+
+    def finish(key, table):
+        counts = total(table)
+        mean = float(counts.mean())
+        full = np.flatnonzero(counts > above_noise(mean, 4))
+        rank = 2 * np.log2(counts[full] - mean)
+        return pa.table({"slot": pa.array(full + key[0].as_py() * width), "rank": pa.array(rank.astype(np.int32))})
+
+    tables = source.mapInArrow(count, "chunk int, task int, counts binary")
+    sums = tables.groupBy("chunk", "task").applyInArrow(merge, "chunk int, counts binary")
+    found = sums.groupBy("chunk").applyInArrow(finish, "slot long, rank int").toArrow()
     ranks = np.zeros(SLOTS, np.uint8)
-    for slot, n in counts.items():
-        if n > above_noise(mean, 6):
-            ranks[slot] = int(2 * np.log2(n - mean))
+    ranks[found["slot"].to_numpy()] = found["rank"].to_numpy()
     return ranks
 
 
