@@ -31,6 +31,9 @@ from .components import components
 from .shared import stored, text_rows
 from .words import mix, shingle_hashes, shingle_sets, slices, word_hashes
 
+#: Bits of the table that picks texts before they are shuffled.
+FILTER_BITS = 1 << 23
+#: Slots of the table of shingle counts, chunks it is cut into, tasks whose tables are added first.
 SLOTS, CHUNKS, MERGED = 1 << 22, 16, 64
 #: Classes of a block searched by one task; larger blocks are cut into parts, and pairs of parts are tasks.
 PART = 2048
@@ -100,11 +103,11 @@ def above_noise(mean: float, sigmas: float) -> float:
 
 
 def sets_with_prefixes(source: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), fp (fingerprint, null for the empty set), prefix."""
+    """doc_id, h (hash of the text), n (set size), fp (fingerprint, null for the empty set), prefix."""
 
     def build(batches):
         for batch in batches:
-            for ids, texts in slices(batch["text"], batch["doc_id"]):
+            for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
                 n, fps, prefixes = [], [], []
                 for s in shingle_sets(texts, size):
                     n.append(len(s))
@@ -116,11 +119,12 @@ def sets_with_prefixes(source: DataFrame, size: int, percent: int, ranks: np.nda
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "fp", "prefix"]
+                    [batch["doc_id"].take(where), batch["h"].take(where), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                    ["doc_id", "h", "n", "fp", "prefix"],
                 )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(build, f"doc_id {kind}, n long, fp long, prefix array<long>")
+    return source.withColumn("h", F.xxhash64("text")).mapInArrow(build, f"doc_id {kind}, h long, n long, fp long, prefix array<long>")
 
 
 def fingerprint(s: np.ndarray) -> int | None:
@@ -311,10 +315,15 @@ def search_blocks(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.minimum(fps[p], fps[q]), np.maximum(fps[p], fps[q])
 
 
-def block_pairs(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the blocks: members has key, fp, n, rest, label, c (block size), signatures fp, n, bits."""
-    large = members.where(F.col("c") > SMALL).join(signatures.select("fp", "bits"), "fp")
-    members = members.where(F.col("c") <= SMALL).withColumn("bits", F.lit(None).cast("binary")).unionByName(large)
+def block_pairs(members: DataFrame, signatures: DataFrame | None, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the blocks: members has key, fp, n, rest, label, c (block size); signatures has fp, bits of the classes
+    in large blocks."""
+    none = F.lit(None).cast("binary")
+    if signatures is None:
+        members = members.withColumn("bits", none)
+    else:
+        large = members.where(F.col("c") > SMALL).join(signatures.select("fp", "bits"), "fp")
+        members = members.where(F.col("c") <= SMALL).withColumn("bits", none).unionByName(large)
     dealt = members.withColumn("parts", F.ceil(F.col("c") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # a row of part p goes to the tasks (i, j), i <= j, with i = p or j = p
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -337,7 +346,7 @@ def block_pairs(members: DataFrame, signatures: DataFrame, percent: int) -> Data
             yield _emit(rest, percent)
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "fp")
-    return bounded_pairs(ordered.mapInArrow(search, "a long, b long").distinct(), signatures, percent)
+    return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
 def _emit(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
@@ -346,42 +355,73 @@ def _emit(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def texts_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """fp, text, n, bits of the ``wanted`` classes (fp), one row each, stored.
+
+    A class's text is that of its row with the least id.  A bit table of fixed size, over hashes of the texts asked for,
+    drops nearly all other texts before anything is shuffled; the join behind it is exact."""
+    owners = rows.join(wanted, "fp", "left_semi").groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"))
+    owners = owners.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h", "times")).alias("o"))
+    owners = stored(owners.select("fp", F.col("o.doc_id").alias("own"), F.col("o.h").alias("h"), F.col("o.times").alias("times")))
+    table = np.zeros(FILTER_BITS, bool)
+    slots = owners.select(F.pmod("h", F.lit(FILTER_BITS)).alias("s")).distinct().limit(FILTER_BITS // 2 + 1).toArrow()["s"].to_numpy()
+    table[slots] = True
+    packed = zlib.compress(np.packbits(table).tobytes(), 1) if len(slots) <= FILTER_BITS // 2 else b""  # a full table filters nothing
+
+    def pick(batches):
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)) if packed else None
+        for batch in batches:
+            if bits is None:
+                yield batch
+            else:
+                yield batch.take(pa.array(np.flatnonzero(bits[batch["h"].to_numpy() % FILTER_BITS])))
+
+    def own_texts(batches):
+        for batch in batches:
+            sets = shingle_sets(batch["text"], size)
+            n, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["fp"], batch["text"], n, bits], ["fp", "text", "n", "bits"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    near = source.withColumn("h", F.xxhash64("text")).mapInArrow(pick, f"doc_id {kind}, text string, h long").withColumnRenamed("h", "text_h")
+    found = near.join(owners, (near["text_h"] == owners["h"]) & near["doc_id"].eqNullSafe(owners["own"]))
+    once = found.where("times = 1").select("fp", "text").union(found.where("times > 1").select("fp", "text").dropDuplicates(["fp"]))
+    return stored(once.mapInArrow(own_texts, "fp long, text string, n long, bits binary"))
+
+
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included)."""
     source = text_rows(docs, id_col, text_col)
     ranks = frequent_slots(source, size)
     rows = stored(sets_with_prefixes(source, size, percent, ranks))
-    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keyed = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
-    blocks = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key", "c")
-    members = stored(keyed.join(blocks, "key"))  # of blocks with two classes or more
-    central = members.groupBy("fp").agg(F.sum("c").alias("w"))
+    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("prefix").alias("prefix"))
+    sizes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("n").alias("n"))
+    keyed = classes.select("fp", F.posexplode("prefix").alias("pos", "key"))
+    blocks = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
+    members = stored(keyed.join(blocks, "key").join(sizes, "fp"))  # of blocks with two classes or more
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    central = members.join(counts, "key").groupBy("fp").agg(F.sum("c").alias("w"))
     leaders = members.join(central, "fp").groupBy("key").agg(F.max(F.struct("w", "fp", "n")).alias("l"))
     led = members.join(leaders, "key").where((F.col("fp") != F.col("l.fp")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
     pairs = led.groupBy("fp", "l").agg(F.count(F.lit(1)).alias("shared")).groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("shared", "l")).alias("best"))
-    pairs = pairs.select(F.col("best.l.fp").alias("a"), "b")
-
-    active = central.select("fp")
-    where = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("own")).join(active, "fp")
-    texts = source.join(where, source["doc_id"].eqNullSafe(where["own"])).select("fp", "text")
-
-    def own_texts(batches):  # rows that share an id but not the text fall out here
-        for batch in batches:
-            keep = [i for i, (fp, s) in enumerate(zip(batch["fp"].to_pylist(), shingle_sets(batch["text"], size))) if fp == fingerprint(s)]
-            at = pa.array(keep, pa.int64())
-            sets = shingle_sets(batch["text"].take(at), size)
-            n, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["fp"].take(at), batch["text"].take(at), n, bits], ["fp", "text", "n", "bits"])
-
-    texts = stored(texts.mapInArrow(own_texts, "fp long, text string, n long, bits binary").dropDuplicates(["fp"]))
-    links = stored(verified(pairs.select("a", "b"), texts, size, percent))
+    pairs = stored(pairs.select(F.col("best.l.fp").alias("a"), "b"))
+    links = stored(verified(pairs, texts_of(source, rows, both_ends(pairs), size), size, percent))
     roots = components(links)
 
     labelled = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("root", "fp").alias("label"))
     open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "c")
-    more = stored(verified(block_pairs(labelled.join(open_, "key"), texts.select("fp", "n", "bits"), percent), texts, size, percent))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    blocked = stored(labelled.join(open_, "key"))
+    large = blocked.where(F.col("c") > SMALL)
+    signatures = texts_of(source, rows, large.select("fp").distinct(), size) if not large.isEmpty() else None
+    found = stored(block_pairs(blocked, signatures, percent))
+    if not found.isEmpty():
+        texts = texts_of(source, rows, both_ends(found), size)
+        near = stored(bounded_pairs(found, texts.select("fp", "n", "bits"), percent))
+        roots = components(links.union(stored(verified(near, texts, size, percent))))
 
     placed = rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
     ids = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -82,7 +82,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out *= np.uint64(_R)
-        out[: n - k] += words[k:]
+        out[: max(n - k, 0)] += words[k:]
     return mix(out)
 
 

@@ -1,6 +1,6 @@
-from compare import spark_rows, sql_rows
 from mediacat.llm.quality_rules import quality_rules
 from mediacat.llm.queries import OP10_SQL, op10_quality_rules
+from oracle import spark_rows, sql_rows
 
 
 def test_against_sql(spark):
@@ -14,3 +14,4 @@ def test_edge_cases(spark):
     got = {(r.doc_id, r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules(df).collect()}
     assert got == {(1, 0, 0, True, False), (2, 0, 0, True, False), (3, 180, 0, False, True), (None, 2, 0, True, False), (4, 40000, 40000, True, False)}
     assert quality_rules(df.limit(0)).count() == 0
+    assert quality_rules(df, carry=["text", "n_words"]).where("kept").select("carried.n_words").collect() == [(None,), (None,)]
