@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 SCHEMA_VERSION = 4
 
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "vector": ArrayType(FloatType())}
+_TYPES["box"] = StructType([StructField(n, IntegerType()) for n in "xywh"])
+
+
+def _table(columns: str) -> StructType:
+    """A schema from ``name type`` pairs; it needs no session."""
+    return StructType([StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(","))])
+
+
 TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "meta": "key string, value string",
-        "files": (
-            "id long, rel_path string, kind string, size long, mtime double, hash string, taken_at string, date_source string, width int, height int, "
-            "is_sticker boolean, status string, error string, stages_done array<string>, lat double, lon double, city string, state string, country string"
-        ),
-        "texts": "content string, file_id long, page int",
-        "people": "id long, name string, hidden boolean, cover_face_id long",
-        "faces": (
-            "id long, file_id long, bbox struct<x: int, y: int, w: int, h: int>, det_score double, embedding array<float>, "
-            "person_id long, assign_source string, assign_score double, manual boolean"
-        ),
-        "face_negatives": "face_id long, person_id long",
-        "clip_embeddings": "file_id long, embedding array<float>",
-        "places": "name string, state string, country string, lat double, lon double",
-    }.items()
+    "meta": _table("key string, value string"),
+    "files": _table(
+        "id long, rel_path string, kind string, size long, mtime double, hash string, taken_at string, date_source string, width int, height int, "
+        "is_sticker boolean, status string, error string, stages_done strings, lat double, lon double, city string, state string, country string"
+    ),
+    "texts": _table("content string, file_id long, page int"),
+    "people": _table("id long, name string, hidden boolean, cover_face_id long"),
+    "faces": _table("id long, file_id long, bbox box, det_score double, embedding vector, person_id long, assign_source string, assign_score double, manual boolean"),
+    "face_negatives": _table("face_id long, person_id long"),
+    "clip_embeddings": _table("file_id long, embedding vector"),
+    "places": _table("name string, state string, country string, lat double, lon double"),
 }
 
 

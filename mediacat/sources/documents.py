@@ -45,7 +45,7 @@ def read_files(files: DataFrame, read: Callable[[str, bytes], Iterator[dict]], s
                     rows += [{"rel_path": path, "error": None, **r} for r in read(path, content)]
                 except Exception as e:
                     rows.append({"rel_path": path, "error": f"{type(e).__name__}: {e}"[:500]})
-            yield pd.DataFrame(rows, columns=["rel_path", "error", *names])
+            yield pd.DataFrame(rows, columns=["rel_path", "error", *names], dtype=object)
 
     return files.select("rel_path", "content").mapInPandas(run, f"rel_path string, error string, {schema}")
 
