@@ -10,8 +10,8 @@ columns other than the id and the text are not read; an empty table gives no row
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -21,22 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored, text_rows
-from .words import SPACE, buffers, slices, word_spans
+from .words import SPACE, buffers, slices
 
 CAPACITY = 4096
 #: Pieces packed together by one task; the last bins of a group are the only ones that grouping can waste.
 GROUP_PIECES = 8192
 #: Fillings tried beyond the incumbent before it stands, and alternatives for each bin.
 SEARCH_NODES, BRANCHES = 4000, 4
-#: Chunks, and lower-cased words, whose ids a worker remembers before it starts afresh: memory, not results, depends on them.
-CACHE_CHUNKS, CACHE_WORDS = 900_000, 500_000
-#: Letters that lower-casing and composition leave single, then signs: two pieces of the tokenizer's pattern at most.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@[-`{-~]*)")
+#: Units whose ids a worker remembers before it starts afresh: memory, not results, depends on it.
+CACHE_UNITS = 900_000
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Signs next to which a letter always begins or ends a piece; the apostrophe does not, and <, | and > make special strings.
+_SIGN[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 
 
 class ChunkIds:
-    """Little-endian unsigned 32-bit ids of whole texts.  The tokenizer drops white space and no piece spans
-    it, so a text's ids are those of its chunks between ASCII white space in turn."""
+    """Unsigned 32-bit ids of whole texts.  No piece of the tokenizer spans white space, or an ASCII letter and a sign beside it, so
+    a text's ids are those of the units between such places in turn, and each distinct unit is encoded once."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -45,44 +47,37 @@ class ChunkIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks; those of letters and signs by way of their two pieces, which many chunks share."""
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        simple, other = [], []
-        for x in chunks:
-            m = SIMPLE.fullmatch(x)
-            if m and "<|" not in x:
-                simple.append((x, m[1].lower(), m[2]))
-            else:
-                other.append(x)
-        new = list({y for _, a, b in simple for y in (a, b)}.difference(self.pieces))
-        self.pieces.update(zip(new, self._encode(new)))
-        get = self.pieces.__getitem__
-        self.known.update((x, get(a) + get(b)) for x, a, b in simple)
-        self.known.update(zip(other, self._encode(other)))
+
+    def _learn(self, units: list[str]) -> None:
+        if len(self.known) > CACHE_UNITS:
+            self.known.clear()
+        new = [x for x in units if x not in self.known]
+        self.known.update(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, first id of each text and the total)."""
         raw, offsets = buffers(texts)
-        starts, ends, firsts = word_spans(raw, offsets)
-        sizes = ends - starts
-        data = raw[~SPACE[raw]]
-        chunks = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data)).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        self._learn([x for x in distinct if x not in self.known])
+        inside = ~SPACE[raw]
+        letter, sign = _LETTER[raw], _SIGN[raw]
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[offsets[:-1]] = True
+        begins[1:-1] |= ~inside[:-1] | (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        starts = np.flatnonzero(inside & begins[:-1])
+        firsts = np.searchsorted(starts, offsets)
+        if b"<|" not in raw.tobytes():  # else case may tell special strings from others
+            upper = (raw >= 65) & (raw <= 90)
+            upper[:-1] &= raw[1:] < 128  # a mark may follow, which small letters compose with otherwise
+            raw = raw + upper.astype(np.uint8) * np.uint8(32)
+        data = raw[inside]
+        at = (np.cumsum(inside) - 1)[starts]
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        self._learn(distinct)
         ids = [*map(self.known.__getitem__, distinct), np.array([end_id], "<u4").tobytes()]
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(length) - length
-        # the chunks of each text, then the end
-        which = np.insert(chunks.indices.to_numpy(), firsts[1:], len(distinct))
+        # the units of each text, then the end
+        which = np.insert(units.indices.to_numpy(), firsts[1:], len(distinct))
         held = length[which]
         total = np.append(0, np.cumsum(held))
         flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[which] - total[:-1], held) + np.arange(int(total[-1]))]
