@@ -100,6 +100,10 @@ def slices(texts: pa.Array, ids: pa.Array, most: int = 2 << 20):
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text; with fewer words than ``size`` the whole sequence is one."""
+    return [s for _, part in slices(texts, texts) for s in _sets(part, size)]  # in parts, for memory's sake
+
+
+def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     words, firsts = word_hashes(texts)
     shingles = shingle_hashes(words, size)
     out = []

@@ -39,7 +39,7 @@ def awkward(spark):
 
 def strings():
     rnd = random.Random(1)
-    alphabet = " \n\t'sabÀ1.,<|>é  x  　\x1c\x85​﻿́İß×ªΣ"
+    alphabet = "JhTI\u030c\u0331\u0307.,'<|>()A \n\t'sabÀ1.,<|>é  x  　\x1c\x85​﻿́İß×ªΣ"
     out = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 3, 20, 200]))) for _ in range(1500)]
     return out + ["a<|endoftext|><|endoftext|> b", " 's don't I'LL we'll", "aaaa" * 60, "日本語 テキスト", "x" * 3000, " ", "\n \n\n"] + [d["text"] for d in documents()]
 
