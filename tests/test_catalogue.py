@@ -194,7 +194,7 @@ def test_index_end_to_end(spark, tmp_path):
         run_index(spark, str(root), store, extract, only=["nope"])
 
 
-def test_listing_and_monitor(spark, tmp_path):
+def test_listing_and_monitor(spark, tmp_path, tmp_path_factory):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/.nomedia").write_bytes(b"")
     (tmp_path / "x.jpg").write_bytes(b"abc")
@@ -206,7 +206,7 @@ def test_listing_and_monitor(spark, tmp_path):
     assert fingerprint(ticks.limit(0)) is None
     known = spark.createDataFrame([], "rel_path string, size long, mtime double, status string")
     done = []
-    q = start_monitor(spark, str(tmp_path), lambda: known, lambda: done.append(1), str(tmp_path / "chk"), seconds=1)
+    q = start_monitor(spark, str(tmp_path), lambda: known, lambda: done.append(1), str(tmp_path_factory.mktemp("checkpoint")), seconds=1)
     try:
         for _ in range(60):
             if done:
