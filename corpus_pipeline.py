@@ -47,10 +47,11 @@ def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents left into sequences of at most 4096 tokens."""
+    """Packs the documents left into sequences of at most 4096 tokens; workers still hold the tables of earlier stages, so
+    they remember fewer units here than the operator alone would."""
     import public_tokenizers
 
-    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, cache_units=150_000, part_bytes=2 << 20)
 
 
 STAGES = [

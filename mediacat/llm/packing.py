@@ -28,8 +28,9 @@ CAPACITY = 4096
 GROUP_PIECES = 8192
 #: Fillings tried beyond the incumbent before it stands, and alternatives for each bin.
 SEARCH_NODES, BRANCHES = 4000, 4
-#: Units whose ids a worker remembers before it starts afresh: memory, not results, depends on it.
-CACHE_UNITS = 900_000
+#: Units whose ids a worker remembers before it starts afresh, and bytes of text that it turns into ids at a time: memory and
+#: time depend on them, results do not.
+CACHE_UNITS, PART_BYTES = 900_000, 16 << 20
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Signs next to which a letter always begins or ends a piece; the apostrophe does not, and <, | and > make special strings.
@@ -40,16 +41,18 @@ class ChunkIds:
     """Unsigned 32-bit ids of whole texts.  No piece of the tokenizer spans white space, or an ASCII letter and a sign beside it, so
     a text's ids are those of the units between such places in turn, and each distinct unit is encoded once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_UNITS) -> None:
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
 
     def _learn(self, units: list[str]) -> None:
-        if len(self.known) > CACHE_UNITS:
+        if len(self.known) > self.most:
             self.known.clear()
         new = [x for x in units if x not in self.known]
         self.known.update(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
@@ -69,7 +72,7 @@ class ChunkIds:
             upper[:-1] &= raw[1:] < 128  # a mark may follow, which small letters compose with otherwise
             raw = raw + upper.astype(np.uint8) * np.uint8(32)
         data = raw[inside]
-        at = (np.cumsum(inside) - 1)[starts]
+        at = np.cumsum(inside, dtype=np.int32)[starts] - 1
         units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
         distinct = units.dictionary.to_pylist()
         self._learn(distinct)
@@ -85,21 +88,21 @@ class ChunkIds:
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
+def chunk_ids(path: str, most: int) -> ChunkIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return ChunkIds(path)
+    return ChunkIds(path, most)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_units: int = CACHE_UNITS, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
     source = text_rows(docs, id_col, text_col)
 
     def cut(batches):
-        own = chunk_ids(tokenizer)
+        own = chunk_ids(tokenizer, cache_units)
         for batch in batches:
-            for ids, texts in slices(batch["text"], batch["doc_id"], 16 << 20):
+            for ids, texts in slices(batch["text"], batch["doc_id"], part_bytes):
                 flat, firsts = own.encode(texts, end_id)
                 rows = []
                 for i, (first, last) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
@@ -240,6 +243,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return dealt.groupBy("g").applyInArrow(fill, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(pieces(docs, tokenizer, capacity, end_id, id_col, text_col)), capacity)
+def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **memory: int) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  ``memory``: cache_units, part_bytes."""
+    return pack(stored(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, **memory)), capacity)
