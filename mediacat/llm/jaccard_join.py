@@ -10,7 +10,8 @@ fixed-size table of hash slots, filled over all texts, says which), then goes by
 3. Blocks with two components or more are searched exhaustively: a signature tree over its classes
    (nodes: OR of the members' bitmaps, size range, the one component if there is only one) is traversed
    against itself, and node pairs that cannot hold a link between different components are left out;
-   large blocks are dealt in pairs of parts, and a pair needs enough shingles from the block's own on.  Candidate pairs are compared exactly.
+   large blocks are dealt in pairs of parts, and a pair needs enough shingles from the block's own on.  Candidate pairs whose
+   signatures leave room for enough overlap are compared exactly.
 4. Links of 2 and 3 give the components.
 
 Null and empty texts have no shingles and are linked with nothing; repeated rows are one class; other
@@ -33,6 +34,8 @@ from .words import mix, shingle_hashes, shingle_sets, slices, word_hashes
 
 #: Bits of the table that picks texts before they are shuffled.
 FILTER_BITS = 1 << 23
+#: Parts of the hash range whose shingles a class's signature counts.
+SIGNATURE = 128
 #: Slots of the table of shingle counts, chunks it is cut into, tasks whose tables are added first.
 SLOTS, CHUNKS, MERGED = 1 << 22, 16, 64
 #: Classes of a block searched by one task; larger blocks are cut into parts, and pairs of parts are tasks.
@@ -103,15 +106,18 @@ def above_noise(mean: float, sigmas: float) -> float:
 
 
 def sets_with_prefixes(source: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, h (hash of the text), n (set size), fp (fingerprint, null for the empty set), prefix."""
+    """doc_id, h (hash of the text), n (set size), fp (fingerprint, null for the empty set), sig (shingles in each of SIGNATURE parts of
+    the hash range, a byte each; null if one has too many), prefix."""
 
     def build(batches):
         for batch in batches:
             for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
-                n, fps, prefixes = [], [], []
+                n, fps, sigs, prefixes = [], [], [], []
                 for s in shingle_sets(texts, size):
                     n.append(len(s))
                     fps.append(fingerprint(s))
+                    parts = np.bincount((s >> np.uint64(40)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE)
+                    sigs.append(parts.astype(np.uint8).tobytes() if parts.max() < 256 else None)
                     p = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
                     r = ranks[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                     chosen = s[np.lexsort((s, r))[:p]] if r.any() else s[:p]
@@ -119,12 +125,12 @@ def sets_with_prefixes(source: DataFrame, size: int, percent: int, ranks: np.nda
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(where), batch["h"].take(where), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                    ["doc_id", "h", "n", "fp", "prefix"],
+                    [batch["doc_id"].take(where), batch["h"].take(where), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                    ["doc_id", "h", "n", "fp", "sig", "prefix"],
                 )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.withColumn("h", F.xxhash64("text")).mapInArrow(build, f"doc_id {kind}, h long, n long, fp long, prefix array<long>")
+    return source.withColumn("h", F.xxhash64("text")).mapInArrow(build, f"doc_id {kind}, h long, n long, fp long, sig binary, prefix array<long>")
 
 
 def fingerprint(s: np.ndarray) -> int | None:
@@ -263,26 +269,25 @@ def sized_pairs(sizes: np.ndarray, rests: np.ndarray, labels: np.ndarray, group:
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def bounded_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose bitmaps leave room for enough overlap."""
-    both = pairs.join(signatures.toDF("b", "n_b", "bits_b"), "b").join(signatures.toDF("a", "n_a", "bits_a"), "a")
+def bounded_pairs(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose signatures leave room for enough overlap: in each part of the hash range two sets share no more
+    shingles than the one with fewer has."""
+    signatures = rows.select("fp", "n", "sig").join(both_ends(pairs), "fp", "left_semi").dropDuplicates(["fp"])
+    both = pairs.join(signatures.toDF("b", "n_b", "sig_b"), "b").join(signatures.toDF("a", "n_a", "sig_a"), "a")
 
     def bound(batches):
         for batch in batches:
             n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-            bits_a, bits_b = batch["bits_a"].to_pylist(), batch["bits_b"].to_pylist()
-            w_a, w_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (bits_a, bits_b))
-            keep = np.zeros(len(n_a), bool)
-            for u, v in np.unique(np.stack([w_a, w_b], 1), axis=0).tolist():
-                at = np.flatnonzero((w_a == u) & (w_b == v))
-                x, y = (fold(np.frombuffer(b"".join([bits[k] for k in at.tolist()]), np.uint8).reshape(len(at), w), min(u, v)) for bits, w in ((bits_a, u), (bits_b, v)))
-                extra = np.minimum(*(n[at] - np.bitwise_count(m).sum(1).astype(np.int64) for n, m in ((n_a, x), (n_b, y))))
-                most = np.minimum(np.bitwise_count(x & y).sum(1).astype(np.int64) + extra, np.minimum(n_a[at], n_b[at]))
-                keep[at] = most >= pair_overlap(n_a[at], n_b[at], percent)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], ["a", "b"])
+            keep = np.ones(len(n_a), bool)
+            sig_a, sig_b = batch["sig_a"].to_pylist(), batch["sig_b"].to_pylist()
+            at = np.array([k for k, (x, y) in enumerate(zip(sig_a, sig_b)) if x is not None and y is not None], np.int64)
+            if len(at):
+                x, y = (np.frombuffer(b"".join([s[k] for k in at.tolist()]), np.uint8).reshape(len(at), SIGNATURE) for s in (sig_a, sig_b))
+                keep[at] = np.minimum(x, y).sum(1, dtype=np.int64) >= pair_overlap(n_a[at], n_b[at], percent)
+            where = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch["a"].take(where), batch["b"].take(where)], ["a", "b"])
 
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a long, b long")
+    return both.select("a", "b", "n_a", "sig_a", "n_b", "sig_b").mapInArrow(bound, "a long, b long")
 
 
 #: Blocks of so many classes or fewer are one leaf.
@@ -407,7 +412,9 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     central = members.join(counts, "key").groupBy("fp").agg(F.sum("c").alias("w"))
     leaders = members.join(central, "fp").groupBy("key").agg(F.max(F.struct("w", "fp", "n")).alias("l"))
     led = members.join(leaders, "key").where((F.col("fp") != F.col("l.fp")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
-    pairs = led.groupBy("fp", "l").agg(F.count(F.lit(1)).alias("shared")).groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("shared", "l")).alias("best"))
+    # near copies share most of their prefixes; links with less in common are left to the search of blocks
+    led = led.groupBy("fp", "n", "l").agg(F.count(F.lit(1)).alias("shared")).where(400 * F.col("shared") >= (100 - percent) * F.col("n"))
+    pairs = led.groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("shared", "l")).alias("best"))
     pairs = stored(pairs.select(F.col("best.l.fp").alias("a"), "b"))
     links = stored(verified(pairs, texts_of(source, rows, both_ends(pairs), size), size, percent))
     roots = components(links)
@@ -419,9 +426,8 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     signatures = texts_of(source, rows, large.select("fp").distinct(), size) if not large.isEmpty() else None
     found = stored(block_pairs(blocked, signatures, percent))
     if not found.isEmpty():
-        texts = texts_of(source, rows, both_ends(found), size)
-        near = stored(bounded_pairs(found, texts.select("fp", "n", "bits"), percent))
-        roots = components(links.union(stored(verified(near, texts, size, percent))))
+        near = stored(bounded_pairs(found, rows, percent))
+        roots = components(links.union(stored(verified(near, texts_of(source, rows, both_ends(near), size), size, percent))))
 
     placed = rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
     ids = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
