@@ -21,6 +21,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+#: Rows that go to Python at a time: whole texts are long, and batches take memory on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality rules keep."""
     return quality_rules.quality_rules(docs, carry=COLUMNS).where("kept").select("carried.*")
@@ -28,6 +36,7 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier, fitted on the labels, predicts to be good."""
+    _small_batches(spark)
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.quality_scores(docs, model, carry=COLUMNS).where("predicted = 1").select("carried.*")
 
@@ -36,12 +45,14 @@ def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps of each group of near duplicates (five words, similarity 0.8) the document with the smallest id.
 
     Rows that repeat id and text are one document; those without an id stay unless they repeat a text or are near one with an id."""
+    _small_batches(spark)
     found = jaccard_components(docs, size=5, percent=80).where("component_id <=> doc_id").select(F.col("doc_id").alias("kept")).distinct()
     return docs.select(COLUMNS).join(found, docs["doc_id"].eqNullSafe(found["kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold an item of the benchmark."""
+    _small_batches(spark)
     found = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, least=0.8, carry=COLUMNS)
     return found.where("NOT contaminated").select("carried.*")
 
@@ -49,6 +60,7 @@ def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents left into sequences of at most 4096 tokens; workers still hold the tables of earlier stages, so
     they remember fewer units here than the operator alone would."""
+    _small_batches(spark)
     import public_tokenizers
 
     return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, cache_units=150_000, part_bytes=2 << 20)
