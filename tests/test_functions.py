@@ -1,5 +1,3 @@
-from datetime import date
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,7 +154,3 @@ def test_bm25_and_phrases(spark):
     assert got["score"] == pytest.approx(want)
     assert one(spark, fts.snippet(F.lit("a b c d e f g praia h"), "praia")) == "…c d e f g [praia] h"
     assert fts.postings(t).where("token = 'foo' AND file_id = 3").first()["positions"] == [0, 2]
-
-
-def test_dates_are_dates():
-    assert date.fromisoformat(TODAY)
