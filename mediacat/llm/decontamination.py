@@ -3,7 +3,8 @@
 Words are runs between white space and ASCII punctuation, A-Z lower-cased.  A document is contaminated by
 an item when some window of the item's number of words (the whole document where it is shorter) has a
 weighted shingle similarity of ``least`` or more with it: sum of min over sum of max of the shingles'
-weights, a shingle's weight being its count over the number of items that hold it.
+weights, a shingle's weight being its count over the number of items of the whole benchmark that hold it (1 at least):
+with several blocks of items, the holders are counted over all of them first, and each text gets the counts of its shingles.
 
 Windows without any shingle of any item have similarity 0, so only windows around such shingles are
 fingerprinted.  Fingerprints have 64 bits in BLOCKS blocks; within RADIUS bits some block differs in one
@@ -20,14 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import carried_part, carried_schema, text_rows
+from .shared import carried_part, carried_schema, stored, text_rows
 from .words import SPACE_OR_PUNCTUATION, mix, shingle_hashes, slices, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 11, 21
 #: Items held by a task at once: larger benchmarks are searched in blocks of so many.
 ITEM_BLOCK = 20_000
+#: Shingles of several items held by a task at once, where there are several blocks of items.
+SHARED_BLOCK = 1 << 20
+_HIT = np.dtype([("at", "<u4"), ("n", "<u4")])
 _EDGES = np.linspace(0, BITS, BLOCKS + 1).astype(int)
 _SLOTS = 1 << 20
 
@@ -72,7 +77,8 @@ class HammingIndex:
 class Items:
     """The benchmark as shingle tables, fingerprints and indexes by size."""
 
-    def __init__(self, ids: list[int], texts: list[str], shingle: int, least: float) -> None:
+    def __init__(self, ids: list[int], texts: list[str], shingle: int, least: float, holders: dict[int, int] | None = None) -> None:
+        """``holders``: how many items hold a shingle, where more than one does; by default as many as among these."""
         self.shingle, self.least = shingle, least
         words, firsts = word_hashes(pa.array(texts, pa.string()), SPACE_OR_PUNCTUATION)
         cut = [words[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
@@ -86,12 +92,12 @@ class Items:
             elif len(w):
                 self.short.setdefault(len(w), {}).setdefault(int(shingle_hashes(w, len(w))[0]), []).append(i)
         held = Counter(h for s in lists for h in set(s.tolist()))
-        self.weights = {h: 1.0 / n for h, n in held.items()}
+        self.weights = {h: 1.0 / (n if holders is None else holders.get(h, 1)) for h, n in held.items()}
         self.known = np.array(sorted(held), np.uint64)
         self.weight_of = np.array([self.weights[h] for h in self.known.tolist()])
         self.maybe = np.zeros(_SLOTS, bool)
         self.maybe[(self.known & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-        self.bags = [self.bag(s) for s in lists]
+        self.bags = [self.bag(s, self.weight(s)) for s in lists]
         self.totals = [sum(b.values()) for b in self.bags]
         self.by_size: dict[int, list[int]] = defaultdict(list)
         for k, n in enumerate(self.sizes):
@@ -109,11 +115,12 @@ class Items:
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         return np.where(self.known[at] == shingles, self.weight_of[at], 1.0)
 
-    def bag(self, shingles: np.ndarray) -> dict[int, float]:
-        return {h: n * self.weights.get(h, 1.0) for h, n in Counter(shingles.tolist()).items()}
+    def bag(self, shingles: np.ndarray, weights: np.ndarray) -> dict[int, float]:
+        weight = dict(zip(shingles.tolist(), weights.tolist()))
+        return {h: n * weight[h] for h, n in Counter(shingles.tolist()).items()}
 
-    def similarity(self, window: np.ndarray, item: int) -> float:
-        bag, other = self.bag(window), self.bags[item]
+    def similarity(self, window: np.ndarray, weights: np.ndarray, item: int) -> float:
+        bag, other = self.bag(window, weights), self.bags[item]
         common = sum(min(v, other[h]) for h, v in bag.items() if h in other)
         return common / (sum(bag.values()) + self.totals[item] - common)
 
@@ -124,8 +131,10 @@ class Items:
         k = np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)
         return at[self.known[k] == shingles[at]]
 
-    def matches(self, texts: pa.Array) -> list[list[tuple[int, int, int, float]]]:
-        """For each text its best window of each item that contaminates it: (item id, first word, end word, similarity)."""
+    def matches(self, texts: pa.Array, shared: list[bytes] | None = None) -> list[list[tuple[int, int, int, float]]]:
+        """For each text its best window of each item that contaminates it: (item id, first word, end word, similarity).
+
+        ``shared``: each text's shingles that several items hold, where other items than these count too."""
         words, firsts = word_hashes(texts, SPACE_OR_PUNCTUATION)
         best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(texts))]
 
@@ -141,6 +150,7 @@ class Items:
                     for item_id in table[int(h[p])]:
                         found(doc, item_id, p - int(firsts[doc]), p - int(firsts[doc]) + n, 1.0)
         shingles = shingle_hashes(words, self.shingle)
+        weights = self.weight(shingles) if shared is None else shared_weights(shared, firsts)
         hits = self.known_places(shingles)
         docs = np.searchsorted(firsts, hits, "right") - 1
         inside = hits + self.shingle <= firsts[docs + 1]
@@ -152,10 +162,10 @@ class Items:
                 for n in self.sizes_with[int(shingles[p])]:
                     places[n].append(p)
             for n, at in places.items():
-                self._windows(shingles, doc, first, end, n, np.array(at), found)
+                self._windows(shingles, weights, doc, first, end, n, np.array(at), found)
         return [[(i, a, b, s) for i, (s, a, b) in sorted(m.items())] for m in best]
 
-    def _windows(self, shingles, doc, first, end, n, at, found) -> None:
+    def _windows(self, shingles, weights, doc, first, end, n, at, found) -> None:
         """Searches the windows of n words that hold a known shingle."""
         if end - first <= n:
             starts, length = np.array([first]), end - first
@@ -170,19 +180,83 @@ class Items:
             starts = starts[len(run) :]
             low = int(run[0])
             part = shingles[low : int(run[-1]) + width]
-            total = np.vstack([np.zeros((1, BITS)), np.cumsum(bit_signs(part) * self.weight(part)[:, None], 0)])
+            total = np.vstack([np.zeros((1, BITS)), np.cumsum(bit_signs(part) * weights[low : int(run[-1]) + width][:, None], 0)])
             prints = simhash(np.round(total[run - low + width] - total[run - low], 9))
             ks = self.by_size[n]
             for q, p in zip(*(x.tolist() for x in self.index[n].search(prints))):
                 a = int(run[q])
-                s = self.similarity(shingles[a : a + width], ks[p])
+                s = self.similarity(shingles[a : a + width], weights[a : a + width], ks[p])
                 if s >= self.least:
                     found(doc, self.ids[ks[p]], a - first, a - first + length, s)
 
 
+def shared_weights(shared: list[bytes], firsts: np.ndarray) -> np.ndarray:
+    """The weight of the shingle at each word of texts with these ``shared`` places."""
+    out = np.ones(int(firsts[-1]))
+    for own, first in zip(shared, firsts[:-1]):
+        hit = np.frombuffer(own, _HIT)
+        out[int(first) + hit["at"].astype(np.int64)] = 1.0 / hit["n"]
+    return out
+
+
+def shared_shingles(items: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(k, h: block and shingle of each item; h, n: the shingles that several items hold, and how many do)."""
+
+    def cut(batches):
+        for batch in batches:
+            for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
+                words, firsts = word_hashes(texts, SPACE_OR_PUNCTUATION)
+                sets = [np.unique(shingle_hashes(words[a:b], shingle)[: b - a - shingle + 1]) if b - a >= shingle else np.zeros(0, np.uint64) for a, b in zip(firsts[:-1], firsts[1:])]
+                ks = batch["k"].take(where).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([ks, pa.array(np.concatenate(sets).view(np.int64))], ["k", "h"])
+
+    own = stored(items.select("k", "text").mapInArrow(cut, "k long, h long"))
+    return own, stored(own.groupBy("h").agg(F.count("k").alias("n")).where("n > 1"))
+
+
+def with_shared(source: DataFrame, shared: DataFrame, shingle: int, shared_block: int) -> DataFrame:
+    """``source`` with ``shared``, the places and counts of each text's shingles that several items hold."""
+    parts = max(1, -(-shared.count() // shared_block))
+
+    def marked(known: np.ndarray, n: np.ndarray, narrow: bool):
+        def mark(batches):
+            for batch in batches:
+                out = []
+                for _, texts in slices(batch["text"], pa.array(range(len(batch)))):
+                    words, firsts = word_hashes(texts, SPACE_OR_PUNCTUATION)
+                    shingles = shingle_hashes(words, shingle)
+                    k = np.minimum(np.searchsorted(known, shingles), max(len(known) - 1, 0))
+                    at = np.flatnonzero(known[k] == shingles) if len(known) else np.zeros(0, np.int64)
+                    docs = np.searchsorted(firsts, at, "right") - 1
+                    at, docs = (x[at + shingle <= firsts[docs + 1]] for x in (at, docs))
+                    hit = np.zeros(len(at), _HIT)
+                    hit["at"], hit["n"] = at - firsts[docs], n[k[at]]
+                    out += [x.tobytes() for x in np.split(hit, np.searchsorted(docs, np.arange(1, len(texts))))]
+                if narrow:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "shared"])
+                else:
+                    some = pa.array([i for i, x in enumerate(out) if x], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch["row"].take(some), pa.array(out, pa.binary()).take(some)], ["row", "shared"])
+
+        return mark
+
+    found = None
+    for k in range(parts):
+        block = shared.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).toArrow()  # of a bounded size
+        known, n = block["h"].to_numpy().view(np.uint64), block["n"].to_numpy()
+        order = np.argsort(known)
+        if parts == 1:
+            return source.mapInArrow(marked(known[order], n[order], True), StructType([*source.schema, StructField("shared", BinaryType())]))
+        one = source.select("row", "text").mapInArrow(marked(known[order], n[order], False), "row long, shared binary")
+        found = one if found is None else found.union(one)
+    found = found.groupBy("row").agg(F.concat_ws("", F.collect_list(F.hex("shared"))).alias("shared"))
+    return stored(source.join(found, "row", "left").withColumn("shared", F.coalesce(F.unhex("shared"), F.lit(b""))).select(*source.columns, "shared"))
+
+
 def decontamination(
     docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", item_block: int = ITEM_BLOCK, carry: list[str] | None = None,
+    shared_block: int = SHARED_BLOCK,
 ) -> DataFrame:
     """One row a document: doc_id, contaminated, matches (array of item_id, start, end, similarity; words of the document),
     and ``carried`` if columns are to come along."""
@@ -198,16 +272,25 @@ def decontamination(
         def search(batches):
             for batch in batches:
                 for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
-                    got = [[dict(zip(("item_id", "start", "end", "similarity"), m)) for m in x] for x in own.matches(texts)]
+                    shared = batch["shared"].take(where).to_pylist() if "shared" in batch.schema.names else None
+                    got = [[dict(zip(("item_id", "start", "end", "similarity"), m)) for m in x] for x in own.matches(texts, shared)]
                     kind_ = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64())]))
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].take(where), batch["row"].take(where), pa.array(got, kind_), *carried_part(batch, where)], names)
 
         return search
 
+    items = items.withColumn("k", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("long"))
+    if parts > 1:
+        shingles, several = shared_shingles(items, shingle)
+        source = with_shared(source, several, shingle, shared_block)
     found = None
     for k in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # of a bounded size
-        own = Items([r["item_id"] for r in block], [r["text"] for r in block], shingle, least)
+        block = items.where(F.col("k") == k).orderBy("item_id", "text").collect()  # of a bounded size
+        holders = None
+        if parts > 1:
+            held = several.join(shingles.where(F.col("k") == k).select("h"), "h", "left_semi").toArrow()
+            holders = dict(zip(held["h"].to_numpy().view(np.uint64).tolist(), held["n"].to_pylist()))
+        own = Items([r["item_id"] for r in block], [r["text"] for r in block], shingle, least, holders)
         one = source.mapInArrow(against(own), f"doc_id {kind}, row long, matches {match}{carried_schema(source)}")
         found = one if found is None else found.union(one)
     if parts > 1:
