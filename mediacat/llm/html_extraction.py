@@ -8,7 +8,7 @@ minimum cut separates content from the rest; nodes whose terminal capacity outwe
 settled first (any minimum cut has them so), and maximum flow settles the others.
 
 Null, empty and text-free pages give the empty text; broken markup is read leniently; repeated rows are
-extracted one by one; other columns are not read.  Pages of very many blocks join runs of like blocks first.
+extracted one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .words import slices
 
-#: Blocks beyond which runs of like blocks of one container are joined into one node.
-MANY_BLOCKS = 2000
 NEAR, FAR, MEMBER, NESTED = 1.5, 0.4, 0.5, 0.25
 
 _TOKEN = re.compile(
@@ -168,17 +166,18 @@ def min_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[boo
         if a != b:
             near[a][b] = near[a].get(b, 0) + w
             near[b][a] = near[b].get(a, 0) + w
+    total = [sum(x.values()) for x in near]
     label: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
         if label[i] is not None:
             continue
-        total = sum(near[i].values())
-        if abs(unary[i]) > total or not near[i]:
+        if abs(unary[i]) > total[i] + 1e-9 or not near[i]:  # ``total`` loses digits as edges go
             label[i] = unary[i] > 0
             for j, w in near[i].items():  # its edges become capacities of its neighbours
                 unary[j] += w if label[i] else -w
+                total[j] -= w
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
@@ -239,16 +238,7 @@ def _max_flow(rest: list[int], unary: list[float], near: list[dict[int, float]])
 
 
 def label_blocks(blocks: list[Block], parents: list[int]) -> list[bool]:
-    groups = list(range(len(blocks)))
-    if len(blocks) > MANY_BLOCKS:
-        for k in range(1, len(blocks)):
-            like = blocks[k].node == blocks[k - 1].node and (blocks[k].score > 0) == (blocks[k - 1].score > 0)
-            groups[k] = groups[k - 1] if like else groups[k - 1] + 1
-    n = groups[-1] + 1 if groups else 0
-    unary, node = [0.0] * n, [0] * n
-    for b, g in zip(blocks, groups):
-        unary[g] += b.score
-        node[g] = b.node
+    n, node = len(blocks), [b.node for b in blocks]
     used: dict[int, int] = {}
     edges: dict[tuple[int, int], float] = {}
     for g, p in enumerate(node):
@@ -261,8 +251,7 @@ def label_blocks(blocks: list[Block], parents: list[int]) -> list[bool]:
     for p, k in used.items():
         if parents[p] >= 0:
             edges[k, used[parents[p]]] = NESTED
-    labels = min_cut(unary + [0.0] * len(used), edges)
-    return [labels[g] for g in groups]
+    return min_cut([b.score for b in blocks] + [0.0] * len(used), edges)[:n]
 
 
 def main_text(page: str | None) -> str:

@@ -1,10 +1,11 @@
 """Results that must not depend on the size of the input."""
 
+import collections
 import random
 
 import pytest
 
-from mediacat.llm import decontamination
+from mediacat.llm import decontamination, html_extraction
 
 
 @pytest.mark.parametrize("shared_block", [1 << 20, 3])
@@ -27,3 +28,12 @@ def test_decontamination_does_not_depend_on_blocks(spark, shared_block):
     whole = rows(100)
     assert rows(5) == whole and len(whole) == len(docs)
     assert {len(m) > 0 for m in whole.values()} == {True, False}
+
+def test_extraction_does_not_depend_on_the_size_of_a_page():
+    run = "".join(f"<li>five short words number {k} here</li>" for k in range(5))
+    long = "<li>" + "word " * 40 + "end.</li>"
+    part = "<ul>" + 2 * long + run + 2 * long + "</ul>"
+    alone = html_extraction.main_text(f"<body>{part}</body>").split("\n\n")
+    assert len(alone) == 9  # the run of short items stays
+    many = html_extraction.main_text("<body>" + part * 400 + "</body>").split("\n\n")
+    assert collections.Counter(many) == {t: n * 400 for t, n in collections.Counter(alone).items()}
