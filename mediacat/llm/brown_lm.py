@@ -1,16 +1,18 @@
 """Brown class-based bigram model: exchange clustering gives classes, class transitions and word emissions give probabilities.
 
 Training counts every token of every training text.  The most frequent words are clustered by the exchange
-algorithm over their bigrams; every other word, known or new, has the class in which words with its last
-letters have most training mass.  log10 p of a text is the sum over its tokens, the end included, of
-log10 p(class | class before) + log10 p(word | class); the first class before is the end's.
+algorithm over their bigrams.  Then every other training word moves once, over all its bigrams, to the class that
+makes them likeliest (its neighbours outside the clustered words count with their suffix class); only words unseen
+in training have the class in which clustered words with their last letters have most mass.  log10 p of a text is
+the sum over its tokens, the end included, of log10 p(class | class before) + log10 p(word | class); the first
+class before is the end's.
 
 * p(c | b) = (bigrams(b, c) + TRANSITION * p(c)) / (bigrams(b) + TRANSITION), p(c) the smoothed share of class c
 * p(w | c) = (count(w) + EMISSION) / (tokens of c + EMISSION * (words of c + 1)): one share of EMISSION is left for
   the words that training has not seen
 
-The words counted by ``BROADCAST_WORDS`` are looked up in each task; counts of all other words come by a join of
-each part's distinct words, so no count is dropped.  Null and empty texts have one token, the end; repeated rows
+The words counted by ``BROADCAST_WORDS`` are looked up in each task; counts and classes of all other words come by
+joins of the bigrams that hold one, so no count is dropped.  Null and empty texts have one token, the end; repeated rows
 are scored one by one; other columns are not read; without training rows every count is zero.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import stored, text_rows
 from .words import slices
 
-#: Words clustered by exchange, classes, rounds over all of them; suffix lengths for the class of other words.
+#: Words clustered by exchange, classes, rounds over all of them; suffix lengths for the class of unseen words.
 CLUSTERED, CLASSES, ROUNDS = 3000, 48, 6
 SUFFIXES = (4, 3, 2, 1)
 BROADCAST_WORDS = 100_000
@@ -129,19 +131,20 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 
 @dataclass
 class Classes:
-    """The class of every possible word: a bounded table of clustered words, and of suffixes for the others."""
+    """A class for every possible word: a bounded table of clustered words, and of suffixes for the others."""
 
     words: dict[bytes, int]
     suffixes: dict[bytes, int]
     rest: int
     size: int
+    table: np.ndarray  # bigrams of the clustered words by class
     memo: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.words, self.suffixes, self.rest, self.size
+        return self.words, self.suffixes, self.rest, self.size, self.table
 
     def __setstate__(self, state):
-        self.words, self.suffixes, self.rest, self.size = state
+        self.words, self.suffixes, self.rest, self.size, self.table = state
         self.memo = {}
 
     def of(self, word: bytes) -> int:
@@ -164,7 +167,7 @@ class BrownModel:
     types: np.ndarray  # words of each class
     total: int
     distinct: int
-    counts: DataFrame  # word, c
+    counts: DataFrame  # word, c, k: all training words with their classes
 
 
 def cluster(train: DataFrame, counts: DataFrame, clustered: int, classes: int, rounds: int) -> Classes:
@@ -196,57 +199,171 @@ def cluster(train: DataFrame, counts: DataFrame, clustered: int, classes: int, r
                 mass.setdefault(s, Counter())[int(of[k])] += freq[k]
     by_class = np.bincount(of[1:], weights=freq[1:], minlength=2)
     suffixes = {s: max(sorted(c), key=c.__getitem__) for s, c in mass.items()}
-    return Classes({w: int(of[k]) for w, k in index.items()}, suffixes, int(by_class[1:].argmax()) + 1, max(int(of.max()) + 1, 2))
+    size = max(int(of.max()) + 1, 2)
+    onto = np.zeros((n, size))
+    onto[np.arange(n), of] = 1
+    table = onto.T @ bigrams.reshape(n, n) @ onto
+    return Classes({w: int(of[k]) for w, k in index.items()}, suffixes, int(by_class[1:].argmax()) + 1, size, table)
+
+
+class _Ids(dict):
+    """Numbers words as they come, and notes the class of each by ``cls`` and whether exchange has not clustered it."""
+
+    def __init__(self, cls: Classes) -> None:
+        self.cls, self.kinds, self.other = cls, [], []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.kinds.append(self.cls.of(word))
+        self.other.append(word not in self.cls.words)
+        return at
+
+
+def all_classes(train: DataFrame, counts: DataFrame, cls: Classes) -> DataFrame:
+    """word, c, k: every training word; those that exchange has not clustered go where their bigrams are likeliest."""
+    size = cls.size
+
+    def neighbours(batches):
+        """Counts of each other word with the class after it (k) and before it (size + k)."""
+        ids, keys = _Ids(cls), []
+
+        def summed():
+            words, flat = list(ids), np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            at, c = np.unique(flat, return_counts=True)
+            own, first = np.unique(at // (2 * size), return_index=True)
+            near = np.stack([at % (2 * size), c], 1).astype("<u4")
+            return pa.RecordBatch.from_arrays([_as_binary([words[i] for i in own.tolist()]), _as_binary([x.tobytes() for x in np.split(near, first[1:])] if len(own) else [])], ["word", "near"])
+
+        held = 0
+        for batch in batches:
+            for _, texts in slices(batch["text"], pa.array(range(len(batch)))):
+                seq = []
+                for text in texts.to_pylist():
+                    seq.append(ids[END])
+                    seq += map(ids.__getitem__, (text or "").encode().lower().split())
+                seq.append(ids[END])
+                x, kinds = np.array(seq), np.array(ids.kinds)
+                k, other = kinds[x], np.array(ids.other)[x]
+                keys.append((x[:-1] * (2 * size) + k[1:])[other[:-1]])
+                keys.append((x[1:] * (2 * size) + size + k[:-1])[other[1:]])
+                held += len(keys[-1]) + len(keys[-2])
+                if len(ids) > 200_000 or held > 4_000_000:
+                    yield summed()
+                    ids, keys, held = _Ids(cls), [], 0
+        yield summed()
+
+    share = (cls.table.sum(1) + 1) / (cls.table.sum(1) + 1).sum()
+    step = np.log((cls.table + TRANSITION * share) / (cls.table.sum(1, keepdims=True) + TRANSITION))
+    after = step.T - np.log(cls.table.sum(1) + 1)  # of (class after, own class), with the word's share of its class
+    weights = np.vstack([after, step])  # the rows below: (class before, own class)
+
+    def choose(batches):
+        for batch in batches:
+            at = np.repeat(np.arange(len(batch)), [sum(map(len, x)) // 8 for x in batch["near"].to_pylist()])
+            near = np.frombuffer(b"".join(y for x in batch["near"].to_pylist() for y in x), "<u4").reshape(-1, 2).astype(np.int64)
+            dense = np.bincount(at * (2 * size) + near[:, 0], near[:, 1], len(batch) * 2 * size).reshape(-1, 2 * size)
+            gain = dense @ weights
+            gain[:, 0] = -np.inf  # the end's
+            yield pa.RecordBatch.from_arrays(
+                [batch["word"], pa.array(dense[:, :size].sum(1).astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32))], ["word", "c", "k"]
+            )
+
+    def clustered(batches):
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            at = [i for i, w in enumerate(words) if w in cls.words]
+            yield pa.RecordBatch.from_arrays([_as_binary([words[i] for i in at]), batch["c"].take(pa.array(at, pa.int64())), pa.array([cls.words[words[i]] for i in at], pa.int32())], ["word", "c", "k"])
+
+    near = train.mapInArrow(neighbours, "word binary, near binary").groupBy("word").agg(F.collect_list("near").alias("near"))  # one a part of a task
+    schema = "word binary, c long, k int"
+    return stored(near.mapInArrow(choose, schema).unionByName(counts.mapInArrow(clustered, schema)))
+
+
+def bounded(lexicon: DataFrame, words: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """The place of each of the most frequent words, a bounded number, and their counts and classes by place."""
+    top = [(bytes(r["word"]), r["c"], r["k"]) for r in lexicon.orderBy(F.desc("c"), "word").limit(words).toLocalIterator()]
+    return {w: at for at, (w, _, _) in enumerate(top)}, np.array([c for _, c, _ in top], np.int64), np.array([k for _, _, k in top], np.int64)
+
+
+def occurrences(words: list[bytes], k: np.ndarray, known: np.ndarray) -> list[dict]:
+    """The words of a text beyond the bounded table: place, word, its class if it is unseen, and the classes before and
+    after it: null if that is such a word too, -1 after the text."""
+    before, after = np.append(0, k[:-1]), np.append(k[1:], -1)
+    seen, next_seen = np.append(True, known[:-1]), np.append(known[1:], True)
+    return [
+        {"at": i, "w": words[i], "k": int(k[i]), "before": int(before[i]) if seen[i] else None, "after": int(after[i]) if next_seen[i] else None} for i in np.flatnonzero(~known).tolist()
+    ]
+
+
+_OPEN = pa.list_(pa.struct([("at", pa.int32()), ("w", pa.binary()), ("k", pa.int32()), ("before", pa.int32()), ("after", pa.int32())]))
+_OPEN_SQL = "array<struct<at: int, w: binary, k: int, before: int, after: int>>"
+
+
+def looked_up(rows: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, c, k of each word in the column ``open`` of ``rows``; row, k1, k2 of each bigram that holds one)."""
+    one = rows.select("row", F.explode("open").alias("o")).select("row", "o.*")
+    own = lexicon.select(F.col("word").alias("w"), "c", F.col("k").alias("own"))
+    one = stored(one.join(own, "w", "left").select("row", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", "k").alias("k"), "before", "after"))
+    left = one.where("after IS NULL").select("row", "at", F.col("k").alias("k1"))
+    right = one.where("before IS NULL").select("row", (F.col("at") - 1).alias("at"), F.col("k").alias("k2"))
+    pairs = one.where("before IS NOT NULL").select("row", F.col("before").alias("k1"), F.col("k").alias("k2"))
+    pairs = pairs.union(one.where("after >= 0").select("row", "k", "after")).union(left.join(right, ["row", "at"]).select("row", "k1", "k2"))
+    return one.select("row", "c", "k"), pairs
 
 
 def _arrow(df: DataFrame):
     return df.toArrow().to_batches()
 
 
-def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> BrownModel:
+def fit(
+    docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS,
+    broadcast_words: int = BROADCAST_WORDS,
+) -> BrownModel:
     """Learns from the rows of ``docs`` where ``training`` holds."""
-    train = docs.where(training).select(F.col(text_col).alias("text"))
+    train = docs.where(training).select(F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     counts = stored(word_counts(train))
     cls = cluster(train, counts, clustered, classes, rounds)
     size = cls.size
-
-    def masses(batches):
-        mass, types = np.zeros(size), np.zeros(size)
-        for batch in batches:
-            of = [cls.of(w) for w in batch["word"].to_pylist()]
-            mass += np.bincount(of, batch["c"].to_numpy(), size)
-            types += np.bincount(of, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(mass), pa.array(types)], ["k", "mass", "types"])
+    lexicon = all_classes(train, counts, cls)
+    mass, types = np.zeros(size), np.zeros(size)
+    for r in lexicon.groupBy("k").agg(F.sum("c").alias("mass"), F.count("c").alias("types")).collect():
+        mass[r["k"]], types[r["k"]] = r["mass"], r["types"]
+    place, _, kinds = bounded(lexicon, broadcast_words)
+    shared = train.sparkSession.sparkContext.broadcast((place, np.append(kinds, 0)))  # a bounded number of words
 
     def steps(batches):
+        """Bigrams of classes, summed, and the words of each text that are beyond the bounded table."""
+        place, kinds = shared.value
+        get = place.get
         own = np.zeros(size * size, np.int64)
-        of = cls.of
         for batch in batches:
-            ids: list[int] = []
-            for text in batch["text"].to_pylist():
-                ids.append(0)
-                ids += map(of, (text or "").encode().lower().split())
-                if len(ids) > 500_000:
-                    ids.append(0)
-                    x = np.array(ids)
-                    own += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-                    ids = []
-            if ids:
-                x = np.array([*ids, 0])
-                own += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
+            for at, texts in slices(batch["text"], pa.array(range(len(batch)))):
+                rows, more = [], []
+                for i, text in zip(at.to_pylist(), texts.to_pylist()):
+                    words = tokens(text)
+                    ids = np.array([get(w, -1) for w in words])
+                    known, k = ids >= 0, kinds[ids]
+                    pair = np.append(0, k[:-1]) * size + k
+                    if not known.all():
+                        pair = pair[known & np.append(True, known[:-1])]
+                        rows.append(i)
+                        more.append(occurrences(words, k, known))
+                    own += np.bincount(pair, minlength=size * size)
+                yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(rows, pa.int64())), pa.array(more, _OPEN), *[pa.nulls(len(rows), pa.int64())] * 2], ["row", "open", "pair", "c"])
         at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["pair", "c"])
-
-    mass, types = np.zeros(size), np.zeros(size)
-    for r in counts.mapInArrow(masses, "k int, mass double, types double").groupBy("k").agg(F.sum("mass").alias("mass"), F.sum("types").alias("types")).collect():
-        mass[r["k"]], types[r["k"]] = r["mass"], r["types"]
-    table = np.zeros(size * size)
-    for r in train.mapInArrow(steps, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
-        table[r["pair"]] = r["c"]
-    table = table.reshape(size, size)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), _OPEN), pa.array(at), pa.array(own[at])], ["row", "open", "pair", "c"])
+
+    table = np.zeros((size, size))
+    found = train.mapInArrow(steps, f"row long, open {_OPEN_SQL}, pair long, c long")
+    if types.sum() > len(place):
+        found = stored(found)
+        for r in looked_up(found, lexicon)[1].groupBy("k1", "k2").count().collect():
+            table[r["k1"], r["k2"]] = r["count"]
+    for r in found.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        table[divmod(r["pair"], size)] += r["c"]
     share = (mass + 1) / (mass + 1).sum()
     transition = np.log10((table + TRANSITION * share) / (table.sum(1, keepdims=True) + TRANSITION))
-    return BrownModel(cls, transition, mass, types, int(mass.sum()), int(types.sum()), counts)
+    return BrownModel(cls, transition, mass, types, int(mass.sum()), int(types.sum()), lexicon)
 
 
 def perplexity_scores(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -254,55 +371,56 @@ def perplexity_scores(docs: DataFrame, model: BrownModel, id_col: str = "doc_id"
     source = text_rows(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = source.schema["doc_id"].dataType.simpleString()
     cls, transition, mass, types, total, distinct = model.classes, model.transition, model.mass, model.types, model.total, model.distinct
-    top = {bytes(r["word"]): r["c"] for r in model.counts.orderBy(F.desc("c"), "word").limit(broadcast_words).toLocalIterator()}
-    everything = distinct <= len(top)
+    spark = source.sparkSession
+    place, c, kinds = bounded(model.counts, broadcast_words)
+    everything = distinct <= len(place)  # no word beyond the table was seen in training
     base_rest = math.log10(total + 0.5 * (distinct + 1))
     emit_rest = np.log10(mass + EMISSION * (types + 1))
-    shared = source.sparkSession.sparkContext.broadcast(top)  # a bounded number of words
+    shared = spark.sparkContext.broadcast((place, np.append(np.log10(c + 0.5), math.log10(0.5)), np.append(kinds, 0)))  # a bounded number of words
 
     def first(batches):
-        """Sums over the words of the bounded table; the other words of a text by their counts in it."""
-        top = shared.value
-        of = cls.of
-        half = math.log10(0.5)
-        gain = {w: math.log10(c + 0.5) for w, c in top.items()}
+        """Sums over the words of the bounded table; the other words of a text with their neighbours."""
+        place, gain, kinds = shared.value
+        get, of = place.get, cls.of
         for batch in batches:
             for at, texts in slices(batch["text"], pa.array(range(len(batch)))):
-                n, known, base, score, words, times = [], [], [], [], [], []
+                n, known, base, score, more = [], [], [], [], []
                 for text in texts.to_pylist():
                     ws = tokens(text)
-                    ids = np.array([0, *map(of, ws)])
-                    seen = [gain.get(w) for w in ws]
-                    rest = [w for w, g in zip(ws, seen) if g is None]
-                    found = math.fsum(g for g in seen if g is not None)
+                    ids = np.array([get(w, -1) for w in ws])
+                    seen = ids >= 0
+                    k = np.append(0, kinds[ids])  # the class before each token, and the last's
+                    for i in np.flatnonzero(~seen).tolist():
+                        k[i + 1] = of(ws[i])
+                    mine = seen | everything
+                    closed = mine & np.append(True, mine[:-1])
+                    found = math.fsum(gain[ids[mine]].tolist())
                     n.append(len(ws))
-                    known.append(len(ws) - len(rest))
+                    known.append(int(seen.sum()))
                     base.append(found - len(ws) * base_rest)
-                    score.append(float(transition[ids[:-1], ids[1:]].sum() - emit_rest[ids[1:]].sum()) + found)
-                    few = Counter(rest)
-                    words.append(list(few))
-                    times.append(list(few.values()))
-                if everything:  # no word beyond the table was seen in training
-                    add = [half * sum(t) for t in times]
-                    base, score = ([a + b for a, b in zip(x, add)] for x in (base, score))
-                    words, times = [[] for _ in words], [[] for _ in times]
+                    score.append(float(transition[k[:-1][closed], k[1:][closed]].sum() - emit_rest[k[1:][mine]].sum()) + found)
+                    more.append([] if mine.all() else occurrences(ws, k[1:], mine))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(at), batch["row"].take(at), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(score, pa.float64()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "words", "times"],
+                     pa.array(score, pa.float64()), pa.array(more, _OPEN)],
+                    ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "open"],
                 )
 
-    schema = f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>"
+    schema = f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, open {_OPEN_SQL}"
     partial = source.mapInArrow(first, schema)
     if not everything:
         partial = stored(partial)
-        rest = partial.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("t"))
-        gain = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) * F.col("t")
-        more = rest.join(model.counts, "word", "left").groupBy("row").agg(F.sum(gain).alias("gain"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("more"))
-        partial = partial.drop("words", "times").join(more, "row", "left").select(
-            "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-            *[(F.col(c) + F.coalesce("gain", F.lit(0.0))).alias(c) for c in ("base_score", "score")],
-        )
+        words, pairs = looked_up(partial, model.counts)
+        size = len(transition)
+        cells = spark.createDataFrame([(a, b, float(transition[a, b])) for a in range(size) for b in range(size)], "k1 int, k2 int, step double")
+        rests = spark.createDataFrame([(a, float(emit_rest[a])) for a in range(size)], "k int, rest double")
+        none = F.lit(0.0)
+        gain = F.log10(F.col("c") + 0.5)
+        words = words.join(F.broadcast(rests), "k").select("row", gain.alias("base"), (gain - F.col("rest")).alias("gain"), F.when(F.col("c") > 0, 1).otherwise(0).alias("more"))
+        steps = pairs.join(F.broadcast(cells), ["k1", "k2"]).select("row", none.alias("base"), F.col("step").alias("gain"), F.lit(0).alias("more"))
+        more = words.union(steps).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("base", "gain", "more")])
+        plus = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c)
+        partial = partial.drop("open").join(more, "row", "left").select("doc_id", "n_tokens", plus("n_known", "more"), plus("base_score", "base"), plus("score", "gain"))
     return partial.select(
         "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
     )

@@ -233,6 +233,25 @@ def test_exchange_separates_alternating_words():
     assert len(set(of[1:4])) == 1 and len(set(of[4:7])) == 1 and of[1] != of[4]
 
 
+def test_brown_classes_of_rare_words_follow_their_neighbours(spark):
+    # "sat" and "met" come where "xa" and "ya" do, but share their last letters with "at" and "et"
+    texts = ["at xa et ya", "et xa at ya", "at ya et xa"] * 20 + ["at sat et ya", "et sat at xa", "at met et met"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, few = (brown_lm.fit(frame, frame["doc_id"] >= 0, clustered=4, classes=3, broadcast_words=k) for k in (1000, 2))
+    k = {bytes(r["word"]): r["k"] for r in whole.counts.collect()}
+    assert k[b"sat"] == k[b"met"] == k[b"xa"] == k[b"ya"] != k[b"at"] == k[b"et"] and len(k) == 7
+    assert {bytes(r["word"]): r["c"] for r in whole.counts.collect()} == collections.Counter(w for t in texts for w in brown_lm.tokens(t))
+    # every bigram counts with these classes, whether its words are in the bounded table or joined
+    table = np.zeros((3, 3))
+    for t in texts:
+        ids = [0, *(k[w] for w in brown_lm.tokens(t))]
+        for a, b in zip(ids, ids[1:]):
+            table[a, b] += 1
+    share = (whole.mass + 1) / (whole.mass + 1).sum()
+    want = np.log10((table + brown_lm.TRANSITION * share) / (table.sum(1, keepdims=True) + brown_lm.TRANSITION))
+    assert np.allclose(whole.transition, want) and np.allclose(few.transition, want)
+
+
 def test_quality_classifier(spark, awkward):
     truth = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
     rows = queries.op7_quality_classifier(spark, "/root/testdata/sf0.01").collect()
