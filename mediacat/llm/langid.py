@@ -1,6 +1,6 @@
 """Language identification by cross-parsing: the language whose labelled text parses a text into the fewest phrases.
 
-Per language a bounded sample of labelled texts becomes a suffix automaton.  A text is cut greedily into
+Per language a bounded sample of labelled texts, an even share of each, becomes a suffix automaton over all letters of the samples.  A text is cut greedily into
 longest substrings of a language's sample (walks from the automaton's root; a character that the
 sample lacks is a phrase by itself).  The language with the fewest phrases a character wins, ties going to
 the first name.  Long texts are walked as segments side by side, every character of them.  Null texts and
@@ -21,7 +21,11 @@ from .words import slices
 #: Bounds of the fitted sample: characters of a language's text in its automaton, and texts looked at.
 SAMPLE_CHARS, SAMPLE_TEXTS = 40_000, 48
 SEGMENT = 192
-_PAD = 255
+#: Letters, the most frequent, whose transitions are a dense table; those of all others are looked up by search.
+DENSE = 200
+#: Windows that a text longer than its share of the sample gives.
+WINDOWS = 4
+_PAD = (1 << 32) - 1
 
 
 def sample_texts(labelled: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
@@ -49,8 +53,27 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def build_automaton(symbols: bytes, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``symbols`` as a (states, width) table; 0, the root, means none."""
+def even_share(texts: list[str], most: int) -> str:
+    """The texts, or where they have more than ``most`` characters windows of the long ones, all of one size, and the others whole."""
+    left, share, rest = most, most, len(texts)
+    for n in sorted(map(len, texts)):
+        share = max((left - rest) // rest, 0)  # a break goes with each
+        if n > share:
+            break
+        left, rest, share = left - n - 1, rest - 1, most
+    out = []
+    for text in texts:
+        if len(text) <= share:
+            out.append(text)
+            continue
+        size = max((share - WINDOWS + 1) // WINDOWS, 1)
+        out += [text[a : a + size] for a in np.linspace(0, len(text) - size, WINDOWS).astype(int).tolist()]
+    return "\n".join(out)
+
+
+def build_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Transitions of the suffix automaton of ``symbols``: a (states, width) table, where 0, the root, means none, and
+    (states, symbols, targets) of the symbols from ``width`` on."""
     nexts: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -79,8 +102,11 @@ def build_automaton(symbols: bytes, width: int) -> np.ndarray:
         last = cur
     table = np.zeros((len(nexts), width), np.int32)
     sizes = [len(x) for x in nexts]
-    table[np.repeat(np.arange(len(nexts)), sizes), [c for x in nexts for c in x]] = [t for x in nexts for t in x.values()]
-    return table
+    state = np.repeat(np.arange(len(nexts)), sizes)
+    symbol, target = (np.fromiter((y for x in nexts for y in f(x)), np.int64, len(state)) for f in (dict.keys, dict.values))
+    few = symbol < width
+    table[state[few], symbol[few]] = target[few]
+    return table, (state[~few], symbol[~few], target[~few])
 
 
 class CrossParser:
@@ -95,9 +121,9 @@ class CrossParser:
             for ch in text.lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        alphabet = sorted(counts, key=lambda c: (-counts[c], c))[:200]
-        self.width = len(alphabet) + 2
-        symbol = np.ones(0x110000, np.uint8)  # 1: all that is no letter; 0: letters of no sample
+        alphabet = sorted(counts, key=lambda c: (-counts[c], c))
+        self.width = min(len(alphabet), DENSE) + 2
+        symbol = np.ones(0x110000, np.uint32)  # 1: all that is no letter; 0: letters of no sample
         symbol[letters] = 0
         for k, ch in enumerate(alphabet):
             symbol[ord(ch)] = k + 2
@@ -106,10 +132,33 @@ class CrossParser:
             if symbol[c] == 0 and low != chr(c):
                 symbol[c] = symbol[ord(low)]
         self.symbol, self.letters = symbol, letters
-        tables = [build_automaton(self.symbols(samples[x]).tobytes(), self.width) for x in self.langs]
+        built = [build_automaton(self.symbols(samples[x]).tolist(), self.width) for x in self.langs]
+        tables = [t for t, _ in built]
         starts = np.cumsum([0, *(len(t) for t in tables)])[:-1]
         self.roots = (starts * self.width).astype(np.int32)
         self.table = np.concatenate([np.where(t > 0, (t + s) * self.width, 0) for t, s in zip(tables, starts)]).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        keys = [self._key((state + s) * self.width, c) for (_, (state, c, _)), s in zip(built, starts)]
+        to = [(target + s) * self.width for (_, (_, _, target)), s in zip(built, starts)]
+        keys, to = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, to))
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], to[order].astype(np.int32)
+
+    @staticmethod
+    def _key(state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return state.astype(np.int64) * 0x200000 + c
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where the symbols lead from the states; 0 means nowhere."""
+        if not len(self.keys):
+            return self.table[state + c]
+        few = c < self.width
+        to = self.table[state + np.where(few, c, 0)]
+        many = np.flatnonzero(~few)
+        if len(many):
+            key = self._key(state[many], c[many])
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[many] = np.where(self.keys[at] == key, self.targets[at], 0)
+        return to
 
     def symbols(self, text: str) -> np.ndarray:
         """Lower-cased letters as symbols, each run of others as one break."""
@@ -123,7 +172,7 @@ class CrossParser:
         sizes = np.array([len(p) for p in parts], np.int64)
         segments = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), segments)
-        grid = np.full(int(segments.sum()) * SEGMENT, _PAD, np.uint8)
+        grid = np.full(int(segments.sum()) * SEGMENT, _PAD, np.uint32)
         begins = (np.cumsum(segments) - segments) * SEGMENT
         for p, b in zip(parts, begins):
             grid[b : b + len(p)] = p
@@ -145,10 +194,10 @@ class CrossParser:
                         if n <= 0:
                             break
                         c = steps[t, a : a + n].astype(np.int32)
-                        to = self.table[state[:n] + c]
+                        to = self.step(state[:n], c)
                         miss = np.flatnonzero(to == 0)
                         if len(miss):
-                            again = self.table[root + c[miss]]
+                            again = self.step(np.full(len(miss), root, np.int32), c[miss])
                             again[again == 0] = root
                             to[miss] = again
                             phrases[miss] += 1
@@ -178,7 +227,7 @@ _PARSERS: dict[int, CrossParser] = {}
 def language_id(docs: DataFrame, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, lang_pred, score (0 to 1).  Workers build the automata from the bounded samples."""
     source = text_rows(docs, id_col, text_col)
-    bounded = {lang: "\n".join(texts)[:sample_chars] for lang, texts in samples.items() if any(ch.isalpha() for t in texts for ch in t)}
+    bounded = {lang: even_share(texts, sample_chars) for lang, texts in samples.items() if any(ch.isalpha() for t in texts for ch in t)}
     key = hash(tuple(sorted(bounded.items())))
 
     def judge(batches):

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from mediacat.llm import decontamination, html_extraction
+from mediacat.llm import decontamination, html_extraction, langid
 
 
 @pytest.mark.parametrize("shared_block", [1 << 20, 3])
@@ -37,3 +37,28 @@ def test_extraction_does_not_depend_on_the_size_of_a_page():
     assert len(alone) == 9  # the run of short items stays
     many = html_extraction.main_text("<body>" + part * 400 + "</body>").split("\n\n")
     assert collections.Counter(many) == {t: n * 400 for t, n in collections.Counter(alone).items()}
+
+
+def test_every_letter_of_the_samples_counts(spark):
+    rnd = random.Random(4)
+    hangul, han = [chr(0xAC00 + k) for k in range(600)], [chr(0x4E00 + k) for k in range(600)]
+    samples = {"aa": ["".join(rnd.choice(hangul) for _ in range(3000))], "zz": ["".join(rnd.choice(han) for _ in range(3000))]}
+    parser = langid.CrossParser({x: t[0] for x, t in samples.items()})
+    for reference, row in zip((samples["aa"][0], samples["zz"][0]), parser.phrases([samples["zz"][0][50:90] + hangul[3] * 2])[0]):
+        text, n, at = samples["zz"][0][50:90] + hangul[3] * 2, 0, 0
+        while at < len(text):
+            k = 1
+            while at + k < len(text) and text[at : at + k + 1] in reference:
+                k += 1
+            at, n = at + k, n + 1
+        assert row.tolist() == [n]
+    rare = [(1, hangul[1] + hangul[500] + hangul[7] + hangul[599]), (2, han[1] + han[500] + han[7] + han[599])] + [(10 + k, c) for k, c in enumerate(han)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_id(spark.createDataFrame(rare, "doc_id long, text string"), samples).collect()}
+    seen = set(samples["zz"][0])
+    assert got[1] == "aa" and got[2] == "zz" and len(seen) > 500
+
+
+def test_a_long_text_is_not_the_whole_sample():
+    out = langid.even_share(["a" * 5000, "bc", "d" * 900, "e" * 70], 1000)
+    assert len(out) <= 1000 and "bc" in out.split("\n") and "e" * 70 in out.split("\n") and out.count("d") > 400 and out.count("a") > 400
+    assert langid.even_share(["ab", "c"], 40) == "ab\nc"
