@@ -10,7 +10,9 @@ Windows without any shingle of any item have similarity 0, so only windows aroun
 fingerprinted.  Fingerprints have 64 bits in BLOCKS blocks; within RADIUS bits some block differs in one
 bit at most, and every block table is probed for those: no fingerprint within the radius is missed.
 Items of fewer words than a shingle are one shingle, found by equality.  Null and empty texts and items
-match nothing; repeated rows are judged one by one; other columns are not read.
+match nothing; items that repeat id and text are one; repeated rows are judged one by one; of windows with equal similarity the first
+is reported; very long texts are searched whole; other columns are not read, so none can clash; an empty table gives no rows, and
+an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import carried_part, carried_schema, stored, text_rows
+from .shared import carried_columns, carried_part, carried_schema, released, stored, text_rows
 from .words import SPACE_OR_PUNCTUATION, mix, shingle_hashes, slices, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 11, 21
 #: Items held by a task at once: larger benchmarks are searched in blocks of so many.
 ITEM_BLOCK = 20_000
+#: And characters of theirs.
+ITEM_CHARS = 32 << 20
 #: Shingles of several items held by a task at once, where there are several blocks of items.
 SHARED_BLOCK = 1 << 20
 _HIT = np.dtype([("at", "<u4"), ("n", "<u4")])
@@ -262,18 +267,21 @@ def decontamination(
     and ``carried`` if columns are to come along."""
     source = text_rows(docs, id_col, text_col, carry).withColumn("row", F.monotonically_increasing_id())
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    parts = max(1, -(-items.count() // item_block))
+    held = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    parts = max(1, -(-held[0] // item_block), -(-(held[1] or 0) // ITEM_CHARS))
     kind = source.schema["doc_id"].dataType.simpleString()
-    along = ["carried"] if carry else []
-    names = ["doc_id", "row", "matches", *along]
+    along = ["text", "carried"] if carry else []
+    names = ["doc_id", "row", "matches", *(["text", "carried"] if carry else [])]
     match = "array<struct<item_id: long, start: long, end: long, similarity: double>>"
 
-    def against(own: Items):
+    def against(shared: Broadcast):
+        @released
         def search(batches):
+            own = shared.value
             for batch in batches:
                 for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
-                    shared = batch["shared"].take(where).to_pylist() if "shared" in batch.schema.names else None
-                    got = [[dict(zip(("item_id", "start", "end", "similarity"), m)) for m in x] for x in own.matches(texts, shared)]
+                    counted = batch["shared"].take(where).to_pylist() if "shared" in batch.schema.names else None
+                    got = [[dict(zip(("item_id", "start", "end", "similarity"), m)) for m in x] for x in own.matches(texts, counted)]
                     kind_ = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64())]))
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].take(where), batch["row"].take(where), pa.array(got, kind_), *carried_part(batch, where)], names)
 
@@ -281,6 +289,7 @@ def decontamination(
 
     items = items.withColumn("k", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("long"))
     if parts > 1:
+        source = stored(source)  # the row numbers must be the same for each block of items
         shingles, several = shared_shingles(items, shingle)
         source = with_shared(source, several, shingle, shared_block)
     found = None
@@ -291,8 +300,8 @@ def decontamination(
             held = several.join(shingles.where(F.col("k") == k).select("h"), "h", "left_semi").toArrow()
             holders = dict(zip(held["h"].to_numpy().view(np.uint64).tolist(), held["n"].to_pylist()))
         own = Items([r["item_id"] for r in block], [r["text"] for r in block], shingle, least, holders)
-        one = source.mapInArrow(against(own), f"doc_id {kind}, row long, matches {match}{carried_schema(source)}")
+        one = source.mapInArrow(against(docs.sparkSession.sparkContext.broadcast(own)), f"doc_id {kind}, row long, matches {match}{carried_schema(source)}")
         found = one if found is None else found.union(one)
     if parts > 1:
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in along], F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
-    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches", *along)
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches", *carried_columns(carry, text_col))

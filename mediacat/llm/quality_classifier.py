@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import carried_part, carried_schema, stored, text_rows
+from .shared import carried_columns, carried_part, carried_schema, released, stored, text_rows
 from .words import slices
 
 #: Bound of the fitted sample, in labelled rows.
@@ -60,6 +60,7 @@ def statistics(text: str | None) -> list[float]:
 def vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = text_rows(docs, id_col, text_col)
 
+    @released
     def measure(batches):
         for batch in batches:
             for ids, texts in slices(batch["text"], batch["doc_id"]):
@@ -160,8 +161,9 @@ def quality_scores(
 ) -> DataFrame:
     """One row a document: doc_id, score (0 to 1), predicted (1 where score >= threshold), and ``carried`` if asked for."""
     source = text_rows(docs, id_col, text_col, carry)
-    names = ["doc_id", "score", "predicted", *(["carried"] if carry else [])]
+    names = ["doc_id", "score", "predicted", *(["text", "carried"] if carry else [])]
 
+    @released
     def judge(batches):
         for batch in batches:
             for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
@@ -169,4 +171,5 @@ def quality_scores(
                 own = [batch["doc_id"].take(where), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *carried_part(batch, where)]
                 yield pa.RecordBatch.from_arrays(own, names)
 
-    return source.mapInArrow(judge, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, predicted int{carried_schema(source)}")
+    found = source.mapInArrow(judge, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, predicted int{carried_schema(source)}")
+    return found.select("doc_id", "score", "predicted", *carried_columns(carry, text_col))

@@ -10,21 +10,20 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import text_rows
+from .shared import released, text_rows
 from .words import slices
 
 #: Fixed value: the published byte-level pre-token pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the code points that the pattern's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks remembered by a worker before it starts afresh: memory, not results, depends on it.
+#: Chunks remembered by a task before it starts afresh: memory, not results, depends on it.
 CACHE_CHUNKS = 600_000
 
 
@@ -142,17 +141,13 @@ class TokenCounter:
         return out
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     source = text_rows(docs, id_col, text_col)
 
+    @released
     def count(batches):
-        own = counter(tokenizer)
+        own = TokenCounter(tokenizer)
         for batch in batches:
             for ids, texts in slices(batch["text"], batch["doc_id"]):
                 strings = [t or "" for t in texts.to_pylist()]
