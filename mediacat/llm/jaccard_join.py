@@ -14,8 +14,9 @@ fixed-size table of hash slots, filled over all texts, says which), then goes by
    signatures leave room for enough overlap are compared exactly.
 4. Links of 2 and 3 give the components.
 
-Null and empty texts have no shingles and are linked with nothing; repeated rows are one class; other
-columns are not read; an empty table gives no rows.  No candidate is dropped at any step.
+Null and empty texts have no shingles and are linked with nothing; repeated rows are one class; very long texts count whole, and
+batches and remembered sets are bounded by bytes; blocks whose leader ties take the greatest fingerprint, which changes no
+result; other columns are not read, so none can clash; an empty table gives no rows.  No candidate is dropped at any step.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, text_rows
+from .shared import released, small_batches, stored, text_rows
 from .words import mix, shingle_hashes, shingle_sets, slices, word_hashes
 
 #: Bits of the table that picks texts before they are shuffled.
@@ -41,6 +42,8 @@ SLOTS, CHUNKS, MERGED = 1 << 22, 16, 64
 #: Classes of a block searched by one task; larger blocks are cut into parts, and pairs of parts are tasks.
 PART = 2048
 LEAF = 16
+#: Bytes of sets that a comparing task remembers before it starts afresh.
+KNOWN_BYTES = 32 << 20
 
 
 def least_overlap(n: int | np.ndarray, percent: int):
@@ -56,10 +59,11 @@ def pair_overlap(a, b, percent: int):
 def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
     """A rank for each slot of shingle hashes: 0 unless the slot is fuller than chance has it.
 
-    Each task counts its shingles in a table of SLOTS numbers; the tables are added up chunk by chunk, first those of
-    MERGED tasks, then these sums.  At most SLOTS numbers come to the driver, however large the corpus."""
+    Each task counts its shingles in a table of SLOTS numbers; the tables are added up chunk by chunk in rounds, MERGED of
+    them at a time, until one is left: no task holds more, however many tasks there are, and at most SLOTS numbers come to the driver."""
     width = SLOTS // CHUNKS
 
+    @released
     def count(batches):
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
@@ -71,7 +75,7 @@ def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
                     at = firsts[1:] - k
                     inside[at[at >= 0]] = False
                 np.add.at(counts, (h[inside] & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        task = TaskContext.get().partitionId() // MERGED
+        task = TaskContext.get().partitionId()
         own = [zlib.compress(counts[k * width : (k + 1) * width].tobytes(), 1) for k in range(CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(own, pa.binary())], ["chunk", "task", "counts"])
 
@@ -83,7 +87,7 @@ def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
         return out
 
     def merge(key, table):
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total(table).tobytes(), 1)], pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total(table).tobytes(), 1)], pa.binary())})
 
     def finish(key, table):
         counts = total(table)
@@ -93,8 +97,11 @@ def frequent_slots(source: DataFrame, size: int) -> np.ndarray:
         return pa.table({"slot": pa.array(full + key[0].as_py() * width), "rank": pa.array(rank.astype(np.int32))})
 
     tables = source.mapInArrow(count, "chunk int, task int, counts binary")
-    sums = tables.groupBy("chunk", "task").applyInArrow(merge, "chunk int, counts binary")
-    found = sums.groupBy("chunk").applyInArrow(finish, "slot long, rank int").toArrow()
+    left = source.rdd.getNumPartitions()
+    while left > MERGED:
+        tables = tables.groupBy("chunk", F.floor(F.col("task") / MERGED).cast("int").alias("task")).applyInArrow(merge, "chunk int, task int, counts binary")
+        left = -(-left // MERGED)
+    found = tables.groupBy("chunk").applyInArrow(finish, "slot long, rank int").toArrow()
     ranks = np.zeros(SLOTS, np.uint8)
     ranks[found["slot"].to_numpy()] = found["rank"].to_numpy()
     return ranks
@@ -109,6 +116,7 @@ def sets_with_prefixes(source: DataFrame, size: int, percent: int, ranks: np.nda
     """doc_id, h (hash of the text), n (set size), fp (fingerprint, null for the empty set), sig (shingles in each of SIGNATURE parts of
     the hash range, a byte each; null if one has too many), prefix."""
 
+    @released
     def build(batches):
         for batch in batches:
             for where, texts in slices(batch["text"], pa.array(range(len(batch)))):
@@ -146,17 +154,20 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a"
     )
 
+    @released
     def compare(batches):
         known: dict[int, np.ndarray] = {}
+        held = 0  # bytes of sets known from earlier batches
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            if held > KNOWN_BYTES:
+                known, held = {}, 0
             for side, column in ((a, batch["text_a"]), (b, batch["text_b"])):
                 fresh = {fp: i for i, fp in enumerate(side) if fp not in known}
                 if fresh:
-                    if len(known) > 4096:
-                        known = {fp: known[fp] for fp in {*a, *b} if fp in known}
-                    at = list(fresh.values())
-                    known.update(zip(fresh, shingle_sets(column.take(pa.array(at)), size)))
+                    sets = shingle_sets(column.take(pa.array(list(fresh.values()))), size)
+                    known.update(zip(fresh, sets))
+                    held += sum(s.nbytes for s in sets)
             hit = []
             for i, (x, y) in enumerate(zip(a, b)):
                 s, t = known[x], known[y]
@@ -275,6 +286,7 @@ def bounded_pairs(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     signatures = rows.select("fp", "n", "sig").join(both_ends(pairs), "fp", "left_semi").dropDuplicates(["fp"])
     both = pairs.join(signatures.toDF("b", "n_b", "sig_b"), "b").join(signatures.toDF("a", "n_a", "sig_a"), "a")
 
+    @released
     def bound(batches):
         for batch in batches:
             n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
@@ -334,6 +346,7 @@ def block_pairs(members: DataFrame, signatures: DataFrame | None, percent: int)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "n", "rest", "label", "bits")
 
+    @released
     def search(batches):
         rest: list[pa.RecordBatch] = []  # rows of a block that may go on in the next batch
         for batch in batches:
@@ -360,8 +373,8 @@ def _emit(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def texts_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """fp, text, n, bits of the ``wanted`` classes (fp), one row each, stored.
+def texts_of(source: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp, text of the ``wanted`` classes (fp), one row each, stored.
 
     A class's text is that of its row with the least id.  A bit table of fixed size, over hashes of the texts asked for,
     drops nearly all other texts before anything is shuffled; the join behind it is exact."""
@@ -373,6 +386,7 @@ def texts_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -
     table[slots] = True
     packed = zlib.compress(np.packbits(table).tobytes(), 1) if len(slots) <= FILTER_BITS // 2 else b""  # a full table filters nothing
 
+    @released
     def pick(batches):
         bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)) if packed else None
         for batch in batches:
@@ -381,25 +395,29 @@ def texts_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -
             else:
                 yield batch.take(pa.array(np.flatnonzero(bits[batch["h"].to_numpy() % FILTER_BITS])))
 
-    def own_texts(batches):
-        for batch in batches:
-            sets = shingle_sets(batch["text"], size)
-            n, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["fp"], batch["text"], n, bits], ["fp", "text", "n", "bits"])
-
     kind = source.schema["doc_id"].dataType.simpleString()
     near = source.withColumn("h", F.xxhash64("text")).mapInArrow(pick, f"doc_id {kind}, text string, h long").withColumnRenamed("h", "text_h")
     found = near.join(owners, (near["text_h"] == owners["h"]) & near["doc_id"].eqNullSafe(owners["own"]))
-    once = found.where("times = 1").select("fp", "text").union(found.where("times > 1").select("fp", "text").dropDuplicates(["fp"]))
-    return stored(once.mapInArrow(own_texts, "fp long, text string, n long, bits binary"))
+    return stored(found.where("times = 1").select("fp", "text").union(found.where("times > 1").select("fp", "text").dropDuplicates(["fp"])))
+
+
+def bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """fp, bits: the bitmaps of the classes' sets."""
+
+    @released
+    def draw(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([bitmap(s) for s in shingle_sets(batch["text"], size)], pa.binary())], ["fp", "bits"])
+
+    return texts.mapInArrow(draw, "fp long, bits binary")
 
 
 def both_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
 
 
-def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included)."""
+def _placed(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: doc_id, h (hash of its text), n (size of its set), root (of its component; null for the empty set)."""
     source = text_rows(docs, id_col, text_col)
     ranks = frequent_slots(source, size)
     rows = stored(sets_with_prefixes(source, size, percent, ranks))
@@ -416,19 +434,35 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     led = led.groupBy("fp", "n", "l").agg(F.count(F.lit(1)).alias("shared")).where(400 * F.col("shared") >= (100 - percent) * F.col("n"))
     pairs = led.groupBy(F.col("fp").alias("b")).agg(F.max(F.struct("shared", "l")).alias("best"))
     pairs = stored(pairs.select(F.col("best.l.fp").alias("a"), "b"))
-    links = stored(verified(pairs, texts_of(source, rows, both_ends(pairs), size), size, percent))
+    links = stored(verified(pairs, texts_of(source, rows, both_ends(pairs)), size, percent))
     roots = components(links)
 
     labelled = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("root", "fp").alias("label"))
     open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "c")
     blocked = stored(labelled.join(open_, "key"))
     large = blocked.where(F.col("c") > SMALL)
-    signatures = texts_of(source, rows, large.select("fp").distinct(), size) if not large.isEmpty() else None
+    signatures = stored(bitmaps(texts_of(source, rows, large.select("fp").distinct()), size)) if not large.isEmpty() else None
     found = stored(block_pairs(blocked, signatures, percent))
     if not found.isEmpty():
         near = stored(bounded_pairs(found, rows, percent))
-        roots = components(links.union(stored(verified(near, texts_of(source, rows, both_ends(near), size), size, percent))))
+        roots = components(links.union(stored(verified(near, texts_of(source, rows, both_ends(near)), size, percent))))
+    return rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "h", "n", F.coalesce("root", "fp").alias("root"))
 
-    placed = rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
+
+def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included)."""
+    with small_batches(docs.sparkSession):
+        placed = _placed(docs, size, percent, id_col, text_col)
     ids = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(ids, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a component, and one for each document without words: own, own_hash (id of a document and ``xxhash64`` of its text) and
+    times, the number of rows with both.  Of a component it is the row with the smallest id, rows without one last, then the smallest hash."""
+    with small_batches(docs.sparkSession):
+        placed = _placed(docs, size, percent, id_col, text_col)
+    one = placed.groupBy("doc_id", "h", "root").agg(F.count(F.lit(1)).alias("times"))
+    least = one.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h", "times")).alias("o")).select("o.*")
+    named: list[Column] = [F.col("doc_id").alias("own"), F.col("h").alias("own_hash"), F.col("times")]
+    return least.select(named).union(one.where("root IS NULL").select(named))
