@@ -108,7 +108,7 @@ m AS (
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-         len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), [{', '.join(f"'{s}'" for s in STOP_WORDS)}]))::BIGINT AS n_stop_words
+         len(list_filter(w, lambda x: lower(x) IN ({', '.join(f"'{s}'" for s in STOP_WORDS)})))::BIGINT AS n_stop_words
   FROM t LEFT JOIN cov ON cov.doc_id = t.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -142,7 +142,7 @@ FROM j LEFT JOIN tree ON tree.host = j.host AND tree.s1 = j.s1 AND tree.s2 = j.s
 
 OP9_SQL = r"""
 WITH RECURSIVE t AS (
-  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'),
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
     lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM t WHERE len(w) >= 4)
