@@ -2,30 +2,33 @@
 
 Per language a bounded sample of labelled texts, an even share of each, becomes a suffix automaton over all letters of the samples.  A text is cut greedily into
 longest substrings of a language's sample (walks from the automaton's root; a character that the
-sample lacks is a phrase by itself).  The language with the fewest phrases a character wins, ties going to
-the first name.  Long texts are walked as segments side by side, every character of them.  Null texts and
-texts without a letter give ``und`` and 0; repeated rows are judged one by one; other columns are not read;
-without labelled text every text is ``und``.
+sample lacks is a phrase by itself).  The language with the fewest phrases a character wins, ties going to the one
+whose sample lacks fewer of the text's characters, then to the first name.  Long texts are walked as segments side by side: each begins in the state that the symbols before it
+lead to, and is walked again wherever the segment before it ends in another one, until all agree; so the phrases are
+those of one walk over the whole text.  Null texts and texts without a letter give ``und`` and 0; repeated rows are judged one
+by one; other columns are not read, so none can clash; an empty table gives no rows; without labelled text every text is ``und``.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_rows
+from .shared import released, text_rows
 from .words import slices
 
 #: Bounds of the fitted sample: characters of a language's text in its automaton, and texts looked at.
 SAMPLE_CHARS, SAMPLE_TEXTS = 40_000, 48
-SEGMENT = 192
+#: Symbols of a segment, and symbols before it that its first state is guessed from: time depends on them, results do not.
+SEGMENT, BEFORE = 256, 40
 #: Letters, the most frequent, whose transitions are a dense table; those of all others are looked up by search.
 DENSE = 200
 #: Windows that a text longer than its share of the sample gives.
 WINDOWS = 4
-_PAD = (1 << 32) - 1
 
 
 def sample_texts(labelled: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
@@ -71,6 +74,16 @@ def even_share(texts: list[str], most: int) -> str:
     return "\n".join(out)
 
 
+@cache
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """(which code points are letters, the lower case of each code point): two tables of fixed size."""
+    letters = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in np.flatnonzero(letters).tolist():
+        lower[c] = ord(chr(c).lower()[0])
+    return letters, lower
+
+
 def build_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Transitions of the suffix automaton of ``symbols``: a (states, width) table, where 0, the root, means none, and
     (states, symbols, targets) of the symbols from ``width`` on."""
@@ -114,8 +127,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        every = np.arange(0x110000)
-        letters = np.fromiter((chr(c).isalpha() for c in every), bool, len(every))
+        letters, lower = letter_table()
         counts: dict[str, int] = {}
         for text in samples.values():
             for ch in text.lower():
@@ -127,11 +139,7 @@ class CrossParser:
         symbol[letters] = 0
         for k, ch in enumerate(alphabet):
             symbol[ord(ch)] = k + 2
-        for c in np.flatnonzero(letters):
-            low = chr(c).lower()[0]
-            if symbol[c] == 0 and low != chr(c):
-                symbol[c] = symbol[ord(low)]
-        self.symbol, self.letters = symbol, letters
+        self.symbol = np.where(symbol == 0, symbol[lower], symbol)
         built = [build_automaton(self.symbols(samples[x]).tolist(), self.width) for x in self.langs]
         tables = [t for t, _ in built]
         starts = np.cumsum([0, *(len(t) for t in tables)])[:-1]
@@ -142,6 +150,8 @@ class CrossParser:
         keys, to = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, to))
         order = np.argsort(keys)
         self.keys, self.targets = keys[order], to[order].astype(np.int32)
+        every = np.arange(len(alphabet) + 2, dtype=np.int32)
+        self.lacking = [self.step(np.full(len(every), root, np.int32), every) == 0 for root in self.roots]  # symbols of no phrase but their own
 
     @staticmethod
     def _key(state: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -165,55 +175,65 @@ class CrossParser:
         s = self.symbol[code_points(text)]
         return s[~((s == 1) & (np.concatenate(([1], s[:-1])) == 1))]
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases by language and text, number of letters of each text)."""
+    def _walk(self, root: int, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that begin in each segment, state after it) of segments, longest first, that are entered in ``state``.
+
+        A state other than the root is an open phrase; a phrase begins at each symbol that continues none."""
+        state, found = state.copy(), np.zeros(len(begin), np.int32)
+        for a in range(0, len(begin), 16_384):
+            own, n = slice(a, a + 16_384), len(begin[a : a + 16_384])
+            live = np.searchsorted(-length[own], -np.arange(int(length[a]) if n else 0), "left")  # segments longer than t
+            now, count, first = state[own], found[own], begin[own]
+            for t, n in enumerate(live.tolist()):
+                c = symbols[first[:n] + t]
+                held = now[:n]
+                to = self.step(held, c)
+                miss = np.flatnonzero((to == 0) | (held == root))
+                if len(miss):
+                    again = self.step(np.full(len(miss), root, np.int32), c[miss])
+                    again[again == 0] = root  # a symbol of no sample is a phrase by itself
+                    to[miss] = again
+                    count[miss] += 1
+                now[:n] = to
+        return found, state
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases by language and text, share of symbols that a language lacks, number of letters of each text)."""
         parts = [self.symbols(t) for t in texts]
         letters = np.array([int((p != 1).sum()) for p in parts], np.int64)
         sizes = np.array([len(p) for p in parts], np.int64)
+        symbols = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int32)
         segments = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), segments)
-        grid = np.full(int(segments.sum()) * SEGMENT, _PAD, np.uint32)
-        begins = (np.cumsum(segments) - segments) * SEGMENT
-        for p, b in zip(parts, begins):
-            grid[b : b + len(p)] = p
-        grid = grid.reshape(-1, SEGMENT)
-        held = (grid != _PAD).sum(1)
-        order = np.argsort(-held, kind="stable")
-        steps = np.ascontiguousarray(grid[order].T)
-        live = np.searchsorted(-held[order], -np.arange(SEGMENT), "left")  # segments longer than t
-        found = np.zeros((len(self.langs), len(owner)), np.int32)
-        if len(owner):
-            block = 16_384
-            for a in range(0, len(owner), block):
-                width = min(block, len(owner) - a)
-                for k, root in enumerate(self.roots):
-                    state = np.full(width, root, np.int32)
-                    phrases = np.ones(width, np.int32)
-                    for t in range(SEGMENT):
-                        n = min(width, int(live[t]) - a)
-                        if n <= 0:
-                            break
-                        c = steps[t, a : a + n].astype(np.int32)
-                        to = self.step(state[:n], c)
-                        miss = np.flatnonzero(to == 0)
-                        if len(miss):
-                            again = self.step(np.full(len(miss), root, np.int32), c[miss])
-                            again[again == 0] = root
-                            to[miss] = again
-                            phrases[miss] += 1
-                        state[:n] = to
-                    found[k, a : a + width] = phrases
-        total = np.zeros((len(self.langs), len(texts)))
-        for k in range(len(self.langs)):
-            total[k] = np.bincount(owner, found[k][np.argsort(order, kind="stable")], len(texts)) if len(owner) else 0
-        return total, letters
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)  # place of a segment in its text
+        text_begin = np.cumsum(sizes) - sizes
+        begin = text_begin[owner] + at * SEGMENT
+        length = np.minimum(SEGMENT, sizes[owner] - at * SEGMENT)
+        order = np.argsort(-length, kind="stable")
+        place = np.argsort(order, kind="stable")
+        begin, length, at = begin[order], length[order], at[order]
+        later = np.flatnonzero(at > 0)
+        prior = place[order[later] - 1]  # the segment before each of these
+        total, lacked = np.zeros((2, len(self.langs), len(texts)))
+        of_text = np.repeat(np.arange(len(texts)), sizes)
+        for k, root in enumerate(self.roots.tolist()):
+            lacked[k] = np.bincount(of_text, self.lacking[k][symbols], len(texts)) / (sizes + 1) if len(symbols) else 0
+            enter = np.full(len(owner), root, np.int32)
+            enter[later] = self._walk(root, symbols, begin[later] - BEFORE, np.full(len(later), BEFORE), enter[later])[1]
+            found, leave = self._walk(root, symbols, begin, length, enter)
+            while len(wrong := np.flatnonzero(enter[later] != leave[prior])):
+                redo = later[wrong]
+                enter[redo] = leave[prior[wrong]]
+                found[redo], leave[redo] = self._walk(root, symbols, begin[redo], length[redo], enter[redo])
+            total[k] = np.bincount(owner[order], found, len(texts)) if len(owner) else 0
+        return total, lacked, letters
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        total, letters = self.phrases([t or "" for t in texts])
+        total, lacked, letters = self.phrases([t or "" for t in texts])
         known = letters > 0
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        best = total.argmin(0)
+        best = (total + lacked).argmin(0)  # of as many phrases those with fewer symbols that the sample lacks
         ranked = np.sort(total, 0)
         # the winner's odds when phrases are evidence: 1 for a lone language
         odds = np.exp(-(ranked - ranked[0]) / np.sqrt(np.maximum(ranked[0], 1))).sum(0)
@@ -221,20 +241,14 @@ class CrossParser:
         return [self.langs[b] if k else "und" for b, k in zip(best, known)], score.tolist()
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def language_id(docs: DataFrame, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, lang_pred, score (0 to 1).  Workers build the automata from the bounded samples."""
     source = text_rows(docs, id_col, text_col)
     bounded = {lang: even_share(texts, sample_chars) for lang, texts in samples.items() if any(ch.isalpha() for t in texts for ch in t)}
-    key = hash(tuple(sorted(bounded.items())))
 
+    @released
     def judge(batches):
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = CrossParser(bounded)
-        own = _PARSERS[key]
+        own = CrossParser(bounded)
         for batch in batches:
             for ids, texts in slices(batch["text"], batch["doc_id"], 4 << 20):
                 lang, score = own.judge(texts.to_pylist())
