@@ -1,14 +1,18 @@
 """Main text of web pages by minimum cut.
 
-A page becomes blocks of text in page order.  A classifier gives each block log-odds of being content (from
-its ancestors' tags and names, its own tag, length, punctuation and share of link text), which become its
-capacities to the two terminals.  Smoothness edges join neighbouring blocks, more strongly the closer they
-are in the tree, and join blocks to a node for their container, and containers to their parents.  The
-minimum cut separates content from the rest; nodes whose terminal capacity outweighs all their edges are
+A page becomes blocks of text in page order.  A classifier gives each block log-odds of being content: a weighted sum of
+features of the block (length, end of sentence, share of link text, own tag) and of the elements around it (tags, names, and how
+much of the page's text they hold), see ``W``.  The log-odds become its capacities to the two terminals.  Smoothness edges join
+neighbouring blocks, more strongly the closer they are in the tree, and join blocks to a node for their container, and containers
+to their parents.  The minimum cut separates content from the rest; nodes whose terminal capacity outweighs all their edges are
 settled first (any minimum cut has them so), and maximum flow settles the others.
 
-Null, empty and text-free pages give the empty text; broken markup is read leniently; repeated rows are
-extracted one by one; other columns are not read.
+Names of page furniture count against an element, unless it holds the article itself: the ancestors of an article's main heading, or
+where there is none those of an ``article`` or ``main`` with much of the text, are layout whatever they are called.
+
+Null, empty and text-free pages give the empty text; broken markup is read as browsers do where that matters (unclosed head,
+button, svg and the like); very long pages are solved whole, as one graph; blocks whose two labels cost the same are left out;
+repeated rows are extracted one by one; other columns are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,95 +25,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
 from .words import slices
 
 NEAR, FAR, MEMBER, NESTED = 1.5, 0.4, 0.5, 0.25
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|title|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Elements whose whole content is no text, if they are closed at all.
+_SKIPPED = {"noscript", "select", "svg", "object", "button", "annotation"}
+_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-#: Names of page furniture and of content.
+#: Names of page furniture, of the heads among it, and of content.
 _FURNITURE = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|footer|sidebar\w*|aside|widget\w*|"
+    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|sidebar\w*|aside|widget\w*|"
     r"related|recommend\w*|share|sharing|social|cookies?|consent|notices?|alerts?|popup|modal|dialog|newsletter|subscri\w+|signup|login|comments?|commentlist|disqus|respond|"
     r"repl(?:y|ies)|search|pagination|pager|copyright|legal|toolbar|contentinfo|complementary)(?![a-z])"
 )
+_HEADS = re.compile(r"(?<![a-z])(?:header|masthead|banner)(?![a-z])")
 _CONTENT = re.compile(r"(?<![a-z])(?:article|content|main|post|entry|story|articlebody)(?![a-z])")
+_COMMENTS = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|respond|repl(?:y|ies))(?![a-z])")
 _DROP = {"nav", "footer", "aside", "menu", "dialog"}
 _HEADINGS = {"h1": 1.5, "h2": 0.8, "h3": 0.6, "h4": 0.4, "h5": 0.2, "h6": 0.2}
 _LEAVES = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "blockquote", "address", "summary", "option", "legend", *_HEADINGS}
 _CONTAINERS = {"html", "body", "div", "section", "article", "main", "header", "nav", "footer", "aside", "form", "fieldset", "ul", "ol", "dl", "table", "thead", "tbody",
                "tfoot", "tr", "figure", "details", "menu", "dialog", "center", "hgroup", "search", "head"}
 _VOID_BREAKS = {"br", "wbr", "img", "input", "hr"}
+#: The classifier's weights.  Of elements, passed on to all that they hold: furniture (and nothing inside takes it back), forms,
+#: content names, articles.  Of blocks: words up to 30, the constant, the end of a sentence, the share of link text outside and
+#: inside an article, prose tags, list items; headings have their own.
+W = {"furniture": -6.0, "form": -5.0, "content": 2.0, "article": 4.0, "word": 0.1, "constant": -1.0, "sentence": 0.5, "links": -4.0, "own_links": -2.0, "prose": 1.0, "item": -0.5}
+#: Shares of the page's text from which an article or main is the page's, a form is the page's layout, and a name is.
+ANCHOR, WHOLE_FORM, WHOLE = 0.4, 0.6, 0.6
 
 
-class Open:
-    """An open element with what it passes on to its blocks."""
+class Element:
+    """An open or closed element: its place in the tree, what it is called, and the characters of unlinked text that it holds."""
 
-    __slots__ = ("tag", "node", "bias", "skip", "article")
+    __slots__ = ("tag", "parent", "node", "names", "hidden", "solid", "lifted", "bias", "article")
 
-    def __init__(self, tag: str, node: int, bias: float, skip: bool, article: bool) -> None:
-        self.tag, self.node, self.bias, self.skip, self.article = tag, node, bias, skip, article
+    def __init__(self, tag: str, parent: int, node: int, names: str, hidden: bool) -> None:
+        self.tag, self.parent, self.node, self.names, self.hidden = tag, parent, node, names, hidden
+        self.solid, self.lifted, self.bias, self.article = 0.0, False, 0.0, False
 
 
 class Block:
-    __slots__ = ("text", "node", "score")
-
-    def __init__(self, text: str, node: int, score: float) -> None:
-        self.text, self.node, self.score = text, node, score
-
-
-def bias(tag: str, attributes: str, above: Open) -> float:
-    """The log-odds that an element passes on: furniture stays furniture whatever it holds."""
-    if above.bias <= -6:
-        return above.bias
-    if tag in _DROP or (tag == "header" and not above.article):
-        return -6.0
-    out = above.bias
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return -6.0
-        names = " ".join(m.strip("\"'") for m in _NAMES.findall(attributes)).lower()
-        if names and tag not in ("html", "body", "article", "main") and _FURNITURE.search(names):
-            return -6.0
-        if names and _CONTENT.search(names):
-            out = max(out, 2.0)
-    if tag in ("article", "main"):
-        out = 4.0
-    elif tag in ("form", "fieldset"):
-        out -= 5.0
-    return out
+    __slots__ = ("text", "node", "score", "element", "links")
 
+    def __init__(self, text: str, node: int, element: int, links: float) -> None:
+        self.text, self.node, self.element, self.links = text, node, element, links
+        self.score = 0.0
 
-def blocks_of(page: str) -> tuple[list[Block], list[int]]:
-    """Blocks in page order, and the parent of each container node (node 0 is the page)."""
-    root = Open("", 0, 0.0, False, False)
-    stack, parents, out = [root], [-1], []
+
+def read_page(page: str) -> tuple[list[Block], list[int], list[Element]]:
+    """Blocks in page order, the parent of each container node (node 0 is the page), and all elements, parents first."""
+    elements = [Element("", -1, 0, "", False)]
+    stack, parents, out = [0], [-1], []
     text: list[str] = []
     linked = inside = 0  # characters of link text in the block; depth of links
     at = 0
+    unclosed: set[str] = set()  # skipped elements that nothing closes any more
 
     def flush() -> None:
         nonlocal linked
         if text:
             raw = "".join(text)
             whole = " ".join(html.unescape(raw).split()) if not raw.isspace() else ""
-            top = stack[-1]
-            if whole and not top.skip:
-                words = whole.count(" ") + 1
-                score = top.bias + min(words, 30) / 10 - 1 + (0.5 if whole[-1] in ".!?…。" else 0) - 4 * min(linked / max(len(raw), 1), 1)
-                score += _HEADINGS.get(top.tag, 1.0 if top.tag in ("p", "blockquote", "pre") else -0.5 if top.tag == "li" else 0.0)
-                out.append(Block(whole, top.node, score))
+            if whole:
+                out.append(Block(whole, elements[stack[-1]].node, stack[-1], min(linked / max(len(raw), 1), 1)))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text.append(page[at : m.start()])
             if inside:
@@ -122,7 +114,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             continue
         tag = tag.lower()
         closing = m["end"] if m["tag"] else m["end2"]
-        if tag == "a":
+        if tag in _SKIPPED and not closing and tag not in unclosed:
+            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+                text.append(" ")
+            else:
+                unclosed.add(tag)
+        elif tag == "a":
             inside = 0 if closing else 1
         elif tag in _VOID_BREAKS:
             if tag == "hr":
@@ -133,28 +132,89 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             flush()
             if closing:
                 limit = len(stack) - 1
-                while limit > 0 and stack[limit].tag != tag and (tag in _CONTAINERS or stack[limit].tag in _LEAVES):
+                while limit > 0 and elements[stack[limit]].tag != tag and (tag in _CONTAINERS or elements[stack[limit]].tag in _LEAVES):
                     limit -= 1
-                if limit > 0 and stack[limit].tag == tag:
+                if limit > 0 and elements[stack[limit]].tag == tag:
                     del stack[limit:]
                 continue
             inside = 0
-            while stack[-1].tag == "p" or stack[-1].tag in _HEADINGS and tag in _HEADINGS or (tag in ("li", "dt", "dd", "td", "th", "tr") and stack[-1].tag in ("li", "dt", "dd", "td", "th")):
+            top = elements[stack[-1]].tag
+            while top == "p" or top == "head" or top in _HEADINGS and tag in _HEADINGS or (tag in ("li", "dt", "dd", "td", "th", "tr") and top in ("li", "dt", "dd", "td", "th")):
                 stack.pop()
+                top = elements[stack[-1]].tag
             if tag == "body":  # whatever the head left open
                 del stack[1:]
-            above = stack[-1]
-            node = above.node
+            node = elements[stack[-1]].node
             if tag in _CONTAINERS:
-                node = len(parents)
-                parents.append(above.node)
-            attributes = m["attr"] if m["tag"] else m["attr2"]
-            stack.append(Open(tag, node, bias(tag, attributes or "", above), above.skip or tag == "head", above.article or tag in ("article", "main")))
+                parents.append(node)
+                node = len(parents) - 1
+            attributes = (m["attr"] if m["tag"] else m["attr2"]) or ""
+            names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower()
+            elements.append(Element(tag, stack[-1], node, names, bool(_HIDDEN.search(attributes))))
+            stack.append(len(elements) - 1)
     tail = page[at:]
     if tail and not re.match(r"<[/!a-zA-Z]", tail):
         text.append(tail)
     flush()
-    return out, parents
+    return out, parents, elements
+
+
+def lift(blocks: list[Block], elements: list[Element]) -> None:
+    """Marks the elements that hold the article: what they are called does not count."""
+    for b in blocks:
+        elements[b.element].solid += len(b.text) * (1 - b.links)
+    for e in reversed(elements[1:]):  # children come after their parents
+        elements[e.parent].solid += e.solid
+    whole = elements[0].solid or 1.0
+    inside: list[bool] = []  # in an article or main; below a tag that is furniture by itself
+    dropped: list[bool] = []
+    for e in elements:
+        inside.append(e.tag in ("article", "main") or e.parent >= 0 and inside[e.parent])
+        dropped.append(e.tag in _DROP or e.hidden or e.parent >= 0 and dropped[e.parent])
+    anchors = [k for k, e in enumerate(elements) if e.tag in ("article", "main") and not dropped[k] and e.solid >= ANCHOR * whole]
+    headings = [k for k, e in enumerate(elements) if e.tag == "h1" and inside[k] and not dropped[k]]
+    for k in headings[:1] or anchors:
+        while k > 0 and not elements[k].lifted:
+            elements[k].lifted = elements[k].tag != "header" or inside[k]
+            k = elements[k].parent
+    for e in elements:
+        if e.solid >= WHOLE * whole and e.tag in ("html", "body", "div", "section", "center", "table", "tbody", "tr", "td") and not _COMMENTS.search(e.names):
+            e.lifted = True
+
+
+def weigh(blocks: list[Block], elements: list[Element]) -> None:
+    """The log-odds of every block, from its own features and what its elements pass on."""
+    whole = elements[0].solid or 1.0
+    for e in elements[1:]:
+        above = elements[e.parent]
+        e.article = above.article or e.tag in ("article", "main")
+        e.bias = above.bias
+        if above.bias <= W["furniture"]:
+            continue
+        named = e.names and e.tag not in ("html", "body", "article", "main")
+        if e.hidden or e.tag in _DROP or e.tag == "header" and not (above.article or e.lifted):
+            e.bias = W["furniture"]
+        elif named and not e.lifted and (_FURNITURE.search(e.names) or not above.article and _HEADS.search(e.names)):
+            e.bias = W["furniture"]
+        elif e.tag in ("article", "main"):
+            e.bias = W["article"]
+        elif e.tag in ("form", "fieldset") and e.solid < WHOLE_FORM * whole:
+            e.bias += W["form"]
+        elif e.names and _CONTENT.search(e.names):
+            e.bias = max(e.bias, W["content"])
+    for b in blocks:
+        e = elements[b.element]
+        b.score = e.bias + W["constant"] + W["word"] * min(b.text.count(" ") + 1, 30) + (W["sentence"] if b.text[-1] in ".!?…。" else 0)
+        b.score += W["own_links" if e.article else "links"] * b.links
+        b.score += _HEADINGS.get(e.tag, W["prose"] if e.tag in ("p", "blockquote", "pre") else W["item"] if e.tag == "li" else 0.0)
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks in page order with their log-odds, and the parent of each container node."""
+    blocks, parents, elements = read_page(page)
+    lift(blocks, elements)
+    weigh(blocks, elements)
+    return blocks, parents
 
 
 def min_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -263,6 +323,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row a page: page_id, url, text, n_chars (code points of text)."""
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
+    @released
     def read(batches):
         for batch in batches:
             for where, raw in slices(batch["html"], pa.array(range(len(batch)))):
