@@ -17,7 +17,7 @@ from .quality_classifier import fit, quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .shared import crc_fold
 from .token_counts import token_counts
-from .url_filters import FANOUT, PRIOR, PURITY, TREE_SQL, Z, url_filters
+from .url_filters import FANOUT, PRIOR, PURITY, Z, Z_MANY, url_filters
 from .url_filters import RULES as URL_RULES
 
 
@@ -59,7 +59,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 5) == 1
-    scores = brown_lm.perplexity_scores(docs, brown_lm.fit(docs, ~held_out))
+    scores = brown_lm.fitted_scores(brown_lm.fit(docs, ~held_out))
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -127,17 +127,27 @@ def _fits_sql() -> tuple[str, str]:
 
 
 OP8_SQL = f"""
-WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+WITH RECURSIVE a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 j AS (SELECT page_id, host, path, {_fits_sql()[0]} AS rule, {_fits_sql()[1]} AS ruled,
-             regexp_replace(coalesce(list_filter(string_split(path, '/'), lambda x: x <> '')[1], ''), '^.*[0-9].*$', '*') AS s1,
-             regexp_replace(coalesce(list_filter(string_split(path, '/'), lambda x: x <> '')[2], ''), '^.*[0-9].*$', '*') AS s2 FROM p),
-t0 AS (SELECT host, s1, s2, count(ruled) AS l, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) AS b FROM j GROUP BY host, s1, s2),
-pi AS (SELECT (coalesce(sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END), 0) + 1.0) / (count(ruled) + 2) AS v FROM j),
-tree AS ({TREE_SQL.format(t0='t0', fanout=FANOUT, prior=f'{PRIOR}::DOUBLE', pi='(SELECT v::DOUBLE FROM pi)', z=f'{Z}::DOUBLE')})
+             list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '#' ELSE x END) AS segs FROM p),
+t0 AS (SELECT host, segs, count(ruled) AS l, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) AS b FROM j GROUP BY host, segs),
+pi AS (SELECT (coalesce(sum(b), 0) + 1.0)::DOUBLE / (coalesce(sum(l), 0) + 2) AS v FROM t0),
+w AS (
+  SELECT host, segs, l, b, '' AS node, 0 AS k, true AS goes, (sum(b) OVER (PARTITION BY host) + {PRIOR}::DOUBLE * pi.v) / (sum(l) OVER (PARTITION BY host) + {PRIOR}::DOUBLE) AS purity FROM t0, pi
+  UNION ALL
+  SELECT host, segs, l, b, branch AS node, k + 1 AS k, bb > 0 AND bb < bl AND len(segs) > k + 1 AS goes, (bb + {PRIOR}::DOUBLE * purity) / (bl + {PRIOR}::DOUBLE) AS purity
+  FROM (SELECT *, sum(l) OVER (PARTITION BY host, branch) AS bl, sum(b) OVER (PARTITION BY host, branch) AS bb
+    FROM (SELECT *, node || '/' || CASE WHEN abs(cb - cl * p) > z * sqrt(cl * p * (1.0::DOUBLE - p)) + 0.5 THEN s ELSE '*' END AS branch
+      FROM (SELECT *, CASE WHEN nl > 0 THEN nb::DOUBLE / nl ELSE 0.0::DOUBLE END AS p, CASE WHEN max(r) OVER (PARTITION BY host, node) > {FANOUT} THEN {Z_MANY}::DOUBLE ELSE {Z}::DOUBLE END AS z
+        FROM (SELECT *, sum(l) OVER (PARTITION BY host, node) AS nl, sum(b) OVER (PARTITION BY host, node) AS nb, sum(l) OVER (PARTITION BY host, node, s) AS cl,
+                     sum(b) OVER (PARTITION BY host, node, s) AS cb, dense_rank() OVER (PARTITION BY host, node ORDER BY s) AS r
+          FROM (SELECT *, coalesce(segs[k + 1], '') AS s FROM w WHERE goes)))))
+),
+tree AS (SELECT host, segs, arg_max(purity, k) AS purity FROM w GROUP BY host, segs)
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN tree.purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN tree ON tree.host = j.host AND tree.s1 = j.s1 AND tree.s2 = j.s2
+FROM j JOIN tree ON tree.host = j.host AND tree.segs = j.segs
 """
 
 OP9_SQL = r"""

@@ -1,13 +1,17 @@
 """URL filters: allow and block rules, and a path-template tree that judges the urls no rule fits.
 
-Built-in functions and SQL only.  Urls that a rule decides are the labelled ones.  Per host the first two path
-segments become a template: segments with a digit are wildcards, and so are all children of a node with more
-than FANOUT different ones; branches whose labelled share does not differ from their parent's by a binomial
-test merge into the wildcard branch; a template is blocked when its purity, smoothed towards its parent's,
-reaches PURITY.  Everything is summed per template before it is shuffled by host.
+Built-in functions only.  Urls that a rule decides are the labelled ones.  Per host the path segments, to any depth, form a tree over
+its lexical templates (paths whose segments with a digit are ``#``).  Level by level, the children of a node whose labelled share
+differs from the node's by a binomial test keep a branch of their own, and all others, similar to the node and so to each other, merge into
+the wildcard branch ``*``; among many children (more than FANOUT) chance sets some apart, so the test is stricter there.  A branch is
+followed as long as it holds both labels.  A template is blocked when its purity, smoothed towards its parent's, reaches PURITY.
 
-Null urls and urls without ``://`` have an empty host and path, which no rule fits; repeated rows are
-judged one by one; other columns are not read; an empty table gives no rows.
+Everything is summed per lexical template before it is shuffled, and the levels work on these sums: a host with a third of all rows is
+as many rows as it has templates.  Each level is kept in the shared folder.
+
+Null urls and urls without ``://`` have an empty host and path, which no rule fits; of rules the longest wins, and of equally
+long ones the last in order of their text; very long urls are deep trees, one level at a time; repeated rows are judged one by one;
+other columns are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,34 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: (verdict, rule): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-FANOUT, PRIOR, PURITY, Z = 8, 4.0, 0.9, 1.96
+#: Children from which the stricter test holds, weight of the parent's purity, purity from which a template is blocked, and the
+#: deviations that set a child apart among few and among many.
+FANOUT, PRIOR, PURITY, Z, Z_MANY = 8, 4.0, 0.9, 1.96, 4.0
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Purity of each lexical template, over t0 (host, s1, s2, l labelled, b blocked) and the share pi of blocked among labelled urls.
-TREE_SQL = """
-WITH h AS (SELECT host, count(DISTINCT s1) AS fan, sum(l) AS l, sum(b) AS b FROM {t0} GROUP BY host),
-n1 AS (SELECT t.host, t.s1, t.s2, t.l, t.b, CASE WHEN h.fan > {fanout} THEN '*' ELSE t.s1 END AS w1,
-              CASE WHEN h.l > 0 THEN 1.0E0 * h.b / h.l ELSE 0.0E0 END AS p, (h.b + {prior} * {pi}) / (h.l + {prior}) AS above
-       FROM {t0} t JOIN h ON t.host = h.host),
-m1 AS (SELECT host, w1, sum(l) AS l, sum(b) AS b, max(p) AS p FROM n1 GROUP BY host, w1),
-k1 AS (SELECT host, w1, CASE WHEN abs(b - l * p) <= {z} * sqrt(l * p * (1.0E0 - p)) + 0.5E0 THEN '*' ELSE w1 END AS t1 FROM m1),
-n2 AS (SELECT n1.host, n1.s1, n1.s2, n1.l, n1.b, n1.above, k1.t1 FROM n1 JOIN k1 ON n1.host = k1.host AND n1.w1 = k1.w1),
-g1 AS (SELECT host, t1, count(DISTINCT s2) AS fan, sum(l) AS l, sum(b) AS b, max(above) AS above FROM n2 GROUP BY host, t1),
-n3 AS (SELECT n2.host, n2.s1, n2.s2, n2.t1, n2.l, n2.b, CASE WHEN g1.fan > {fanout} THEN '*' ELSE n2.s2 END AS w2,
-              CASE WHEN g1.l > 0 THEN 1.0E0 * g1.b / g1.l ELSE 0.0E0 END AS p, (g1.b + {prior} * g1.above) / (g1.l + {prior}) AS above
-       FROM n2 JOIN g1 ON n2.host = g1.host AND n2.t1 = g1.t1),
-m2 AS (SELECT host, t1, w2, sum(l) AS l, sum(b) AS b, max(p) AS p FROM n3 GROUP BY host, t1, w2),
-k2 AS (SELECT host, t1, w2, CASE WHEN abs(b - l * p) <= {z} * sqrt(l * p * (1.0E0 - p)) + 0.5E0 THEN '*' ELSE w2 END AS t2 FROM m2),
-n4 AS (SELECT n3.host, n3.s1, n3.s2, n3.t1, n3.l, n3.b, n3.above, k2.t2 FROM n3 JOIN k2 ON n3.host = k2.host AND n3.t1 = k2.t1 AND n3.w2 = k2.w2),
-g2 AS (SELECT host, t1, t2, (sum(b) + {prior} * max(above)) / (sum(l) + {prior}) AS purity FROM n4 GROUP BY host, t1, t2)
-SELECT n4.host, n4.s1, n4.s2, concat('/', n4.t1, '/', n4.t2) AS template, g2.purity AS purity
-FROM n4 JOIN g2 ON n4.host = g2.host AND n4.t1 = g2.t1 AND n4.t2 = g2.t2
-"""
-
-
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path) of a url."""
     after = F.when(F.contains(url, F.lit("://")), F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
@@ -60,19 +46,41 @@ def rule_columns(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def template_tree(templates: DataFrame, pi: float) -> DataFrame:
+    """templates: host, lex (segments joined by /), l (labelled urls), b (blocked ones).  (host, lex, template, purity) of each of them."""
+    zero = lambda c: F.when(F.col("l") > 0, F.col(c) / F.col("l")).otherwise(F.lit(0.0))
+    hosts = templates.groupBy("host").agg(((F.sum("b") + PRIOR * pi) / (F.sum("l") + PRIOR)).alias("above"))
+    active = stored(templates.join(hosts, "host").withColumn("node", F.lit("")))
+    done, depth = None, 0
+    while done is None or not active.isEmpty():
+        segment = F.coalesce(F.get(F.split("lex", "/"), F.lit(depth)), F.lit(""))
+        rows = active.withColumn("s", segment)
+        children = rows.groupBy("host", "node", "s").agg(F.sum("l").alias("cl"), F.sum("b").alias("cb"))
+        nodes = children.groupBy("host", "node").agg(F.sum("cl").alias("l"), F.sum("cb").alias("b"), F.count(F.lit(1)).alias("fan"))
+        nodes = nodes.select("host", "node", zero("b").alias("p"), F.when(F.col("fan") > FANOUT, Z_MANY).otherwise(Z).alias("z"))
+        apart = F.abs(F.col("cb") - F.col("cl") * F.col("p")) > F.col("z") * F.sqrt(F.col("cl") * F.col("p") * (1.0 - F.col("p"))) + 0.5
+        named = children.join(nodes, ["host", "node"]).select("host", "node", "s", F.concat("node", F.lit("/"), F.when(apart, F.col("s")).otherwise("*")).alias("branch"))
+        moved = rows.join(named, ["host", "node", "s"])
+        sums = moved.groupBy("host", "branch").agg(F.sum("l").alias("bl"), F.sum("b").alias("bb"), F.max("above").alias("parent"))
+        sums = sums.select("host", "branch", ((F.col("bb") + PRIOR * F.col("parent")) / (F.col("bl") + PRIOR)).alias("purity"), ((F.col("bb") > 0) & (F.col("bb") < F.col("bl"))).alias("mixed"))
+        depth += 1
+        level = stored(moved.join(sums, ["host", "branch"]).select("host", "lex", "l", "b", F.col("branch").alias("node"), F.col("purity").alias("above"), (F.col("mixed") & (F.size(F.split("lex", "/")) > depth)).alias("on")))
+        ended = level.where("NOT on").select("host", "lex", F.col("node").alias("template"), F.col("above").alias("purity"))
+        done = ended if done is None else done.unionByName(ended)
+        active = level.where("on").drop("on")
+    return done
+
+
 def url_filters(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, template, purity."""
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = parts(F.col("url"))
     rule, verdict = rule_columns(rules)
-    segments = F.array_remove(F.split("path", "/"), "")
-    segment = lambda k: F.regexp_replace(F.coalesce(F.get(segments, F.lit(k)), F.lit("")), r"^.*[0-9].*$", "*")
-    judged = source.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"), segment(0).alias("s1"), segment(1).alias("s2"))
-    t0 = judged.groupBy("host", "s1", "s2").agg(
-        F.count("ruled").alias("l"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b")
-    )  # one row a lexical template
-    labelled = judged.agg(F.count("ruled").alias("l"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b")).first()
-    pi = ((labelled["b"] or 0) + 1) / (labelled["l"] + 2)
-    tree = pages.sparkSession.sql(TREE_SQL.format(t0="{t0}", fanout=FANOUT, prior=f"{PRIOR!r}D", pi=f"{pi!r}D", z=f"{Z!r}D"), t0=t0)
-    blocked = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
-    return judged.join(tree, ["host", "s1", "s2"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", blocked).alias("verdict"), "template", "purity")
+    lex = F.array_join(F.transform(F.array_remove(F.split("path", "/"), ""), lambda x: F.when(F.regexp_like(x, F.lit("[0-9]")), "#").otherwise(x)), "/")
+    judged = source.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"), lex.alias("lex"))
+    blocked = F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0))
+    templates = stored(judged.groupBy("host", "lex").agg(F.count("ruled").alias("l"), blocked.alias("b")))  # read by all levels
+    labelled = templates.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
+    tree = template_tree(templates, ((labelled["b"] or 0) + 1) / ((labelled["l"] or 0) + 2))
+    verdicts = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
+    return judged.join(tree, ["host", "lex"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", verdicts).alias("verdict"), "template", "purity")

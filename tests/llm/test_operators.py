@@ -71,13 +71,40 @@ def test_extraction(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]]["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
-    page = "<body><header>Site</header><main><article><h1>T</h1><p>a b &lt;c&gt;.<form><label>mail</label></form><aside>More</aside></article><section id=comments><h3>Comments</h3><article><p>A fine and long enough article, thanks.</p></article></section></main><div class='cookie-notice'>We use cookies here.</div>"
-    assert html_extraction.main_text(page) == "T\n\na b <c>."
     df = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p"), (2, "u", "<article>" + "<p>word word.</p>" * 5000)], "page_id long, url string, html string")
     assert sorted(r["n_chars"] for r in html_extraction.extract(df).collect()) == [0, 0, 0, 5000 * 12 - 2]
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+LONG, MORE = "A long enough paragraph of the article, with several words and a full stop at its end.", "Another paragraph goes on with the story and it ends with a full stop as well."
+SIDE = "<div class='sidebar'><h3>More</h3><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div>"
+#: Pages of several layouts, and their articles.
+PAGES = [
+    (f"<body><div class='layout with-sidebar'><article><h1>T</h1><p>{LONG}</p><p>{MORE}</p></article>{SIDE}</div></body>", ["T", LONG, MORE]),
+    (f"<body><div class='page comments open'><article><h1>T</h1><p>{LONG}</p><p>{MORE}</p></article><div id=comments><p>Nice article, thank you so much for it!</p></div></div></body>", ["T", LONG, MORE]),
+    (f"<body><article><div class='entry-header'><h1>The title</h1></div><p>{LONG}</p></article></body>", ["The title", LONG]),
+    (f"<body><header class=site-header><a href=/>Home</a></header><article><header class='entry-header'><h1>The title</h1></header><p>{LONG}</p></article></body>", ["The title", LONG]),
+    (f"<article><p>Here is <math><mi>x</mi></math> in the middle of a paragraph.</p><p>{LONG}</p></article>", ["Here is x in the middle of a paragraph.", LONG]),
+    (f"<article><p>{LONG}</p><ul><li><a href=a>first linked item</a></li><li><a href=b>second linked item</a></li></ul><p>{MORE}</p></article>", [LONG, "first linked item", "second linked item", MORE]),
+    (f"<html><head><title>x</title><meta a=b><div><article><p>{LONG}</p></article></div>", [LONG]),
+    (f"<head><title>x</title><p>{LONG}</p><p>{MORE}</p>", [LONG, MORE]),
+    (f"<body><form id=f1><div><h1>T</h1><p>{LONG}</p><p>{MORE}</p></div></form></body>", ["T", LONG, MORE]),
+    (f"<body><main><article><h1>T</h1><p>{LONG}</p></article><section id=comments><h3>Comments</h3><article><p>A fine and long enough article, thanks.</p></article><article><p>{MORE}</p></article></section></main></body>", ["T", LONG]),
+    ("<body><header>Site</header><main><article><h1>T</h1><p>a b &lt;c&gt;.<form><label>mail</label></form><aside>More</aside></article><section id=comments><h3>Comments</h3><article><p>A fine and long enough article, thanks.</p></article></section></main><div class='cookie-notice'>We use cookies here.</div>", ["T", "a b <c>."]),
+    (f"<body><div class='header'><h1>Site name</h1><p>Tagline</p></div><div class=post><h2>T here</h2><p>{LONG}</p><p>{MORE}</p></div><div class=footer><p>Copyright by the owners, all rights reserved here.</p></div></body>", ["T here", LONG, MORE]),
+]
+
+
+@pytest.mark.parametrize("page, article", PAGES)
+def test_layouts(page, article):
+    assert html_extraction.main_text(page).split("\n\n") == article
+
+
+def test_unclosed_elements_swallow_nothing():
+    got = html_extraction.main_text(f"<body><article><h1>T</h1><button>Go<p>{LONG}</p><svg><p>{MORE}</p></article></body>").split("\n\n")
+    assert {"T", LONG, MORE} <= set(got)
+
+
 def test_token_counts(spark, awkward):
     library, texts = Tokenizer.from_file(BYTE), strings()
     assert TokenCounter(BYTE).count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -185,20 +212,35 @@ def test_language_id(spark, awkward):
     assert {r["lang_pred"] for r in langid.language_id(awkward, {}).collect()} == {"und"}
 
 
-def test_cross_parsing_counts_phrases():
-    reference, parser = "abcabd", langid.CrossParser({"r": "abcabd"})
+def greedy(parser, sample, text):
+    """Phrases of a whole text, one after the other; symbols that the sample lacks are phrases by themselves."""
+    reference, symbols = ("".join(chr(256 + x) for x in parser.symbols(t).tolist()) for t in (sample, text))
+    n = at = 0
+    while at < len(symbols):
+        k = 1
+        while symbols[at] in reference and at + k < len(symbols) and symbols[at : at + k + 1] in reference:
+            k += 1
+        at, n = at + k, n + 1
+    return n
 
-    def brute(text):
-        n = at = 0
-        while at < len(text):
-            k = 1
-            while at + k < len(text) and text[at : at + k + 1] in reference:
-                k += 1
-            at, n = at + k, n + 1
-        return n
 
-    texts = ["abc", "abdabc", "ddd", "cabdb", "zza", "abcabdabcabd"]
-    assert parser.phrases(texts)[0][0].tolist() == [brute(t) for t in texts]
+@pytest.mark.parametrize("segment, before", [(256, 40), (7, 2), (5, 0)])
+def test_cross_parsing_counts_phrases(monkeypatch, segment, before):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "BEFORE", before)
+    parser = langid.CrossParser({"r": "abcabd"})
+    assert parser.phrases(["abczabc", "abczzabcz", "zza", "ddd"])[0][0].tolist() == [3, 5, 3, 3]
+    rnd = random.Random(8)
+    for _ in range(12):  # letters of the sample, others and breaks, up to many segments
+        samples = {"q": "xyz abc xyzzy", "r": "".join(rnd.choice("abcd  .") for _ in range(rnd.choice([3, 50, 300]))) + "a"}
+        parser = langid.CrossParser(samples)
+        texts = ["".join(rnd.choice("abcdz é-1 ") for _ in range(rnd.choice([0, 5, 60, 900]))) for _ in range(6)]
+        found = parser.phrases(texts)[0]
+        assert [found[k].tolist() for k in (0, 1)] == [[greedy(parser, samples[x], t) for t in texts] for x in parser.langs]
+
+
+def tokens(text):
+    return [*(w.encode() for w in split(text)), b" "]
 
 
 def test_brown_lm(spark, awkward):
@@ -217,7 +259,16 @@ def test_brown_lm(spark, awkward):
     frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
     model = brown_lm.fit(frame, frame["doc_id"] % 2 == 0)
     whole, few = ({r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown_lm.perplexity_scores(frame, model, broadcast_words=k).collect()} for k in (10**6, 50))
-    assert whole == few
+    assert whole == few == {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown_lm.fitted_scores(model).collect()}
+    # every score by hand, from the classes, counts and transitions of the model
+    lexicon = {bytes(r["word"]): (r["c"], r["k"]) for r in model.counts.collect()}
+    for d in docs:
+        before = want = 0
+        for w in tokens(d["text"]):
+            c, k = lexicon.get(w) or (0, model.classes.of(w))
+            want += model.transition[before, k] + math.log10((c + brown_lm.EMISSION) / (model.mass[k] + brown_lm.EMISSION * (model.types[k] + 1)))
+            before = k
+        assert whole[d["doc_id"]][2] == pytest.approx(want, abs=1e-5)
     # emissions and transitions are distributions: over all words, known or not, after any class
     assert np.allclose((10**model.transition).sum(1), 1)
     assert brown_lm.perplexity_scores(awkward, model).count() == len(AWKWARD)
@@ -240,11 +291,11 @@ def test_brown_classes_of_rare_words_follow_their_neighbours(spark):
     whole, few = (brown_lm.fit(frame, frame["doc_id"] >= 0, clustered=4, classes=3, broadcast_words=k) for k in (1000, 2))
     k = {bytes(r["word"]): r["k"] for r in whole.counts.collect()}
     assert k[b"sat"] == k[b"met"] == k[b"xa"] == k[b"ya"] != k[b"at"] == k[b"et"] and len(k) == 7
-    assert {bytes(r["word"]): r["c"] for r in whole.counts.collect()} == collections.Counter(w for t in texts for w in brown_lm.tokens(t))
+    assert {bytes(r["word"]): r["c"] for r in whole.counts.collect()} == collections.Counter(w for t in texts for w in tokens(t))
     # every bigram counts with these classes, whether its words are in the bounded table or joined
     table = np.zeros((3, 3))
     for t in texts:
-        ids = [0, *(k[w] for w in brown_lm.tokens(t))]
+        ids = [0, *(k[w] for w in tokens(t))]
         for a, b in zip(ids, ids[1:]):
             table[a, b] += 1
     share = (whole.mass + 1) / (whole.mass + 1).sum()
@@ -281,6 +332,21 @@ def test_url_filters(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filters(blocked).collect()}[100] == "block"
 
 
+def test_path_tree_of_any_depth(spark):
+    """Labelled sections that differ only deep down, and a blocked section among many allowed ones."""
+    from mediacat.llm.url_filters import url_filters
+
+    rules = [("block", f"deep.com/a/b/c/d/spam/{k}") for k in range(6)] + [("allow", f"deep.com/a/b/c/d/good/{k}") for k in range(6)]
+    rules += [("allow", f"wide.com/s{chr(97 + k)}/x") for k in range(12)] + [("block", "wide.com/bad/x")]
+    urls = [f"http://deep.com/a/b/c/d/{kind}/{k}{j}" for kind in ("spam", "good") for k in range(6) for j in range(8)]
+    urls += [f"http://wide.com/s{chr(97 + k)}/x{j}" for k in range(12) for j in range(10)] + [f"http://wide.com/bad/x{j}" for j in range(60)]
+    open_ = ["http://deep.com/a/b/c/d/spam/999", "http://deep.com/a/b/c/d/good/999", "http://wide.com/bad/7", "http://wide.com/sb/7", "http://wide.com/new/7"]
+    df = spark.createDataFrame(list(enumerate(open_ + urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filters(df, rules).where("page_id < 5").collect()}
+    assert [got[k][0] for k in range(5)] == ["block", "allow", "block", "allow", "allow"]
+    assert got[0][1] == "/*/*/*/*/spam" and got[2][1] == "/bad"
+
+
 def brute_components(rows, size, percent):
     sets = []
     for i, t in rows:
