@@ -1,17 +1,20 @@
 """Versioned Parquet snapshots of a catalogue: read, publish, meta, identities.
 
-A version is a folder ``v=N`` that holds every table; ``publish`` writes the next one completely before its
-``_COMMITTED`` marker, and readers take the newest marked version, so a half-written one is never seen.
+A version is a folder ``v=N`` that holds the tables which that version changed, and ``_COMMITTED``, a JSON map from each table to
+the version that holds it.  ``publish`` writes the changed tables before that file, and readers take the newest version that has
+it: a half-written one is never seen, and unchanged tables are not written again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import SCHEMA_VERSION, TABLES, conform, empty
+from .storage import kept
 
 ROOT_ID = r"^[0-9a-f]{16}$"
 
@@ -38,26 +41,54 @@ class Catalog:
         found = [s.getPath() for s in fs.listStatus(path(self.base)) if s.getPath().getName().startswith("v=")]
         return max([int(p.getName()[2:]) for p in found if fs.exists(path(f"{p}/_COMMITTED"))], default=0)
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
+    def _where(self, version: int) -> dict[str, int]:
+        """The version that holds each table, as seen by ``version``."""
+        if not version:
+            return {}
         fs, path = self._fs()
-        where = f"{self.base}/v={v}/{table}"
-        if not v or not fs.exists(path(where)):
+        stream = fs.open(path(f"{self.base}/v={version}/_COMMITTED"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        held = self._where(self.version() if version is None else version)
+        if table not in held:
             return empty(self.spark, table)
-        return conform(self.spark.read.parquet(where), table)
+        return conform(self.spark.read.parquet(f"{self.base}/v={held[table]}/{table}"), table)
 
     def publish(self, changed: dict[str, DataFrame]) -> int:
-        """Writes a version in which ``changed`` replaces those tables; the others are carried over."""
-        old, new = self.version(), self.version() + 1
+        """Writes a version in which ``changed`` replaces those tables; the others stay where they are."""
+        old = self.version()
+        new = old + 1
         fs, path = self._fs()
         fs.delete(path(f"{self.base}/v={new}"), True)  # an uncommitted leftover
-        for table in TABLES:
-            df = changed.get(table)
-            df = self.read(table, old) if df is None else conform(df, table)
-            df.write.mode("overwrite").parquet(f"{self.base}/v={new}/{table}")
-        fs.create(path(f"{self.base}/v={new}/_COMMITTED")).close()
+        held = self._where(old)
+        for table, df in changed.items():
+            conform(df, table).write.mode("overwrite").parquet(f"{self.base}/v={new}/{table}")
+            held[table] = new
+        fs.mkdirs(path(f"{self.base}/v={new}"))
+        out = fs.create(path(f"{self.base}/v={new}/_COMMITTED"))
+        try:
+            out.write(bytearray(json.dumps(held).encode()))
+        finally:
+            out.close()
         return new
 
+    def clean(self) -> None:
+        """Deletes tables that the newest version does not hold any more; no older version can be read afterwards."""
+        fs, path = self._fs()
+        last = self.version()
+        held = self._where(last)
+        for v in range(1, last):
+            for table in TABLES:
+                if held.get(table) != v:
+                    fs.delete(path(f"{self.base}/v={v}/{table}"), True)
+            if v not in held.values():
+                fs.delete(path(f"{self.base}/v={v}"), True)
+
     def migrate(self) -> int:
         """Brings the catalogue to the present schema version; repeating it changes nothing."""
         meta = self.read("meta")
@@ -78,12 +109,11 @@ def get_meta(meta: DataFrame, key: str) -> str | None:
 
 
 def assign_ids(new: DataFrame, existing: DataFrame, order: str, id_col: str = "id") -> DataFrame:
-    """Ids for new rows: their rank by ``order`` after the largest existing id.  Ranks come from a sort over ranges and a
-    count per range, so that no task numbers all rows."""
-    ranged = new.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.persist()
+    """Ids for new rows: their rank by ``order`` after the largest existing id.  The rows are kept in sorted ranges first, so that
+    whoever reads them finds the same ranges; ranks come from a count per range, and no task numbers all rows."""
+    ranged = kept(new.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a range
     top = existing.agg(F.max(id_col)).first()[0] or 0
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     out = ranged.join(F.broadcast(before), "_part").withColumn(id_col, F.lit(top) + F.coalesce("_before", F.lit(0)) + inside)

@@ -35,7 +35,8 @@ def pdf_stamp(text: Column) -> Column:
 
 
 def mtime_stamp(mtime: Column) -> Column:
-    return F.timestamp_seconds(F.floor(mtime)).cast("timestamp_ntz")
+    """Null for what is no time of the years 1 to 9999."""
+    return F.when((mtime >= -62135596800) & (mtime < 253402300800), F.timestamp_seconds(F.floor(mtime)).cast("timestamp_ntz"))
 
 
 def iso_day(stamp: Column) -> Column:

@@ -38,19 +38,28 @@ def number(value: Column) -> Column:
     return F.when(~F.isnan(x) & (x > 0), x)
 
 
+def short_number(x: Column) -> Column:
+    """Up to six significant digits without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.6g", x), r"(?:\.0+|(\.[0-9]*?)0+)$", "$1")
+
+
 def exif_description(e: Column) -> Column:
-    """Label and value pairs of an EXIF struct (make, model, lens, exposure, aperture, iso, focal, flash), absent ones left out."""
-    exposure, aperture, iso, focal = (number(e[n]) for n in ("exposure", "aperture", "iso", "focal"))
+    """Label and value pairs of an EXIF struct (make, model, lens, exposure, aperture, iso, focal, focal35, flash, software), absent ones
+    left out."""
+    exposure, aperture, iso, focal, focal35 = (number(e[n]) for n in ("exposure", "aperture", "iso", "focal", "focal35"))
     pair = lambda label, value: F.when(value.isNotNull(), F.struct(F.lit(label).alias("label"), value.alias("value")))
-    text = lambda c: F.nullif(F.btrim(c), F.lit(""))
+    text = lambda c: F.nullif(F.btrim(c, F.lit("\x00 ")), F.lit(""))
+    none = F.lit(None).cast("string")
+    wide = F.when(focal35.isNotNull(), F.format_string(" (%.0f mm equiv.)", focal35)).otherwise("")
     return F.array_compact(
         F.array(
             pair("Camera", F.nullif(F.concat_ws(" ", text(e["make"]), text(e["model"])), F.lit(""))),
             pair("Lens", text(e["lens"])),
-            pair("Exposure", F.when(exposure.isNull(), F.lit(None).cast("string")).when(exposure < 1, F.format_string("1/%d s", F.round(1 / exposure).cast("long"))).otherwise(F.format_string("%.1f s", exposure))),
+            pair("Exposure", F.when(exposure.isNull(), none).when(exposure < 1, F.format_string("1/%d s", F.bround(1 / exposure).cast("long"))).otherwise(F.concat(short_number(exposure), F.lit(" s")))),
             pair("Aperture", F.when(aperture.isNotNull(), F.format_string("f/%.1f", aperture))),
-            pair("ISO", F.when(iso.isNotNull(), F.format_string("%d", iso.cast("long")))),
-            pair("Focal length", F.when(focal.isNotNull(), F.format_string("%.1f mm", focal))),
+            pair("ISO", F.when(iso.isNotNull(), F.format_string("%.0f", iso))),
+            pair("Focal length", F.when(focal.isNotNull(), F.concat(F.format_string("%.1f mm", focal), wide))),
             pair("Flash", F.when(e["flash"].isNotNull(), F.when(e["flash"].bitwiseAND(1) == 1, "fired").otherwise("not fired"))),
+            pair("Software", text(e["software"])),
         )
     )

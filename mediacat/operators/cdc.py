@@ -65,10 +65,11 @@ def pending_changes(known: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def apply_scan(known: DataFrame, seen: DataFrame, force: bool = False, retry_errors: bool = False) -> DataFrame:
-    """The catalogue after a scan: rel_path, kind, size, mtime, status, error, stages_done, change; purged rows are gone.
+    """The catalogue after a scan: rel_path, kind, size, mtime, status, error, stages_done, change, forget_place; purged rows are gone.
 
-    known: those columns but change; seen: rel_path, kind, size, mtime.  A file that reappears is an error, done or pending again
-    by what it had reached."""
+    known: the first seven; seen: rel_path, kind, size, mtime.  A file that reappears is an error, done or pending again
+    by what it had reached.  ``retry_errors`` makes files in error pending as if new, ``force`` all others that have stages, whose
+    positions are forgotten too; both may be given."""
     c = changes(known, seen).where("change <> 'purged'").join(known.select("rel_path", "error", "stages_done"), "rel_path", "left")
     kind, fresh = F.coalesce("new_kind", "old_kind"), F.col("change").isin("new", "changed")
     idle = F.when(kind == "other", "done").otherwise("pending")
@@ -78,12 +79,13 @@ def apply_scan(known: DataFrame, seen: DataFrame, force: bool = False, retry_err
         "rel_path", kind.alias("kind"), F.coalesce("new_size", "old_size").alias("size"), F.coalesce("new_mtime", "old_mtime").alias("mtime"), status.alias("status"),
         F.when(~fresh, F.col("error")).alias("error"), F.when(~fresh, F.col("stages_done")).alias("stages_done"), "change",
     )
-    again = F.lit(False)
-    if force:
-        again = F.col("status").isin("done", "error") & (F.col("kind") != "other")
-    elif retry_errors:
-        again = F.col("status") == "error"
-    return out.withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
+    retried = F.lit(retry_errors) & (F.col("status") == "error")
+    forced = F.lit(force) & ~retried & F.col("status").isin("done", "error") & (F.col("kind") != "other")
+    again = retried | forced
+    return out.withColumns({
+        "status": F.when(again, "pending").otherwise(F.col("status")), "error": F.when(~again, F.col("error")),
+        "stages_done": F.when(~again, F.col("stages_done")), "forget_place": forced,
+    })
 
 
 def scan_stats(scanned: DataFrame) -> DataFrame:
@@ -127,28 +129,34 @@ def merge_faces(old: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.unionByName(stay)
 
 
+#: The stage whose run sets a value, to null if it found none; other values are kept where a run has none.
+VALUE_STAGE = {"hash": "date", "taken_at": "date", "date_source": "date", "lat": "gps", "lon": "gps"}
+
+
 def save_results(files: DataFrame, results: DataFrame) -> DataFrame:
     """results: rel_path, error, ran (stages), and a column ``r_<name>`` for each extracted value.  Failed files keep their old
-    values; a run of gps resets the place; stages add up."""
+    values; a run of a stage overwrites its values, with null too; a run of gps resets the place; stages add up."""
     r = results.select("rel_path", F.col("error").alias("r_error"), F.col("ran").alias("r_ran"), *[c for c in results.columns if c.startswith("r_")])
     joined = files.join(r, "rel_path", "left")
     hit, failed = F.col("r_ran").isNotNull() | F.col("r_error").isNotNull(), F.col("r_error").isNotNull()
     ok = hit & ~failed
-    gps = ok & F.array_contains(F.coalesce("r_ran", _strings([])), "gps")
+    ran = lambda stage: ok & F.array_contains(F.coalesce("r_ran", _strings([])), stage)
     out = {"status": F.when(failed, "error").when(ok, "done").otherwise(F.col("status")), "error": F.when(failed, F.left("r_error", F.lit(500))).when(~ok, F.col("error"))}
     out["stages_done"] = F.when(ok, stages_after(F.col("kind"), F.col("stages_done"), F.col("r_ran"))).otherwise(F.col("stages_done"))
     for c in files.columns:
         if f"r_{c}" in r.columns and c not in out:
-            out[c] = F.when(ok, F.coalesce(f"r_{c}", c)).otherwise(F.col(c))
+            fresh = F.when(ran(VALUE_STAGE[c]), F.col(f"r_{c}")) if c in VALUE_STAGE else F.when(ok, F.coalesce(f"r_{c}", c))
+            out[c] = fresh.when(~ran(VALUE_STAGE[c]) if c in VALUE_STAGE else ~ok, F.col(c))
     for c in ("city", "state", "country"):
         if c in files.columns:
-            out[c] = F.when(~gps, F.col(c))
+            out[c] = F.when(~ran("gps"), F.col(c))
     return joined.withColumns(out).select(*files.columns)
 
 
 def save_texts(texts: DataFrame, new: DataFrame) -> DataFrame:
-    """Replaces all pages of the files in ``new`` (file_id, page, content)."""
-    return texts.join(new.select("file_id").distinct(), "file_id", "left_anti").unionByName(new)
+    """Adds pages (file_id, page, content).  Stale ones went when the scan made their file pending, so recognised pages
+    come beside a text layer that is there already."""
+    return texts.unionByName(new)
 
 
 def save_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
@@ -160,9 +168,14 @@ def cascade(dependents: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return dependents.join(parents.select(F.col("id").alias(key)), key, "left_semi")
 
 
+def unresolved(files: DataFrame) -> DataFrame:
+    """Files with a position that no place has been looked up for."""
+    return files.where("lat IS NOT NULL AND city IS NULL")
+
+
 def resolve_places(files: DataFrame, places: DataFrame) -> DataFrame:
     """Files with places filled in where a position had none; resolved to nowhere is the empty text."""
-    todo = files.where("lat IS NOT NULL AND city IS NULL").select("id", "lat", "lon")
+    todo = unresolved(files).select("id", "lat", "lon")
     found = nearest_place(todo, places).select("id", F.coalesce("name", F.lit("")).alias("_city"), F.coalesce("state", F.lit("")).alias("_state"), F.coalesce("country", F.lit("")).alias("_country"))
     joined = files.join(found, "id", "left")
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in ("city", "state", "country")}).select(*files.columns)

@@ -1,8 +1,8 @@
 """Density clustering under cosine distance, and connected components, without collecting points.
 
 Points meet block by block: every point goes once to each pair of blocks it takes part in, a task multiplies two
-blocks, and only neighbour pairs come out.  All pairs are compared, as the definition asks; the work is
-dealt evenly whatever the data look like."""
+blocks tile by tile, and only neighbour pairs, or the largest similarity for each point and label, come out.  All pairs are
+compared, as the definition asks; the work is dealt evenly whatever the data look like, and a task holds two blocks and one tile."""
 
 from __future__ import annotations
 
@@ -11,82 +11,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
-MAX_STEPS = 60
+from ..storage import kept
 
+#: Points of a block, which are copied to as many tasks as there are blocks, and of a tile, which are multiplied at once.
+BLOCK, TILE = 16_384, 2048
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
 
-            named = "file://" + tempfile.mkdtemp(prefix="mediacat-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint()
-
-
-def similar_pairs(points: DataFrame, least: float, other: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """points: i, v (vectors).  (i, j, sim) of pairs with dot product >= least: i < j within points, or i in points and j in other."""
+def _blocks(points: DataFrame, other: DataFrame | None, block: int) -> DataFrame:
+    """x, y (a pair of blocks), side (0: of points, 1: of other), b (own block), i, v, label: the rows of each task."""
     size = max(1, -(-points.count() // block))
-    deal = lambda df, n: df.select("i", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("b"))
+    deal = lambda df, n: df.select("i", F.col("v").cast("array<float>").alias("v"), F.col("label") if "label" in df.columns else F.lit(None).cast("long").alias("label"), F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("b"))
     left = deal(points, size)
     if other is None:
         both = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        both = both.select("i", "v", "b", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), F.lit(0).alias("side"))
-    else:
-        width = max(1, -(-other.count() // block))
-        a = left.select("i", "v", "b", F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("y"), F.lit(0).alias("side"))
-        c = deal(other, width).select("i", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
-        both = a.unionByName(c)
+        return both.select(F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), F.lit(0).alias("side"), "b", "i", "v", F.col("label").cast("long").alias("label"))
+    width = max(1, -(-other.count() // block))
+    a = left.select(F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("y"), F.lit(0).alias("side"), "b", "i", "v", F.col("label").cast("long").alias("label"))
+    c = deal(other, width).select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "b", "i", "v", F.col("label").cast("long").alias("label"))
+    return a.unionByName(c)
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
+
+
+def similar_pairs(points: DataFrame, least: float, other: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """points: i, v (vectors).  (i, j, sim) of pairs with dot product >= least: i < j within points, or i in points and j in other."""
     alone = other is None
 
     def multiply(key, table):
         x, y = key[0].as_py(), key[1].as_py()
         ids, b, side = (table[n].to_numpy() for n in ("i", "b", "side"))
-        vectors = table["v"].combine_chunks()
-        m = vectors.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+        m = _vectors(table)
         p, q = (np.flatnonzero(b == x), np.flatnonzero(b == y)) if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        sim = m[p] @ m[q].T
-        r, s = np.nonzero(sim >= least)
-        values = sim[r, s]
-        u, v = ids[p[r]], ids[q[s]]
-        if alone:
-            keep = u < v if x == y else u != v
-            u, v, values = np.minimum(u[keep], v[keep]), np.maximum(u[keep], v[keep]), values[keep]
-        return pa.table({"i": u.astype(np.int64), "j": v.astype(np.int64), "sim": values})
+        found = []
+        for at in range(0, len(p), TILE):
+            for to in range(at if alone and x == y else 0, len(q), TILE):
+                sim = m[p[at : at + TILE]] @ m[q[to : to + TILE]].T
+                r, s = np.nonzero(sim >= least)
+                u, v, values = ids[p[at + r]], ids[q[to + s]], sim[r, s]
+                if alone:
+                    ok = u < v if x == y and at == to else u != v
+                    u, v, values = np.minimum(u[ok], v[ok]), np.maximum(u[ok], v[ok]), values[ok]
+                found.append((u, v, values))
+        u, v, values = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        return pa.table({"i": u.astype(np.int64), "j": v.astype(np.int64), "sim": values.astype(np.float64)})
+
+    return _blocks(points, other, block).groupBy("x", "y").applyInArrow(multiply, "i long, j long, sim double")
+
+
+def group_maxima(points: DataFrame, other: DataFrame, others: bool = False, block: int = BLOCK) -> DataFrame:
+    """points: i, v; other: i, v, label.  (i, label, score): the largest dot product of each point with the points of ``other`` of
+    each label; with ``others`` labels of points count too, and only other labels do.  Tasks take their maxima first: no pair is shuffled."""
 
-    return both.groupBy("x", "y").applyInArrow(multiply, "i long, j long, sim double")
+    def multiply(key, table):
+        side, ids, labels = table["side"].to_numpy(), table["i"].to_numpy(), table["label"].to_numpy(zero_copy_only=False)
+        m = _vectors(table)
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        q = q[np.argsort(labels[q], kind="stable")]
+        found = []
+        if len(p) and len(q):
+            own, begins = np.unique(labels[q], return_index=True)
+            for at in range(0, len(p), TILE):
+                rows = p[at : at + TILE]
+                best = np.full((len(rows), len(own)), -np.inf)
+                for to in range(0, len(q), TILE):
+                    sim = m[rows] @ m[q[to : to + TILE]].T
+                    first = int(np.searchsorted(begins, to, "right")) - 1
+                    cuts = np.maximum(begins[first : np.searchsorted(begins, to + sim.shape[1], "left")] - to, 0)
+                    best[:, first : first + len(cuts)] = np.maximum(best[:, first : first + len(cuts)], np.maximum.reduceat(sim, cuts, axis=1))
+                if others:
+                    best[labels[rows][:, None] == own[None, :]] = -np.inf
+                    k = best.argmax(1)
+                    some = np.flatnonzero(best[np.arange(len(rows)), k] > -np.inf)
+                    found.append((ids[rows][some], own[k[some]], best[some, k[some]]))
+                else:
+                    found.append((np.repeat(ids[rows], len(own)), np.tile(own, len(rows)), best.ravel()))
+        i, label, score = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        return pa.table({"i": i.astype(np.int64), "label": label.astype(np.int64), "score": score.astype(np.float64)})
+
+    parts = _blocks(points, other, block).groupBy("x", "y").applyInArrow(multiply, "i long, label long, score double")
+    return parts.groupBy("i", "label").agg(F.max("score").alias("score"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that edges (u, v) reach, for every row of nodes (node); large-star and small-star steps."""
-    now = _checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    """(node, root): the least node that edges (u, v) reach, for every row of nodes (node); large-star and small-star steps until
+    nothing changes, each step kept in the shared folder."""
+    now = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     sign = None
-    for _ in range(MAX_STEPS):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = least.select("u", F.col("m").alias("v")).union(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = _checkpoint(small.distinct())
+        now = kept(small.distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 32)))).first()
         if seen == sign:
-            break
+            return nodes.join(now, nodes["node"] == now["u"], "left").select("node", F.coalesce("v", "node").alias("root"))
         sign = seen
-    return nodes.join(now, nodes["node"] == now["u"], "left").select("node", F.coalesce("v", "node").alias("root"))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
     """points: i, v (unit vectors).  (i, label, is_core): clusters numbered by their lowest core, border points with the lowest
     adjacent cluster, noise -1.  A point counts among its own neighbours; zero vectors are neighbours of nothing."""
-    close = _checkpoint(similar_pairs(points, 1 - eps, block=block).select("i", "j"))
+    close = kept(similar_pairs(points, 1 - eps, block=block).select("i", "j"))
     both = close.union(close.select(F.col("j").alias("i"), F.col("i").alias("j")))
     degree = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("n"))
     cores = points.select("i").join(degree, "i", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("i")
     inner = both.join(cores, "i").join(cores.select(F.col("i").alias("j")), "j")
-    roots = _checkpoint(components(cores.select(F.col("i").alias("node")), inner.select(F.col("i").alias("u"), F.col("j").alias("v"))))
+    roots = kept(components(cores.select(F.col("i").alias("node")), inner.select(F.col("i").alias("u"), F.col("j").alias("v"))))
     numbers = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)  # one row a cluster
     core_labels = roots.join(numbers, "root").select(F.col("node").alias("i"), "label")
     border = both.join(core_labels.select(F.col("i").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("near"))

@@ -1,21 +1,47 @@
-"""Full-text search over pages: postings, phrase match, BM25, best page and snippet as DataFrames."""
+"""Full-text search over pages: a stored inverted index, phrase match, BM25, best page and snippet as DataFrames.
+
+``build_index`` is run when texts change; a search then reads the postings of its own tokens only, clustered by token, and one
+row of statistics.  ``match`` works on the texts themselves, for tables without an index."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.text import fts_query, tokens
+from ..functions.text import fts_query, tokens, tokens_py
 
 K1, B = 1.2, 0.75
 SNIPPET_TOKENS = 12
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings: token, file_id, page, tf, len (tokens of the page), positions; totals: one row, n (pages) and avg (of len)."""
+
+    postings: DataFrame
+    totals: DataFrame
+
+
 def tokenised(texts: DataFrame) -> DataFrame:
     """texts: file_id, page, content.  Adds tokens."""
     return texts.select("file_id", "page", "content", tokens(F.col("content")).alias("tokens"))
 
 
+def postings(texts: DataFrame) -> DataFrame:
+    """token, file_id, page, tf, len, positions: a row for each token of each page."""
+    each = tokenised(texts).select("file_id", "page", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
+    return each.groupBy("token", "file_id", "page", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def totals(texts: DataFrame) -> DataFrame:
+    return tokenised(texts).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avg"))
+
+
 def phrase_count(column: Column, phrase: list[str]) -> Column:
     """How often a phrase occurs in an array of tokens; one pass, no explode."""
     if len(phrase) == 1:
@@ -24,49 +50,142 @@ def phrase_count(column: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(column, lambda t, i: (t == phrase[0]) & (F.slice(column, i + 1, len(phrase)) == wanted)))
 
 
-def match(texts: DataFrame, query: str) -> DataFrame:
-    """Rows of ``texts`` in which every phrase of the query occurs, with score (BM25; statistics over all rows), and tokens.
+def _phrase_positions(at: dict[str, Column], phrase: list[str]) -> Column:
+    """Occurrences of a phrase by the positions of its tokens in a page."""
+    if len(phrase) == 1:
+        return F.size(at[phrase[0]])
+    follows = lambda p: [F.array_contains(at[t], p + k) for k, t in enumerate(phrase) if k]
+
+    def whole(p: Column) -> Column:
+        out = F.lit(True)
+        for x in follows(p):
+            out = out & x
+        return out
+
+    return F.size(F.filter(at[phrase[0]], whole))
 
-    One pass counts phrases and lengths of all rows, as one row of totals comes to the driver; a second one scores."""
+
+def _scored(counted: DataFrame, phrases: list[list[str]], stats: DataFrame) -> DataFrame:
+    """counted: len, tf0, tf1, ...; stats: one row with n, avg, df0, df1, ...  Rows with every phrase, with their BM25 score."""
+    score, hit = F.lit(0.0), F.lit(True)
+    for k in range(len(phrases)):
+        tf, df = F.col(f"tf{k}").cast("double"), F.col(f"df{k}").cast("double")
+        idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.greatest("avg", F.lit(1e-9))))
+        hit = hit & (tf > 0)
+    return counted.join(F.broadcast(stats)).where(hit).withColumn("score", score)  # stats is one row
+
+
+def match(texts: DataFrame, query: str) -> DataFrame:
+    """file_id, page, content, score of the rows of ``texts`` in which every phrase of the query occurs (BM25; statistics over all rows)."""
     phrases = fts_query(query)
     rows = tokenised(texts)
-    counted = rows.select("*", F.size("tokens").alias("len"), *[phrase_count(F.col("tokens"), p).alias(f"tf{k}") for k, p in enumerate(phrases)])
     if not phrases:
-        return counted.where(F.lit(False)).withColumn("score", F.lit(0.0)).drop("len")
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))]).first()
-    score = F.lit(0.0)
-    hit = F.lit(True)
-    for k in range(len(phrases)):
-        tf, df = F.col(f"tf{k}").cast("double"), float(totals[f"df{k}"])
-        ratio = (totals["n"] - df + 0.5) / (df + 0.5)
-        idf = F.greatest(F.ln(F.lit(ratio)), F.lit(1e-6)) if ratio > 1 else F.lit(1e-6)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(float(totals["avg"] or 1))))
-        hit = hit & (tf > 0)
-    return counted.where(hit).select("file_id", "page", "content", "tokens", score.alias("score"))
+        return rows.where(F.lit(False)).select("file_id", "page", "content", F.lit(0.0).alias("score"))
+    counted = rows.select("file_id", "page", "content", F.size("tokens").alias("len"), *[phrase_count(F.col("tokens"), p).alias(f"tf{k}") for k, p in enumerate(phrases)])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))])
+    return _scored(counted, phrases, stats).select("file_id", "page", "content", "score")
+
+
+def match_index(index: Index, query: str) -> DataFrame:
+    """file_id, page, score like ``match``, from the postings of the query's tokens alone."""
+    phrases = fts_query(query)
+    wanted = sorted({t for p in phrases for t in p})
+    mine = index.postings.where(F.col("token").isin(wanted)) if wanted else index.postings.where(F.lit(False))
+    if not phrases:
+        return mine.select("file_id", "page", F.lit(0.0).alias("score"))
+    if phrases == [wanted] and len(wanted) == 1:  # one token: its postings are the counts
+        counted = mine.select("file_id", "page", "len", F.col("tf").alias("tf0"))
+    else:
+        empty = F.array().cast("array<int>")
+        at = {t: F.coalesce(F.first(F.when(F.col("token") == t, F.col("positions")), True), empty) for t in wanted}
+        pages = mine.groupBy("file_id", "page").agg(F.first("len").alias("len"), *[x.alias(f"at{k}") for k, x in enumerate(at.values())])
+        held = {t: F.col(f"at{k}") for k, t in enumerate(at)}
+        counted = pages.select("file_id", "page", "len", *[_phrase_positions(held, p).alias(f"tf{k}") for k, p in enumerate(phrases)])
+    found = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))])
+    return _scored(counted, phrases, index.totals.join(F.broadcast(found))).select("file_id", "page", "score")
 
 
 def best_page(matched: DataFrame) -> DataFrame:
-    """file_id, score, page, content, tokens of each file's best row; the first page wins ties."""
-    best = F.max_by(F.struct("score", "page", "content", "tokens"), F.struct("score", -F.col("page")))
-    return matched.groupBy("file_id").agg(best.alias("b")).select("file_id", "b.score", "b.page", "b.content", "b.tokens")
+    """file_id, score, page of each file's best row; the first page wins ties."""
+    best = F.max_by(F.struct("score", "page"), F.struct("score", -F.col("page")))
+    return matched.groupBy("file_id").agg(best.alias("b")).select("file_id", "b.score", "b.page")
+
+
+#: Letters, digits, private-use characters, and the marks on them.
+_WORD = re.compile("(?:[^\\W_]|[\ue000-\uf8ff])(?:[^\\W_]|[\ue000-\uf8ff\u0300-\u036f])*")
+
+
+def _token_spans(text: str) -> list[tuple[str, int, int]]:
+    """(folded token, begin, end) of each token of a text."""
+    out = []
+    for m in _WORD.finditer(text):
+        folded = tokens_py(m[0])
+        if folded:
+            out.append((folded[0], m.start(), m.end()))
+    return out
+
+
+def snippet_text(text: str | None, phrases: list[list[str]], width: int = SNIPPET_TOKENS) -> str:
+    """The ``width`` tokens of a text that hold the most phrases, each run of phrase words in brackets, ellipses where text is left out.
+
+    A window counts 1000 for each phrase it holds and 1 for each repetition; among windows around an occurrence one that begins a
+    sentence counts 100 more, 120 at the text's beginning.  The first best window is shown."""
+    text = text or ""
+    spans = _token_spans(text)
+    words = [w for w, _, _ in spans]
+    hits = sorted((i, k) for k, p in enumerate(phrases) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p)
+    starts = [0] + [i for i in range(1, len(spans)) if re.search(r"[.:]\s", text[spans[i - 1][2] : spans[i][1] + 1])]
+
+    def score(begin: int) -> tuple[int, int]:
+        """(score, the begin that centres what the window holds)."""
+        seen, total, first, last = set(), 0, -1, 0
+        for i, k in hits:
+            if begin <= i < begin + width:
+                total += 1 if k in seen else 1000
+                seen.add(k)
+                first = i if first < 0 else first
+                last = i + len(phrases[k])
+        centred = first - int((width - (last - first)) / 2)
+        return total, max(0, min(centred, len(words) - width))
+
+    best, begin = 0, 0
+    for i, _ in hits:
+        own, centred = score(i)
+        if own > best:
+            best, begin = own, centred
+        sentence = max((s for s in starts if s <= i), default=0)
+        if len(words) > width and sentence < i:
+            own = score(sentence)[0] + (120 if sentence == 0 else 100)
+            if own > best:
+                best, begin = own, sentence
+    end = min(begin + width, len(words))
+    if not words:
+        return text
+    runs: list[list[int]] = []  # occurrences that overlap stand in one pair of brackets
+    for a, b in sorted((i, min(i + len(phrases[k]), end)) for i, k in hits if begin <= i < end):
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    low = 0 if begin == 0 else spans[begin][1]
+    high = len(text) if end == len(words) else spans[end - 1][2]
+    out, at = ["" if begin == 0 else "…"], low
+    for a, b in runs:
+        out += [text[at : spans[a][1]], "[", text[spans[a][1] : spans[b - 1][2]], "]"]
+        at = spans[b - 1][2]
+    return "".join([*out, text[at:high], "" if end == len(words) else "…"])
 
 
 def snippet(content: Column, query: str) -> Column:
-    """About twelve words around the first match, matches in brackets, ellipses where text is left out."""
-    words = F.split(F.trim(content), r"\s+")
+    """The snippet of a page for a query; meant for the rows of one page of results."""
     phrases = fts_query(query)
-    firsts = F.array(*[F.lit(p[0]) for p in phrases]) if phrases else F.array().cast("array<string>")
-    every = F.array(*[F.lit(t) for p in phrases for t in p]) if phrases else F.array().cast("array<string>")
-    at = F.array_position(F.transform(words, lambda w: F.arrays_overlap(tokens(w), firsts)), True)
-    start = F.greatest(F.lit(1), at - 5).cast("int")
-    shown = F.transform(F.slice(words, start, SNIPPET_TOKENS), lambda w: F.when(F.arrays_overlap(tokens(w), every), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    tail = F.when(start + SNIPPET_TOKENS <= F.size(words), "…").otherwise("")
-    return F.concat(F.when(start > 1, "…").otherwise(""), F.array_join(shown, " "), tail)
 
+    @F.pandas_udf(StringType())
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: snippet_text(t, phrases))
 
-def postings(texts: DataFrame) -> DataFrame:
-    """token, file_id, page, tf, positions: the inverted index as a table, to be stored clustered by token."""
-    return tokenised(texts).select("file_id", "page", F.posexplode("tokens").alias("pos", "token")).groupBy("token", "file_id", "page").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return cut(content)
 
 
 def token_frequencies(texts: DataFrame) -> DataFrame:

@@ -7,9 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nocase, person_name
+from ..catalog import upsert
+from ..functions.text import nocase, person_name, person_reference
 from ..functions.vectors import has_signature
-from .cluster import dbscan, similar_pairs
+from .cluster import dbscan, group_maxima
+
+
+#: Numbers in a face's signature.
+EMBEDDING = 128
 
 
 @dataclass(frozen=True)
@@ -21,7 +26,7 @@ class Settings:
 
     def checked(self) -> Settings:
         """Itself, or ValueError: no setting of an invalid set is used."""
-        for name, low, high in (("auto", 0.3, 0.99), ("suggest", 0.3, 0.99), ("eps", 0.05, 0.7), ("min_samples", 2, 50)):
+        for name, low, high in (("auto", 0.3, 0.99), ("suggest", 0.2, 0.99), ("eps", 0.05, 0.7), ("min_samples", 2, 50)):
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must lie between {low} and {high}")
         if self.suggest > self.auto:
@@ -29,10 +34,32 @@ class Settings:
         return self
 
 
+#: The keys of meta that hold a folder's settings.
+META_KEYS = {"auto": "faces_t_auto", "suggest": "faces_t_suggest", "eps": "faces_eps"}
+
+
 def effective_settings(meta: DataFrame, defaults: DataFrame) -> DataFrame:
-    """defaults: key, value.  The defaults with what meta overrides under ``faces_<key>``."""
-    own = meta.select(F.regexp_replace("key", "^faces_", "").alias("key"), F.col("value").cast("string").alias("own"))
-    return defaults.join(own, "key", "left").select("key", F.coalesce("own", "value").alias("value"))
+    """defaults: key, value.  The defaults with what meta overrides under the key's entry of ``META_KEYS``."""
+    keys = F.create_map(*[F.lit(x) for pair in META_KEYS.items() for x in pair])
+    own = meta.select(F.col("key").alias("_key"), F.col("value").cast("string").alias("own"))
+    return defaults.join(own, F.col("_key") == keys[F.col("key")], "left").select("key", F.coalesce("own", "value").alias("value"))
+
+
+def load_settings(meta: DataFrame) -> Settings:
+    """The settings saved for the folder, defaults where there are none."""
+    saved = {r["key"]: r["value"] for r in meta.where(F.col("key").isin(list(META_KEYS.values()))).collect()}
+    return Settings(**{name: float(saved[key]) for name, key in META_KEYS.items() if key in saved})
+
+
+def save_settings(meta: DataFrame, s: Settings) -> DataFrame:
+    """meta with the settings; ValueError, and nothing saved, if one of them is out of range."""
+    s = s.checked()
+    rows = meta.sparkSession.createDataFrame([(key, repr(float(getattr(s, name)))) for name, key in META_KEYS.items()], "key string, value string")
+    return upsert(meta, rows, ["key"])
+
+
+def reset_settings(meta: DataFrame) -> DataFrame:
+    return meta.where(~F.col("key").isin(list(META_KEYS.values())))
 
 
 def detections(found: DataFrame, least: float = 0.8, side: int = 40) -> DataFrame:
@@ -63,9 +90,10 @@ def references(faces: DataFrame) -> DataFrame:
 
 def person_scores(candidates: DataFrame, refs: DataFrame) -> DataFrame:
     """face_id, person_id, score: the largest similarity to a reference face of the person (-1 if none is above)."""
-    pairs = similar_pairs(candidates.select(F.col("id").alias("i"), F.col("embedding").alias("v")), -1.0, refs.select(F.col("id").alias("i"), F.col("embedding").alias("v")))
-    owner = refs.select(F.col("id").alias("j"), "person_id")
-    return pairs.join(owner, "j").groupBy(F.col("i").alias("face_id"), "person_id").agg(F.max("sim").alias("score"))
+    best = group_maxima(
+        candidates.select(F.col("id").alias("i"), F.col("embedding").alias("v")), refs.select(F.col("id").alias("i"), F.col("embedding").alias("v"), F.col("person_id").alias("label"))
+    )
+    return best.select(F.col("i").alias("face_id"), F.col("label").alias("person_id"), F.greatest("score", F.lit(-1.0)).alias("score"))
 
 
 def decide(scores: DataFrame, negatives: DataFrame, people: DataFrame, s: Settings) -> DataFrame:
@@ -147,6 +175,17 @@ def person_for_name(people: DataFrame, name: str) -> tuple[int, DataFrame]:
     return new, people.unionByName(row)
 
 
+def person_from_reference(people: DataFrame, text: str) -> tuple[int | None, DataFrame]:
+    """(id, people) for ``#12`` or ``12``, which must exist, or a name, which is made where nobody has it; (None, people) if blank or
+    unknown."""
+    kind, value = person_reference(text)
+    if kind == "name":
+        return person_for_name(people, value)
+    if kind == "id" and people.where(F.col("id") == value).limit(1).count():
+        return value, people
+    return None, people
+
+
 def assign_face(faces: DataFrame, negatives: DataFrame, face: int, person: int) -> tuple[DataFrame, DataFrame]:
     """The user says whose face it is; a veto against it goes."""
     own = F.col("id") == face
@@ -168,9 +207,10 @@ def remove_face(faces: DataFrame, people: DataFrame, negatives: DataFrame, face:
 
 
 def add_manual_face(faces: DataFrame, row: dict) -> DataFrame:
-    """row: file_id, bbox, embedding, person_id."""
+    """row: file_id, bbox, person_id, and det_score and embedding if a face was found in the box: without them the score is 0 and
+    the signature the zero vector, which is like nothing."""
     new = (faces.agg(F.max("id")).first()[0] or 0) + 1
-    values = {"id": new, "det_score": 1.0, "assign_source": "user", "assign_score": None, "manual": True, **row}
+    values = {"id": new, "det_score": 0.0, "embedding": [0.0] * EMBEDDING, "assign_source": "user", "assign_score": None, "manual": True, **row}
     return faces.unionByName(faces.sparkSession.createDataFrame([tuple(values.get(c) for c in faces.columns)], faces.schema))
 
 
@@ -186,11 +226,8 @@ def top_two(scores: DataFrame) -> DataFrame:
 
 
 def impostor_scores(points: DataFrame) -> DataFrame:
-    """points: i, v, label.  The best similarity of each to a point of another label (-1 if none)."""
-    pairs = similar_pairs(points, -1.0)
-    both = pairs.select("i", "j", "sim").union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
-    marked = both.join(points.select("i", "label"), "i").join(points.select(F.col("i").alias("j"), F.col("label").alias("other")), "j")
-    return marked.where("label <> other").groupBy("i").agg(F.max("sim").alias("score"))
+    """points: i, v, label.  The best similarity of each to a point of another label."""
+    return group_maxima(points, points, others=True).groupBy("i").agg(F.max("score").alias("score"))
 
 
 def sweep(values: DataFrame, column: str, thresholds: list[float]) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import day_key, fold_name, fts_fold_py, person_reference, place_label, ui_fold
+from ..functions.text import day_key, fold_name, fold_name_udf, fts_fold_py, person_reference, place_label, ui_fold
 from ..functions.vectors import dot, literal
 from . import fts
 
@@ -28,7 +28,7 @@ class Query:
     city: str | None = None
     stickers: bool = False
     order: str = "relevance"
-    limit: int = 50
+    limit: int = 20
     offset: int = 0
 
     def clamped(self) -> Query:
@@ -41,11 +41,15 @@ class Query:
 
 @dataclass(frozen=True)
 class Catalogue:
+    """The tables that a search reads.  With ``index`` it reads postings instead of texts; with a column ``name_key`` of people
+    (see ``with_name_keys``) a person's name is found by equality."""
+
     files: DataFrame
     texts: DataFrame
     faces: DataFrame
     people: DataFrame
     clip: DataFrame
+    index: fts.Index | None = None
 
 
 @dataclass(frozen=True)
@@ -88,19 +92,19 @@ def hit_columns(score: Column, page: Column, snippet: Column) -> list[Column]:
     return [F.col("id"), F.col("rel_path"), F.col("kind"), F.col("taken_at"), score.alias("score"), page.alias("page"), snippet.alias("snippet"), label.alias("place")]
 
 
-def _nothing() -> list[Column]:
-    return hit_columns(F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("string"))
+def _no_snippet() -> Column:
+    return F.lit(None).cast("string")
 
 
 def listing(c: Catalogue, q: Query) -> DataFrame:
-    """Hits without text, newest first."""
-    return candidates(c, q).select(*_nothing()).orderBy(F.desc_nulls_last("taken_at"), F.desc("id"))
+    """Hits without text, newest first, each with score 1."""
+    return candidates(c, q).select(*hit_columns(F.lit(1.0), F.lit(None).cast("int"), _no_snippet())).orderBy(F.desc_nulls_last("taken_at"), F.desc("id"))
 
 
 def text_scores(c: Catalogue, q: Query) -> DataFrame:
-    """file_id, score, page, snippet of the best page of each candidate that matches."""
-    matched = fts.match(c.texts, q.text).join(candidates(c, q).select(F.col("id").alias("file_id")), "file_id")
-    return fts.best_page(matched).select("file_id", "score", "page", fts.snippet(F.col("content"), q.text).alias("snippet"))
+    """file_id, score, page of the best page of each candidate that matches."""
+    found = fts.match_index(c.index, q.text) if c.index else fts.match(c.texts, q.text)
+    return fts.best_page(found.join(candidates(c, q).select(F.col("id").alias("file_id")), "file_id", "left_semi"))
 
 
 def vector_scores(c: Catalogue, q: Query, vector: list[float], least: float = CLIP_LEAST) -> DataFrame:
@@ -116,19 +120,15 @@ def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(F.broadcast(bounds)).withColumn(out, scaled).drop("lo", "hi")  # bounds is one row
 
 
-def fused(c: Catalogue, q: Query, vector: list[float] | None) -> DataFrame:
+def fused(c: Catalogue, q: Query, vector: list[float] | None, text_weight: float = 1 - CLIP_WEIGHT) -> DataFrame:
     """All hits of text and vector, each side scaled over its own matches, missing sides 0."""
-    text = min_max(text_scores(c, q), "score", "fts").select("file_id", "fts", "page", "snippet")
-    if vector is None:
-        both = text.withColumn("clip", F.lit(None).cast("double"))
-    else:
-        both = text.join(min_max(vector_scores(c, q, vector), "sim", "clip").select("file_id", "clip"), "file_id", "full_outer")
-    if vector is None:
-        score = F.col("fts")
-    else:
-        score = CLIP_WEIGHT * F.coalesce("clip", F.lit(0.0)) + (1 - CLIP_WEIGHT) * F.coalesce("fts", F.lit(0.0))
+    both = min_max(text_scores(c, q), "score", "fts").select("file_id", "fts", "page")
+    score = text_weight * F.coalesce("fts", F.lit(0.0))
+    if vector is not None:
+        both = both.join(min_max(vector_scores(c, q, vector), "sim", "clip").select("file_id", "clip"), "file_id", "full_outer")
+        score = score + CLIP_WEIGHT * F.coalesce("clip", F.lit(0.0))
     files = c.files.select("id", "rel_path", "kind", "taken_at", "city", "state", "country")
-    return both.withColumn("total", score).join(files, F.col("file_id") == F.col("id")).select(*hit_columns(F.col("total"), F.col("page"), F.col("snippet")))
+    return both.withColumn("total", score).join(files, F.col("file_id") == F.col("id")).select(*hit_columns(F.col("total"), F.col("page"), _no_snippet()))
 
 
 def ranked(hits: DataFrame, order: str) -> DataFrame:
@@ -140,36 +140,58 @@ def page(hits: DataFrame, q: Query) -> DataFrame:
     return hits.offset(q.offset).limit(q.limit)
 
 
+def with_snippets(c: Catalogue, hits: DataFrame, text: str) -> DataFrame:
+    """One page of hits with the snippets of their pages.  Its rows, 500 at most, come to the driver once, and only the
+    texts of these files are read."""
+    spark = hits.sparkSession
+    rows = hits.collect()
+    local = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "`_at` int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema))
+    ids = sorted({r["id"] for r in rows if r["page"] is not None})
+    if not ids:
+        return local.orderBy("_at").drop("_at")
+    shown = c.texts.where(F.col("file_id").isin(ids)).select(F.col("file_id").alias("id"), "page", "content")
+    shown = shown.join(F.broadcast(local.select("id", "page")), ["id", "page"], "left_semi").select("id", "page", fts.snippet(F.col("content"), text).alias("_snippet"))
+    out = local.join(F.broadcast(shown), ["id", "page"], "left").withColumn("snippet", F.col("_snippet"))
+    return out.orderBy("_at").select(*hits.columns)
+
+
+def with_name_keys(people: DataFrame) -> DataFrame:
+    """People with ``name_key``, the folded name: made when people change, so that searches compare it by equality."""
+    return people.withColumn("name_key", fold_name_udf(F.col("name")))
+
+
 def find_person(people: DataFrame, text: str) -> int | None:
     """The named person, hidden ones too, whose folded name equals the text; the lowest id wins."""
     wanted = fold_name(text)
     if not wanted:
         return None
-    found = [r["id"] for r in people.where("name IS NOT NULL").select("id", "name").toLocalIterator() if fold_name(r["name"]) == wanted]
-    return min(found, default=None)
+    keyed = people if "name_key" in people.columns else with_name_keys(people)
+    return keyed.where("name IS NOT NULL").where(F.col("name_key") == wanted).agg(F.min("id")).first()[0]
 
 
-def search(c: Catalogue, q: Query, encode_text=None) -> Results:
-    """The three branches: no text, a person's name, and the general one."""
+def search(c: Catalogue, q: Query, encode_text=None, snippets: bool = True) -> Results:
+    """The three branches: no text, a person's name, and the general one.  Parameters out of range are clamped."""
+    q = q.clamped()
     text = q.text.strip()
     if not text:
         found = listing(c, q)
         return Results(page(found, q), found)
+    shown = lambda hits: with_snippets(c, hits, text) if snippets else hits
     person = find_person(c.people, text)
     if person is not None:
         photos = listing(c, replace(q, text="", people=(*q.people, person)))
-        mentions = ranked(fused(c, replace(q, text=text), None), "relevance").limit(q.limit)
-        return Results(page(photos, q), photos, mentions, person)
+        mentions = ranked(fused(c, replace(q, text=text), None, 1.0), q.order).limit(q.limit)
+        return Results(page(photos, q), photos, shown(mentions), person)
     vector = encode_text(text) if encode_text else None
     found = ranked(fused(c, replace(q, text=text), vector), q.order)
     without = candidates(c, q).agg(F.count(F.lit(1)).alias("total")) if q.people or q.date_from or q.date_to or q.kinds else None
-    return Results(page(found, q), found, without_text=without)
+    return Results(shown(page(found, q)), found, without_text=without)
 
 
 def search_text(c: Catalogue, text: str, limit: int = 50) -> DataFrame:
     """Full text alone."""
-    q = Query(text=text, limit=limit)
-    return page(ranked(fused(c, q, None), "relevance"), q)
+    q = Query(text=text, limit=limit).clamped()
+    return with_snippets(c, page(ranked(fused(c, q, None, 1.0), "relevance"), q), text)
 
 
 def live_file(files: DataFrame, file_id: int) -> DataFrame:

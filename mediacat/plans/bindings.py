@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.search import Catalogue
+from ..operators import fts
+from ..operators.search import Catalogue, with_name_keys
+from ..storage import kept
 
 FILES = """
 SELECT doc_id AS id, concat(source, '/', CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, CAST(doc_id AS STRING),
@@ -26,10 +28,11 @@ FROM documents
 PEOPLE = """
 SELECT CAST(id AS BIGINT) AS id, name, hidden, CAST(cover AS BIGINT) AS cover_face_id FROM (VALUES (0, 'Maria Souza', false, 30), (1, 'João Lima', false, NULL),
   (2, 'Ana', false, 9000000), (3, 'Zé', true, NULL), (4, 'ana maria', false, NULL), (5, NULL, false, NULL), (6, NULL, false, NULL), (7, NULL, false, NULL),
-  (8, NULL, false, NULL), (9, NULL, false, NULL), (10, 'Ninguém', false, NULL)) AS t(id, name, hidden, cover)
+  (8, NULL, false, NULL), (9, NULL, false, NULL), (10, 'Ninguém', false, NULL),
+  (11, 'Of The', false, NULL)) AS t(id, name, hidden, cover)
 """
 FACES = """
-SELECT vec_id AS id, (vec_id * 7) % 200 AS file_id, CAST((vec_id * 37) % 1000 AS DOUBLE) / 1000 AS det_score, embedding,
+SELECT vec_id AS id, (vec_id * 7) % 100 AS file_id, CAST((vec_id * 37) % 1000 AS DOUBLE) / 1000 AS det_score, embedding,
        CAST(CASE WHEN vec_id % 3 = 0 THEN label END AS BIGINT) AS person_id,
        CASE WHEN vec_id % 3 = 0 THEN CASE vec_id % 12 WHEN 0 THEN 'cluster' WHEN 3 THEN 'user' WHEN 6 THEN 'auto' ELSE 'suggested' END END AS assign_source,
        CASE WHEN vec_id % 12 IN (6, 9) THEN CAST((vec_id * 13) % 100 AS DOUBLE) / 100 END AS assign_score, false AS manual
@@ -94,7 +97,28 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
 
 
+_INDEXES: dict[tuple[str, str], tuple[fts.Index, DataFrame]] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[fts.Index, DataFrame]:
+    """The full-text index and the people with folded names, which a published catalogue holds: made once a session and
+    folder, as an index run would, and read by every search after that."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        texts = bound(spark, sf_dir, "texts")
+        index = fts.Index(kept(fts.postings(texts), "token"), kept(fts.totals(texts)))
+        _INDEXES[key] = index, kept(with_name_keys(bound(spark, sf_dir, "people")))
+    return _INDEXES[key]
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The catalogue as a search reads it: with its index."""
+    index, people = indexed(spark, sf_dir)
+    return Catalogue(*[people if n == "people" else bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")], index)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The bare tables, for queries without text."""
     return Catalogue(*[bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")])
 
 

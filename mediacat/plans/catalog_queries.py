@@ -11,7 +11,7 @@ from ..functions import dates, geo, text
 from ..operators import browse, cdc, cluster, fts, people, search
 from ..sources import listing
 from ..streaming import monitor
-from .bindings import bound, catalogue, with_bound
+from .bindings import bound, catalogue, indexed, tables, with_bound
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,13 +41,13 @@ HIT = "id, rel_path, kind, taken_at"
 # --- listing and filters -----------------------------------------------------------------------------------------
 @query(f"SELECT {HIT} FROM b_files WHERE {VISIBLE} AND kind IN ('image') AND substr(taken_at, 1, 10) BETWEEN '2019-06-01' AND '2021-12-31' ORDER BY taken_at DESC NULLS LAST, id DESC LIMIT 50", ("files",))
 def files_plain_page(spark, sf):
-    q = search.Query(kinds=("image",), date_from="2019-06-01", date_to="2021-12-31")
-    return search.search(catalogue(spark, sf), q).hits.select("id", "rel_path", "kind", "taken_at")
+    q = search.Query(kinds=("image",), date_from="2019-06-01", date_to="2021-12-31", limit=50)
+    return search.search(tables(spark, sf), q).hits.select("id", "rel_path", "kind", "taken_at")
 
 
 @query(f"SELECT count(*) AS total FROM b_files WHERE {VISIBLE} AND kind IN ('pdf', 'docx')", ("files",))
 def files_total_without_text(spark, sf):
-    return search.search(catalogue(spark, sf), search.Query(text="estion", kinds=("pdf", "docx"))).without_text
+    return search.search(tables(spark, sf), search.Query(text="estion", kinds=("pdf", "docx")), snippets=False).without_text
 
 
 @query(
@@ -56,22 +56,22 @@ def files_total_without_text(spark, sf):
     ("files", "faces"),
 )
 def files_all_people(spark, sf):
-    return search.candidates(catalogue(spark, sf), search.Query(people=(1, 2))).select("id", "rel_path", "kind", "taken_at")
+    return search.candidates(tables(spark, sf), search.Query(people=(1, 2))).select("id", "rel_path", "kind", "taken_at")
 
 
 @query(f"SELECT {HIT}, city FROM b_files WHERE {VISIBLE} AND country = 'Brasil' AND state = 'S2'", ("files",))
 def files_any_place(spark, sf):
-    return search.candidates(catalogue(spark, sf), search.Query(country="Brasil", state="S2")).select("id", "rel_path", "kind", "taken_at", "city")
+    return search.candidates(tables(spark, sf), search.Query(country="Brasil", state="S2")).select("id", "rel_path", "kind", "taken_at", "city")
 
 
 @query("SELECT count(*) AS n, count_if(is_sticker) AS stickers FROM b_files WHERE status = 'done' AND kind <> 'other'", ("files",))
 def files_stickers_included(spark, sf):
-    return search.candidates(catalogue(spark, sf), search.Query(stickers=True)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_sticker").alias("stickers"))
+    return search.candidates(tables(spark, sf), search.Query(stickers=True)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_sticker").alias("stickers"))
 
 
 @query(f"SELECT id, array_to_string(list_filter([city, state, country], lambda x: x <> ''), ', ') AS place FROM b_files WHERE {VISIBLE} AND city <> ''", ("files",))
 def place_label(spark, sf):
-    f = search.candidates(catalogue(spark, sf), search.Query()).where("city <> ''")
+    f = search.candidates(tables(spark, sf), search.Query()).where("city <> ''")
     return f.select("id", text.place_label(F.col("city"), F.col("state"), F.col("country")).alias("place"))
 
 
@@ -193,11 +193,17 @@ def autocomplete_rank(spark, sf):
     return search.autocomplete(browse.people_overview(bound(spark, sf, "people"), bound(spark, sf, "faces")), "Ma")
 
 
+@query(f"SELECT {HIT}, 1.0::DOUBLE AS score FROM b_files WHERE {VISIBLE} ORDER BY taken_at DESC NULLS LAST, id DESC LIMIT 500", ("files",))
+def undated_last(spark, sf):
+    return search.search(tables(spark, sf), search.Query(limit=9999)).hits.select("id", "rel_path", "kind", "taken_at", "score")
+
+
 # --- dates, classification -------------------------------------------------------------------------------------------
-_DATES = r"""
-, t AS (SELECT *, regexp_extract(name, '^(?:IMG|VID|AUD|PTT|DOC|STK)-(\d{8})-WA\d+', 1) AS a,
-    regexp_extract(name, 'WhatsApp (?:Image|Video) (\d{4}-\d{2}-\d{2}) at (\d{1,2}\.\d{2}\.\d{2})(?: ?([AP]M))?', ['d', 'c', 'h']) AS w,
-    regexp_extract(name, '^(?:IMG_|PXL_|Screenshot_)?(\d{8})[_-](\d{6})', ['d', 'c']) AS k FROM b_names),
+_DATES = (
+    f"""
+, t AS (SELECT *, regexp_extract(name, '{dates.WHATSAPP_ANDROID}', 1) AS a, regexp_extract(name, '{dates.WHATSAPP_DESKTOP}', ['d', 'c', 'h']) AS w,
+    regexp_extract(name, '{dates.CAMERA}', ['d', 'c']) AS k FROM b_names),"""
+    r"""
 c AS (SELECT *, CASE WHEN a <> '' THEN try_strptime(a, '%Y%m%d') WHEN w.d <> '' AND w.h <> '' THEN try_strptime(w.d || ' ' || w.c || ' ' || w.h, '%Y-%m-%d %I.%M.%S %p')
       WHEN w.d <> '' THEN try_strptime(w.d || ' ' || w.c, '%Y-%m-%d %H.%M.%S') WHEN k.d <> '' THEN try_strptime(k.d || k.c, '%Y%m%d%H%M%S') END AS n,
     CASE WHEN a <> '' THEN 'whatsapp_android' WHEN w.d <> '' THEN 'whatsapp_desktop' WHEN k.d <> '' THEN 'camera_name' END AS ns,
@@ -209,6 +215,7 @@ r AS (SELECT id, CASE WHEN n::DATE BETWEEN DATE '1990-01-01' AND DATE '2026-09-2
     CASE WHEN n::DATE BETWEEN DATE '1990-01-01' AND DATE '2026-09-25' THEN ns WHEN e::DATE BETWEEN DATE '1990-01-01' AND DATE '2026-09-25' THEN 'exif'
       WHEN p::DATE BETWEEN DATE '1990-01-01' AND DATE '2026-09-25' THEN 'document' WHEN m::DATE BETWEEN DATE '1990-01-01' AND DATE '2026-09-25' THEN 'mtime' END AS date_source, e, p FROM c)
 """
+)
 
 
 def _resolved(spark, sf):
@@ -279,10 +286,10 @@ def worklist_missing_stages(spark, sf):
 # --- places ----------------------------------------------------------------------------------------------------------
 @query(
     """SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END * (event_id % 80 + (event_id % 60) / 60.0 + (event_id % 50) / 3600.0)::DOUBLE, 6) AS lat,
-      round(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (event_id % 170 + 0.5)::DOUBLE, 6) AS lon FROM events WHERE event_id % 80 > 0 AND event_id % 5 > 0"""
+      round(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (event_id % 170 + 0.5)::DOUBLE, 6) AS lon FROM events WHERE event_id % 5 > 0"""
 )
 def gps_decimal(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 80 > 0")
+    e = spark.read.parquet(f"{sf}/events.parquet")
     k = lambda m: (F.col("event_id") % m).cast("double")
     lat = F.array(F.when(F.col("event_id") % 5 == 0, k(80) + 95).otherwise(k(80)), k(60), k(50))
     found = geo.gps_from_exif(F.when(F.col("event_id") % 2 == 0, "S").otherwise("N"), lat, F.when(F.col("event_id") % 3 == 0, "W").otherwise("E"), F.array(k(170) + 0.5))
@@ -326,29 +333,43 @@ def tokens_df(spark, sf):
 
 @query(_TOKENS + "SELECT file_id, page FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'estion')", ("texts",))
 def fts_match_and(spark, sf):
-    return fts.match(bound(spark, sf, "texts"), "the Éstion").select("file_id", "page")
+    return fts.match_index(indexed(spark, sf)[0], "the Éstion").select("file_id", "page")
 
 
 @query(_TOKENS + "SELECT file_id, page FROM tok WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')", ("texts",))
 def fts_phrase(spark, sf):
-    return fts.match(bound(spark, sf, "texts"), "of-the").select("file_id", "page")
+    return fts.match_index(indexed(spark, sf)[0], "of-the").select("file_id", "page")
 
 
 @query(_ONE + "SELECT file_id, page, round(score, 6) AS score FROM m", ("texts",))
 def bm25_pages(spark, sf):
-    return rounded(fts.match(bound(spark, sf, "texts"), "estion").select("file_id", "page", "score"), "score")
+    return rounded(fts.match_index(indexed(spark, sf)[0], "estion").select("file_id", "page", "score"), "score")
 
 
 @query(_ONE + "SELECT file_id, arg_max(page, {'s': score, 'p': -page}) AS page, round(max(score), 6) AS score FROM m GROUP BY file_id", ("texts",))
 def bm25_best_page(spark, sf):
-    return rounded(fts.best_page(fts.match(bound(spark, sf, "texts"), "estion")).select("file_id", "page", "score"), "score")
+    return rounded(fts.best_page(fts.match_index(indexed(spark, sf)[0], "estion")).select("file_id", "page", "score"), "score")
 
 
-@query()
+@query(_ONE + "SELECT file_id, page, round(score, 6) AS score FROM m", ("texts",))
+def bm25_without_index(spark, sf):
+    return rounded(fts.match(bound(spark, sf, "texts"), "estion").select("file_id", "page", "score"), "score")
+
+
+@query(_TOKENS + ", e AS (SELECT file_id, page, len(w) AS len, unnest(w) AS token FROM tok) SELECT token, file_id, page, len::INT AS len, count(*)::INT AS tf FROM e GROUP BY ALL", ("texts",))
+def postings_index(spark, sf):
+    return indexed(spark, sf)[0].postings.drop("positions")
+
+
+@query(
+    _TOKENS + "SELECT file_id, page, true AS short, 1 AS marks FROM tok WHERE len(list_filter(w, lambda x: x = 'estion')) = 1",
+    ("texts",),
+)
 def snippet_terms(spark, sf):
-    m = fts.match(bound(spark, sf, "texts"), "estion")
-    shown = fts.snippet(F.col("content"), "estion")
-    return m.select("file_id", "page", shown.alias("snippet"), F.size(text.highlights(shown)).alias("marks"))
+    """Pages with one match: a window of at most twelve tokens that marks it."""
+    held = F.size(F.filter(text.tokens(F.col("content")), lambda t: t == "estion"))
+    shown = fts.match(bound(spark, sf, "texts"), "estion").where(held == 1).withColumn("snippet", fts.snippet(F.col("content"), "estion"))
+    return shown.select("file_id", "page", (F.size(text.tokens(F.col("snippet"))) <= 12).alias("short"), F.size(text.highlights(F.col("snippet"))).alias("marks"))
 
 
 # --- vectors and hybrid search -------------------------------------------------------------------------------------------
@@ -411,17 +432,34 @@ def hybrid_search_by_date(spark, sf):
     ("files", "faces"),
 )
 def search_person_photos(spark, sf):
-    return search.search(catalogue(spark, sf), search.Query(text="JOAO lima")).hits.select("id", "rel_path", "kind", "taken_at")
+    return search.search(catalogue(spark, sf), search.Query(text="JOAO lima", limit=50), snippets=False).hits.select("id", "rel_path", "kind", "taken_at")
 
 
-@query()
+_TWO = _BM25.replace("'fur'", "'the'").replace("'estion'", "'of'")
+_BOTH = _TWO.replace("{terms}", f"{_term(0)} + {_term(1)}").replace("{hit}", "t0 > 0 AND t1 > 0")
+_TEXT_HITS = f""", c AS (SELECT * FROM b_files WHERE {VISIBLE}),
+ft AS (SELECT file_id, arg_max(page, {{'s': score, 'p': -page}}) AS page, max(score) AS score FROM m WHERE file_id IN (SELECT id FROM c) GROUP BY file_id),
+fn AS (SELECT file_id, page, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-9 THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM ft)
+SELECT id, rel_path, kind, taken_at, page, round(score, 6) AS score FROM fn JOIN b_files f ON f.id = file_id ORDER BY """
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return rounded(df.select("id", "rel_path", "kind", "taken_at", "page", "score"), "score")
+
+
+@query(_BOTH + _TEXT_HITS + "score DESC, coalesce(taken_at, ''), id LIMIT 20", ("files", "texts"))
 def search_person_mentions(spark, sf):
-    return search.search(catalogue(spark, sf), search.Query(text="João Lima")).mentions
+    return _hits(search.search(catalogue(spark, sf), search.Query(text="of  THE")).mentions)
 
 
-@query()
+@query(_BOTH + _TEXT_HITS + "coalesce(taken_at, '') DESC, id LIMIT 20", ("files", "texts"))
+def search_person_mentions_by_date(spark, sf):
+    return _hits(search.search(catalogue(spark, sf), search.Query(text="of the", order="date")).mentions)
+
+
+@query(_BOTH.replace("'the'", "'estion'") + _TEXT_HITS + "score DESC, coalesce(taken_at, ''), id LIMIT 50", ("files", "texts"))
 def search_text_only(spark, sf):
-    return search.search_text(catalogue(spark, sf), TEXT)
+    return _hits(search.search_text(catalogue(spark, sf), TEXT))
 
 
 # --- people ----------------------------------------------------------------------------------------------------------------
@@ -517,14 +555,27 @@ def _face_columns(df: DataFrame) -> DataFrame:
     return df.select("id", "person_id", "assign_source", "assign_score")
 
 
+def _corrected(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return bound(spark, sf, "faces"), bound(spark, sf, "people"), bound(spark, sf, "negatives")
+
+
+_RESET = """, o AS (SELECT x.id, coalesce(assign_source IN ('auto', 'suggested') OR (p.name IS NULL AND assign_source <> 'user'), false) AS off, person_id, assign_source, assign_score
+      FROM b_faces x LEFT JOIN b_people p ON p.id = x.person_id)"""
+
+
 @query(
-    """, o AS (SELECT x.id, coalesce(assign_source IN ('auto', 'suggested') OR (p.name IS NULL AND assign_source <> 'user'), false) AS off, person_id, assign_source, assign_score
-      FROM b_faces x LEFT JOIN b_people p ON p.id = x.person_id)
-    SELECT id, CASE WHEN NOT off THEN person_id END AS person_id, CASE WHEN NOT off THEN assign_source END AS assign_source, CASE WHEN NOT off THEN assign_score END AS assign_score FROM o""",
+    _RESET + "SELECT id, CASE WHEN NOT off THEN person_id END AS person_id, CASE WHEN NOT off THEN assign_source END AS assign_source, CASE WHEN NOT off THEN assign_score END AS assign_score FROM o",
     ("people", "faces"),
 )
 def reset_groups(spark, sf):
-    return _face_columns(people.reset_groups(bound(spark, sf, "faces"), bound(spark, sf, "people"))[0])
+    faces, persons, _ = _corrected(spark, sf)
+    return _face_columns(people.reset_groups(faces, persons)[0])
+
+
+@query(_RESET + "SELECT id, name, hidden, cover_face_id FROM b_people WHERE name IS NOT NULL OR id IN (SELECT person_id FROM o WHERE NOT off)", ("people", "faces"))
+def reset_groups_people(spark, sf):
+    faces, persons, _ = _corrected(spark, sf)
+    return people.reset_groups(faces, persons)[1]
 
 
 @query(
@@ -533,7 +584,17 @@ def reset_groups(spark, sf):
     ("negatives", "faces"),
 )
 def merge_people(spark, sf):
-    return people.merge_people(bound(spark, sf, "faces"), bound(spark, sf, "people"), bound(spark, sf, "negatives"), 1, 2)[2]
+    return people.merge_people(*_corrected(spark, sf), 1, 2)[2]
+
+
+@query("SELECT id, CASE WHEN person_id = 2 THEN 1 ELSE person_id END AS person_id, assign_source, assign_score FROM b_faces", ("faces",))
+def merge_people_faces(spark, sf):
+    return _face_columns(people.merge_people(*_corrected(spark, sf), 1, 2)[0])
+
+
+@query("SELECT id, name, hidden, cover_face_id FROM b_people WHERE id <> 2", ("people",))
+def merge_people_rest(spark, sf):
+    return people.merge_people(*_corrected(spark, sf), 1, 2)[1]
 
 
 @query(
@@ -541,7 +602,20 @@ def merge_people(spark, sf):
     ("people", "faces"),
 )
 def remove_face(spark, sf):
-    return people.remove_face(bound(spark, sf, "faces"), bound(spark, sf, "people"), bound(spark, sf, "negatives"), 30)[1]
+    return people.remove_face(*_corrected(spark, sf), 30)[1]
+
+
+@query(
+    "SELECT id, CASE WHEN id <> 30 THEN person_id END AS person_id, CASE WHEN id <> 30 THEN assign_source END AS assign_source, CASE WHEN id <> 30 THEN assign_score END AS assign_score FROM b_faces",
+    ("faces",),
+)
+def remove_face_faces(spark, sf):
+    return _face_columns(people.remove_face(*_corrected(spark, sf), 30)[0])
+
+
+@query("SELECT face_id, person_id FROM b_negatives UNION SELECT id, person_id FROM b_faces WHERE id = 30 AND person_id IS NOT NULL", ("negatives", "faces"))
+def remove_face_vetoes(spark, sf):
+    return people.remove_face(*_corrected(spark, sf), 30)[2]
 
 
 @query("SELECT id, person_id, assign_source FROM (SELECT id, CASE WHEN id = 31 THEN 4 ELSE person_id END AS person_id, CASE WHEN id = 31 THEN 'user' ELSE assign_source END AS assign_source FROM b_faces)", ("faces",))
@@ -610,10 +684,10 @@ def pending_changes(spark, sf):
     return cdc.pending_changes(_known(spark, sf), bound(spark, sf, "seen"))
 
 
-@query("WITH d(key, value) AS (VALUES ('auto', '0.7'), ('suggest', '0.6'), ('eps', '0.3')), m(key, value) AS (VALUES ('eps', '0.25')) SELECT d.key, coalesce(m.value, d.value) AS value FROM d LEFT JOIN m ON m.key = d.key")
+@query("WITH d(key, value) AS (VALUES ('auto', '0.7'), ('suggest', '0.6'), ('eps', '0.3')), m(key, value) AS (VALUES ('eps', '0.25'), ('auto', '0.8')) SELECT d.key, coalesce(m.value, d.value) AS value FROM d LEFT JOIN m ON m.key = d.key")
 def settings_effective(spark, sf):
     defaults = spark.createDataFrame([("auto", "0.7"), ("suggest", "0.6"), ("eps", "0.3")], "key string, value string")
-    return people.effective_settings(spark.createDataFrame([("faces_eps", "0.25"), ("monitor", "0")], "key string, value string"), defaults)
+    return people.effective_settings(spark.createDataFrame([("faces_eps", "0.25"), ("faces_t_auto", "0.8"), ("faces_auto", "0.1"), ("monitor", "0")], "key string, value string"), defaults)
 
 
 @query(
@@ -634,6 +708,9 @@ def monitor_settled(spark, sf):
     return monitor.settled(bound(spark, sf, "ticks"))
 
 
+from . import upkeep_queries  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, assign_ids, upsert
 from ..operators import cdc, fts, people
 from ..schema import TABLES
-from ..sources.listing import in_hidden_folder, is_sticker, kind_of, list_folder, sniff_kind
+from ..sources.listing import in_hidden_folder, is_sticker, list_folder, listed_kind
+from ..storage import drop_kept, kept
 
 #: extract(work list: id, rel_path, kind, todo) -> {"files": rel_path, error, ran, r_*; "texts", "clip_embeddings", "faces": new rows}
 Extractor = Callable[[DataFrame], dict[str, DataFrame]]
@@ -19,8 +20,7 @@ Extractor = Callable[[DataFrame], dict[str, DataFrame]]
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, kind, size, mtime of the folder; extension-less files go by their first bytes."""
     rows = list_folder(spark, root).where(~in_hidden_folder(F.col("rel_path")))
-    sniffed = F.when(sniff_kind(F.col("head")) == "zip", "other").otherwise(sniff_kind(F.col("head")))
-    return rows.select("rel_path", F.coalesce(kind_of(F.col("rel_path")), sniffed, F.lit("other")).alias("kind"), "size", "mtime")
+    return rows.select("rel_path", listed_kind().alias("kind"), "size", "mtime")
 
 
 def scan(catalog: Catalog, seen: DataFrame, force: bool = False, retry_errors: bool = False) -> int:
@@ -29,7 +29,7 @@ def scan(catalog: Catalog, seen: DataFrame, force: bool = False, retry_errors: b
     after = cdc.apply_scan(files, seen, force, retry_errors)
     kept = after.join(files.drop("kind", "size", "mtime", "status", "error", "stages_done", "is_sticker"), "rel_path", "left")
     fresh = F.col("change").isin("new", "changed")
-    reset = {c: F.when(~fresh, F.col(c)) for c in ("hash", "lat", "lon", "city", "state", "country")}
+    reset = {"hash": F.when(~fresh, F.col("hash")), **{c: F.when(~fresh & ~F.col("forget_place"), F.col(c)) for c in ("lat", "lon", "city", "state", "country")}}
     kept = kept.withColumns({**reset, "is_sticker": is_sticker(F.col("rel_path"))}).select(*TABLES["files"].names)
     old = kept.where("id IS NOT NULL")
     new = assign_ids(kept.where("id IS NULL").drop("id"), files, "rel_path").select(*TABLES["files"].names)
@@ -48,13 +48,13 @@ def run_index(
     """Brings the catalogue up to date with the folder; counts of changes and of files processed, and errors."""
     if only is not None and cdc.unknown_stages(only):
         raise ValueError(f"unknown stages: {', '.join(cdc.unknown_stages(only))}")
-    seen = listed(spark, root)
+    seen = kept(listed(spark, root))  # the folder is listed once
     counts = {r["change"]: r["n"] for r in cdc.scan_stats(cdc.changes(catalog.read("files"), seen)).collect()}
     scan(catalog, seen, force, retry_errors)
     work = cdc.work_list(catalog.read("files"), only)
     counts["processed"] = work.count()
     if counts["processed"] and not cancelled():
-        out = extract(work)
+        out = {name: kept(df) for name, df in extract(work).items() if name in ("files", "texts", "clip_embeddings", "faces")}  # evaluated once
         files = cdc.save_results(catalog.read("files"), out["files"])
         changed = {"files": files}
         if "texts" in out:
@@ -62,17 +62,20 @@ def run_index(
         if "clip_embeddings" in out:
             changed["clip_embeddings"] = cdc.save_vectors(catalog.read("clip_embeddings"), out["clip_embeddings"])
         if "faces" in out:
-            done = out["files"].join(files.select("id", "rel_path"), "rel_path").select(F.col("id").alias("file_id"))
+            done = out["files"].where("error IS NULL AND array_contains(ran, 'faces')").join(files.select("id", "rel_path"), "rel_path").select(F.col("id").alias("file_id"))
             faces = catalog.read("faces")
             merged = cdc.merge_faces(faces.join(done, "file_id", "left_semi"), out["faces"])
             rest = faces.join(done, "file_id", "left_anti")
             changed["faces"] = rest.unionByName(assign_ids(merged, faces, "file_id"), allowMissingColumns=True)
         catalog.publish(changed)
+        drop_kept(*out.values())
+    drop_kept(seen)
     if places is not None and not cancelled():
         files = cdc.resolve_places(catalog.read("files"), places)
         labels = fts.place_texts(files)
         catalog.publish({"files": files, "texts": catalog.read("texts").where("page <> 0").unionByName(labels)})
-    if settings is not None and not cancelled() and (only is None or "faces" in only):
+    settings = settings or people.load_settings(catalog.read("meta"))
+    if catalog.read("faces").where("person_id IS NULL").limit(1).count() and not cancelled() and (only is None or "faces" in only):
         faces, everyone, _ = people.group_faces(catalog.read("faces"), catalog.read("files"), catalog.read("people"), catalog.read("face_negatives"), settings)
         catalog.publish({"faces": faces, "people": everyone})
     meta = spark.createDataFrame([("root_path", root), ("last_index_processed", str(counts["processed"]))], "key string, value string")

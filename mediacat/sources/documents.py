@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+from ..functions.vectors import normalise
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -99,6 +102,21 @@ def read_images(files: DataFrame, engine: Callable[[bytes, bool], dict], header_
     return read_files(files, read, "width int, height int, exif_date string, lat_ref string, lat array<double>, lon_ref string, lon array<double>")
 
 
+def recognised_pages(pages: DataFrame, texts: DataFrame, render: Callable[[bytes, int], bytes], engine: Callable[[bytes], list[tuple[str, float]]], least: float = 0.5) -> DataFrame:
+    """pages: rel_path, page, content (of the file).  rel_path, page, content (text) of those without a text layer, rendered and read."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, page, content in zip(batch["rel_path"], batch["page"], batch["content"]):
+                text = "\n".join(t.strip() for t, s in engine(render(bytes(content), int(page))) if s >= least and t.strip())
+                rows += [(path, page, text)] if text else []
+            yield pd.DataFrame(rows, columns=["rel_path", "page", "content"])
+
+    wanted = pages.join(textless_pages(pages, texts), ["rel_path", "page"], "left_semi")
+    return wanted.select("rel_path", "page", "content").mapInPandas(run, "rel_path string, page int, content string")
+
+
 def encode(files: DataFrame, encoder: Callable[[list[bytes]], list[list[float]]]) -> DataFrame:
     """One unit vector a file, by an injected encoder called once a batch."""
 
@@ -107,7 +125,8 @@ def encode(files: DataFrame, encoder: Callable[[list[bytes]], list[list[float]]]
             vectors = encoder(list(batch["content"]))
             yield pd.DataFrame({"rel_path": batch["rel_path"], "embedding": [[float(x) for x in v] for v in vectors]})
 
-    return files.select("rel_path", "content").mapInPandas(run, "rel_path string, embedding array<float>")
+    found = files.select("rel_path", "content").mapInPandas(run, "rel_path string, embedding array<float>")
+    return found.withColumn("embedding", normalise(F.col("embedding")).cast("array<float>"))
 
 
 def save_content(rows: DataFrame, folder: str, root: str) -> None:
@@ -129,13 +148,19 @@ def save_content(rows: DataFrame, folder: str, root: str) -> None:
     rows.select("name", "content").foreachPartition(write)
 
 
-def face_crops(faces: DataFrame, images: DataFrame, crop: Callable[[bytes, dict], bytes], margin: float = 1 / 3) -> DataFrame:
-    """Crops of faces (file_id, bbox, det_score) out of images (file_id, content), the surest first; the box grows by a share
-    of its longer side and is cut by an injected engine."""
-    grown = faces.withColumn("pad", (F.greatest("bbox.w", "bbox.h") * margin).cast("int"))
-    box = F.struct(
-        F.greatest(F.col("bbox.x") - F.col("pad"), F.lit(0)).alias("x"), F.greatest(F.col("bbox.y") - F.col("pad"), F.lit(0)).alias("y"),
-        (F.col("bbox.w") + 2 * F.col("pad")).alias("w"), (F.col("bbox.h") + 2 * F.col("pad")).alias("h"),
-    )
-    cut = F.udf(lambda content, b: crop(bytes(content), b.asDict()), "binary")
-    return grown.join(images, "file_id").select("id", "det_score", cut("content", box).alias("content")).orderBy(F.desc("det_score"), "id")
+#: Shares of a face's longer side that are kept around it: in a list of faces, and in a portrait.
+LIST_MARGIN, PORTRAIT_MARGIN = 1 / 3, 1 / 2
+
+
+def face_crops(faces: DataFrame, images: DataFrame, crop: Callable[[bytes, dict], bytes], margin: float = LIST_MARGIN) -> DataFrame:
+    """Crops of faces (id, file_id, bbox, det_score) out of images (file_id, content, width, height), the surest first; the box grows by a
+    share of its longer side, stays inside the picture, and is cut by an injected engine, a batch of faces at a time."""
+    box = geometry.grown(F.col("bbox"), geometry.crop_margin(F.col("bbox"), margin), F.col("width"), F.col("height"))
+    rows = faces.join(images, "file_id").select("id", "det_score", box.alias("box"), "content")
+
+    def cut(batches):
+        for batch in batches:
+            done = [crop(bytes(c), dict(b)) for c, b in zip(batch["content"], batch["box"])]
+            yield pd.DataFrame({"id": batch["id"], "det_score": batch["det_score"], "content": done})
+
+    return rows.mapInPandas(cut, "id long, det_score double, content binary").orderBy(F.desc("det_score"), "id")

@@ -25,6 +25,19 @@ HEIF_BRANDS = [b"heic", b"heix", b"hevc", b"heim", b"heis", b"mif1", b"msf1"]
 HEAD_BYTES = 16
 
 
+#: Fixed value: the first bytes of a zip archive.
+ZIP = b"PK\x03\x04"
+
+
+def archive_kind(content) -> str:
+    """docx for a zip (a path or a file object) with a Word document inside, else other."""
+    try:
+        with zipfile.ZipFile(content) as z:
+            return "docx" if "word/document.xml" in z.namelist() else "other"
+    except (OSError, zipfile.BadZipFile):
+        return "other"
+
+
 class _Folder(InputPartition):
     def __init__(self, root: str, rel: str, deep: bool) -> None:
         super().__init__(rel)
@@ -59,7 +72,9 @@ class FolderReader(DataSourceReader):
                         todo.append(path)
                 elif e.is_file(follow_symlinks=False):
                     stat = e.stat(follow_symlinks=False)
-                    yield path, stat.st_size, stat.st_mtime, self._head(e.path)
+                    head = self._head(e.path)
+                    archive = archive_kind(e.path) if head is not None and "." not in e.name and head.startswith(ZIP) else None
+                    yield path, stat.st_size, stat.st_mtime, head, archive
 
     def _head(self, path: str) -> bytes | None:
         if not self.head:
@@ -72,15 +87,16 @@ class FolderReader(DataSourceReader):
 
 
 class FolderSource(DataSource):
-    """``spark.read.format("folder").option("path", root)``: rel_path, size, mtime, head; folders that begin with a dot
-    are not entered, symbolic links not followed, hidden files kept.  Option ``head`` = "false" opens no file."""
+    """``spark.read.format("folder").option("path", root)``: rel_path, size, mtime, head, archive (what a zip without an extension
+    is); folders that begin with a dot are not entered, symbolic links not followed, hidden files kept.  Option ``head`` =
+    "false" opens no file."""
 
     @classmethod
     def name(cls) -> str:
         return "folder"
 
     def schema(self) -> str:
-        return "rel_path string, size long, mtime double, head binary"
+        return "rel_path string, size long, mtime double, head binary, archive string"
 
     def reader(self, schema) -> FolderReader:
         return FolderReader(os.path.abspath(self.options["path"]), self.options.get("head", "true") == "true")
@@ -103,10 +119,10 @@ def kind_of(path: Column) -> Column:
 
 
 def sniff_kind(head: Column) -> Column:
-    """The kind by first bytes; ``zip`` archives need their content (see ``is_word_archive``)."""
+    """The kind by first bytes; ``zip`` archives need their content (see ``archive_kind``)."""
     starts = lambda b: F.startswith(head, F.lit(b))
     image = (
-        starts(b"\xff\xd8\xff") | starts(b"\x89PNG\r\n\x1a\n") | starts(b"BM") | (starts(b"RIFF") & (F.substring(head, 9, 4) == F.lit(b"WEBP")))
+        starts(b"\xff\xd8\xff") | starts(b"\x89PNG") | starts(b"BM") | (starts(b"RIFF") & (F.substring(head, 9, 4) == F.lit(b"WEBP")))
         | ((F.substring(head, 5, 4) == F.lit(b"ftyp")) & F.substring(head, 9, 4).isin(HEIF_BRANDS))
     )
     return F.when(starts(b"%PDF-"), "pdf").when(image, "image").when(starts(b"PK\x03\x04"), "zip").otherwise("other")
@@ -116,14 +132,7 @@ def sniff_kind(head: Column) -> Column:
 def word_archive_kind(content: pd.Series) -> pd.Series:
     """docx for a zip with a Word document inside, else other."""
 
-    def kind(raw) -> str:
-        try:
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                return "docx" if "word/document.xml" in z.namelist() else "other"
-        except Exception:
-            return "other"
-
-    return content.map(kind)
+    return content.map(lambda raw: archive_kind(io.BytesIO(raw or b"")))
 
 
 def is_sticker(path: Column) -> Column:
@@ -137,9 +146,11 @@ def content_hash(content: Column) -> Column:
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """name, state, country, lat, lon of a tab-separated file (compressed or not), with place_id for ties."""
+    """name, state, country, lat, lon of a tab-separated file (compressed or not), with place_id for ties: a hash of the row, the
+    same whoever reads the file."""
     schema = "name string, state string, country string, lat double, lon double"
-    return spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path).withColumn("place_id", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path).fillna("", ["state", "country"])
+    return rows.withColumn("place_id", F.xxhash64("name", "state", "country", "lat", "lon"))
 
 
 def build_gazetteer(cities: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:
@@ -151,7 +162,7 @@ def build_gazetteer(cities: DataFrame, countries: DataFrame, regions: DataFrame)
 
 
 def write_gazetteer(places: DataFrame, path: str) -> None:
-    places.write.mode("overwrite").option("sep", "\t").option("compression", "gzip").csv(path)
+    places.write.mode("overwrite").option("sep", "\t").option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
 def model_manifest(lines: DataFrame) -> DataFrame:
@@ -161,6 +172,12 @@ def model_manifest(lines: DataFrame) -> DataFrame:
     return rows.select(*[F.col("c")[k].alias(n) for k, n in enumerate(("file", "sha256", "licence", "origin"))])
 
 
+def listed_kind() -> Column:
+    """The kind of a listed file: by extension, or without one by first bytes and what a zip holds."""
+    sniffed = sniff_kind(F.col("head"))
+    return F.coalesce(kind_of(F.col("rel_path")), F.when(sniffed == "zip", F.coalesce("archive", F.lit("other"))).otherwise(sniffed), F.lit("other"))
+
+
 def check_models(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """present: file, content.  ok, absent or differs for each file of the manifest."""
     state = F.when(F.col("own").isNull(), "absent").when(F.col("own") == F.lower("sha256"), "ok").otherwise("differs")
