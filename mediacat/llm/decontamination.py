@@ -37,6 +37,8 @@ ITEM_BLOCK = 20_000
 ITEM_CHARS = 32 << 20
 #: Shingles of several items held by a task at once, where there are several blocks of items.
 SHARED_BLOCK = 1 << 20
+#: Pairs of a fingerprint and an item looked at together.
+PAIRS = 4 << 20
 _HIT = np.dtype([("at", "<u4"), ("n", "<u4")])
 _EDGES = np.linspace(0, BITS, BLOCKS + 1).astype(int)
 _SLOTS = 1 << 20
@@ -70,13 +72,19 @@ class HammingIndex:
         return ((prints >> np.uint64(BITS - b)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, print) places of all pairs within the radius."""
-        near = np.zeros((len(queries), len(self.prints)), bool)
-        for table, a, b in zip(self.tables, _EDGES[:-1], _EDGES[1:]):
-            near |= table[self._key(queries, a, b)]
-        q, p = np.nonzero(near)
-        close = np.bitwise_count(queries[q] ^ self.prints[p]) <= RADIUS
-        return q[close], p[close]
+        """(query, print) places of all pairs within the radius, found for as many queries at a time as PAIRS allows."""
+        some = max(1, PAIRS // max(len(self.prints), 1))
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(queries), some):
+            own = queries[at : at + some]
+            near = np.zeros((len(own), len(self.prints)), bool)
+            for table, a, b in zip(self.tables, _EDGES[:-1], _EDGES[1:]):
+                near |= table[self._key(own, a, b)]
+            q, p = np.nonzero(near)
+            close = np.bitwise_count(own[q] ^ self.prints[p]) <= RADIUS
+            found.append(np.stack([q[close] + at, p[close]]))
+        q, p = np.concatenate(found, 1)
+        return q, p
 
 
 class Items:

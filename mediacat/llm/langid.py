@@ -46,7 +46,11 @@ def sample_texts(labelled: DataFrame, id_col: str, text_col: str, label_col: str
     firsts = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct(at.alias("at"), "doc_id"))), 1, texts).alias("ids"))
     ids = firsts.select("lang", F.explode("ids.doc_id").alias("doc_id")).distinct()
     out: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in picked.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", "text", at.alias("at")).orderBy("lang", "at", "text").toLocalIterator():
+    # of a text longer than all that the automaton can take only evenly spaced windows come to the driver
+    step = F.floor((F.length("text") - SAMPLE_CHARS) / (WINDOWS - 1)).cast("int")
+    windows = F.concat_ws("\n", *[F.substring(F.col("text"), step * k + 1, F.lit(SAMPLE_CHARS)) for k in range(WINDOWS)])
+    bounded = F.when(F.length("text") > WINDOWS * SAMPLE_CHARS, windows).otherwise(F.col("text"))
+    for r in picked.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", bounded.alias("text"), at.alias("at")).orderBy("lang", "at", "text").toLocalIterator():
         if r["text"] not in out[r["lang"]]:
             out[r["lang"]].append(r["text"])
     return out

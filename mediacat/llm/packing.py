@@ -35,7 +35,7 @@ GROUP_PIECES = 32_768
 SEARCH_STEPS, BRANCHES, FIRST_BINS = 250_000, 4, 16
 #: Units whose ids a task remembers before it starts afresh, and bytes of text that it turns into ids at a time: memory and
 #: time depend on them, results do not.
-CACHE_UNITS, PART_BYTES = 400_000, 4 << 20
+CACHE_UNITS, PART_BYTES, WORDS_A_LINE = 400_000, 4 << 20, 200
 #: Fixed value: the published pattern whose matches this tokenizer's pieces are.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER = np.zeros(256, bool)
@@ -77,11 +77,24 @@ class ChunkIds:
         self.sign[[ord(c) for c in signs]] = True
         self.special = [t.encode() for t in special]
         self.known: dict[str, bytes] = {}
+        # ids that end a word, where the file has a mark for that
+        mark, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"] if isinstance(spec["model"].get("vocab"), dict) else {}
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
 
     def _learn(self, units: list[str]) -> None:
         if len(self.known) > self.most:
             self.known.clear()
         new = [x for x in units if x not in self.known]
+        words = [x for x in new if x.isascii() and x.isalpha()] if self.ends.any() else []
+        if words:  # each is one piece, so many are encoded as one text and told apart by their ends
+            lines = [" ".join(words[i : i + WORDS_A_LINE]) for i in range(0, len(words), WORDS_A_LINE)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(to) == len(words):
+                data = ids.tobytes()
+                self.known.update(zip(words, (data[a:b] for a, b in zip([0, *to], to))))
+                new = [x for x in new if x not in self.known]
         self.known.update(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

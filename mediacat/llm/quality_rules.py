@@ -22,6 +22,7 @@ SYMBOLS = "#*$%&|<>"
 #: Short words that ordinary prose of the corpus languages holds.
 STOP_WORDS = ["the", "of", "and", "to", "in", "that", "is", "der", "die", "und", "das", "ein", "ist", "mit",
               "de", "la", "le", "et", "les", "des", "un", "une", "que", "el", "los", "en", "y", "para", "con"]
+LONGEST = max(map(len, STOP_WORDS))  # longer words are not looked at
 
 #: name, SQL expression over the measures, least, most (None: open).  A text outside any row's bounds is rejected.
 RULES: list[tuple[str, str, float | None, float | None]] = [
@@ -65,7 +66,7 @@ def measures(text: Column) -> Column:
     """The struct of ``COUNTS`` of a whole text."""
 
     def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop_words"), _repeated(words).alias("n_repeat_words"))
+        return F.struct(F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: (F.octet_length(w) <= LONGEST) & F.lower(w).isin(STOP_WORDS))).alias("n_stop_words"), _repeated(words).alias("n_repeat_words"))
 
     def of_lines(lines: Column) -> Column:
         return F.struct(F.size(lines).alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"))

@@ -15,14 +15,14 @@ from .langid import language_id, sample_texts
 from .packing import best_fit_packing
 from .quality_classifier import fit, quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
-from .shared import crc_fold
+from .shared import bounded_session, crc_fold
 from .token_counts import token_counts
 from .url_filters import FANOUT, PRIOR, PURITY, Z, Z_MANY, url_filters
 from .url_filters import RULES as URL_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tokenizer(name: str) -> str:

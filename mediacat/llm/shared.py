@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
-#: Bounds of an Arrow batch: whole texts are long, and a batch takes memory on both sides of the pipe.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Settings that bound what a task holds of whole texts, which are long: bytes of an Arrow batch, on both sides of the pipe, and
+#: rows that the Parquet reader decodes at a time.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "256"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +50,7 @@ def dropped(*tables: DataFrame) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession):
-    """Whatever runs inside hands Python batches within ``BATCH``; the session's own bounds come back afterwards."""
+    """Whatever runs inside is bound by ``BATCH``; the session's own settings come back afterwards."""
     before = {k: spark.conf.get(k, None) for k in BATCH}
     for k, v in BATCH.items():
         spark.conf.set(k, v)
@@ -60,6 +61,13 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def bounded_session(spark: SparkSession) -> SparkSession:
+    """The session with these bounds from here on, for results that whoever asked for them evaluates."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def give_back() -> None:
     """Hands freed memory back to the system: a worker is used again, and must not keep what an earlier task took."""
     gc.collect()

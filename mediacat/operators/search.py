@@ -101,34 +101,39 @@ def listing(c: Catalogue, q: Query) -> DataFrame:
     return candidates(c, q).select(*hit_columns(F.lit(1.0), F.lit(None).cast("int"), _no_snippet())).orderBy(F.desc_nulls_last("taken_at"), F.desc("id"))
 
 
-def text_scores(c: Catalogue, q: Query) -> DataFrame:
-    """file_id, score, page of the best page of each candidate that matches."""
-    found = fts.match_index(c.index, q.text) if c.index else fts.match(c.texts, q.text)
-    return fts.best_page(found.join(candidates(c, q).select(F.col("id").alias("file_id")), "file_id", "left_semi"))
+def page_scores(c: Catalogue, text: str) -> DataFrame:
+    """file_id, score, page of the best page of each file that matches."""
+    return fts.best_page(fts.match_index(c.index, text) if c.index else fts.match(c.texts, text))
 
 
-def vector_scores(c: Catalogue, q: Query, vector: list[float], least: float = CLIP_LEAST) -> DataFrame:
-    """file_id, sim of the candidates whose vector is near enough."""
-    near = c.clip.select("file_id", dot(F.col("embedding"), literal(vector)).alias("sim")).where(F.col("sim") >= least)
-    return near.join(candidates(c, q).select(F.col("id").alias("file_id")), "file_id")
+def near_vectors(c: Catalogue, vector: list[float], least: float = CLIP_LEAST) -> DataFrame:
+    """file_id, sim of the vectors that are near enough."""
+    return c.clip.select("file_id", dot(F.col("embedding"), literal(vector)).alias("sim")).where(F.col("sim") >= least)
 
 
-def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Scales to 0..1 over all rows; equal values are all 1."""
-    bounds = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    scaled = F.when(F.col("hi") - F.col("lo") < 1e-9, 1.0).otherwise((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return df.join(F.broadcast(bounds)).withColumn(out, scaled).drop("lo", "hi")  # bounds is one row
+def vector_scores(c: Catalogue, q: Query, vector: list[float], least: float = CLIP_LEAST) -> DataFrame:
+    """file_id, sim of the candidates whose vector is near enough."""
+    return near_vectors(c, vector, least).join(candidates(c, q).select(F.col("id").alias("file_id")), "file_id", "left_semi")
 
 
 def fused(c: Catalogue, q: Query, vector: list[float] | None, text_weight: float = 1 - CLIP_WEIGHT) -> DataFrame:
-    """All hits of text and vector, each side scaled over its own matches, missing sides 0."""
-    both = min_max(text_scores(c, q), "score", "fts").select("file_id", "fts", "page")
-    score = text_weight * F.coalesce("fts", F.lit(0.0))
+    """All hits of text and vector among the candidates, each side min-max scaled over its own matches (equal values are all 1), missing
+    sides 0.  Both sides are one set of rows that meets the candidates once; one row of bounds scales them."""
+    none = F.lit(None).cast("int")
+    rows = page_scores(c, q.text).select("file_id", F.lit("text").alias("side"), F.col("score").alias("raw"), F.col("page").cast("int").alias("page"))
     if vector is not None:
-        both = both.join(min_max(vector_scores(c, q, vector), "sim", "clip").select("file_id", "clip"), "file_id", "full_outer")
-        score = score + CLIP_WEIGHT * F.coalesce("clip", F.lit(0.0))
-    files = c.files.select("id", "rel_path", "kind", "taken_at", "city", "state", "country")
-    return both.withColumn("total", score).join(files, F.col("file_id") == F.col("id")).select(*hit_columns(F.col("total"), F.col("page"), _no_snippet()))
+        rows = rows.unionByName(near_vectors(c, vector).select("file_id", F.lit("vector").alias("side"), F.col("sim").alias("raw"), none.alias("page")))
+    own = candidates(c, q).select(F.col("id").alias("file_id"), "rel_path", "kind", "taken_at", "city", "state", "country")
+    rows = rows.join(own, "file_id")
+    of = lambda f, side: f(F.when(F.col("side") == side, F.col("raw")))
+    bounds = rows.agg(*[of(f, side).alias(f"{name}_{side}") for side in ("text", "vector") for name, f in (("lo", F.min), ("hi", F.max))])
+    pick = lambda name: F.when(F.col("side") == "text", F.col(f"{name}_text")).otherwise(F.col(f"{name}_vector"))
+    low, span = pick("lo"), pick("hi") - pick("lo")
+    scaled = F.when(span < 1e-9, 1.0).otherwise((F.col("raw") - low) / span)
+    weighted = F.when(F.col("side") == "text", text_weight).otherwise(CLIP_WEIGHT) * scaled
+    same = ["rel_path", "kind", "taken_at", "city", "state", "country"]
+    both = rows.join(F.broadcast(bounds)).groupBy(F.col("file_id").alias("id")).agg(F.sum(weighted).alias("total"), F.max("page").alias("page"), *[F.first(x).alias(x) for x in same])
+    return both.select(*hit_columns(F.col("total"), F.col("page"), _no_snippet()))
 
 
 def ranked(hits: DataFrame, order: str) -> DataFrame:
