@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from . import brown_lm
 from .decontamination import decontamination
 from .html_extraction import extract
+from .importance_resampling import importance_resampling
 from .jaccard_join import jaccard_components
 from .langid import language_id, sample_texts
 from .packing import best_fit_packing
 from .quality_classifier import fit, quality_scores
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .secret_scan import KINDS, listed, secret_scan
 from .shared import bounded_session, crc_fold
+from .token_alignment import token_alignment
 from .token_counts import token_counts
 from .url_filters import FANOUT, PRIOR, PURITY, Z, Z_MANY, url_filters
 from .url_filters import RULES as URL_RULES
@@ -83,6 +86,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["path"] == "")
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "unopened")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, least_words=20, buckets=10_000, most_words=2, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _rules_sql() -> str:
     bad = []
     for _, value, least, most in RULES:
@@ -150,6 +169,34 @@ SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN tree.purit
 FROM j JOIN tree ON tree.host = j.host AND tree.segs = j.segs
 """
 
+#: CRC-32 byte by byte over the distinct features, with its table of 256 registers made by eight halvings.
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM names, crcs),
+s AS (SELECT k, count(*) AS n FROM df JOIN hashed USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM bf JOIN hashed USING (f) GROUP BY k),
+gains AS (
+  SELECT k, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (SELECT coalesce(sum(n), 0) + 10000 FROM s)::DOUBLE) / ((coalesce(s.n, 0) + 1)::DOUBLE * (SELECT coalesce(sum(n), 0) + 10000 FROM t)::DOUBLE)))::BIGINT AS g
+  FROM s FULL JOIN t USING (k)),
+weights AS (SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight, count(*) AS n_features FROM df JOIN hashed USING (f) JOIN gains USING (k) GROUP BY r),
+scored AS (
+  SELECT d.r, doc_id, d.n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS p, count(*) OVER () AS able FROM scored WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 25 * able // 100 THEN p END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
@@ -167,9 +214,10 @@ FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN reach ON reach.a = t.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_html_extraction, op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op8_url_filters, op9_ngram_jaccard_join, op10_quality_rules]
+    named = [op1_html_extraction, op2_token_counts, op3_decontamination, op4_language_id, op5_best_fit_packing, op6_brown_lm, op7_quality_classifier, op8_url_filters, op9_ngram_jaccard_join, op10_quality_rules,
+             op11_secret_scan, op12_token_alignment, op13_importance_resampling]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op8_url_filters": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL, "op13_importance_resampling": OP13_SQL}
