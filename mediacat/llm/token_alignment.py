@@ -27,6 +27,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from .words import slices
 #: Chunks that a task remembers, chunks longer than this are not; distinct pairs and documents' sums that a task holds before it gives
 #: them out.  Memory depends on them, results do not.
 CACHE_CHUNKS, CACHE_CHARS, HELD_PAIRS, HELD_SUMS = 300_000, 64, 2_000_000, 1_000_000
+#: Words that are encoded at a time.
+LINE = 256
 _B_BITS, _DOC_BITS = 20, 22
 
 
@@ -87,6 +90,9 @@ class Aligner:
         if any(" " in p.lstrip(" ") for p in plain):
             mixed.add(" ")
         self.whole = re.compile(f"[{''.join(map(re.escape, sorted(mixed)))}]") if mixed else None
+        self.a_opens = {i for i, t in self.a_bytes.items() if t[:1] == b" "}
+        self.b_opens = {i for i, p in enumerate(pieces) if p[0] == "▁"}
+        self.word = re.compile(f" [^{WHITE}▁]+")
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.known: dict[str, int] = {}
         self._clear()
@@ -95,7 +101,7 @@ class Aligner:
         self.known.clear()
         self.sizes: list[tuple[int, int, int]] = []  # A tokens, B tokens, groups
         self.groups: list[str | None] = []
-        self.links: list[np.ndarray] = []  # A id and B id of each link as one number
+        self.links: list[tuple[int, ...]] = []  # A id and B id of each link as one number
 
     def chunks(self, text: str) -> list[str]:
         """Parts of the space and the text, each aligned by itself."""
@@ -103,33 +109,58 @@ class Aligner:
         return [spaced] if self.whole and self.whole.search(spaced) else self.cut.findall(spaced)
 
     def _align(self, chunk: str, a: list[int], b: list[int]) -> None:
+        """One walk over both sides; most chunks are words of a few tokens, for which arrays would take longer."""
+        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         data = chunk.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+        if b"".join(x) != data or b"".join(y) != data:
             self.sizes.append((0, 0, 0))
             self.groups.append(None)
-            self.links.append(np.zeros(0, np.int64))
+            self.links.append(())
             return
-        a_ends = np.cumsum([len(self.a_bytes[i]) for i in a])
-        b_ends = np.cumsum([len(self.b_bytes[i]) for i in b])
-        # B tokens of each A token: from the first that ends after its start to the first that ends at its end or later
-        first = np.searchsorted(b_ends, np.concatenate(([0], a_ends[:-1])), "right")
-        last = np.searchsorted(b_ends, a_ends, "left")
-        n = last - first + 1
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        self.links.append((np.repeat(np.array(a, np.int64), n) << _B_BITS) | np.array(b, np.int64)[at])
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        out, x, y = [], 0, 0
-        for p, q in zip((np.searchsorted(a_ends, both) + 1).tolist(), (np.searchsorted(b_ends, both) + 1).tolist()):
-            out.append(f"{','.join(map(str, a[x:p]))}|{','.join(map(str, b[y:q]))}")
-            x, y = p, q
-        self.sizes.append((len(a), len(b), len(out)))
-        self.groups.append(";".join(out))
-
-    def _b_ids(self, chunk: str) -> list[int]:
-        if chunk[0] == " ":  # the space that this tokenizer puts first, before any text but the empty one
-            return self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.space]
-        ids = self.b.encode(chunk)
-        return ids[1:] if ids[0] == self.space else ids
+        links, groups = [], []
+        i = j = a_from = b_from = 0
+        a_end, b_end = len(x[0]), len(y[0])
+        while True:
+            links.append((a[i] << _B_BITS) | b[j])
+            if a_end == b_end:
+                groups.append(f"{','.join(map(str, a[a_from : i + 1]))}|{','.join(map(str, b[b_from : j + 1]))}")
+                i, j = i + 1, j + 1
+                if i == len(a):
+                    break
+                a_from, b_from, a_end, b_end = i, j, a_end + len(x[i]), b_end + len(y[j])
+            elif a_end < b_end:
+                i += 1
+                a_end += len(x[i])
+            else:
+                j += 1
+                b_end += len(y[j])
+        self.sizes.append((len(a), len(b), len(groups)))
+        self.groups.append(";".join(groups))
+        self.links.append(tuple(links))
+
+    def _b_ids(self, chunks: list[str]) -> list[list[int]]:
+        """The chunk's first space is the one that this tokenizer puts first, before any text but the empty one."""
+        spaced = [c[0] == " " for c in chunks]
+        coded = self.b.encode([c[1:] if s else c for c, s in zip(chunks, spaced)], num_threads=1)
+        return [(ids if len(c) > 1 else [self.space]) if s else ids[1:] if ids[0] == self.space else ids for c, s, ids in zip(chunks, spaced, coded)]
+
+    def _ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A and B ids of each chunk.  Words after one space are encoded many at a time: each begins where a token begins with a space."""
+        plain = [k for k, c in enumerate(chunks) if self.word.fullmatch(c)]
+        a, b = [None] * len(chunks), [None] * len(chunks)
+        for at in range(0, len(plain), LINE):
+            part = plain[at : at + LINE]
+            line = "".join(chunks[k] for k in part)
+            for out, ids, opens in ((a, self.a.encode(line, add_special_tokens=False).ids, self.a_opens), (b, self.b.encode(line[1:]), self.b_opens)):
+                begins = [i for i, t in enumerate(ids) if t in opens]
+                if len(begins) == len(part) and begins[0] == 0:
+                    for k, x, y in zip(part, begins, [*begins[1:], len(ids)]):
+                        out[k] = ids[x:y]
+        for out, encode in ((a, lambda cs: [e.ids for e in self.a.encode_batch_fast(cs, add_special_tokens=False)]), (b, self._b_ids)):
+            rest = [k for k, ids in enumerate(out) if ids is None]
+            for k, ids in zip(rest, encode([chunks[k] for k in rest]) if rest else []):
+                out[k] = ids
+        return a, b
 
     def learn(self, texts: list[list[str]]) -> list[list[int]]:
         """Numbers of the chunks of each text; they hold until the next call."""
@@ -138,9 +169,9 @@ class Aligner:
         new = list(dict.fromkeys(c for t in texts for c in t if c not in self.known))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for chunk, coded in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False)):
+            for chunk, a, b in zip(part, *self._ids(part)):
                 self.known[chunk] = len(self.sizes)
-                self._align(chunk, coded.ids, self._b_ids(chunk))
+                self._align(chunk, a, b)
         out = [list(map(self.known.__getitem__, t)) for t in texts]
         for c in new:
             if len(c) > CACHE_CHARS:
@@ -150,19 +181,19 @@ class Aligner:
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """(A tokens, B tokens, groups and links of each text as rows of a table, hash of each text's groups, links, text of each link)."""
         numbers = self.learn([self.chunks(t) if t else [] for t in texts])
-        bad = [any(self.groups[c] is None for c in cs) for cs in numbers]
-        numbers = [[] if out else cs for out, cs in zip(bad, numbers)]
-        digests = [hashlib.sha256(";".join(self.groups[c] for c in cs).encode()).hexdigest() if cs else "" for cs in numbers]
-        owner = np.repeat(np.arange(len(texts)), [len(cs) for cs in numbers])
-        flat = np.array([c for cs in numbers for c in cs], np.int64)
+        length = np.array([len(cs) for cs in numbers], np.int64)
+        owner = np.repeat(np.arange(len(texts)), length)
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(length.sum()))
         used, back = np.unique(flat, return_inverse=True)
+        table = np.array([self.sizes[c] for c in used.tolist()], np.int64).reshape(-1, 3)[back]
+        good = np.bincount(owner, table[:, 0] == 0, len(texts)) == 0  # texts all of whose chunks are spelled by their tokens
+        digests = [hashlib.sha256(";".join(map(self.groups.__getitem__, cs)).encode()).hexdigest() if ok and cs else "" for ok, cs in zip(good.tolist(), numbers)]
         own = [self.links[c] for c in used.tolist()]
-        n = np.array([len(x) for x in own], np.int64)
-        begins, joined = np.cumsum(n) - n, np.concatenate([*own, np.zeros(0, np.int64)])
-        size = n[back]
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        begins, joined = np.cumsum(n) - n, np.fromiter(chain.from_iterable(own), np.int64, int(n.sum()))
+        size = np.where(good[owner], n[back], 0)
         at = np.repeat(begins[back] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        table = np.array([self.sizes[c] for c in used.tolist()], np.int64).reshape(-1, 3)[back]
-        counts = np.stack([np.bincount(owner, w, len(texts)).astype(np.int64) for w in (*table.T, size)], axis=1)
+        counts = np.stack([np.bincount(owner, w, len(texts)).astype(np.int64) for w in (*table.T, size)], axis=1) * good[:, None]
         return counts, digests, joined[at], np.repeat(owner, size)
 
 
