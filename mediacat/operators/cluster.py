@@ -1,8 +1,7 @@
-"""Density clustering under cosine distance, and connected components, without collecting points.
+"""Density clustering under cosine distance, best labels of points, and connected components, without collecting points.
 
-Points meet block by block: every point goes once to each pair of blocks it takes part in, a task multiplies two
-blocks tile by tile, and only neighbour pairs, or the largest similarity for each point and label, come out.  All pairs are
-compared, as the definition asks; the work is dealt evenly whatever the data look like, and a task holds two blocks and one tile."""
+Neighbours come from the metric index.  Best labels ask for the largest similarity, however small, so there points meet labelled
+points block by block: a task multiplies two blocks tile by tile, keeps a bounded heap a point, and gives out no more than that."""
 
 from __future__ import annotations
 
@@ -12,52 +11,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept
+from .metric import matrix, neighbour_pairs
 
-#: Points of a block, which are copied to as many tasks as there are blocks, and of a tile, which are multiplied at once.
-BLOCK, TILE = 16_384, 2048
+#: Points of a block, which are copied to as many tasks as the other side has blocks, labelled points and points multiplied at once.
+BLOCK, TILE, ROWS = 16_384, 2048, 256
 
 
-def _blocks(points: DataFrame, other: DataFrame | None, block: int) -> DataFrame:
-    """x, y (a pair of blocks), side (0: of points, 1: of other), b (own block), i, v, label: the rows of each task."""
-    size = max(1, -(-points.count() // block))
-    deal = lambda df, n: df.select("i", F.col("v").cast("array<float>").alias("v"), F.col("label") if "label" in df.columns else F.lit(None).cast("long").alias("label"), F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("b"))
-    left = deal(points, size)
-    if other is None:
-        both = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        return both.select(F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), F.lit(0).alias("side"), "b", "i", "v", F.col("label").cast("long").alias("label"))
-    width = max(1, -(-other.count() // block))
-    a = left.select(F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("y"), F.lit(0).alias("side"), "b", "i", "v", F.col("label").cast("long").alias("label"))
-    c = deal(other, width).select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "b", "i", "v", F.col("label").cast("long").alias("label"))
-    return a.unionByName(c)
+def _blocks(points: DataFrame, other: DataFrame, block: int, barred: bool = False) -> DataFrame:
+    """x, y (a pair of blocks), side (0: of points, 1: of other), i, v, label, barred: the rows of each task."""
+    size, width = (max(1, -(-df.count() // block)) for df in (points, other))
+    label = lambda df: (F.col("label") if "label" in df.columns else F.lit(None)).cast("long").alias("label")
+    off = (F.col("barred") if barred else F.lit(None)).cast("array<long>").alias("barred")
+    own = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    values = ["i", F.col("v").cast("array<float>").alias("v")]
+    a = points.select(own(size).alias("x"), every(width).alias("y"), F.lit(0).alias("side"), *values, label(points), off)
+    return a.unionByName(other.select(every(size).alias("x"), own(width).alias("y"), F.lit(1).alias("side"), *values, label(other), F.lit(None).cast("array<long>").alias("barred")))
 
 
-def _vectors(table: pa.Table) -> np.ndarray:
-    return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
-
-
-def similar_pairs(points: DataFrame, least: float, other: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """points: i, v (vectors).  (i, j, sim) of pairs with dot product >= least: i < j within points, or i in points and j in other."""
-    alone = other is None
-
-    def multiply(key, table):
-        x, y = key[0].as_py(), key[1].as_py()
-        ids, b, side = (table[n].to_numpy() for n in ("i", "b", "side"))
-        m = _vectors(table)
-        p, q = (np.flatnonzero(b == x), np.flatnonzero(b == y)) if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = []
-        for at in range(0, len(p), TILE):
-            for to in range(at if alone and x == y else 0, len(q), TILE):
-                sim = m[p[at : at + TILE]] @ m[q[to : to + TILE]].T
-                r, s = np.nonzero(sim >= least)
-                u, v, values = ids[p[at + r]], ids[q[to + s]], sim[r, s]
-                if alone:
-                    ok = u < v if x == y and at == to else u != v
-                    u, v, values = np.minimum(u[ok], v[ok]), np.maximum(u[ok], v[ok]), values[ok]
-                found.append((u, v, values))
-        u, v, values = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
-        return pa.table({"i": u.astype(np.int64), "j": v.astype(np.int64), "sim": values.astype(np.float64)})
-
-    return _blocks(points, other, block).groupBy("x", "y").applyInArrow(multiply, "i long, j long, sim double")
+def _label_maxima(m: np.ndarray, rows: np.ndarray, q: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The largest product of each of ``rows`` with the rows ``q`` of each label, whose rows begin at ``begins``."""
+    best = np.full((len(rows), len(begins)), -np.inf)
+    for to in range(0, len(q), TILE):
+        sim = m[rows] @ m[q[to : to + TILE]].T
+        first = int(np.searchsorted(begins, to, "right")) - 1
+        cuts = np.maximum(begins[first : np.searchsorted(begins, to + sim.shape[1], "left")] - to, 0)
+        best[:, first : first + len(cuts)] = np.maximum(best[:, first : first + len(cuts)], np.maximum.reduceat(sim, cuts, axis=1))
+    return best
 
 
 def group_maxima(points: DataFrame, other: DataFrame, others: bool = False, block: int = BLOCK) -> DataFrame:
@@ -66,20 +46,15 @@ def group_maxima(points: DataFrame, other: DataFrame, others: bool = False, bloc
 
     def multiply(key, table):
         side, ids, labels = table["side"].to_numpy(), table["i"].to_numpy(), table["label"].to_numpy(zero_copy_only=False)
-        m = _vectors(table)
+        m = matrix(table["v"], table.num_rows)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         q = q[np.argsort(labels[q], kind="stable")]
         found = []
         if len(p) and len(q):
             own, begins = np.unique(labels[q], return_index=True)
-            for at in range(0, len(p), TILE):
-                rows = p[at : at + TILE]
-                best = np.full((len(rows), len(own)), -np.inf)
-                for to in range(0, len(q), TILE):
-                    sim = m[rows] @ m[q[to : to + TILE]].T
-                    first = int(np.searchsorted(begins, to, "right")) - 1
-                    cuts = np.maximum(begins[first : np.searchsorted(begins, to + sim.shape[1], "left")] - to, 0)
-                    best[:, first : first + len(cuts)] = np.maximum(best[:, first : first + len(cuts)], np.maximum.reduceat(sim, cuts, axis=1))
+            for at in range(0, len(p), ROWS):
+                rows = p[at : at + ROWS]
+                best = _label_maxima(m, rows, q, begins)
                 if others:
                     best[labels[rows][:, None] == own[None, :]] = -np.inf
                     k = best.argmax(1)
@@ -94,6 +69,41 @@ def group_maxima(points: DataFrame, other: DataFrame, others: bool = False, bloc
     return parts.groupBy("i", "label").agg(F.max("score").alias("score"))
 
 
+def top_labels(points: DataFrame, other: DataFrame, keep: int = 2, block: int = BLOCK) -> DataFrame:
+    """points: i, v and perhaps barred (labels that count as -1); other: i, v, label.  (i, label, score, rank): the ``keep`` labels with the largest
+    dot product (not below -1) for each point, ties to the lowest label.
+
+    A task keeps ``keep`` labels a point of those it sees, with what is barred taken into account, which is enough: the k-th best label
+    of all is among the k best of the task that holds its nearest point.  So ``keep`` rows a point and block leave a task."""
+    barred = "barred" in points.columns
+
+    def multiply(key, table):
+        side, ids, labels = table["side"].to_numpy(), table["i"].to_numpy(), table["label"].to_numpy(zero_copy_only=False)
+        m, off = matrix(table["v"], table.num_rows), table["barred"]
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        q = q[np.argsort(labels[q], kind="stable")]
+        found = []
+        if len(p) and len(q):
+            own, begins = np.unique(labels[q], return_index=True)
+            for at in range(0, len(p), ROWS):
+                rows = p[at : at + ROWS]
+                best = np.maximum(_label_maxima(m, rows, q, begins), -1.0)
+                for k, x in enumerate(off.take(pa.array(rows)).to_pylist() if barred else []):
+                    if x:
+                        best[k, np.isin(own, x)] = -1.0
+                for _ in range(min(keep, len(own))):
+                    k = best.argmax(1)  # the first of equals: labels ascend
+                    found.append((ids[rows], own[k], best[np.arange(len(rows)), k]))
+                    best[np.arange(len(rows)), k] = -np.inf
+        i, label, score = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        return pa.table({"i": i.astype(np.int64), "label": label.astype(np.int64), "score": score.astype(np.float64)})
+
+    parts = _blocks(points, other, block, barred).groupBy("x", "y").applyInArrow(multiply, "i long, label long, score double")
+    best = parts.groupBy("i", "label").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "label"))  # of ``keep`` rows a block
+    return best.withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): the least node that edges (u, v) reach, for every row of nodes (node); large-star and small-star steps until
     nothing changes, each step kept in the shared folder."""
@@ -115,7 +125,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(points: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
     """points: i, v (unit vectors).  (i, label, is_core): clusters numbered by their lowest core, border points with the lowest
     adjacent cluster, noise -1.  A point counts among its own neighbours; zero vectors are neighbours of nothing."""
-    close = kept(similar_pairs(points, 1 - eps, block=block).select("i", "j"))
+    close = kept(neighbour_pairs(points, 1 - eps, block).select("i", "j"))
     both = close.union(close.select(F.col("j").alias("i"), F.col("i").alias("j")))
     degree = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("n"))
     cores = points.select("i").join(degree, "i", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("i")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..catalog import upsert
 from ..functions.text import nocase, person_name, person_reference
 from ..functions.vectors import has_signature
-from .cluster import dbscan, group_maxima
+from ..storage import kept
+from .cluster import dbscan, group_maxima, top_labels
 
 
 #: Numbers in a face's signature.
@@ -96,13 +97,20 @@ def person_scores(candidates: DataFrame, refs: DataFrame) -> DataFrame:
     return best.select(F.col("i").alias("face_id"), F.col("label").alias("person_id"), F.greatest("score", F.lit(-1.0)).alias("score"))
 
 
-def decide(scores: DataFrame, negatives: DataFrame, people: DataFrame, s: Settings) -> DataFrame:
-    """face_id, person_id, score, decision (auto, suggested, orphan) by the best person, ties to the lowest id.
+def best_people(candidates: DataFrame, refs: DataFrame, negatives: DataFrame | None = None, keep: int = 1) -> DataFrame:
+    """face_id, person_id, score, rank: the ``keep`` best people of each face, ties to the lowest id; vetoed pairs score -1.
 
-    The best person is chosen before it is asked whether they have a name; vetoed pairs score -1."""
-    vetoed = negatives.select("face_id", "person_id", F.lit(True).alias("veto"))
-    judged = scores.join(vetoed, ["face_id", "person_id"], "left").withColumn("score", F.when(F.col("veto"), -1.0).otherwise(F.col("score")))
-    best = judged.groupBy("face_id").agg(F.max_by(F.struct("person_id", "score"), F.struct("score", -F.col("person_id"))).alias("b")).select("face_id", "b.*")
+    Unlike ``person_scores`` this makes ``keep`` rows a face, however many people there are: each face brings its vetoes along."""
+    points = candidates.select(F.col("id").alias("i"), F.col("embedding").alias("v"))
+    if negatives is not None:
+        barred = negatives.groupBy(F.col("face_id").alias("i")).agg(F.collect_set("person_id").alias("barred"))
+        points = points.join(barred, "i", "left")
+    best = top_labels(points, refs.select(F.col("id").alias("i"), F.col("embedding").alias("v"), F.col("person_id").alias("label")), keep)
+    return best.select(F.col("i").alias("face_id"), F.col("label").alias("person_id"), "score", "rank")
+
+
+def decided(best: DataFrame, people: DataFrame, s: Settings) -> DataFrame:
+    """face_id, person_id, score, decision of each face's best person; whether they have a name is asked afterwards."""
     named = people.select(F.col("id").alias("person_id"), F.col("name").isNotNull().alias("named"))
     decision = F.when(F.col("score") >= s.auto, "auto").when((F.col("score") >= s.suggest) & F.col("named"), "suggested").otherwise("orphan")
     return best.join(named, "person_id", "left").select("face_id", "person_id", "score", decision.alias("decision"))
@@ -112,7 +120,7 @@ def group_faces(faces: DataFrame, files: DataFrame, people: DataFrame, negatives
     """(faces, people, stats) after assigning what can be and clustering the rest into new unnamed people."""
     s = s.checked()
     free = assignable(faces, files)
-    made = decide(person_scores(free, references(faces)), negatives, people, s)
+    made = kept(decided(best_people(free, references(faces), negatives), people, s))  # read three times below
     orphans = free.select(F.col("id").alias("i"), F.col("embedding").alias("v")).join(made.where("decision <> 'orphan'").select(F.col("face_id").alias("i")), "i", "left_anti")
     labels = dbscan(orphans, s.eps, s.min_samples).where("label >= 0")
     top = people.agg(F.max("id")).first()[0] or 0

@@ -488,7 +488,9 @@ def face_person_scores(spark, sf):
 )
 def face_assignment(spark, sf):
     s = people.Settings(AUTO, SUGGEST, EPS, SAMPLES)
-    return rounded(people.decide(_scores(spark, sf), bound(spark, sf, "negatives"), bound(spark, sf, "people"), s), "score")
+    faces = bound(spark, sf, "faces")
+    best = people.best_people(people.assignable(faces, bound(spark, sf, "files")), people.references(faces), bound(spark, sf, "negatives"))
+    return rounded(people.decided(best, bound(spark, sf, "people"), s), "score")
 
 
 def _points(spark, sf) -> DataFrame:
@@ -513,7 +515,9 @@ def face_impostor_sweep(spark, sf):
     ("files", "faces"),
 )
 def orphan_top2(spark, sf):
-    return rounded(people.top_two(_scores(spark, sf)), "best", "second")
+    faces = bound(spark, sf, "faces")
+    best = people.best_people(people.assignable(faces, bound(spark, sf, "files")), people.references(faces), keep=2)
+    return rounded(people.top_two(best), "best", "second")
 
 
 _DBSCAN = """WITH RECURSIVE e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.38),
