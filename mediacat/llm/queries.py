@@ -89,7 +89,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(_table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["path"] == "")
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: lambda x: x["kind"] == kind
+    counts = [F.size(F.filter(base, of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "unopened")
 
 
