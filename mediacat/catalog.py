@@ -1,19 +1,23 @@
 """Versioned Parquet snapshots of a catalogue: read, publish, meta, identities.
 
-A version is a folder ``v=N`` that holds the tables which that version changed, and ``_COMMITTED``, a JSON map from each table to
-the version that holds it.  ``publish`` writes the changed tables before that file, and readers take the newest version that has
-it: a half-written one is never seen, and unchanged tables are not written again.
+``publish`` writes the changed tables into a folder of its own and then makes the file ``versions/N``, a JSON map from each table to
+the folder that holds it.  That file is renamed into place and never replaced: of two writers that start from the same version one
+gets a ``Conflict``, and neither touches what the other has written.  Readers take the newest version, and unchanged tables are
+not written again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schema import SCHEMA_VERSION, TABLES, conform, empty
+from .functions.text import fold_name_udf
+from .schema import CLUSTERED, SCHEMA_VERSION, TABLES, conform, empty
 from .storage import kept
 
 ROOT_ID = r"^[0-9a-f]{16}$"
@@ -24,6 +28,10 @@ def root_id(root: str) -> str:
     return hashlib.sha256(root.encode()).hexdigest()[:16]
 
 
+class Conflict(RuntimeError):
+    """Another writer has published a version since the one that the changes start from."""
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, base: str, root: str) -> None:
         self.spark, self.base = spark, f"{base.rstrip('/')}/root_id={root}"
@@ -34,60 +42,88 @@ class Catalog:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def version(self) -> int:
-        """The newest committed version; 0 if there is none."""
+        """The newest version; 0 if there is none."""
         fs, path = self._fs()
-        if not fs.exists(path(self.base)):
-            return 0
-        found = [s.getPath() for s in fs.listStatus(path(self.base)) if s.getPath().getName().startswith("v=")]
-        return max([int(p.getName()[2:]) for p in found if fs.exists(path(f"{p}/_COMMITTED"))], default=0)
+        folder = path(f"{self.base}/versions")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
-    def _where(self, version: int) -> dict[str, int]:
-        """The version that holds each table, as seen by ``version``."""
+    def _where(self, version: int) -> dict[str, str]:
+        """The folder of each table, as seen by ``version``."""
         if not version:
             return {}
         fs, path = self._fs()
-        stream = fs.open(path(f"{self.base}/v={version}/_COMMITTED"))
+        stream = fs.open(path(f"{self.base}/versions/{version}"))
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
         return json.loads(text)
 
+    def holds(self, table: str) -> bool:
+        return table in self._where(self.version())
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         held = self._where(self.version() if version is None else version)
         if table not in held:
             return empty(self.spark, table)
-        return conform(self.spark.read.parquet(f"{self.base}/v={held[table]}/{table}"), table)
+        return conform(self.spark.read.parquet(f"{self.base}/{held[table]}/{table}"), table)
 
-    def publish(self, changed: dict[str, DataFrame]) -> int:
-        """Writes a version in which ``changed`` replaces those tables; the others stay where they are."""
-        old = self.version()
-        new = old + 1
-        fs, path = self._fs()
-        fs.delete(path(f"{self.base}/v={new}"), True)  # an uncommitted leftover
-        held = self._where(old)
+    def publish(self, changed: dict[str, DataFrame], onto: int | None = None) -> int:
+        """Writes a version in which ``changed`` replaces those tables; the others stay where they are.
+
+        ``onto`` is the version that the changes start from, the newest one if none is given; if there is a newer one when all
+        is written, nothing is published and ``Conflict`` is raised.  Folded names go with the people they belong to."""
+        old = self.version() if onto is None else onto
+        held, folder = self._where(old), f"data/{uuid.uuid4().hex}"
+        if "people" in changed:
+            changed = {**changed, "people_keys": changed["people"].select("id", fold_name_udf(F.col("name")).alias("name_key"))}
         for table, df in changed.items():
-            conform(df, table).write.mode("overwrite").parquet(f"{self.base}/v={new}/{table}")
-            held[table] = new
-        fs.mkdirs(path(f"{self.base}/v={new}"))
-        out = fs.create(path(f"{self.base}/v={new}/_COMMITTED"))
+            df = conform(df, table)
+            if table in CLUSTERED:
+                df = df.repartitionByRange(*CLUSTERED[table]).sortWithinPartitions(*CLUSTERED[table])
+            df.write.parquet(f"{self.base}/{folder}/{table}")
+            held[table] = folder
+        try:
+            self._commit(old + 1, json.dumps(held))
+        except Conflict:
+            fs, path = self._fs()
+            fs.delete(path(f"{self.base}/{folder}"), True)  # this writer's own
+            raise
+        return old + 1
+
+    def _commit(self, version: int, text: str) -> None:
+        """Makes the file of a version by a rename that does not replace one."""
+        jvm, (fs, path) = self.spark.sparkContext._jvm, self._fs()
+        fs.mkdirs(path(f"{self.base}/versions"))
+        mine, final = path(f"{self.base}/versions/.{uuid.uuid4().hex}"), path(f"{self.base}/versions/{version}")
+        out = fs.create(mine)
         try:
-            out.write(bytearray(json.dumps(held).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return new
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(mine, final, none)
+        except Py4JJavaError as e:
+            fs.delete(mine, False)
+            if fs.exists(final):
+                raise Conflict(f"version {version} is there already") from e
+            raise
 
     def clean(self) -> None:
-        """Deletes tables that the newest version does not hold any more; no older version can be read afterwards."""
+        """Deletes tables that older versions hold and the newest one does not; no older version can be read afterwards."""
         fs, path = self._fs()
         last = self.version()
         held = self._where(last)
-        for v in range(1, last):
-            for table in TABLES:
-                if held.get(table) != v:
-                    fs.delete(path(f"{self.base}/v={v}/{table}"), True)
-            if v not in held.values():
-                fs.delete(path(f"{self.base}/v={v}"), True)
+        for v in (s.getPath().getName() for s in fs.listStatus(path(f"{self.base}/versions"))):
+            if v.isdigit() and int(v) < last:
+                for table, folder in self._where(int(v)).items():
+                    if held.get(table) != folder:
+                        fs.delete(path(f"{self.base}/{folder}/{table}"), True)
+                        if not fs.listStatus(path(f"{self.base}/{folder}")):
+                            fs.delete(path(f"{self.base}/{folder}"), True)
+                fs.delete(path(f"{self.base}/versions/{v}"), False)
 
     def migrate(self) -> int:
         """Brings the catalogue to the present schema version; repeating it changes nothing."""

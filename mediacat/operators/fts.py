@@ -1,7 +1,8 @@
 """Full-text search over pages: a stored inverted index, phrase match, BM25, best page and snippet as DataFrames.
 
-``build_index`` is run when texts change; a search then reads the postings of its own tokens only, clustered by token, and one
-row of statistics.  ``match`` works on the texts themselves, for tables without an index."""
+The index is three tables of the catalogue: postings, clustered by token, pages with their length and a hash of their text, and one row
+of totals.  ``index_changes`` compares the hashes with the texts, and ``updated_index`` tokenises the pages that changed, no other.  A search
+reads the postings of its own tokens and the totals.  ``match`` works on the texts themselves, for tables without an index."""
 
 from __future__ import annotations
 
@@ -42,6 +43,27 @@ def totals(texts: DataFrame) -> DataFrame:
     return tokenised(texts).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avg"))
 
 
+def index_changes(texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """file_id, page, fresh (there is a text to index), stale (there are postings to drop) of each page whose text is not the indexed one."""
+    now = texts.select("file_id", "page", F.xxhash64("content").alias("now"), F.lit(True).alias("_now"))
+    old = pages.select("file_id", "page", F.col("sign").alias("old"), F.lit(True).alias("_old"))
+    both = now.join(old, ["file_id", "page"], "full").where(F.col("_now").isNull() | F.col("_old").isNull() | ~F.col("now").eqNullSafe(F.col("old")))
+    return both.select("file_id", "page", F.col("_now").isNotNull().alias("fresh"), F.col("_old").isNotNull().alias("stale"))
+
+
+def updated_index(texts: DataFrame, old_postings: DataFrame, old_pages: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, pages) after ``changes``: those of stale pages go, those of fresh ones come."""
+    key = ["file_id", "page"]
+    stale, fresh = changes.where("stale").select(key), texts.join(changes.where("fresh").select(key), key, "left_semi").select("file_id", "page", "content")
+    signs = tokenised(fresh).select("file_id", "page", F.size("tokens").alias("len"), F.xxhash64("content").alias("sign"))
+    return old_postings.join(stale, key, "left_anti").unionByName(postings(fresh)), old_pages.join(stale, key, "left_anti").unionByName(signs)
+
+
+def page_totals(pages: DataFrame) -> DataFrame:
+    """One row: n (pages) and avg (tokens of a page)."""
+    return pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
+
+
 def phrase_count(column: Column, phrase: list[str]) -> Column:
     """How often a phrase occurs in an array of tokens; one pass, no explode."""
     if len(phrase) == 1:

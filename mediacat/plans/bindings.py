@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import fts
-from ..operators.search import Catalogue, with_name_keys
-from ..storage import kept
+from ..catalog import Catalog, Conflict, root_id
+from ..operators.search import Catalogue
+from ..storage import shared_folder
+from .index import stored_index, sync_index
 
 FILES = """
 SELECT doc_id AS id, concat(source, '/', CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, CAST(doc_id AS STRING),
@@ -97,24 +98,34 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
 
 
-_INDEXES: dict[tuple[str, str], tuple[fts.Index, DataFrame]] = {}
-
-
-def indexed(spark: SparkSession, sf_dir: str) -> tuple[fts.Index, DataFrame]:
-    """The full-text index and the people with folded names, which a published catalogue holds: made once a session and
-    folder, as an index run would, and read by every search after that."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        texts = bound(spark, sf_dir, "texts")
-        index = fts.Index(kept(fts.postings(texts), "token"), kept(fts.totals(texts)))
-        _INDEXES[key] = index, kept(with_name_keys(bound(spark, sf_dir, "people")))
-    return _INDEXES[key]
+def published(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The index of the bound texts and the bound people as a published catalogue in the shared folder.
+
+    It is found by what the base table's files are, their names, sizes and times: another table makes another one, and a
+    table that is there is read, in this session or a later one."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
+    sign = ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+    store = Catalog(spark, f"{shared_folder(spark)}/bound", root_id(sign))
+    if not store.version():
+        try:
+            store.publish({"people": bound(spark, sf_dir, "people")}, 0)
+        except Conflict:  # another session makes it, too
+            pass
+    if not store.holds("fts_totals"):
+        try:
+            sync_index(store, bound(spark, sf_dir, "texts"))
+        except Conflict:
+            pass
+    return store
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
     """The catalogue as a search reads it: with its index."""
-    index, people = indexed(spark, sf_dir)
-    return Catalogue(*[people if n == "people" else bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")], index)
+    store = published(spark, sf_dir)
+    people = store.read("people").join(store.read("people_keys"), "id", "left")
+    return Catalogue(*[people if n == "people" else bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")], stored_index(store))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Catalogue:

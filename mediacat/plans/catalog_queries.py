@@ -11,7 +11,8 @@ from ..functions import dates, geo, text
 from ..operators import browse, cdc, cluster, fts, people, search
 from ..sources import listing
 from ..streaming import monitor
-from .bindings import bound, catalogue, indexed, tables, with_bound
+from .bindings import bound, catalogue, published, tables, with_bound
+from .index import stored_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -333,22 +334,22 @@ def tokens_df(spark, sf):
 
 @query(_TOKENS + "SELECT file_id, page FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'estion')", ("texts",))
 def fts_match_and(spark, sf):
-    return fts.match_index(indexed(spark, sf)[0], "the Éstion").select("file_id", "page")
+    return fts.match_index(stored_index(published(spark, sf)), "the Éstion").select("file_id", "page")
 
 
 @query(_TOKENS + "SELECT file_id, page FROM tok WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')", ("texts",))
 def fts_phrase(spark, sf):
-    return fts.match_index(indexed(spark, sf)[0], "of-the").select("file_id", "page")
+    return fts.match_index(stored_index(published(spark, sf)), "of-the").select("file_id", "page")
 
 
 @query(_ONE + "SELECT file_id, page, round(score, 6) AS score FROM m", ("texts",))
 def bm25_pages(spark, sf):
-    return rounded(fts.match_index(indexed(spark, sf)[0], "estion").select("file_id", "page", "score"), "score")
+    return rounded(fts.match_index(stored_index(published(spark, sf)), "estion").select("file_id", "page", "score"), "score")
 
 
 @query(_ONE + "SELECT file_id, arg_max(page, {'s': score, 'p': -page}) AS page, round(max(score), 6) AS score FROM m GROUP BY file_id", ("texts",))
 def bm25_best_page(spark, sf):
-    return rounded(fts.best_page(fts.match_index(indexed(spark, sf)[0], "estion")).select("file_id", "page", "score"), "score")
+    return rounded(fts.best_page(fts.match_index(stored_index(published(spark, sf)), "estion")).select("file_id", "page", "score"), "score")
 
 
 @query(_ONE + "SELECT file_id, page, round(score, 6) AS score FROM m", ("texts",))
@@ -358,7 +359,7 @@ def bm25_without_index(spark, sf):
 
 @query(_TOKENS + ", e AS (SELECT file_id, page, len(w) AS len, unnest(w) AS token FROM tok) SELECT token, file_id, page, len::INT AS len, count(*)::INT AS tf FROM e GROUP BY ALL", ("texts",))
 def postings_index(spark, sf):
-    return indexed(spark, sf)[0].postings.drop("positions")
+    return stored_index(published(spark, sf)).postings.drop("positions")
 
 
 @query(

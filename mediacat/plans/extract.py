@@ -1,12 +1,14 @@
 """Extraction by stages: one pass over the files' contents runs the due stages of each file, and columns make values of what came out.
 
-Decoders, recognisers and encoders are injected as ``Engines``; a file that fails is a row with its error and stops no other."""
+Decoders, recognisers and encoders are injected as ``Engines``, or as an ``EngineSource`` that makes them once a worker process.  A
+task holds the contents of ``batch_bytes`` and one file at most: that much goes to the encoder at a time, and its rows leave the task.  A
+file that fails is a row with its error and stops no other."""
 
 from __future__ import annotations
 
-import os
+import posixpath
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
 
@@ -15,9 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, geometry
+from ..operators.people import detections
 from ..sources.documents import docx_text
+from ..sources.pictures import file_system
 from ..storage import kept
 
+#: Bytes of contents, and files, that are decoded before the encoder runs and their rows go.
+BATCH_BYTES, BATCH_FILES = 64 << 20, 256
 #: Stages that need a picture's pixels; without any of them only its header is read.
 PIXELS = {"thumb", "faces", "clip", "ocr"}
 SCHEMA = (
@@ -31,6 +37,7 @@ SCHEMA = (
 class Engines:
     """image(content, header_only) -> width, height, exif_date, lat_ref, lat, lon_ref, lon; thumb(content) -> picture bytes;
     faces(content) -> x, y, w, h, score, embedding on the working copy; ocr(content) -> [(line, confidence)];
+    region(content, {x0, y0, x1, y1}, zoom) -> the same, found in that part of the picture, in zoomed pixels of it;
     encode(contents) -> vectors; pdf(content) -> (page texts, creation time); render(content, page) -> picture bytes."""
 
     image: Callable | None = None
@@ -40,6 +47,61 @@ class Engines:
     encode: Callable | None = None
     pdf: Callable | None = None
     render: Callable | None = None
+    region: Callable | None = None
+
+
+@dataclass(frozen=True)
+class EngineSource:
+    """Makes the engines where they are used: ``load()`` runs once in each worker process for each ``name``, since models take
+    seconds to load and hundreds of MB."""
+
+    name: str
+    load: Callable[[], Engines]
+
+
+_LOADED: dict[str, Engines] = {}
+
+
+def engines_here(source: Engines | EngineSource) -> Engines:
+    """The engines of this process."""
+    if isinstance(source, Engines):
+        return source
+    if source.name not in _LOADED:
+        _LOADED[source.name] = source.load()
+    return _LOADED[source.name]
+
+
+def in_batches(items: Iterator, size: Callable, most_bytes: int, most: int) -> Iterator[list]:
+    """Lists of at most ``most`` items, cut as soon as their sizes reach ``most_bytes``; an item larger than that is a list of its own at
+    the latest."""
+    held, total = [], 0
+    for item in items:
+        n = size(item)
+        if held and total + n > most_bytes:
+            yield held
+            held, total = [], 0
+        held.append(item)
+        total += n
+        if total >= most_bytes or len(held) >= most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def encoded(rows: DataFrame, key: str, content: str, source: Engines | EngineSource, batch_bytes: int = BATCH_BYTES, batch_files: int = BATCH_FILES) -> DataFrame:
+    """key, embedding (what the encoder gives), batch_bytes and batch_files (of the batch that the row was in) of each row with content."""
+    wanted = rows.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content"))
+
+    def run(batches):
+        own = engines_here(source)
+        pairs = ((k, bytes(c)) for batch in batches for k, c in zip(batch["key"], batch["content"]))
+        for part in in_batches(pairs, lambda p: len(p[1]), batch_bytes, batch_files):
+            vectors = own.encode([c for _, c in part])
+            yield pd.DataFrame({"key": [k for k, _ in part], "embedding": [[float(x) for x in v] for v in vectors], "batch_bytes": sum(len(c) for _, c in part), "batch_files": len(part)})
+
+    kind = wanted.schema["key"].dataType.simpleString()
+    return wanted.mapInPandas(run, f"key {kind}, embedding array<float>, batch_bytes long, batch_files int").withColumnRenamed("key", key)
 
 
 def read_lines(engine: Callable, content: bytes, least: float = 0.5) -> str:
@@ -72,6 +134,8 @@ def process(path: str, kind: str, todo: list[str], content: bytes, engines: Engi
             out["pages"].append({"page": 1, "content": text})
     elif kind == "pdf" and engines.pdf:
         texts, made = timed("text", lambda: engines.pdf(content))
+        if "thumb" in due and engines.thumb and engines.render and texts:  # of the first page
+            out["thumb"] = timed("thumb", lambda: engines.thumb(engines.render(content, 1)))
         if due & {"text", "thumb"}:
             out["created"] = made
             out["pages"] += [{"page": k, "content": t} for k, t in enumerate(texts, 1) if t.strip()]
@@ -85,29 +149,33 @@ def process(path: str, kind: str, todo: list[str], content: bytes, engines: Engi
     return out
 
 
-def extracted(work: DataFrame, root: str, engines: Engines) -> DataFrame:
+def extracted(work: DataFrame, root: str, engines: Engines | EngineSource, batch_bytes: int = BATCH_BYTES, batch_files: int = BATCH_FILES) -> DataFrame:
     """work: rel_path, kind, todo.  A row a file of ``SCHEMA``: every file is opened once, in the task that its row is in."""
     names = ["rel_path", "error", "ran", "hash", "width", "height", "exif_date", "created", "mtime", "lat_ref", "lat", "lon_ref", "lon", "pages", "faces", "embedding", "thumb", "seconds"]
 
     def run(batches):
-        for batch in batches:
-            rows, waiting = [], []
-            for path, kind, todo in zip(batch["rel_path"], batch["kind"], batch["todo"]):
-                row = {"rel_path": path, "ran": list(todo)}
-                try:
-                    full = os.path.join(root, path)
-                    with open(full, "rb") as f:
-                        content = f.read()
-                    row |= {"mtime": os.stat(full).st_mtime, **process(path, kind, list(todo), content, engines)}
-                    if "clip" in todo and engines.encode:
-                        waiting.append((row, content))
-                except Exception as e:
-                    row = {"rel_path": path, "ran": list(todo), "error": f"{type(e).__name__}: {e}"[:500]}
-                rows.append(row)
+        own = engines_here(engines)
+        files, base = file_system(root)
+
+        def read():
+            for batch in batches:
+                for path, kind, todo in zip(batch["rel_path"], batch["kind"], batch["todo"]):
+                    row, content = {"rel_path": path, "ran": list(todo)}, b""
+                    try:
+                        full = posixpath.join(base, path)
+                        with files.open_input_stream(full) as f:
+                            content = f.read()
+                        row |= {"mtime": files.get_file_info(full).mtime_ns / 1e9, **process(path, kind, list(todo), content, own)}
+                    except Exception as e:
+                        row, content = {"rel_path": path, "ran": list(todo), "error": f"{type(e).__name__}: {e}"[:500]}, b""
+                    yield row, content if "clip" in todo and own.encode and "error" not in row else b""
+
+        for part in in_batches(read(), lambda x: len(x[1]) + len(x[0].get("thumb") or b""), batch_bytes, batch_files):
+            waiting = [(row, content) for row, content in part if content]
             if waiting:
                 began = time.perf_counter()
                 try:
-                    for (row, _), v in zip(waiting, engines.encode([c for _, c in waiting])):
+                    for (row, _), v in zip(waiting, own.encode([c for _, c in waiting])):
                         row["embedding"] = [float(x) for x in v]
                 except Exception as e:
                     for row, _ in waiting:
@@ -115,18 +183,47 @@ def extracted(work: DataFrame, root: str, engines: Engines) -> DataFrame:
                 share = (time.perf_counter() - began) / len(waiting)
                 for row, _ in waiting:
                     row["seconds"]["clip"] = share
-            yield pd.DataFrame([[row.get(n) for n in names] for row in rows], columns=names, dtype=object)
+            yield pd.DataFrame([[row.get(n) for n in names] for row, _ in part], columns=names, dtype=object)
 
     return work.select("rel_path", "kind", "todo").mapInPandas(run, SCHEMA)
 
 
-def extractor(root: str, engines: Engines, today: date) -> Callable[[DataFrame], dict[str, DataFrame]]:
+def region_faces(boxes: DataFrame, root: str, engines: Engines | EngineSource) -> DataFrame:
+    """boxes: key, rel_path, box (drawn by the user), width, height.  key, bbox, det_score, embedding of the face in each box: of the faces
+    that the engine finds in the box and its surroundings, zoomed, the one whose centre is nearest to the box's; null columns if there is none."""
+    todo = boxes.select("key", "rel_path", "box", geometry.search_region(F.col("box"), F.col("width"), F.col("height")).alias("s"))
+
+    def run(batches):
+        own = engines_here(engines)
+        files, base = file_system(root)
+        for batch in batches:
+            rows = []
+            for key, path, box, s in zip(batch["key"], batch["rel_path"], batch["box"], batch["s"]):
+                found = []
+                if s is not None:
+                    with files.open_input_stream(posixpath.join(base, path)) as f:
+                        found = own.region(f.read(), dict(s["region"]), float(s["zoom"]))
+                x, y = box["x"] + box["w"] / 2, box["y"] + box["h"] / 2
+                for f in found:  # back to pixels of the picture
+                    f |= {n: f[n] / s["zoom"] + s["region"].get({"x": "x0", "y": "y0"}.get(n), 0) for n in "xywh"}
+                best = min(found, key=lambda f: (f["x"] + f["w"] / 2 - x) ** 2 + (f["y"] + f["h"] / 2 - y) ** 2, default=None)
+                rows.append((key, best and {n: round(best[n]) for n in "xywh"}, best and float(best["score"]), best and [float(v) for v in best["embedding"]]))
+            yield pd.DataFrame(rows, columns=["key", "bbox", "det_score", "embedding"], dtype=object)
+
+    from ..functions.vectors import normalise
+
+    kind = todo.schema["key"].dataType.simpleString()
+    out = todo.mapInPandas(run, f"key {kind}, bbox struct<x:int,y:int,w:int,h:int>, det_score double, embedding array<float>")
+    return out.withColumn("embedding", F.when(F.col("embedding").isNotNull(), normalise(F.col("embedding")).cast("array<float>")))
+
+
+def extractor(root: str, engines: Engines | EngineSource, today: date, batch_bytes: int = BATCH_BYTES) -> Callable[[DataFrame], dict[str, DataFrame]]:
     """The extractor that the index driver calls: results, pages, faces and vectors of a work list, out of one kept pass."""
 
     def extract(work: DataFrame) -> dict[str, DataFrame]:
         from ..functions.vectors import normalise
 
-        out = kept(extracted(work, root, engines)).join(work.select("rel_path", F.col("id").alias("file_id")), "rel_path")
+        out = kept(extracted(work, root, engines, batch_bytes)).join(work.select("rel_path", F.col("id").alias("file_id")), "rel_path")
         good = out.where("error IS NULL")
         when = dates.resolve_date(F.substring_index("rel_path", "/", -1), F.lit(str(today)).cast("date"), dates.exif_stamp(F.col("exif_date")), F.col("created"), F.col("mtime"))
         place = geo.gps_from_exif(F.col("lat_ref"), F.col("lat"), F.col("lon_ref"), F.col("lon"))
@@ -137,9 +234,9 @@ def extractor(root: str, engines: Engines, today: date) -> Callable[[DataFrame],
         )
         texts = good.select("file_id", F.explode("pages").alias("s")).select(F.col("s.content").alias("content"), "file_id", F.col("s.page").alias("page"))
         box = geometry.box_times(F.col("f"), geometry.working_scale(F.col("width"), F.col("height")))
-        faces = good.where("faces IS NOT NULL").select("file_id", "width", "height", F.posexplode("faces").alias("n", "f")).select(
+        faces = detections(good.where("faces IS NOT NULL").select("file_id", "width", "height", F.posexplode("faces").alias("n", "f")).select(
             "file_id", "n", box.alias("bbox"), F.col("f.score").alias("det_score"), normalise(F.col("f.embedding")).cast("array<float>").alias("embedding")
-        )
+        ))
         vectors = good.where("embedding IS NOT NULL").select("file_id", normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
         return {"files": files, "texts": texts, "faces": faces, "clip_embeddings": vectors, "seconds": good.select("seconds"), "thumbs": good.where("thumb IS NOT NULL").select("file_id", "thumb")}
 

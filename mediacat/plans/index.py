@@ -1,16 +1,23 @@
-"""The index driver: scan, extraction of due stages, places and grouping, published as catalogue versions."""
+"""The index driver: scan, extraction of due stages, places and grouping, published as catalogue versions.
+
+The work list is done in chunks.  What a chunk has extracted is stored beside the catalogue and marked as done before the next one
+begins; a run that is killed or cancelled loses one chunk, and the next run saves what it finds and goes on with the rest.  Tables
+are written once a run, not once a chunk."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog, assign_ids, upsert
+from ..catalog import Catalog, assign_ids, get_meta, upsert
 from ..operators import cdc, fts, people
+from ..operators.search import Catalogue
 from ..schema import TABLES
 from ..sources.listing import in_hidden_folder, is_sticker, list_folder, listed_kind
+from ..sources.pictures import save_pictures
 from ..storage import drop_kept, kept
 
 #: extract(work list: id, rel_path, kind, todo) -> {"files": rel_path, error, ran, r_*; "texts", "clip_embeddings", "faces": new rows}
@@ -41,20 +48,82 @@ def scan(catalog: Catalog, seen: DataFrame, force: bool = False, retry_errors: b
     return catalog.publish(changed)
 
 
-def run_index(
-    spark: SparkSession, root: str, catalog: Catalog, extract: Extractor, places: DataFrame | None = None, settings: people.Settings | None = None,
-    only: list[str] | None = None, force: bool = False, retry_errors: bool = False, cancelled: Callable[[], bool] = lambda: False,
-) -> dict[str, int]:
-    """Brings the catalogue up to date with the folder; counts of changes and of files processed, and errors."""
-    if only is not None and cdc.unknown_stages(only):
-        raise ValueError(f"unknown stages: {', '.join(cdc.unknown_stages(only))}")
-    seen = kept(listed(spark, root))  # the folder is listed once
-    counts = {r["change"]: r["n"] for r in cdc.scan_stats(cdc.changes(catalog.read("files"), seen)).collect()}
-    scan(catalog, seen, force, retry_errors)
-    work = cdc.work_list(catalog.read("files"), only)
-    counts["processed"] = work.count()
-    if counts["processed"] and not cancelled():
-        out = {name: kept(df) for name, df in extract(work).items() if name in ("files", "texts", "clip_embeddings", "faces")}  # evaluated once
+def sync_index(catalog: Catalog, texts: DataFrame | None = None) -> int:
+    """Brings the full-text index up to the catalogue's texts (or those given) and publishes it; how many pages changed.
+
+    Only pages whose text changed are tokenised; if none did, nothing is written.  A run that died before this is mended by the next."""
+    version = catalog.version()
+    texts = catalog.read("texts") if texts is None else texts
+    changes = kept(fts.index_changes(texts, catalog.read("fts_pages")))
+    n = changes.count()
+    if n:
+        postings, pages = fts.updated_index(texts, catalog.read("fts_postings"), catalog.read("fts_pages"), changes)
+        catalog.publish({"fts_postings": postings, "fts_pages": pages, "fts_totals": fts.page_totals(pages)}, version)
+    drop_kept(changes)
+    return n
+
+
+def stored_index(catalog: Catalog) -> fts.Index:
+    """The index that a search reads."""
+    return fts.Index(catalog.read("fts_postings"), catalog.read("fts_totals"))
+
+
+def searchable(catalog: Catalog) -> Catalogue:
+    """The published tables as a search reads them, with the stored index and folded names."""
+    named = catalog.read("people").join(catalog.read("people_keys"), "id", "left")
+    return Catalogue(catalog.read("files"), catalog.read("texts"), catalog.read("faces"), named, catalog.read("clip_embeddings"), stored_index(catalog))
+
+
+#: Files of a chunk, about.
+CHUNK_FILES = 100_000
+_EXTRACTED = ("files", "texts", "clip_embeddings", "faces")
+
+
+class Staged:
+    """Chunks of extracted rows beside the catalogue, each a folder of tables that counts once it holds ``_DONE``."""
+
+    def __init__(self, catalog: Catalog) -> None:
+        self.catalog, self.base = catalog, f"{catalog.base}/staged"
+        self.fs, self.path = catalog._fs()
+
+    def chunks(self) -> list[str]:
+        """Chunks that are whole, by name; others are deleted, they were being written when their run died."""
+        if not self.fs.exists(self.path(self.base)):
+            return []
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(self.base)))
+        whole = [n for n in names if self.fs.exists(self.path(f"{self.base}/{n}/_DONE"))]
+        for n in set(names) - set(whole):
+            self.fs.delete(self.path(f"{self.base}/{n}"), True)
+        return whole
+
+    def add(self, name: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+        """Stores a chunk; files and errors in it."""
+        for table, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.base}/{name}/{table}")
+        row = self.catalog.spark.read.parquet(f"{self.base}/{name}/files").agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("errors")).first()
+        self.fs.create(self.path(f"{self.base}/{name}/_DONE")).close()
+        return row.asDict()
+
+    def read(self, names: list[str]) -> dict[str, DataFrame]:
+        held = {t: [f"{self.base}/{n}/{t}" for n in names if self.fs.exists(self.path(f"{self.base}/{n}/{t}"))] for t in (*_EXTRACTED, "thumbs")}
+        return {t: self.catalog.spark.read.parquet(*paths) for t, paths in held.items() if paths}
+
+    def drop(self, names: list[str]) -> None:
+        for n in names:
+            self.fs.delete(self.path(f"{self.base}/{n}"), True)
+
+
+def merge_staged(catalog: Catalog, root: str, thumbs: str | None = None) -> int:
+    """Saves all staged chunks in one version, with their names in meta, and deletes them; how many there were.
+
+    A chunk whose name is in meta was saved by a run that died before it could delete it.  Thumbnails, if a folder is given,
+    are ``<file id>.jpg`` there, written before the version: their files are replaced, so a repetition does no harm."""
+    staged, version = Staged(catalog), catalog.version()
+    names = staged.chunks()
+    saved = set((get_meta(catalog.read("meta"), "saved_chunks") or "").split(","))
+    fresh = [n for n in names if n not in saved]
+    if fresh:
+        out = staged.read(fresh)
         files = cdc.save_results(catalog.read("files"), out["files"])
         changed = {"files": files}
         if "texts" in out:
@@ -67,13 +136,64 @@ def run_index(
             merged = cdc.merge_faces(faces.join(done, "file_id", "left_semi"), out["faces"])
             rest = faces.join(done, "file_id", "left_anti")
             changed["faces"] = rest.unionByName(assign_ids(merged, faces, "file_id"), allowMissingColumns=True)
-        catalog.publish(changed)
-        drop_kept(*out.values())
+        if thumbs and "thumbs" in out:
+            save_pictures(out["thumbs"].select(F.format_string("%d.jpg", "file_id").alias("name"), F.col("thumb").alias("content")), thumbs, root)
+        row = catalog.spark.createDataFrame([("saved_chunks", ",".join(fresh))], TABLES["meta"])
+        catalog.publish({**changed, "meta": upsert(catalog.read("meta"), row, ["key"])}, version)
+    staged.drop(names)
+    return len(fresh)
+
+
+def index_tag(catalog: Catalog) -> str:
+    """The tag of the jobs of an index run: ``spark.interruptTag(index_tag(catalog))`` stops the one that is running."""
+    return f"index-{catalog.base.rsplit('root_id=', 1)[-1]}"
+
+
+def run_index(
+    spark: SparkSession, root: str, catalog: Catalog, extract: Extractor, places: DataFrame | None = None, settings: people.Settings | None = None,
+    only: list[str] | None = None, force: bool = False, retry_errors: bool = False, cancelled: Callable[[], bool] = lambda: False,
+    chunk_files: int = CHUNK_FILES, progress: Callable[[dict[str, int]], None] = lambda state: None, thumbs: str | None = None,
+) -> dict[str, int]:
+    """Brings the catalogue up to date with the folder; counts of changes and of files processed, and errors.
+
+    ``cancelled`` is asked before each chunk; ``progress`` gets the files done so far, all of them and the errors after each.  What an earlier
+    run has left staged is saved first, before the scan can find that its files have changed since."""
+    if only is not None and cdc.unknown_stages(only):
+        raise ValueError(f"unknown stages: {', '.join(cdc.unknown_stages(only))}")
+    tag = index_tag(catalog)
+    spark.addTag(tag)
+    try:
+        return _run_index(spark, root, catalog, extract, places, settings, only, force, retry_errors, cancelled, chunk_files, progress, thumbs)
+    finally:
+        spark.removeTag(tag)
+
+
+def _run_index(spark, root, catalog, extract, places, settings, only, force, retry_errors, cancelled, chunk_files, progress, thumbs) -> dict[str, int]:
+    counts = {"resumed": merge_staged(catalog, root, thumbs)}
+    seen = kept(listed(spark, root))  # the folder is listed once
+    counts |= {r["change"]: r["n"] for r in cdc.scan_stats(cdc.changes(catalog.read("files"), seen)).collect()}
+    scan(catalog, seen, force, retry_errors)
     drop_kept(seen)
+    work = kept(cdc.work_list(catalog.read("files"), only))
+    total, staged = work.count(), Staged(catalog)
+    counts["processed"] = done = errors = 0
+    chunks, run = max(1, -(-total // chunk_files)), uuid.uuid4().hex
+    for k in range(chunks if total else 0):
+        if cancelled():
+            break
+        chunk = work.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == k)
+        out = {name: df for name, df in extract(chunk).items() if name in (*_EXTRACTED, *(["thumbs"] if thumbs else []))}
+        made = staged.add(f"{run}-{k:06d}", out)
+        done, errors = done + made["files"], errors + made["errors"]
+        progress({"done": done, "total": total, "errors": errors})
+    drop_kept(work)
+    counts["processed"] = done
+    merge_staged(catalog, root, thumbs)
     if places is not None and not cancelled():
         files = cdc.resolve_places(catalog.read("files"), places)
         labels = fts.place_texts(files)
         catalog.publish({"files": files, "texts": catalog.read("texts").where("page <> 0").unionByName(labels)})
+    sync_index(catalog)
     settings = settings or people.load_settings(catalog.read("meta"))
     if catalog.read("faces").where("person_id IS NULL").limit(1).count() and not cancelled() and (only is None or "faces" in only):
         faces, everyone, _ = people.group_faces(catalog.read("faces"), catalog.read("files"), catalog.read("people"), catalog.read("face_negatives"), settings)

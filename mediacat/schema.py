@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 
 SCHEMA_VERSION = 4
 
-_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "vector": ArrayType(FloatType())}
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "ints": ArrayType(IntegerType()), "vector": ArrayType(FloatType())}
 _TYPES["box"] = StructType([StructField(n, IntegerType()) for n in "xywh"])
 
 
@@ -29,8 +29,16 @@ TABLES: dict[str, StructType] = {
     "face_negatives": _table("face_id long, person_id long"),
     "clip_embeddings": _table("file_id long, embedding vector"),
     "places": _table("name string, state string, country string, lat double, lon double"),
+    # derived from the tables above
+    "fts_postings": _table("token string, file_id long, page int, tf int, len int, positions ints"),
+    "fts_pages": _table("file_id long, page int, len int, sign long"),
+    "fts_totals": _table("n long, avg double"),
+    "people_keys": _table("id long, name_key string"),
 }
 
+#: Columns whose sorted ranges a table is written in, so that a filter on the first reads few row groups.
+CLUSTERED = {"fts_postings": ["token", "file_id", "page"]}
+
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])

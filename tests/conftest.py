@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH")]))  # for workers
+_HERE = os.path.dirname(os.path.abspath(__file__))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(_HERE), _HERE, os.environ.get("PYTHONPATH")]))  # for workers
 
 
 @pytest.fixture(scope="session")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mediacat import catalog as cat
 from mediacat.functions.dates import resolve_date
-from mediacat.operators import browse, cdc, cluster, people, search
+from mediacat.operators import browse, cdc, cluster, fts, people, search
+from mediacat.plans import index
 from mediacat.plans.index import run_index
 from mediacat.schema import TABLES, empty
 from mediacat.sources import documents, listing
@@ -206,10 +207,44 @@ def test_versions_share_unchanged_tables(spark, tmp_path):
     rows = lambda v: spark.createDataFrame([("a", v)], "key string, value string")
     persons = spark.createDataFrame([(1, "Ana", False, None)], TABLES["people"])
     assert (c.publish({"meta": rows("1"), "people": persons}), c.publish({"meta": rows("2")})) == (1, 2)
-    assert not os.path.exists(tmp_path / f"root_id={cat.root_id('x')}/v=2/people") and c.read("people").count() == 1
+    written = lambda: len(list((tmp_path / f"root_id={cat.root_id('x')}/data").glob("*/people")))
+    assert written() == 1 and c.read("people").count() == 1 and c.read("people_keys").first()["name_key"] == "ana"
     assert c.read("meta").first()["value"] == "2" and c.read("meta", 1).first()["value"] == "1"
     c.clean()
-    assert c.read("people").count() == 1 and c.read("meta").first()["value"] == "2"
+    assert c.read("people").count() == 1 and c.read("meta").first()["value"] == "2" and written() == 1
+
+
+def test_two_writers_never_undo_each_other(spark, tmp_path):
+    first, second = (cat.Catalog(spark, f"file://{tmp_path}", cat.root_id("y")) for _ in range(2))
+    rows = lambda v: spark.createDataFrame([("a", v)], "key string, value string")
+    base = first.publish({"meta": rows("0")})
+    assert first.publish({"meta": rows("1")}, base) == base + 1
+    with pytest.raises(cat.Conflict):
+        second.publish({"meta": rows("2"), "people": empty(spark, "people")}, base)
+    assert second.version() == base + 1 and second.read("meta").first()["value"] == "1" and not second.holds("people")
+    assert len(list((tmp_path / f"root_id={cat.root_id('y')}/data").iterdir())) == 2  # the loser has taken its own away
+    assert second.publish({"meta": rows("3")}) == base + 2 and first.read("meta").first()["value"] == "3"
+
+
+def test_index_after_changes_equals_a_rebuild(spark, tmp_path):
+    c = cat.Catalog(spark, f"file://{tmp_path}", cat.root_id("z"))
+    table = lambda *rows: spark.createDataFrame(rows, "content string, file_id long, page int")
+    rows = lambda df: sorted(str(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+    steps = [
+        (table(("One two one", 1, 1), ("three", 1, 2), ("two", 2, 1), (None, 5, 1)), 4),
+        (table(("One two one", 1, 1), ("three", 1, 2), ("two", 2, 1), (None, 5, 1)), 0),
+        (table(("One two one", 1, 1), ("three four", 1, 2), ("new", 3, 1), (None, 5, 1)), 3),  # one changed, one gone, one new
+        (table(), 4),
+    ]
+    for texts, n in steps:
+        c.publish({"texts": texts})
+        version = c.version()
+        assert index.sync_index(c) == n and c.version() == version + (n > 0)
+        whole = fts.postings(texts)
+        assert rows(c.read("fts_postings")) == rows(whole) and c.read("fts_totals").first()["n"] == texts.count()
+        assert rows(c.read("fts_totals")) == rows(fts.totals(texts))
+        got = fts.match_index(index.stored_index(c), "one")
+        assert rows(got) == rows(fts.match(texts, "one").drop("content"))
 
 
 def test_index_end_to_end(spark, tmp_path):
@@ -236,11 +271,14 @@ def test_index_end_to_end(spark, tmp_path):
     assert files["inbox/IMG-20190818-WA0044.jpg"]["taken_at"] == "2019-08-18"
     assert (files["papers/budget.docx"]["taken_at"], files["papers/budget.docx"]["date_source"]) == ("2020-01-02T03:04:05", "document")
     assert store.read("texts").first()["content"] == "Dear Zoé\na | b"
+    found = search.search(index.searchable(store), search.Query(text="ZOE")).hits.collect()
+    assert [(r["rel_path"], r["snippet"]) for r in found] == [("papers/budget.docx", "Dear [Zoé]\na | b")]
     assert len({r["id"] for r in files.values()}) == 5
     again = run_index(spark, str(root), store, extract)
     assert again["processed"] == 0 and again["unchanged"] == 5
     os.remove(root / "papers/budget.docx")
     assert run_index(spark, str(root), store, extract)["gone"] == 1
+    assert search.search(index.searchable(store), search.Query(text="zoe")).hits.count() == 0
     version = store.version()
     assert store.migrate() == version + 1 and store.migrate() == version + 1
     assert cat.get_meta(store.read("meta"), "root_path") == str(root)
