@@ -139,8 +139,9 @@ def person_reference(text: str) -> tuple[str, int | str | None]:
 
 
 def file_size(size: Column) -> Column:
+    """Above one MB in MB with one decimal, else in whole KB, halves up."""
     mb = F.lit(1024.0 * 1024.0)
-    return F.when(size >= mb, F.concat(F.format_number(size / mb, 1), F.lit(" MB"))).otherwise(F.concat(F.format_number(F.greatest(F.round(size / 1024), F.lit(1)), 0), F.lit(" KB")))
+    return F.when(size > mb, F.format_string("%.1f MB", size / mb)).otherwise(F.format_string("%d KB", F.floor(size / F.lit(1024.0) + 0.5).cast("long")))
 
 
 def elapsed(seconds: Column) -> Column:

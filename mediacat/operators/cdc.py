@@ -34,6 +34,11 @@ def unknown_stages(given: list[str]) -> list[str]:
     return sorted(set(given) - set(HEAVY_STAGES))
 
 
+def unknown(given: Column) -> Column:
+    """The same for an array of names."""
+    return F.array_sort(F.array_except(given, _strings(HEAVY_STAGES)))
+
+
 def changes(known: DataFrame, seen: DataFrame) -> DataFrame:
     """Full outer difference of catalogue and folder on rel_path, with change: new, changed, reappeared, unchanged, purged
     (now in a hidden folder), gone or missing (already known to be)."""

@@ -18,6 +18,18 @@ from .cluster import dbscan, group_maxima, top_labels
 EMBEDDING = 128
 
 
+#: Least and greatest value of each setting.
+RANGES = {"auto": (0.3, 0.99), "suggest": (0.2, 0.99), "eps": (0.05, 0.7), "min_samples": (2, 50)}
+
+
+def settings_valid(auto: Column, suggest: Column, eps: Column, min_samples: Column) -> Column:
+    """Whether a row of settings may be used; a missing one may not."""
+    out = suggest <= auto
+    for c, (low, high) in zip((auto, suggest, eps, min_samples), RANGES.values()):
+        out = out & c.between(low, high)
+    return F.coalesce(out, F.lit(False))
+
+
 @dataclass(frozen=True)
 class Settings:
     auto: float = 0.7
@@ -27,7 +39,7 @@ class Settings:
 
     def checked(self) -> Settings:
         """Itself, or ValueError: no setting of an invalid set is used."""
-        for name, low, high in (("auto", 0.3, 0.99), ("suggest", 0.2, 0.99), ("eps", 0.05, 0.7), ("min_samples", 2, 50)):
+        for name, (low, high) in RANGES.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must lie between {low} and {high}")
         if self.suggest > self.auto:
@@ -194,6 +206,19 @@ def person_from_reference(people: DataFrame, text: str) -> tuple[int | None, Dat
     return None, people
 
 
+def resolve_references(people: DataFrame, given: DataFrame) -> DataFrame:
+    """given: given (text), more.  Adds id, of the person meant, and made: whether the text is a name that nobody has, for which a person is
+    to be made.  ``#12`` and ``12`` mean an id that must exist; names are compared without ASCII case, and the lowest id wins."""
+    text = F.btrim("given")
+    number = F.regexp_extract(text, r"^#?([0-9]{1,18})$", 1)
+    asked = given.withColumns({"_id": F.when(number != "", number.cast("long")), "_name": F.when((number == "") & (text != ""), nocase(text))})
+    ids = people.select(F.col("id").alias("_id"), F.lit(True).alias("_there"))
+    names = people.where("name IS NOT NULL").groupBy(nocase(F.col("name")).alias("_name")).agg(F.min("id").alias("_named"))
+    out = asked.join(ids, "_id", "left").join(names, "_name", "left")
+    found = F.coalesce(F.when(F.col("_there"), F.col("_id")), F.col("_named"))
+    return out.select(*given.columns, found.alias("id"), (F.col("_name").isNotNull() & F.col("_named").isNull()).alias("made"))
+
+
 def assign_face(faces: DataFrame, negatives: DataFrame, face: int, person: int) -> tuple[DataFrame, DataFrame]:
     """The user says whose face it is; a veto against it goes."""
     own = F.col("id") == face

@@ -39,6 +39,15 @@ class Query:
         )
 
 
+def clamps(limit: Column, offset: Column, order: Column, kinds: Column) -> Column:
+    """The same rules as columns, for queries that come as rows: struct(limit, offset, order, kinds)."""
+    known = F.array(*map(F.lit, KINDS))
+    return F.struct(
+        F.least(F.greatest(limit, F.lit(1)), F.lit(500)).alias("limit"), F.greatest(offset, F.lit(0)).alias("offset"),
+        F.when(order.isin("relevance", "date"), order).otherwise("relevance").alias("order"), F.filter(kinds, lambda k: F.array_contains(known, k)).alias("kinds"),
+    )
+
+
 @dataclass(frozen=True)
 class Catalogue:
     """The tables that a search reads.  With ``index`` it reads postings instead of texts; with a column ``name_key`` of people

@@ -27,10 +27,11 @@ SELECT doc_id AS id, concat(source, '/', CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1
 FROM documents
 """
 PEOPLE = """
-SELECT CAST(id AS BIGINT) AS id, name, hidden, CAST(cover AS BIGINT) AS cover_face_id FROM (VALUES (0, 'Maria Souza', false, 30), (1, 'João Lima', false, NULL),
-  (2, 'Ana', false, 9000000), (3, 'Zé', true, NULL), (4, 'ana maria', false, NULL), (5, NULL, false, NULL), (6, NULL, false, NULL), (7, NULL, false, NULL),
-  (8, NULL, false, NULL), (9, NULL, false, NULL), (10, 'Ninguém', false, NULL),
-  (11, 'Of The', false, NULL)) AS t(id, name, hidden, cover)
+SELECT CAST(c_custkey - 1 AS BIGINT) AS id,
+       CASE c_custkey - 1 WHEN 0 THEN 'Maria Souza' WHEN 1 THEN 'João Lima' WHEN 2 THEN 'Ana' WHEN 3 THEN 'Zé' WHEN 4 THEN 'ana maria' WHEN 10 THEN 'Ninguém' WHEN 11 THEN 'Of The'
+         ELSE CASE WHEN c_custkey > 20 AND c_custkey % 3 > 0 THEN concat('Customer ', CAST(c_custkey - 1 AS STRING)) END END AS name,
+       (c_custkey - 1) % 50 = 3 AS hidden, CAST(CASE c_custkey - 1 WHEN 0 THEN 30 WHEN 2 THEN 9000000 END AS BIGINT) AS cover_face_id
+FROM customer
 """
 FACES = """
 SELECT vec_id AS id, (vec_id * 7) % 100 AS file_id, CAST((vec_id * 37) % 1000 AS DOUBLE) / 1000 AS det_score, embedding,
@@ -98,16 +99,19 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
 
 
+def table_sign(spark: SparkSession, path: str) -> str:
+    """What tells one state of a table from another: the names, sizes and times of its files."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
+    return ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def published(spark: SparkSession, sf_dir: str) -> Catalog:
     """The index of the bound texts and the bound people as a published catalogue in the shared folder.
 
     It is found by what the base table's files are, their names, sizes and times: another table makes another one, and a
     table that is there is read, in this session or a later one."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
-    sign = ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
-    store = Catalog(spark, f"{shared_folder(spark)}/bound", root_id(sign))
+    store = Catalog(spark, f"{shared_folder(spark)}/bound", root_id(table_sign(spark, f"{sf_dir}/documents.parquet")))
     if not store.version():
         try:
             store.publish({"people": bound(spark, sf_dir, "people")}, 0)

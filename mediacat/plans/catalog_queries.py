@@ -194,9 +194,12 @@ def autocomplete_rank(spark, sf):
     return search.autocomplete(browse.people_overview(bound(spark, sf, "people"), bound(spark, sf, "faces")), "Ma")
 
 
-@query(f"SELECT {HIT}, 1.0::DOUBLE AS score FROM b_files WHERE {VISIBLE} ORDER BY taken_at DESC NULLS LAST, id DESC LIMIT 500", ("files",))
+@query(f"SELECT {HIT}, 1.0::DOUBLE AS score FROM b_files WHERE {VISIBLE} ORDER BY taken_at DESC NULLS LAST, id DESC LIMIT 500 OFFSET (SELECT greatest(count(taken_at) - 10, 0) FROM b_files WHERE {VISIBLE})", ("files",))
 def undated_last(spark, sf):
-    return search.search(tables(spark, sf), search.Query(limit=9999)).hits.select("id", "rel_path", "kind", "taken_at", "score")
+    """The page that begins ten files before the undated ones."""
+    c = tables(spark, sf)
+    dated = search.candidates(c, search.Query()).agg(F.count("taken_at")).first()[0]
+    return search.search(c, search.Query(limit=9999, offset=dated - 10)).hits.select("id", "rel_path", "kind", "taken_at", "score")
 
 
 # --- dates, classification -------------------------------------------------------------------------------------------
@@ -628,12 +631,6 @@ def assign_face(spark, sf):
     return people.assign_face(bound(spark, sf, "faces"), bound(spark, sf, "negatives"), 31, 4)[0].select("id", F.col("person_id").cast("long").alias("person_id"), "assign_source")
 
 
-@query()
-def group_faces(spark, sf):
-    s = people.Settings(AUTO, SUGGEST, EPS, SAMPLES)
-    return people.group_faces(bound(spark, sf, "faces"), bound(spark, sf, "files"), bound(spark, sf, "people"), bound(spark, sf, "negatives"), s)[2]
-
-
 @query(
     """WITH f AS (SELECT vec_id, vec_id % 100 AS file_id, vec_id % 50 AS x, vec_id % 30 AS y, 40 + vec_id % 9 AS w, 50 AS h, label FROM embeddings),
     o AS (SELECT * FROM f WHERE vec_id % 2 = 0), n AS (SELECT * FROM f WHERE vec_id % 2 = 1),
@@ -689,10 +686,14 @@ def pending_changes(spark, sf):
     return cdc.pending_changes(_known(spark, sf), bound(spark, sf, "seen"))
 
 
-@query("WITH d(key, value) AS (VALUES ('auto', '0.7'), ('suggest', '0.6'), ('eps', '0.3')), m(key, value) AS (VALUES ('eps', '0.25'), ('auto', '0.8')) SELECT d.key, coalesce(m.value, d.value) AS value FROM d LEFT JOIN m ON m.key = d.key")
+@query("""WITH d AS (SELECT concat(k, o_orderkey) AS key, v AS value FROM orders, (VALUES ('auto', '0.7'), ('note', '0.6')) AS t(k, v) UNION ALL VALUES ('auto', '0.7'), ('suggest', '0.6'), ('eps', '0.3'))
+  SELECT key, CASE key WHEN 'eps' THEN '0.25' WHEN 'auto' THEN '0.8' ELSE value END AS value FROM d""")
 def settings_effective(spark, sf):
-    defaults = spark.createDataFrame([("auto", "0.7"), ("suggest", "0.6"), ("eps", "0.3")], "key string, value string")
-    return people.effective_settings(spark.createDataFrame([("faces_eps", "0.25"), ("faces_t_auto", "0.8"), ("faces_auto", "0.1"), ("monitor", "0")], "key string, value string"), defaults)
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    named = lambda k, v: o.select(F.concat(F.lit(k), "o_orderkey").alias("key"), F.lit(v).alias("value"))
+    defaults = spark.createDataFrame([("auto", "0.7"), ("suggest", "0.6"), ("eps", "0.3")], "key string, value string").union(named("auto", "0.7")).union(named("note", "0.6"))
+    meta = named("faces_t_", "9").union(spark.createDataFrame([("faces_eps", "0.25"), ("faces_t_auto", "0.8"), ("faces_auto", "0.1"), ("monitor", "0")], "key string, value string"))
+    return people.effective_settings(meta, defaults)
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import zipfile
 from datetime import date
 
@@ -16,11 +15,12 @@ from ..functions import dates, geo, geometry, text, vectors
 from ..operators import browse, cdc, cluster, fts, people, search
 from ..schema import TABLES
 from ..sources import documents, listing
+from ..sources.pictures import save_pictures
 from ..storage import shared_folder
 from ..streaming import monitor
-from .bindings import bound, tables
+from .bindings import bound, table_sign, tables
 from .catalog_queries import _CHANGES, _FREE, _SCORES, AUTO, EPS, HIT, SAMPLES, SUGGEST, VISIBLE, _known, query, rounded
-from .extract import Engines, extractor
+from .extract import Engines, EngineSource, encoded, extractor
 from .index import run_index
 
 
@@ -32,17 +32,6 @@ def _rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _folder(files: dict[str, bytes]) -> str:
-    """A new folder of files on this machine: the source that the queries on folders scan."""
-    root = tempfile.mkdtemp(prefix="mediacat-folder-")
-    for rel, content in files.items():
-        path = os.path.join(root, rel)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(content)
-    return root
-
-
 def word_file(paragraphs: list[str], cells: list[str] = (), created: str = "2020-01-02T03:04:05Z") -> bytes:
     """A small Word file."""
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -56,29 +45,69 @@ def word_file(paragraphs: list[str], cells: list[str] = (), created: str = "2020
     return out.getvalue()
 
 
-def _nations(spark, sf) -> list:
-    return [(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in _read(spark, sf, "nation").collect()]  # a constant few
+def _word_files(rows: DataFrame) -> DataFrame:
+    """rows: name, paragraphs, cells.  name, content."""
+    import pandas as pd
+
+    def make(batches):
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "content": [word_file(list(p), list(c)) for p, c in zip(batch["paragraphs"], batch["cells"])]})
+
+    return rows.mapInPandas(make, "name string, content binary")
+
+
+def _media_rows(spark, sf) -> DataFrame:
+    """name, content of a media file for each document: pictures, pdf and Word files, films, broken pictures and stickers."""
+    i = F.col("doc_id")
+    picture = F.format_string("picture,%d,800,2019:07:%02d 10:11:12", 1000 + 100 * (i % 50), i % 28 + 1)
+    case = lambda jpg, pdf, other, bad, sticker: F.when(i % 5 == 0, jpg).when(i % 5 == 1, pdf).when(i % 5 == 3, other).when(i % 10 == 4, bad).otherwise(sticker)
+    name = case(F.format_string("a/%d.jpg", i), F.format_string("b/%d.pdf", i), F.format_string("x/%d.mp4", i), F.format_string("bad/%d.jpg", i), F.format_string("STK-20230101-WA%d.webp", i))
+    content = case(picture, F.format_string("first %d||third", i), F.lit("x"), F.lit("junk,1,1,"), F.lit("picture,10,10,"))
+    d = _read(spark, sf, "documents").where("doc_id IS NOT NULL")
+    words = d.where("doc_id % 5 = 2").select(F.format_string("c/%d.docx", i).alias("name"), F.array(i.cast("string")).alias("paragraphs"), F.array().cast("array<string>").alias("cells"))
+    return d.where("doc_id % 5 <> 2").select(name.alias("name"), F.encode(content, "UTF-8").alias("content")).union(_word_files(words))
+
+
+#: The names and kinds of the same files.
+_MEDIA = """SELECT doc_id AS i, CASE WHEN doc_id % 5 = 0 THEN 'a/' || doc_id || '.jpg' WHEN doc_id % 5 = 1 THEN 'b/' || doc_id || '.pdf' WHEN doc_id % 5 = 2 THEN 'c/' || doc_id || '.docx'
+  WHEN doc_id % 5 = 3 THEN 'x/' || doc_id || '.mp4' WHEN doc_id % 10 = 4 THEN 'bad/' || doc_id || '.jpg' ELSE 'STK-20230101-WA' || doc_id || '.webp' END AS rel_path,
+  CASE WHEN doc_id % 5 = 0 THEN 'jpg' WHEN doc_id % 5 = 1 THEN 'pdf' WHEN doc_id % 5 = 2 THEN 'docx' WHEN doc_id % 5 = 3 THEN 'mp4' WHEN doc_id % 10 = 4 THEN 'bad' ELSE 'sticker' END AS k FROM documents WHERE doc_id IS NOT NULL"""
+
+
+def _media(spark, sf) -> str:
+    """The folder of these files in the shared folder: written by Spark, once for each state of the table."""
+    root = f"{shared_folder(spark)}/media/{cat.root_id(table_sign(spark, f'{sf}/documents.parquet'))}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}.ready")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        save_pictures(_media_rows(spark, sf), root, "/nonexistent/root")
+        fs.create(path).close()
+    return root
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------------
-@query("SELECT concat('r', n_regionkey, '/n', n_nationkey, '/', n_name, '.txt') AS rel_path, length(n_name)::BIGINT AS size FROM nation UNION ALL SELECT '.kept', 1")
+@query(f"""SELECT rel_path, CASE k WHEN 'jpg' THEN 36 WHEN 'pdf' THEN length('first ' || i || '||third') WHEN 'mp4' THEN 1 WHEN 'bad' THEN 9 WHEN 'sticker' THEN 14 END::BIGINT AS size FROM ({_MEDIA})""")
 def folder_scan(spark, sf):
-    files = {f"r{r}/n{k}/{name}.txt": name.encode() for k, name, r in _nations(spark, sf)}
-    root = _folder({**files, ".kept": b"x", ".hidden/a.txt": b"x", "r0/.hidden/b.txt": b"x"})
-    os.symlink(os.path.join(root, ".kept"), os.path.join(root, "link"))
-    return listing.list_folder(spark, root).select("rel_path", "size")
+    """All files below a folder; what a zip archive takes is not compared."""
+    return listing.list_folder(spark, _media(spark, sf)).select("rel_path", F.when(~F.endswith("rel_path", F.lit(".docx")), F.col("size")).alias("size"))
 
 
 _ZIP = io.BytesIO()
 with zipfile.ZipFile(_ZIP, "w") as _z:
     _z.writestr("a.txt", "a")
-_HEADS = {"p": (b"%PDF-1.4", "pdf"), "j": (b"\xff\xd8\xff\xe0", "image"), "n": (b"\x89PNGxxxx", "image"), "b": (b"BM", "image"), "w": (b"RIFF1234WEBPVP8 ", "image"), "h": (b"0000ftypheic", "image"),
-          "d": (word_file(["x"]), "docx"), "z": (_ZIP.getvalue(), "other"), "t": (b"PK\x03\x04 torn", "other"), "e": (b"", "other"), "x.pdf": (b"no", "pdf"), "y.JPG": (b"", "image"), "v.mp4": (b"%PDF-", "other")}
+_HEADS = [("p%d", b"%PDF-1.4", "pdf"), ("j%d", b"\xff\xd8\xff\xe0", "image"), ("n%d", b"\x89PNGxxxx", "image"), ("b%d", b"BM", "image"), ("w%d", b"RIFF1234WEBPVP8 ", "image"), ("h%d", b"0000ftypheic", "image"),
+          ("d%d", word_file(["x"]), "docx"), ("z%d", _ZIP.getvalue(), "other"), ("t%d", b"PK\x03\x04 torn", "other"), ("e%d", b"", "other"), ("x%d.pdf", b"no", "pdf"), ("y%d.JPG", b"", "image"), ("v%d.mp4", b"%PDF-", "other")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{kind}')" for k, (_, kind) in _HEADS.items()) + ") AS t(rel_path, kind)")
+@query("SELECT replace(name, '%d', doc_id::VARCHAR) AS rel_path, kind FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{n}', '{kind}')" for k, (n, _, kind) in enumerate(_HEADS)) + f") AS t(k, name, kind) ON doc_id % {len(_HEADS)} = k")
 def folder_kinds(spark, sf):
-    return listing.list_folder(spark, _folder({k: head for k, (head, _) in _HEADS.items()})).select("rel_path", listing.listed_kind().alias("kind"))
+    """Kinds of files by name or first bytes: one file a document, with the first bytes of one of several formats."""
+    k = F.col("doc_id") % len(_HEADS)
+    pick = lambda values: F.array(*map(F.lit, values))[k.cast("int")]
+    name = F.replace(pick([n for n, _, _ in _HEADS]), F.lit("%d"), F.col("doc_id").cast("string"))
+    root = f"{shared_folder(spark)}/kinds-{os.urandom(6).hex()}"
+    save_pictures(_read(spark, sf, "documents").where("doc_id IS NOT NULL").select(name.alias("name"), pick([bytearray(c) for _, c, _ in _HEADS]).alias("content")), root, "/nonexistent/root")
+    return listing.list_folder(spark, root).select("rel_path", listing.listed_kind().alias("kind"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
@@ -86,10 +115,13 @@ def content_hashes(spark, sf):
     return _read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", listing.content_hash(F.encode("text", "UTF-8")).alias("hash"))
 
 
-@query("SELECT concat(n_name, '.docx') AS rel_path, concat(n_name, chr(10), n_nationkey, ' | ', n_regionkey) AS content, '2020-01-02T03:04:05' AS created, NULL AS error FROM nation UNION ALL SELECT 'bad.docx', NULL, NULL, 'BadZipFile'")
+@query("SELECT concat(doc_id, '.docx') AS rel_path, CASE WHEN doc_id % 50 <> 0 THEN concat('doc ', doc_id, chr(10), n_chars, ' | ', source) END AS content, CASE WHEN doc_id % 50 <> 0 THEN '2020-01-02T03:04:05' END AS created, CASE WHEN doc_id % 50 = 0 THEN 'BadZipFile' END AS error FROM documents")
 def word_texts(spark, sf):
-    rows = [(f"{name}.docx", bytearray(word_file([name, "  "], [str(k), str(r)]))) for k, name, r in _nations(spark, sf)] + [("bad.docx", bytearray(b"junk"))]
-    found = documents.read_docx(_rows(spark, rows, "rel_path string, content binary"))
+    d = _read(spark, sf, "documents").where("doc_id IS NOT NULL")
+    name = F.format_string("%d.docx", "doc_id").alias("name")
+    good = _word_files(d.where("doc_id % 50 <> 0").select(name, F.array(F.format_string("doc %d", "doc_id"), F.lit("  ")).alias("paragraphs"), F.array(F.col("n_chars").cast("string"), "source").alias("cells")))
+    rows = good.union(d.where("doc_id % 50 = 0").select(name, F.lit(bytearray(b"junk")).alias("content")))
+    found = documents.read_docx(rows.withColumnRenamed("name", "rel_path"))
     return found.select("rel_path", "content", dates.iso(F.col("created")).alias("created"), F.substring_index("error", ":", 1).alias("error"))
 
 
@@ -199,49 +231,68 @@ def json_lines(spark, sf):
     return search.json_rows(search.listing(tables(spark, sf), search.Query()))
 
 
-@query("SELECT concat(n_name, '.bin') AS name, n_nationkey::BIGINT AS size FROM nation")
+@query("SELECT concat(doc_id, '.bin') AS name, strlen(coalesce(text, ''))::BIGINT AS size FROM documents")
 def saved_content(spark, sf):
-    rows = [(f"{name}.bin", bytearray(b"x" * k)) for k, name, _ in _nations(spark, sf)]
-    target = tempfile.mkdtemp(prefix="mediacat-out-")
-    documents.save_content(_rows(spark, rows, "name string, content binary"), target, "/nonexistent/root")
-    return listing.list_folder(spark, target).select(F.col("rel_path").alias("name"), "size")
+    """Contents written as files that appear when the whole write is committed, and listed again."""
+    d = _read(spark, sf, "documents").where("doc_id IS NOT NULL")
+    root = f"{shared_folder(spark)}/saved-{os.urandom(6).hex()}"
+    save_pictures(d.select(F.format_string("%d.bin", "doc_id").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), root, "/nonexistent/root")
+    return listing.list_folder(spark, root, head=False).select(F.col("rel_path").alias("name"), "size")
 
 
 # --- parameters and predicates -----------------------------------------------------------------------------------------
-_LIMITS, _OFFSETS = [-5, 0, 1, 20, 500, 501, 9999], [-3, 0, 7]
+@query(
+    """SELECT o_orderkey AS k, least(greatest(o_orderkey % 1300 - 400, 1), 500)::INT AS lim, greatest(o_orderkey % 40 - 20, 0)::INT AS off,
+      CASE o_orderkey % 3 WHEN 1 THEN 'date' ELSE 'relevance' END AS ordering, CASE o_orderkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf,docx' ELSE '' END AS kinds FROM orders"""
+)
+def query_clamps(spark, sf):
+    """Parameters of a query a row, as a log of searches holds them, brought into their ranges."""
+    k = F.col("o_orderkey")
+    given = _read(spark, sf, "orders").select(
+        k.alias("k"), (k % 1300 - 400).alias("lim"), (k % 40 - 20).alias("off"), F.when(k % 3 == 0, "relevance").when(k % 3 == 1, "date").otherwise("size").alias("ordering"),
+        F.when(k % 4 == 0, F.array(F.lit("image"), F.lit("exe"))).when(k % 4 == 1, F.array(F.lit("pdf"), F.lit("docx"))).otherwise(F.array(F.lit("other"))).alias("kinds"),
+    )
+    c = search.clamps(F.col("lim"), F.col("off"), F.col("ordering"), F.col("kinds"))
+    return given.select("k", c["limit"].cast("int").alias("lim"), c["offset"].cast("int").alias("off"), c["order"].alias("ordering"), F.array_join(c["kinds"], ",").alias("kinds"))
 
 
-@query(f"SELECT a AS given, least(greatest(a, 1), 500)::INT AS lim, greatest(b, 0)::INT AS off, 'relevance' AS ordering, 'image' AS kinds FROM (SELECT unnest({_LIMITS}) AS a), (SELECT unnest({_OFFSETS}) AS b)")
-def query_clamps(spark, sf):
-    made = [(a, search.Query(limit=a, offset=b, order="size", kinds=("image", "exe")).clamped()) for a in _LIMITS for b in _OFFSETS]
-    return _rows(spark, [(a, q.limit, q.offset, q.order, ",".join(q.kinds)) for a, q in made], "given int, lim int, off int, ordering string, kinds string")
+_THREE = "SELECT event_id, (event_id % 75 + 28) / 100.0::DOUBLE AS a, (event_id % 83 + 18) / 100.0::DOUBLE AS s, (event_id % 70 + 3) / 100.0::DOUBLE AS e, (event_id % 52)::INT AS m FROM events"
 
 
-_SETTINGS = [(a / 100, s / 100, e / 100) for a in (29, 30, 60, 99, 100) for s in (19, 20, 60, 70) for e in (4, 5, 70, 71)]
+def _thresholds(spark, sf) -> DataFrame:
+    i = F.col("event_id")
+    part = lambda n, low: (i % n + low) / F.lit(100.0)
+    return _read(spark, sf, "events").select("event_id", part(75, 28).alias("a"), part(83, 18).alias("s"), part(70, 3).alias("e"), (i % 52).cast("int").alias("m"))
 
 
-@query(f"SELECT a, s, e, a BETWEEN 0.3 AND 0.99 AND s BETWEEN 0.2 AND 0.99 AND e BETWEEN 0.05 AND 0.7 AND s <= a AS ok FROM (VALUES {', '.join(f'({a}::DOUBLE, {s}::DOUBLE, {e}::DOUBLE)' for a, s, e in _SETTINGS)}) AS t(a, s, e)")
+@query(f"SELECT event_id, a BETWEEN 0.3 AND 0.99 AND s BETWEEN 0.2 AND 0.99 AND e BETWEEN 0.05 AND 0.7 AND m BETWEEN 2 AND 50 AND s <= a AS ok FROM ({_THREE})")
 def settings_checked(spark, sf):
-    def ok(a: float, s: float, e: float) -> bool:
-        try:
-            return bool(people.Settings(a, s, e).checked())
-        except ValueError:
-            return False
+    return _thresholds(spark, sf).select("event_id", people.settings_valid(F.col("a"), F.col("s"), F.col("e"), F.col("m")).alias("ok"))
+
+
+#: A meta table: a row an order, and what a folder's settings may be.
+_META = """SELECT concat('note ', o_orderkey) AS key, o_orderstatus AS value FROM orders UNION ALL SELECT k, v FROM (VALUES ('monitor', '0'), ('faces_eps', '0.1'), ('faces_t_auto', '0.8')) AS t(k, v)"""
+
 
-    return _rows(spark, [(a, s, e, ok(a, s, e)) for a, s, e in _SETTINGS], "a double, s double, e double, ok boolean")
+def _meta(spark, sf) -> DataFrame:
+    own = _read(spark, sf, "orders").select(F.concat(F.lit("note "), "o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+    return own.union(_rows(spark, [("monitor", "0"), ("faces_eps", "0.1"), ("faces_t_auto", "0.8")], "key string, value string"))
 
 
-@query("SELECT 'saved' AS what, key, value FROM (VALUES ('monitor', '0'), ('faces_t_auto', '0.75'), ('faces_t_suggest', '0.25'), ('faces_eps', '0.3')) AS t(key, value) UNION ALL VALUES ('loaded', 'auto', '0.75'), ('reset', 'monitor', '0')")
+@query(f"""WITH m AS ({_META}), s AS (SELECT * FROM m WHERE key NOT LIKE 'faces%' UNION ALL VALUES ('faces_t_auto', '0.75'), ('faces_t_suggest', '0.25'), ('faces_eps', '0.3'))
+  SELECT 'saved' AS what, key, value FROM s UNION ALL SELECT 'reset', key, value FROM s WHERE key NOT LIKE 'faces%' UNION ALL VALUES ('loaded', 'auto', '0.75')""")
 def settings_saved(spark, sf):
-    meta = _rows(spark, [("monitor", "0"), ("faces_eps", "0.1")], "key string, value string")
-    saved = people.save_settings(meta, people.Settings(0.75, 0.25))
+    saved = people.save_settings(_meta(spark, sf), people.Settings(0.75, 0.25))
     own = _rows(spark, [("loaded", "auto", str(people.load_settings(saved).auto))], "what string, key string, value string")
     return saved.select(F.lit("saved").alias("what"), "key", "value").union(own).union(people.reset_settings(saved).select(F.lit("reset").alias("what"), "key", "value"))
 
 
-@query("SELECT * FROM (VALUES ('clip,x,ocr', 'x'), ('faces', ''), ('a,b', 'a,b')) AS t(given, unknown)")
+@query("SELECT event_id, array_to_string(list_sort(list_filter(list_distinct([['clip', 'x', 'ocr', 'faces', 'all'][event_id % 5 + 1], ['faces', 'y', 'clip'][event_id % 3 + 1]]), lambda x: x NOT IN ('clip', 'ocr', 'faces'))), ',') AS unknown FROM events")
 def unknown_stages(spark, sf):
-    return _rows(spark, [(g, ",".join(cdc.unknown_stages(g.split(",")))) for g in ("clip,x,ocr", "faces", "a,b")], "given string, unknown string")
+    i = F.col("event_id").cast("int")
+    names = lambda *x: F.array(*map(F.lit, x))
+    given = F.array(names("clip", "x", "ocr", "faces", "all")[i % 5], names("faces", "y", "clip")[i % 3])
+    return _read(spark, sf, "events").select("event_id", F.array_join(cdc.unknown(given), ",").alias("unknown"))
 
 
 _BOX = "vec_id % 60 AS x, vec_id % 45 AS y, 5 + vec_id % 70 AS w, 6 + vec_id % 64 AS h"
@@ -375,15 +426,19 @@ def boxes_as_text(spark, sf):
     return b.select("id", "box", parsed["w"].cast("long").alias("width"), (parsed["x"] + parsed["y"]).alias("corner"))
 
 
-@query("SELECT * FROM (VALUES ('#3', 3, 0), ('4', 4, 0), (' ana ', 2, 0), ('Zora', 12, 1), ('#99', NULL, 0), ('  ', NULL, 0)) AS t(given, id, made)")
+@query(
+    """, g AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN concat('#', c_custkey % 3000) WHEN 1 THEN concat(c_custkey % 3000) WHEN 2 THEN concat(' customer ', c_custkey - 1 + 30, ' ') WHEN 3 THEN '  ' ELSE concat('NEW ', c_custkey % 7) END AS given, c_custkey % 5 AS w FROM customer),
+    n AS (SELECT name, lower(name) AS l, min(id) AS id FROM b_people GROUP BY ALL)
+    SELECT k, CASE WHEN w <= 1 THEN (SELECT min(id) FROM b_people p WHERE p.id = k % 3000) WHEN w = 2 THEN (SELECT min(id) FROM n WHERE l = lower(trim(given))) END AS id, w = 4 OR (w = 2 AND NOT EXISTS (SELECT 1 FROM n WHERE l = lower(trim(given)))) AS made FROM g""",
+    ("people",),
+)
 def person_references(spark, sf):
+    """What a user has typed for a person, a row each: ``#12`` or ``12`` that exists, a name that somebody has, or a new name."""
+    k = F.col("c_custkey")
+    typed = F.when(k % 5 == 0, F.concat(F.lit("#"), k % 3000)).when(k % 5 == 1, (k % 3000).cast("string")).when(k % 5 == 2, F.concat(F.lit(" customer "), k + 29, F.lit(" "))).when(k % 5 == 3, "  ").otherwise(F.concat(F.lit("NEW "), k % 7))
     p = bound(spark, sf, "people")
-    n = p.count()
-    rows = []
-    for given in ("#3", "4", " ana ", "Zora", "#99", "  "):
-        found, after = people.person_from_reference(p, given)
-        rows.append((given, found, after.count() - n))
-    return _rows(spark, rows, "given string, id int, made int")
+    found = people.resolve_references(p, _read(spark, sf, "customer").select(k.alias("k"), typed.alias("given")))
+    return found.select("k", "id", "made")
 
 
 @query(
@@ -435,7 +490,7 @@ def exif_descriptions(spark, sf):
     return _read(spark, sf, "events").select("event_id", F.array_join(pairs, "; ").alias("described"))
 
 
-@query("SELECT event_id, CASE WHEN event_id * 977 >= 1048576 THEN printf('%.1f MB', event_id * 977 / 1048576.0) ELSE printf('%d KB', greatest(round(event_id * 977 / 1024.0)::BIGINT, 1)) END AS size, CASE WHEN event_id % 500 < 60 THEN printf('%d s', event_id % 500) ELSE printf('%d min', event_id % 500 // 60) END AS elapsed FROM events")
+@query("SELECT event_id, CASE WHEN event_id * 977 > 1048576 THEN printf('%.1f MB', event_id * 977 / 1048576.0::DOUBLE) ELSE printf('%d KB', floor(event_id * 977 / 1024.0::DOUBLE + 0.5)::BIGINT) END AS size, CASE WHEN event_id % 500 < 60 THEN printf('%d s', event_id % 500) ELSE printf('%d min', event_id % 500 // 60) END AS elapsed FROM events")
 def sizes_and_times(spark, sf):
     return _read(spark, sf, "events").select("event_id", text.file_size(F.col("event_id") * 977).alias("size"), text.elapsed(F.col("event_id") % 500).alias("elapsed"))
 
@@ -588,16 +643,22 @@ def manual_faces(spark, sf):
     return left.where("manual OR id = -1").select("id", F.col("file_id").cast("int").alias("file_id"), "assign_source", "manual", "det_score")
 
 
-@query("SELECT * FROM (VALUES ('a', '1'), ('b', '3'), ('c', '4')) AS t(key, value)")
+@query(f"""SELECT key, value FROM ({_META}) WHERE key NOT IN (SELECT concat('note ', o_orderkey) FROM orders WHERE o_orderkey % 3 = 0)
+  UNION ALL SELECT concat('note ', o_orderkey), 'new' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT concat('fresh ', o_orderkey), 'new' FROM orders WHERE o_orderkey % 5 = 0""")
 def settings_upsert(spark, sf):
-    meta = lambda rows: _rows(spark, rows, "key string, value string")
-    return cat.upsert(meta([("a", "1"), ("b", "2")]), meta([("b", "3"), ("c", "4")]), ["key"])
+    """Rows with known keys replaced, others added."""
+    o = _read(spark, sf, "orders")
+    row = lambda df, what: df.select(F.concat(F.lit(what), "o_orderkey").alias("key"), F.lit("new").alias("value"))
+    return cat.upsert(_meta(spark, sf), row(o.where("o_orderkey % 3 = 0"), "note ").union(row(o.where("o_orderkey % 5 = 0"), "fresh ")), ["key"])
 
 
-@query("SELECT * FROM (VALUES ('unset', true), ('0', false), ('1', true)) AS t(given, enabled)")
+@query("SELECT c_custkey AS root, CASE c_custkey % 3 WHEN 1 THEN false ELSE true END AS enabled FROM customer")
 def monitor_switch(spark, sf):
-    meta = lambda rows: _rows(spark, rows, "key string, value string")
-    return _rows(spark, [("unset", monitor.enabled(meta([("x", "0")]))), ("0", monitor.enabled(meta([("monitor", "0")]))), ("1", monitor.enabled(meta([("monitor", "1")])))], "given string, enabled boolean")
+    """Folders whose meta says that they are not watched; without a word they are."""
+    c = F.col("c_custkey")
+    meta = _read(spark, sf, "customer").where(c % 3 > 0).select(c.alias("root"), F.lit("monitor").alias("key"), F.when(c % 3 == 1, "0").otherwise("1").alias("value"))
+    roots = _read(spark, sf, "customer").select(c.alias("root"))
+    return monitor.switched_on(roots, meta)
 
 
 _GROUPED = (
@@ -633,11 +694,11 @@ def group_faces_assigned(spark, sf):
     return out.agg(F.count("person_id").alias("assigned"), F.count(F.lit(1)).alias("faces"))
 
 
-@query("SELECT a.vec_id AS i, b.label::BIGINT AS label, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 GROUP BY 1, 2")
+@query("SELECT a.vec_id AS i, b.label::BIGINT AS label, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0 GROUP BY 1, 2")
 def label_maxima(spark, sf):
-    """Queries are a stated set: every fiftieth vector, against all."""
+    """Queries are the stated set, every row whose id is divisible by 20, against all rows."""
     e = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("v"), "label")
-    return rounded(cluster.group_maxima(e.where("i % 50 = 0").select("i", "v"), e), "score")
+    return rounded(cluster.group_maxima(e.where("i % 20 = 0").select("i", "v"), e), "score")
 
 
 # --- the index, end to end ----------------------------------------------------------------------------------------------
@@ -649,63 +710,85 @@ def _picture(content: bytes, header_only: bool) -> dict:
     return {"width": None if header_only else int(w), "height": None if header_only else int(h), "exif_date": taken or None, "lat_ref": "S", "lat": [22.0, 30.0], "lon_ref": "W", "lon": [43.5]}
 
 
+def _group_of(content: bytes) -> list[float]:
+    """The stand-in for a face's signature: pictures of one width show one person."""
+    width = int(content.split(b",")[1])
+    return [2.0 if k == width // 100 % 50 else 0.0 for k in range(50)]
+
+
 def stand_ins() -> Engines:
     """Engines without models: what they find follows from the content alone."""
     return Engines(
-        image=_picture, thumb=lambda c: c[:4], faces=lambda c: [{"x": 1.0, "y": 2.0, "w": 50.0, "h": 60.0, "score": 0.9, "embedding": [0.0, 2.0]}], ocr=lambda c: [(" sign ", 0.9), ("blur", 0.1)],
+        image=_picture, thumb=lambda c: c[:4], faces=lambda c: [{"x": 1.0, "y": 2.0, "w": 50.0, "h": 60.0, "score": s, "embedding": _group_of(c)} for s in (0.9, 0.79)], ocr=lambda c: [(" sign ", 0.9), ("blur", 0.1)],
         encode=lambda cs: [[3.0, 4.0] for _ in cs], pdf=lambda c: ([p.strip() for p in c.decode().split("|")], None), render=lambda c, k: b"page",
     )
 
 
-def _index(spark, sf):
-    files = {}
-    for k, name, _ in _nations(spark, sf):
-        files[f"a/{name}.jpg"] = f"picture,{1000 + 100 * k},800,2019:07:{k % 28 + 1:02d} 10:11:12".encode()
-        files[f"b/{name}.pdf"] = f"first {name}||third".encode()
-        files[f"c/{name}.docx"] = word_file([name])
-    files |= {"bad.jpg": b"junk,1,1,", "STK-20230101-WA2.webp": b"picture,10,10,", "clip.mp4": b"x"}
-    root = _folder(files)
-    store = cat.Catalog(spark, f"{shared_folder(spark)}/catalogue-{os.urandom(6).hex()}", cat.root_id(root))
-    counts = run_index(spark, root, store, extractor(root, stand_ins(), date.today()), settings=people.Settings(0.99, 0.9, 0.05, 50))
-    return store, counts
-
-
-_INDEXED = """SELECT 'a/' || n_name || '.jpg' AS rel_path, 'image' AS kind, 'done' AS status, printf('2019-07-%02dT10:11:12', n_nationkey % 28 + 1) AS taken_at, 'exif' AS date_source, 'date,gps,thumb,faces,clip,ocr' AS stages, -22.5::DOUBLE AS lat, (1000 + 100 * n_nationkey)::INT AS width FROM nation
-  UNION ALL SELECT 'b/' || n_name || '.pdf', 'pdf', 'done', 'today', 'mtime', 'date,thumb,text,ocr', NULL, NULL FROM nation
-  UNION ALL SELECT 'c/' || n_name || '.docx', 'docx', 'done', '2020-01-02T03:04:05', 'document', 'date,text', NULL, NULL FROM nation
-  UNION ALL VALUES ('bad.jpg', 'image', 'error', NULL, NULL, NULL, NULL, NULL), ('STK-20230101-WA2.webp', 'image', 'done', '2023-01-01', 'whatsapp_android', 'date,gps,thumb,clip', -22.5, 10), ('clip.mp4', 'other', 'done', NULL, NULL, NULL, NULL, NULL)"""
+def _index(spark, sf) -> cat.Catalog:
+    """The catalogue of the media files after an index run in chunks: made once for each state of the table, as a user's is."""
+    root = _media(spark, sf)
+    store = cat.Catalog(spark, f"{shared_folder(spark)}/catalogue", cat.root_id(root))
+    if cat.get_meta(store.read("meta"), "last_index_processed") is None:
+        counts = run_index(spark, root, store, extractor(root, stand_ins(), date.today()), settings=people.Settings(0.99, 0.9, 0.05, 50), chunk_files=5_000)
+        row = _rows(spark, [(f"count_{k}", str(n)) for k, n in counts.items()], "key string, value string")
+        store.publish({"meta": cat.upsert(store.read("meta"), row, ["key"])})
+    return store
 
 
-@query(_INDEXED)
+@query(f"""SELECT rel_path, CASE k WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'mp4' THEN 'other' ELSE 'image' END AS kind, CASE k WHEN 'bad' THEN 'error' ELSE 'done' END AS status,
+  CASE k WHEN 'jpg' THEN printf('2019-07-%02dT10:11:12', i % 28 + 1) WHEN 'pdf' THEN 'today' WHEN 'docx' THEN '2020-01-02T03:04:05' WHEN 'sticker' THEN '2023-01-01' END AS taken_at,
+  CASE k WHEN 'jpg' THEN 'exif' WHEN 'pdf' THEN 'mtime' WHEN 'docx' THEN 'document' WHEN 'sticker' THEN 'whatsapp_android' END AS date_source,
+  CASE k WHEN 'jpg' THEN 'date,gps,thumb,faces,clip,ocr' WHEN 'pdf' THEN 'date,thumb,text,ocr' WHEN 'docx' THEN 'date,text' WHEN 'sticker' THEN 'date,gps,thumb,clip' END AS stages,
+  CASE WHEN k IN ('jpg', 'sticker') THEN -22.5::DOUBLE END AS lat, CASE k WHEN 'jpg' THEN 1000 + 100 * (i % 50) WHEN 'sticker' THEN 10 END::INT AS width FROM ({_MEDIA})""")
 def index_files(spark, sf):
-    f = _index(spark, sf)[0].read("files")
+    f = _index(spark, sf).read("files")
     return f.select("rel_path", "kind", "status", F.when(F.col("date_source") == "mtime", "today").otherwise(F.col("taken_at")).alias("taken_at"), "date_source", F.nullif(text.stages_text(F.col("stages_done")), F.lit("")).alias("stages"), "lat", "width")
 
 
 @query(
-    """SELECT 'a/' || n_name || '.jpg' AS rel_path, 1 AS page, 'sign' AS content FROM nation UNION ALL SELECT 'b/' || n_name || '.pdf', unnest([1, 2, 3]), unnest(['first ' || n_name, 'sign', 'third']) FROM nation
-    UNION ALL SELECT 'c/' || n_name || '.docx', 1, n_name FROM nation"""
+    f"""SELECT rel_path, 1 AS page, 'sign' AS content FROM ({_MEDIA}) WHERE k = 'jpg' UNION ALL SELECT rel_path, unnest([1, 2, 3]), unnest(['first ' || i, 'sign', 'third']) FROM ({_MEDIA}) WHERE k = 'pdf'
+    UNION ALL SELECT rel_path, 1, i::VARCHAR FROM ({_MEDIA}) WHERE k = 'docx'"""
 )
 def index_texts(spark, sf):
-    store, _ = _index(spark, sf)
+    store = _index(spark, sf)
     return store.read("texts").join(store.read("files").select(F.col("id").alias("file_id"), "rel_path"), "file_id").select("rel_path", "page", "content")
 
 
 @query(
-    """SELECT 'a/' || n_name || '.jpg' AS rel_path, greatest(1000 + 100 * n_nationkey, 1600) AS longest, concat_ws(',', round_even(s, 0)::INT, round_even(2 * s, 0)::INT, round_even(50 * s, 0)::INT, round_even(60 * s, 0)::INT) AS box, 1.0::DOUBLE AS norm
-    FROM (SELECT *, greatest(1000 + 100 * n_nationkey, 1600) / 1600.0::DOUBLE AS s FROM nation)"""
+    f"""SELECT rel_path, greatest(w, 1600)::INT AS longest, concat_ws(',', round_even(s, 0)::INT, round_even(2 * s, 0)::INT, round_even(50 * s, 0)::INT, round_even(60 * s, 0)::INT) AS box, 1.0::DOUBLE AS norm
+    FROM (SELECT *, greatest(w, 1600) / 1600.0::DOUBLE AS s FROM (SELECT rel_path, 1000 + 100 * (i % 50) AS w FROM ({_MEDIA}) WHERE k = 'jpg'))"""
 )
 def index_faces(spark, sf):
-    store, _ = _index(spark, sf)
+    """One face a picture: the engine's second one is below the least score."""
+    store = _index(spark, sf)
     files = store.read("files").select(F.col("id").alias("file_id"), "rel_path", F.greatest("width", F.lit(1600)).alias("longest"))
     f = store.read("faces").join(files, "file_id")
     return rounded(f.select("rel_path", "longest", text.bbox_format(F.col("bbox")).alias("box"), vectors.dot(F.col("embedding"), F.col("embedding")).alias("norm")), "norm")
 
 
-@query("SELECT 'new' AS what, 3 * count(*) + 3 AS n FROM nation UNION ALL SELECT 'processed', 3 * count(*) + 2 FROM nation UNION ALL SELECT 'errors', 1 UNION ALL SELECT 'vectors', count(*) + 1 FROM nation")
+@query(f"""SELECT 'new' AS what, count(*) AS n FROM ({_MEDIA}) UNION ALL SELECT 'processed', count(*) FILTER (WHERE k <> 'mp4') FROM ({_MEDIA}) UNION ALL SELECT 'errors', count(*) FILTER (WHERE k = 'bad') FROM ({_MEDIA})
+  UNION ALL SELECT 'vectors', count(*) FILTER (WHERE k IN ('jpg', 'sticker')) FROM ({_MEDIA})""")
 def index_counts(spark, sf):
-    store, counts = _index(spark, sf)
-    return _rows(spark, [*((k, counts[k]) for k in ("new", "processed", "errors")), ("vectors", store.read("clip_embeddings").count())], "what string, n long")
+    store = _index(spark, sf)
+    held = store.read("meta").where("key IN ('count_new', 'count_processed', 'count_errors')").select(F.substring("key", 7, 99).alias("what"), F.col("value").cast("long").alias("n"))
+    return held.union(store.read("clip_embeddings").agg(F.lit("vectors"), F.count(F.lit(1))))
+
+
+@query(f"""SELECT rel_path, list_extract(['sign', 'third', 'first'], p) AS word, CASE p WHEN 1 THEN CASE k WHEN 'pdf' THEN 2 ELSE 1 END WHEN 2 THEN 3 ELSE 1 END AS page FROM ({_MEDIA}), (VALUES (1), (2), (3)) AS t(p) WHERE k = 'pdf' OR (k = 'jpg' AND p = 1)""")
+def index_postings(spark, sf):
+    """The full-text index that the run has left: the postings of three words."""
+    store = _index(spark, sf)
+    mine = store.read("fts_postings").where(F.col("token").isin("sign", "third", "first"))
+    return mine.join(store.read("files").select(F.col("id").alias("file_id"), "rel_path"), "file_id").select("rel_path", F.col("token").alias("word"), "page")
+
+
+@query("SELECT doc_id, least(strlen(text), 20)::BIGINT AS first_bytes, true AS bounded FROM documents WHERE text IS NOT NULL")
+def encoded_batches(spark, sf):
+    """Contents given to an encoder made once a worker, in batches of at most 256 KB (or one content)."""
+    d = _read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    source = EngineSource("first-bytes", lambda: Engines(encode=lambda cs: [[float(len(c[:20]))] for c in cs]))
+    out = encoded(d, "doc_id", "content", source, batch_bytes=256 << 10)
+    return out.select("doc_id", F.col("embedding")[0].cast("long").alias("first_bytes"), ((F.col("batch_bytes") <= 256 << 10) | (F.col("batch_files") == 1)).alias("bounded"))
 
 
 @query("SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END * (event_id % 90 + (event_id % 60) / 60.0::DOUBLE), 6) + 0.0 AS value FROM events")

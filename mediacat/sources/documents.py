@@ -129,25 +129,6 @@ def encode(files: DataFrame, encoder: Callable[[list[bytes]], list[list[float]]]
     return found.withColumn("embedding", normalise(F.col("embedding")).cast("array<float>"))
 
 
-def save_content(rows: DataFrame, folder: str, root: str) -> None:
-    """rows: name, content.  Writes files by write-then-rename; refuses a folder inside the indexed root."""
-    import os
-
-    target = os.path.abspath(folder)
-    if os.path.commonpath([target, os.path.abspath(root)]) == os.path.abspath(root):
-        raise ValueError("the output folder lies inside the indexed root")
-
-    def write(part):
-        os.makedirs(target, exist_ok=True)
-        for r in part:
-            path = os.path.join(target, os.path.basename(r["name"]))
-            with open(f"{path}.tmp", "wb") as f:
-                f.write(r["content"])
-            os.replace(f"{path}.tmp", path)
-
-    rows.select("name", "content").foreachPartition(write)
-
-
 #: Shares of a face's longer side that are kept around it: in a list of faces, and in a portrait.
 LIST_MARGIN, PORTRAIT_MARGIN = 1 / 3, 1 / 2
 

@@ -1,4 +1,4 @@
-"""Folder listing as a Python data source, and classification of files by name and first bytes."""
+"""Folder listing in rounds, and classification of files by name and first bytes."""
 
 from __future__ import annotations
 
@@ -7,14 +7,18 @@ import logging
 import os
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
 from ..functions.text import basename, extension
+from ..storage import kept
+from .pictures import file_system
 
 log = logging.getLogger(__name__)
 
@@ -23,6 +27,8 @@ IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".heic", ".heif", ".bmp"]
 HEIF_BRANDS = [b"heic", b"heix", b"hevc", b"heim", b"heis", b"mif1", b"msf1"]
 #: First bytes that a listing carries.
 HEAD_BYTES = 16
+#: Entries of a folder that are held at a time.
+LIST_ROWS = 10_000
 
 
 #: Fixed value: the first bytes of a zip archive.
@@ -34,77 +40,91 @@ def archive_kind(content) -> str:
     try:
         with zipfile.ZipFile(content) as z:
             return "docx" if "word/document.xml" in z.namelist() else "other"
-    except (OSError, zipfile.BadZipFile):
+    except (OSError, ValueError, zipfile.BadZipFile):  # ValueError: shorter than what ends an archive
         return "other"
 
 
-class _Folder(InputPartition):
-    def __init__(self, root: str, rel: str, deep: bool) -> None:
-        super().__init__(rel)
-        self.root, self.rel, self.deep = root, rel, deep
-
-
-class FolderReader(DataSourceReader):
-    """One partition for the root's own files and one for each folder in it, so that listing spreads over tasks."""
-
-    def __init__(self, root: str, head: bool) -> None:
-        self.root, self.head = root, head
-
-    def partitions(self):
-        found = [_Folder(self.root, "", False)]
-        with os.scandir(self.root) as entries:
-            found += [_Folder(self.root, e.name, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")]
-        return found
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        todo = [partition.rel]
-        while todo:
-            rel = todo.pop()
-            try:
-                entries = sorted(os.scandir(os.path.join(partition.root, rel)), key=lambda e: e.name)
-            except OSError as e:
-                log.warning("cannot list %s: %s", rel, e)
-                continue
-            for e in entries:
-                path = f"{rel}/{e.name}" if rel else e.name
-                if e.is_dir(follow_symlinks=False):
-                    if partition.deep and not e.name.startswith("."):
-                        todo.append(path)
-                elif e.is_file(follow_symlinks=False):
-                    stat = e.stat(follow_symlinks=False)
-                    head = self._head(e.path)
-                    archive = archive_kind(e.path) if head is not None and "." not in e.name and head.startswith(ZIP) else None
-                    yield path, stat.st_size, stat.st_mtime, head, archive
-
-    def _head(self, path: str) -> bytes | None:
-        if not self.head:
-            return None
-        try:
-            with open(path, "rb") as f:
-                return f.read(HEAD_BYTES)
-        except OSError:
-            return None
-
-
-class FolderSource(DataSource):
-    """``spark.read.format("folder").option("path", root)``: rel_path, size, mtime, head, archive (what a zip without an extension
-    is); folders that begin with a dot are not entered, symbolic links not followed, hidden files kept.  Option ``head`` =
-    "false" opens no file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folder"
-
-    def schema(self) -> str:
-        return "rel_path string, size long, mtime double, head binary, archive string"
-
-    def reader(self, schema) -> FolderReader:
-        return FolderReader(os.path.abspath(self.options["path"]), self.options.get("head", "true") == "true")
+def _entries(root: str, rel: str) -> Iterator[tuple[str, bool, int, float]]:
+    """(rel_path, is a folder, size, mtime) of what a folder holds.  Folders that begin with a dot are left out, symbolic links not followed."""
+    if "://" in root:
+        files, base = file_system(root)
+        for e in files.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/"))):
+            folder = e.type == fs.FileType.Directory
+            if not (folder and e.base_name.startswith(".")) and e.type in (fs.FileType.Directory, fs.FileType.File):
+                yield f"{rel}/{e.base_name}".lstrip("/"), folder, e.size or 0, (e.mtime_ns or 0) / 1e9
+        return
+    with os.scandir(os.path.join(root, rel)) as entries:
+        for e in entries:
+            path = f"{rel}/{e.name}".lstrip("/")
+            if e.is_dir(follow_symlinks=False):
+                if not e.name.startswith("."):
+                    yield path, True, 0, 0.0
+            elif e.is_file(follow_symlinks=False):
+                stat = e.stat(follow_symlinks=False)
+                yield path, False, stat.st_size, stat.st_mtime
+
+
+def _listed(folders: DataFrame, root: str) -> DataFrame:
+    """folders: rel_path.  rel_path, is_dir, size, mtime of what they hold; one that cannot be listed is logged and left out."""
+    schema = pa.schema([("rel_path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for rel in batch["rel_path"].to_pylist():
+                try:
+                    found = _entries(root, rel)
+                    while part := list(islice(found, LIST_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), schema.types)], schema=schema)
+                except OSError as e:
+                    log.warning("cannot list %s: %s", rel, e)
+
+    return folders.mapInArrow(run, "rel_path string, is_dir boolean, size long, mtime double")
+
+
+def _with_heads(listed: DataFrame, root: str) -> DataFrame:
+    """Adds head and archive of the files, dealt evenly to the tasks, whatever folder they are in."""
+
+    def run(batches):
+        files, base = file_system(root)
+        for batch in batches:
+            heads, archives = [], []
+            for rel in batch["rel_path"].to_pylist():
+                head = archive = None
+                try:
+                    with files.open_input_file(f"{base}/{rel}") as f:
+                        head = f.read(HEAD_BYTES)
+                        if "." not in rel.rsplit("/", 1)[-1] and head.startswith(ZIP):
+                            f.seek(0)
+                            archive = archive_kind(f)
+                except OSError:
+                    pass
+                heads.append(head)
+                archives.append(archive)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(archives, pa.string())], [*batch.schema.names, "head", "archive"])
+
+    return listed.mapInArrow(run, "rel_path string, size long, mtime double, head binary, archive string")
 
 
 def list_folder(spark: SparkSession, root: str, head: bool = True) -> DataFrame:
-    spark.dataSource.register(FolderSource)
-    return spark.read.format("folder").option("path", root).option("head", str(head).lower()).load()
+    """rel_path, size, mtime, head, archive (what a zip without an extension is) of all files below ``root``, hidden files too; folders that begin
+    with a dot are not entered, symbolic links not followed.  ``head`` = False opens no file.
+
+    Breadth first: each round lists the folders that the one before has found, spread over all tasks, and is kept in the shared folder;
+    so the depth of the tree, not the width of any folder, is the number of rounds.  Files are opened in a pass of their own."""
+    root = root if "://" in root else os.path.abspath(root)
+    many = spark.sparkContext.defaultParallelism
+    folders, files = spark.createDataFrame([("",)], "rel_path string"), None
+    while True:
+        level = kept(_listed(folders, root))
+        own = level.where("NOT is_dir").select("rel_path", "size", "mtime")
+        files = own if files is None else files.unionByName(own)
+        folders = level.where("is_dir").select("rel_path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition(many)
+    if head:
+        return _with_heads(files.repartition(many), root)
+    return files.select("*", F.lit(None).cast("binary").alias("head"), F.lit(None).cast("string").alias("archive"))
 
 
 def in_hidden_folder(rel_path: Column) -> Column:

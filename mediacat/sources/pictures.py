@@ -39,7 +39,9 @@ class PictureWriter(DataSourceWriter):
         own, names = f"{base}/_staged/{self.run}/{uuid.uuid4().hex}", []
         files.create_dir(own, recursive=True)
         for row in iterator:
-            name = posixpath.basename(row["name"])
+            name = posixpath.normpath("/" + row["name"])[1:]  # never above the folder
+            if "/" in name:
+                files.create_dir(posixpath.dirname(f"{own}/{name}"), recursive=True)
             with files.open_output_stream(f"{own}/{name}") as out:
                 out.write(bytes(row["content"]))
             names.append(name)
@@ -55,6 +57,8 @@ class PictureWriter(DataSourceWriter):
     def commit(self, messages):
         files, base = file_system(self.folder)
         moves = [(f"{m.folder}/{n}", f"{base}/{n}") for m in messages if m for n in m.names]
+        for folder in {posixpath.dirname(to) for _, to in moves}:
+            files.create_dir(folder, recursive=True)
         with ThreadPoolExecutor(32) as pool:
             list(pool.map(lambda x: files.move(*x), moves))
         self._done()
@@ -78,7 +82,7 @@ class Pictures(DataSource):
 
 
 def save_pictures(rows: DataFrame, folder: str, root: str) -> None:
-    """rows: name, content.  Writes a file each into ``folder``, which must not lie inside the indexed root; files that are there are replaced."""
+    """rows: name (a path below the folder), content.  Writes a file each into ``folder``, which must not lie inside the indexed root; files that are there are replaced."""
     _, target = file_system(folder)
     _, inside = file_system(root)
     if posixpath.commonpath([target, inside]) == inside:

@@ -49,6 +49,12 @@ def enabled(meta: DataFrame) -> bool:
     return get_meta(meta, "monitor") != "0"
 
 
+def switched_on(roots: DataFrame, meta: DataFrame) -> DataFrame:
+    """roots: root; meta: root, key, value.  root, enabled: the same for many folders at once."""
+    off = meta.where("key = 'monitor' AND value = '0'").select("root", F.lit(True).alias("_off")).distinct()
+    return roots.join(off, "root", "left").select("root", F.col("_off").isNull().alias("enabled"))
+
+
 def start_monitor(
     spark: SparkSession, root: str, known: Callable[[], DataFrame], index: Callable[[], None], checkpoint: str, meta: Callable[[], DataFrame] | None = None, seconds: float = SECONDS
 ) -> StreamingQuery:

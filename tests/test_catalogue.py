@@ -309,12 +309,7 @@ def test_listing_and_monitor(spark, tmp_path, tmp_path_factory):
     assert done
 
 
-def test_saving_content(spark, tmp_path):
-    rows = spark.createDataFrame([("a.bin", bytearray(b"1"))], "name string, content binary")
-    with pytest.raises(ValueError):
-        documents.save_content(rows, str(tmp_path / "in"), str(tmp_path))
-    documents.save_content(rows, str(tmp_path / "out"), str(tmp_path / "media"))
-    assert (tmp_path / "out/a.bin").read_bytes() == b"1"
+def test_model_manifest(spark):
     manifest = listing.model_manifest(spark.createDataFrame([("| `m.onnx` | ABC | MIT | web |",), ("| x | y |",), ("|---|---|---|---|",)], "value string"))
     assert [tuple(r) for r in manifest.collect()] == [("m.onnx", "ABC", "MIT", "web")]
     assert listing.check_models(manifest, spark.createDataFrame([], "file string, content binary")).first()["state"] == "absent"

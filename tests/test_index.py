@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediacat import catalog as cat
 from mediacat.plans import extract, index
 from mediacat.plans.extract import Engines, EngineSource, extracted, extractor, in_batches, region_faces
+from mediacat.sources import listing
 from mediacat.sources.pictures import PictureWriter, Written, save_pictures
 
 
@@ -154,3 +155,20 @@ def test_region_embed_takes_the_nearest_face(spark, tmp_path):
     assert tuple(got[1]["bbox"]) == (100, 100, 40, 40) and got[1]["det_score"] == 0.6 and got[1]["embedding"] == pytest.approx([0.6, 0.8])
     assert got[2]["bbox"] is None and got[3]["bbox"] is None and asked == []
     assert extract.engines_here(Engines()) == Engines()
+
+
+def test_one_folder_on_top_is_many_tasks(spark, tmp_path):
+    root = tmp_path / "m"
+    for k in range(24):
+        (root / "only" / f"d{k}" / ".hidden").mkdir(parents=True)
+        (root / "only" / f"d{k}" / "f.jpg").write_bytes(b"\xff\xd8\xff")
+        (root / "only" / f"d{k}" / ".kept").write_bytes(b"x")
+        (root / "only" / f"d{k}" / ".hidden" / "g.jpg").write_bytes(b"x")
+    os.symlink(root / "only" / "d0", root / "link")
+    os.symlink(root / "only" / "d0" / "f.jpg", root / "link.jpg")
+    rows = listing.list_folder(spark, str(root)).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["rel_path"] for r in rows} == {f"only/d{k}/{n}" for k in range(24) for n in ("f.jpg", ".kept")}
+    assert len({r["task"] for r in rows}) > 4 and all(bytes(r["head"]) == b"\xff\xd8\xff" for r in rows if r["rel_path"].endswith("f.jpg"))
+    by_uri = listing.list_folder(spark, f"file://{root}/only").collect()
+    assert {r["rel_path"] for r in by_uri} == {f"d{k}/{n}" for k in range(24) for n in ("f.jpg", ".kept")}
+    assert listing.list_folder(spark, str(tmp_path / "absent")).count() == 0
