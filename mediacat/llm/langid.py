@@ -149,6 +149,7 @@ class CrossParser:
         starts = np.cumsum([0, *(len(t) for t in tables)])[:-1]
         self.roots = (starts * self.width).astype(np.int32)
         self.table = np.concatenate([np.where(t > 0, (t + s) * self.width, 0) for t, s in zip(tables, starts)]).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.scalar = memoryview(self.table)
         keys = [self._key((state + s) * self.width, c) for (_, (state, c, _)), s in zip(built, starts)]
         to = [(target + s) * self.width for (_, (_, _, target)), s in zip(built, starts)]
         keys, to = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, to))
@@ -201,6 +202,17 @@ class CrossParser:
                 now[:n] = to
         return found, state
 
+    def _walk_one(self, root: int, symbols: list[int], state: int) -> tuple[int, int]:
+        """The same for one segment, letter by letter: where a single segment is left, arrays of width one would take longer."""
+        table, width, found = self.scalar, self.width, 0
+        for c in symbols:
+            to = table[state + c] if c < width else int(self.step(np.array([state], np.int32), np.array([c], np.int32))[0])
+            if not to or state == root:
+                to = (table[root + c] if c < width else int(self.step(np.array([root], np.int32), np.array([c], np.int32))[0])) or root
+                found += 1
+            state = to
+        return found, state
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases by language and text, share of symbols that a language lacks, number of letters of each text)."""
         parts = [self.symbols(t) for t in texts]
@@ -225,13 +237,33 @@ class CrossParser:
             enter = np.full(len(owner), root, np.int32)
             enter[later] = self._walk(root, symbols, begin[later] - BEFORE, np.full(len(later), BEFORE), enter[later])[1]
             found, leave = self._walk(root, symbols, begin, length, enter)
-            while len(wrong := np.flatnonzero(enter[later] != leave[prior])):
+            wrong = np.flatnonzero(enter[later] != leave[prior])
+            if len(wrong):  # once for all together; where guesses still fail, one after the other, remembering what comes of what
                 redo = later[wrong]
                 enter[redo] = leave[prior[wrong]]
                 found[redo], leave[redo] = self._walk(root, symbols, begin[redo], length[redo], enter[redo])
+                self._mend(root, symbols, begin, length, place, at, enter, found, leave)
             total[k] = np.bincount(owner[order], found, len(texts)) if len(owner) else 0
         return total, lacked, letters
 
+    def _mend(self, root, symbols, begin, length, place, at, enter, found, leave) -> None:
+        """Walks the segments again, in the order of the text, whose state on entry is not the one before them on leaving.
+
+        Repeated lines and junk give the same segments in the same states again and again: each such pair is walked once."""
+        known: dict[tuple[bytes, int], tuple[int, int]] = {}
+        before = np.flatnonzero(at[place] > 0)
+        todo = before[enter[place[before]] != leave[place[before - 1]]].tolist()  # in the order of the texts
+        for j in todo:
+            while j < len(place) and at[place[j]] > 0 and enter[place[j]] != leave[place[j - 1]]:
+                p = int(place[j])
+                part, state = symbols[begin[p] : begin[p] + length[p]], int(leave[place[j - 1]])
+                key = (part.tobytes(), state)
+                if key not in known:
+                    known[key] = self._walk_one(root, part.tolist(), state)
+                enter[p] = state
+                found[p], leave[p] = known[key]
+                j += 1
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         total, lacked, letters = self.phrases([t or "" for t in texts])
         known = letters > 0

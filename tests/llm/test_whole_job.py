@@ -62,3 +62,28 @@ def test_a_long_text_is_not_the_whole_sample():
     out = langid.even_share(["a" * 5000, "bc", "d" * 900, "e" * 70], 1000)
     assert len(out) <= 1000 and "bc" in out.split("\n") and "e" * 70 in out.split("\n") and out.count("d") > 400 and out.count("a") > 400
     assert langid.even_share(["ab", "c"], 40) == "ab\nc"
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    import time
+
+    import numpy as np
+
+    rnd = random.Random(6)
+    words = ["the", "word", "und", "is", "abba", "日本"]
+    parser = langid.CrossParser({x: " ".join(rnd.choice(words[k : k + 4]) for _ in range(4000)) for k, x in enumerate(("aa", "bb", "cc"))})
+    texts = ["word " * 3000, "ab" * 4000, "ab" * 1000 + "the word of " * 700, "xyz" * 2500, " ".join(rnd.choice(words) for _ in range(3000))]
+    found = parser.phrases(texts)[0]
+    one = lambda state, c: int(parser.step(np.array([state], np.int32), np.array([c], np.int32))[0])
+    for k, text in enumerate(texts):
+        for row, root in zip(found, parser.roots.tolist()):
+            state, n = root, 0
+            for c in parser.symbols(text).tolist():
+                to = one(state, c)
+                if not to or state == root:
+                    to, n = one(root, c) or root, n + 1
+                state = to
+            assert row[k] == n
+    began = time.time()
+    parser.judge(["word " * 200_000, "ab" * 500_000])
+    assert time.time() - began < 6
