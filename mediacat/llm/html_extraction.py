@@ -50,6 +50,13 @@ _FURNITURE = re.compile(
 _HEADS = re.compile(r"(?<![a-z])(?:header|masthead|banner)(?![a-z])")
 _CONTENT = re.compile(r"(?<![a-z])(?:article|content|main|post|entry|story|articlebody)(?![a-z])")
 _COMMENTS = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|respond|repl(?:y|ies))(?![a-z])")
+#: Words that a name of furniture may have besides: of place, of form and of what is listed.  Inside an article a name counts as that of furniture
+#: only if it is made of both kinds of words alone; one that merely has such a word in it ("legal-basis") weighs a little.
+_PARTS = frozenset(
+    "site page main top bottom left right upper lower inner outer box block bar area list items item links link wrap wrapper container section panel group row col column buttons button icons icon tools "
+    "inline slot post posts article articles story stories entry form title heading head body text count number the and to us this more also tags tag primary secondary global mobile desktop js c is u x".split()
+)
+_SPLIT = re.compile(r"[-_:]+")
 _DROP = {"nav", "footer", "aside", "menu", "dialog"}
 _HEADINGS = {"h1": 1.5, "h2": 0.8, "h3": 0.6, "h4": 0.4, "h5": 0.2, "h6": 0.2}
 _LEAVES = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "blockquote", "address", "summary", "option", "legend", *_HEADINGS}
@@ -58,10 +65,11 @@ _CONTAINERS = {"html", "body", "div", "section", "article", "main", "header", "n
 _VOID_BREAKS = {"br", "wbr", "img", "input", "hr"}
 #: The classifier's weights.  Of elements, passed on to all that they hold: furniture (and nothing inside takes it back), forms,
 #: content names, articles.  Of blocks: words up to 30, the constant, the end of a sentence, the share of link text outside and
-#: inside an article, prose tags, list items; headings have their own.
-W = {"furniture": -6.0, "form": -5.0, "content": 2.0, "article": 4.0, "word": 0.1, "constant": -1.0, "sentence": 0.5, "links": -4.0, "own_links": -2.0, "prose": 1.0, "item": -0.5}
-#: Shares of the page's text from which an article or main is the page's, a form is the page's layout, and a name is.
-ANCHOR, WHOLE_FORM, WHOLE = 0.4, 0.6, 0.6
+#: inside an article, prose tags, list items; headings have their own.  A hint is a word of furniture in a name that has other words, in an article.
+W = {"furniture": -6.0, "hint": -1.5, "form": -5.0, "content": 2.0, "article": 4.0, "word": 0.1, "constant": -1.0, "sentence": 0.5, "links": -4.0, "own_links": -2.0, "prose": 1.0, "item": -0.5}
+#: Shares of the page's text from which an article or main is the page's, a form is the page's layout, an element is the page's whatever
+#: its name, unless that is one of comments, and whatever its name at all.
+ANCHOR, WHOLE_FORM, WHOLE, ALL = 0.4, 0.6, 0.6, 0.98
 
 
 class Element:
@@ -178,10 +186,20 @@ def lift(blocks: list[Block], elements: list[Element]) -> None:
             elements[k].lifted = elements[k].tag != "header" or inside[k]
             k = elements[k].parent
     for e in elements:
-        if e.solid >= WHOLE * whole and e.tag in ("html", "body", "div", "section", "center", "table", "tbody", "tr", "td") and not _COMMENTS.search(e.names):
+        if e.tag in ("html", "body", "div", "section", "center", "table", "tbody", "tr", "td") and (e.solid >= ALL * whole or e.solid >= WHOLE * whole and not _COMMENTS.search(e.names)):
             e.lifted = True
 
 
+def all_furniture(names: str) -> bool:
+    """Whether one of an element's names is made of words of furniture, and of words of place or form, alone."""
+    for name in names.split():
+        words = [w for w in _SPLIT.split(name) if w]
+        known = [bool(_FURNITURE.fullmatch(w)) for w in words]
+        if any(known) and all(k or w in _PARTS or w.isdigit() for k, w in zip(known, words)):
+            return True
+    return False
+
+
 def weigh(blocks: list[Block], elements: list[Element]) -> None:
     """The log-odds of every block, from its own features and what its elements pass on."""
     whole = elements[0].solid or 1.0
@@ -194,8 +212,10 @@ def weigh(blocks: list[Block], elements: list[Element]) -> None:
         named = e.names and e.tag not in ("html", "body", "article", "main")
         if e.hidden or e.tag in _DROP or e.tag == "header" and not (above.article or e.lifted):
             e.bias = W["furniture"]
-        elif named and not e.lifted and (_FURNITURE.search(e.names) or not above.article and _HEADS.search(e.names)):
+        elif named and not e.lifted and (all_furniture(e.names) if above.article else _FURNITURE.search(e.names) or _HEADS.search(e.names)):
             e.bias = W["furniture"]
+        elif named and not e.lifted and above.article and _FURNITURE.search(e.names):
+            e.bias += W["hint"]
         elif e.tag in ("article", "main"):
             e.bias = W["article"]
         elif e.tag in ("form", "fieldset") and e.solid < WHOLE_FORM * whole:

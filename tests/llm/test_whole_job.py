@@ -87,3 +87,19 @@ def test_repetitive_texts_take_time_in_proportion():
     began = time.time()
     parser.judge(["word " * 200_000, "ab" * 500_000])
     assert time.time() - began < 6
+
+
+PARAGRAPH = "<p>" + "The committee met on Monday to weigh the plan, and it heard from many people. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("names", ['class="post has-comments"', 'class="page comments open"', 'id="search-results"', 'class="modal"', 'class="widget-area"'])
+def test_an_element_with_all_of_the_text_is_the_article_whatever_its_name(names):
+    assert html_extraction.main_text(f"<div {names}><h1>A title</h1>{PARAGRAPH * 2}</div>").count("committee") == 6
+
+
+@pytest.mark.parametrize("opening", ['section id="legal-basis"', 'section id="search-engines"', 'div class="story-menu-planning"', 'div class="reply-of-the-minister"', 'section class="cookies-in-the-kitchen"'])
+def test_a_word_of_furniture_in_a_name_hides_no_part_of_an_article(opening):
+    tag = opening.split()[0]
+    page = f"<body><article><h1>A title</h1>{PARAGRAPH}<{opening}>{PARAGRAPH}</{tag}><div class='share-buttons'><a href=x>Share</a> <a href=y>Tweet</a></div><div class='related-posts'><p>{'Another story that you might like to read now. ' * 3}</p></div></article></body>"
+    text = html_extraction.main_text(page)
+    assert text.count("committee") == 6 and "Tweet" not in text and "Another story" not in text
