@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import fold_name_udf
-from .schema import CLUSTERED, SCHEMA_VERSION, TABLES, conform, empty
+from .schema import CLUSTERED, PARTITIONED, SCHEMA_VERSION, TABLES, conform, empty
 from .storage import kept
 
 ROOT_ID = r"^[0-9a-f]{16}$"
@@ -67,7 +67,7 @@ class Catalog:
         held = self._where(self.version() if version is None else version)
         if table not in held:
             return empty(self.spark, table)
-        return conform(self.spark.read.parquet(f"{self.base}/{held[table]}/{table}"), table)
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.base}/{held[table]}/{table}")  # columns that an older version lacks are null
 
     def publish(self, changed: dict[str, DataFrame], onto: int | None = None) -> int:
         """Writes a version in which ``changed`` replaces those tables; the others stay where they are.
@@ -82,7 +82,10 @@ class Catalog:
             df = conform(df, table)
             if table in CLUSTERED:
                 df = df.repartitionByRange(*CLUSTERED[table]).sortWithinPartitions(*CLUSTERED[table])
-            df.write.parquet(f"{self.base}/{folder}/{table}")
+            if table in PARTITIONED:
+                df.repartition(PARTITIONED[table]).write.partitionBy(PARTITIONED[table]).parquet(f"{self.base}/{folder}/{table}")
+            else:
+                df.write.parquet(f"{self.base}/{folder}/{table}")
             held[table] = folder
         try:
             self._commit(old + 1, json.dumps(held))

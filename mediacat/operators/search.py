@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import day_key, fold_name, fold_name_udf, fts_fold_py, person_reference, place_label, ui_fold
 from ..functions.vectors import dot, literal
-from . import fts
+from . import fts, vector_index
+from .vector_index import VectorIndex
 
 CLIP_LEAST, CLIP_WEIGHT = 0.2, 0.5
 KINDS = ("image", "pdf", "docx")
@@ -50,8 +52,8 @@ def clamps(limit: Column, offset: Column, order: Column, kinds: Column) -> Colum
 
 @dataclass(frozen=True)
 class Catalogue:
-    """The tables that a search reads.  With ``index`` it reads postings instead of texts; with a column ``name_key`` of people
-    (see ``with_name_keys``) a person's name is found by equality."""
+    """The tables that a search reads.  With ``index`` it reads postings instead of texts; with ``vector_index`` the cells that a vector can be in; with ``people_keys`` (id, name_key: the folded name) a
+    person's name is found by equality."""
 
     files: DataFrame
     texts: DataFrame
@@ -59,6 +61,22 @@ class Catalogue:
     people: DataFrame
     clip: DataFrame
     index: fts.Index | None = None
+    people_keys: DataFrame | None = None
+    vector_index: VectorIndex | None = None
+
+
+class Lazy:
+    """The same, each table opened when it is first asked for: a search needs few of them, and opening one takes longer than reading it."""
+
+    def __init__(self, **openers: Callable[[], DataFrame | fts.Index | None]) -> None:
+        self._openers = openers
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self._openers:
+            raise AttributeError(name)
+        value = self._openers[name]()
+        setattr(self, name, value)
+        return value
 
 
 @dataclass(frozen=True)
@@ -117,9 +135,19 @@ def page_scores(c: Catalogue, text: str) -> DataFrame:
 
 def near_vectors(c: Catalogue, vector: list[float], least: float = CLIP_LEAST) -> DataFrame:
     """file_id, sim of the vectors that are near enough."""
+    if c.vector_index is not None:
+        return vector_index.near(c.vector_index, vector, least)
     return c.clip.select("file_id", dot(F.col("embedding"), literal(vector)).alias("sim")).where(F.col("sim") >= least)
 
 
+def nearest_files(c: Catalogue | Lazy, q: Query, vector: list[float], k: int, least: float = CLIP_LEAST) -> DataFrame:
+    """file_id, sim of the ``k`` candidates whose vectors are nearest, ties to the lowest id."""
+    own = candidates(c, q).select(F.col("id").alias("file_id"))
+    if c.vector_index is not None:
+        return vector_index.nearest(c.vector_index, vector, k, least, own)
+    return near_vectors(c, vector, least).join(own, "file_id", "left_semi").orderBy(F.desc("sim"), "file_id").limit(k)
+
+
 def vector_scores(c: Catalogue, q: Query, vector: list[float], least: float = CLIP_LEAST) -> DataFrame:
     """file_id, sim of the candidates whose vector is near enough."""
     return near_vectors(c, vector, least).join(candidates(c, q).select(F.col("id").alias("file_id")), "file_id", "left_semi")
@@ -169,18 +197,13 @@ def with_snippets(c: Catalogue, hits: DataFrame, text: str) -> DataFrame:
     return out.orderBy("_at").select(*hits.columns)
 
 
-def with_name_keys(people: DataFrame) -> DataFrame:
-    """People with ``name_key``, the folded name: made when people change, so that searches compare it by equality."""
-    return people.withColumn("name_key", fold_name_udf(F.col("name")))
-
-
-def find_person(people: DataFrame, text: str) -> int | None:
+def find_person(c: Catalogue | Lazy, text: str) -> int | None:
     """The named person, hidden ones too, whose folded name equals the text; the lowest id wins."""
     wanted = fold_name(text)
     if not wanted:
         return None
-    keyed = people if "name_key" in people.columns else with_name_keys(people)
-    return keyed.where("name IS NOT NULL").where(F.col("name_key") == wanted).agg(F.min("id")).first()[0]
+    keys = c.people_keys if c.people_keys is not None else c.people.select("id", fold_name_udf(F.col("name")).alias("name_key"))
+    return keys.where(F.col("name_key") == wanted).agg(F.min("id")).first()[0]
 
 
 def search(c: Catalogue, q: Query, encode_text=None, snippets: bool = True) -> Results:
@@ -191,7 +214,7 @@ def search(c: Catalogue, q: Query, encode_text=None, snippets: bool = True) -> R
         found = listing(c, q)
         return Results(page(found, q), found)
     shown = lambda hits: with_snippets(c, hits, text) if snippets else hits
-    person = find_person(c.people, text)
+    person = find_person(c, text)
     if person is not None:
         photos = listing(c, replace(q, text="", people=(*q.people, person)))
         mentions = ranked(fused(c, replace(q, text=text), None, 1.0), q.order).limit(q.limit)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..catalog import Catalog, Conflict, root_id
-from ..operators.search import Catalogue
+from ..operators.search import Lazy
 from ..storage import shared_folder
-from .index import stored_index, sync_index
+from .index import stored_index, stored_vectors, sync_index, sync_vectors
 
 FILES = """
 SELECT doc_id AS id, concat(source, '/', CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, CAST(doc_id AS STRING),
@@ -96,7 +99,18 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = next((t for t in TABLES if f"FROM {t}" in text), None)
     if base is None:
         return spark.sql(text)
-    return spark.sql(text.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+    return spark.sql(text.replace(f"FROM {base}", "FROM {base}"), base=given(spark, f"{sf_dir}/{base}.parquet"))
+
+
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def given(spark: SparkSession, path: str) -> DataFrame:
+    """A given table; its schema is read from the files once for each state of the table."""
+    sign = table_sign(spark, path)
+    if sign not in _SCHEMAS:
+        _SCHEMAS[sign] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[sign]).parquet(path)
 
 
 def table_sign(spark: SparkSession, path: str) -> str:
@@ -125,16 +139,30 @@ def published(spark: SparkSession, sf_dir: str) -> Catalog:
     return store
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+def published_vectors(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The bound vectors in the same way."""
+    store = Catalog(spark, f"{shared_folder(spark)}/bound", root_id(table_sign(spark, f"{sf_dir}/embeddings.parquet")))
+    if not store.holds("clip_placed"):
+        try:
+            sync_vectors(store, bound(spark, sf_dir, "clip"))
+        except Conflict:
+            pass
+    return store
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> Lazy:
     """The catalogue as a search reads it: with its index."""
     store = published(spark, sf_dir)
-    people = store.read("people").join(store.read("people_keys"), "id", "left")
-    return Catalogue(*[people if n == "people" else bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")], stored_index(store))
+    return Lazy(index=lambda: stored_index(store), people_keys=lambda: store.read("people_keys"), vector_index=lambda: stored_vectors(published_vectors(spark, sf_dir)), **_bare(spark, sf_dir))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Catalogue:
+def tables(spark: SparkSession, sf_dir: str) -> Lazy:
     """The bare tables, for queries without text."""
-    return Catalogue(*[bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")])
+    return Lazy(index=lambda: None, people_keys=lambda: None, vector_index=lambda: None, **_bare(spark, sf_dir))
+
+
+def _bare(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    return {n: lambda n=n: bound(spark, sf_dir, n) for n in ("files", "texts", "faces", "people", "clip")}
 
 
 def with_bound(*names: str) -> str:

@@ -388,16 +388,13 @@ def _vector(spark, sf) -> list[float]:
 
 @query(f"SELECT file_id, round({_SIM}, 6) AS sim FROM b_clip WHERE {_SIM} >= 0.2", ("clip",))
 def clip_threshold(spark, sf):
-    from ..functions.vectors import dot, literal
-
-    v = literal(_vector(spark, sf))
-    return rounded(bound(spark, sf, "clip").select("file_id", dot(F.col("embedding"), v).alias("sim")).where(F.col("sim") >= LEAST), "sim")
+    return rounded(search.near_vectors(catalogue(spark, sf), _vector(spark, sf), LEAST), "sim")
 
 
 @query(f"SELECT file_id, round({_SIM}, 6) AS sim FROM b_clip JOIN b_files f ON f.id = file_id WHERE {VISIBLE} AND {_SIM} >= 0.2 ORDER BY {_SIM} DESC, file_id LIMIT 10", ("clip", "files"))
 def clip_topk(spark, sf):
     c = catalogue(spark, sf)
-    return rounded(search.vector_scores(c, search.Query(), _vector(spark, sf)).orderBy(F.desc("sim"), "file_id").limit(10), "sim")
+    return rounded(search.nearest_files(c, search.Query(), _vector(spark, sf), 10), "sim")
 
 
 _HYBRID = (
@@ -416,7 +413,7 @@ _BIND = ("files", "texts", "clip")
 
 def _hybrid(spark, sf, order: str, limit: int) -> DataFrame:
     vector = _vector(spark, sf)
-    found = search.search(catalogue(spark, sf), search.Query(text="estion", order=order, limit=limit), lambda t: vector)
+    found = search.search(catalogue(spark, sf), search.Query(text="estion", order=order, limit=limit), lambda t: vector, snippets=False)
     return rounded(found.hits.select("id", "rel_path", "kind", "taken_at", "page", "score"), "score")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, assign_ids, get_meta, upsert
-from ..operators import cdc, fts, people
-from ..operators.search import Catalogue
+from ..operators import cdc, fts, people, vector_index
+from ..operators.search import Lazy
 from ..schema import TABLES
 from ..sources.listing import in_hidden_folder, is_sticker, list_folder, listed_kind
 from ..sources.pictures import save_pictures
@@ -63,15 +63,35 @@ def sync_index(catalog: Catalog, texts: DataFrame | None = None) -> int:
     return n
 
 
+def sync_vectors(catalog: Catalog, vectors: DataFrame | None = None) -> bool:
+    """Brings the vector index up to the catalogue's vectors (or those given); whether anything had changed."""
+    version = catalog.version()
+    vectors = (catalog.read("clip_embeddings") if vectors is None else vectors).select("file_id", "embedding")
+    sign = lambda df: df.select("file_id", F.col("embedding").cast("array<float>").alias("embedding")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("file_id", "embedding"), F.lit(1 << 31))), F.lit(0))).first()
+    if sign(vectors) == sign(catalog.read("clip_placed")):
+        return False
+    placed, cells = vector_index.placed_vectors(vectors)
+    placed = kept(placed)  # pivots are chosen once for both tables
+    catalog.publish({"clip_placed": placed, "clip_cells": cells}, version)
+    drop_kept(placed)
+    return True
+
+
+def stored_vectors(catalog: Catalog, version: int | None = None) -> vector_index.VectorIndex:
+    return vector_index.VectorIndex(catalog.read("clip_placed", version), catalog.read("clip_cells", version))
+
+
 def stored_index(catalog: Catalog) -> fts.Index:
     """The index that a search reads."""
     return fts.Index(catalog.read("fts_postings"), catalog.read("fts_totals"))
 
 
-def searchable(catalog: Catalog) -> Catalogue:
-    """The published tables as a search reads them, with the stored index and folded names."""
-    named = catalog.read("people").join(catalog.read("people_keys"), "id", "left")
-    return Catalogue(catalog.read("files"), catalog.read("texts"), catalog.read("faces"), named, catalog.read("clip_embeddings"), stored_index(catalog))
+def searchable(catalog: Catalog) -> Lazy:
+    """The published tables as a search reads them, with the stored index and folded names, all of one version."""
+    version = catalog.version()
+    read = lambda table: lambda: catalog.read(table, version)
+    index = lambda: fts.Index(catalog.read("fts_postings", version), catalog.read("fts_totals", version))
+    return Lazy(files=read("files"), texts=read("texts"), faces=read("faces"), people=read("people"), clip=read("clip_embeddings"), index=index, people_keys=read("people_keys"), vector_index=lambda: stored_vectors(catalog, version))
 
 
 #: Files of a chunk, about.
@@ -194,6 +214,7 @@ def _run_index(spark, root, catalog, extract, places, settings, only, force, ret
         labels = fts.place_texts(files)
         catalog.publish({"files": files, "texts": catalog.read("texts").where("page <> 0").unionByName(labels)})
     sync_index(catalog)
+    sync_vectors(catalog)
     settings = settings or people.load_settings(catalog.read("meta"))
     if catalog.read("faces").where("person_id IS NULL").limit(1).count() and not cancelled() and (only is None or "faces" in only):
         faces, everyone, _ = people.group_faces(catalog.read("faces"), catalog.read("files"), catalog.read("people"), catalog.read("face_negatives"), settings)

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 
 SCHEMA_VERSION = 4
 
-_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "ints": ArrayType(IntegerType()), "vector": ArrayType(FloatType())}
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "ints": ArrayType(IntegerType()), "doubles": ArrayType(DoubleType()), "vector": ArrayType(FloatType())}
 _TYPES["box"] = StructType([StructField(n, IntegerType()) for n in "xywh"])
 
 
@@ -34,9 +34,13 @@ TABLES: dict[str, StructType] = {
     "fts_pages": _table("file_id long, page int, len int, sign long"),
     "fts_totals": _table("n long, avg double"),
     "people_keys": _table("id long, name_key string"),
+    "clip_placed": _table("file_id long, embedding vector, cell int"),
+    "clip_cells": _table("cell int, pivot doubles, far double, n long"),
 }
 
-#: Columns whose sorted ranges a table is written in, so that a filter on the first reads few row groups.
+#: The column that a table has a folder a value of, and columns whose sorted ranges a table is written in: a filter on the first reads
+#: few files or row groups.
+PARTITIONED = {"clip_placed": "cell"}
 CLUSTERED = {"fts_postings": ["token", "file_id", "page"]}
 
 

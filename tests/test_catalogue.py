@@ -61,7 +61,7 @@ def test_search_goldens(sample):
     assert set(names(search.search(c, search.Query(text="lake")).hits)) == {"board.jpg", "minutes.pdf"}
     person = search.search(c, search.Query(text="clara  BRITO"), encode)
     assert set(names(person.hits)) == {"lake1.jpg", "lake2.jpg"} and names(person.mentions) == ["minutes.pdf"]
-    assert search.find_person(c.people, "ZOE") == 2
+    assert search.find_person(c, "ZOE") == 2
     assert names(search.search(c, search.Query(kinds=("pdf",))).hits) == ["flyer.pdf", "minutes.pdf"]
     assert search.search(c, search.Query()).all_hits.count() == 6
     assert names(search.search(c, replace(search.Query(), limit=2, offset=1)).hits) == ["board.jpg", "lake1.jpg"]
