@@ -61,13 +61,18 @@ class Catalog:
         return json.loads(text)
 
     def holds(self, table: str) -> bool:
-        return table in self._where(self.version())
+        return self.folder(table) is not None
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
+    def folder(self, table: str, version: int | None = None) -> str | None:
+        """Where a table of a version is; what is there never changes."""
         held = self._where(self.version() if version is None else version)
-        if table not in held:
+        return f"{self.base}/{held[table]}/{table}" if table in held else None
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        folder = self.folder(table, version)
+        if folder is None:
             return empty(self.spark, table)
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.base}/{held[table]}/{table}")  # columns that an older version lacks are null
+        return self.spark.read.schema(TABLES[table]).parquet(folder)  # columns that an older version lacks are null
 
     def publish(self, changed: dict[str, DataFrame], onto: int | None = None) -> int:
         """Writes a version in which ``changed`` replaces those tables; the others stay where they are.
@@ -83,7 +88,7 @@ class Catalog:
             if table in CLUSTERED:
                 df = df.repartitionByRange(*CLUSTERED[table]).sortWithinPartitions(*CLUSTERED[table])
             if table in PARTITIONED:
-                df.repartition(PARTITIONED[table]).write.partitionBy(PARTITIONED[table]).parquet(f"{self.base}/{folder}/{table}")
+                df.write.partitionBy(PARTITIONED[table]).parquet(f"{self.base}/{folder}/{table}")
             else:
                 df.write.parquet(f"{self.base}/{folder}/{table}")
             held[table] = folder

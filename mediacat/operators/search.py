@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import day_key, fold_name, fold_name_udf, fts_fold_py, person_reference, place_label, ui_fold
 from ..functions.vectors import dot, literal
-from . import fts, vector_index
+from . import fts, listing_index, vector_index
+from .listing_index import Listing
 from .vector_index import VectorIndex
 
 CLIP_LEAST, CLIP_WEIGHT = 0.2, 0.5
@@ -32,6 +33,7 @@ class Query:
     order: str = "relevance"
     limit: int = 20
     offset: int = 0
+    after: tuple[str | None, int] | None = None  # of a listing: the key of the last row seen
 
     def clamped(self) -> Query:
         """Unknown kinds dropped, order defaulted, limit 1..500, offset not negative."""
@@ -63,6 +65,7 @@ class Catalogue:
     index: fts.Index | None = None
     people_keys: DataFrame | None = None
     vector_index: VectorIndex | None = None
+    listing: Listing | None = None
 
 
 class Lazy:
@@ -107,7 +110,10 @@ def visible(q: Query) -> Column:
 
 def candidates(c: Catalogue, q: Query) -> DataFrame:
     """The files that pass the filters and hold all the people; suggested faces, and those without a source, don't count."""
-    found = c.files.where(visible(q))
+    return with_people(c, q, c.files.where(visible(q)))
+
+
+def with_people(c: Catalogue, q: Query, found: DataFrame) -> DataFrame:
     for person in q.people:
         mine = c.faces.where((F.col("person_id") == person) & (F.col("assign_source") != "suggested")).select(F.col("file_id").alias("id"))
         found = found.join(mine, "id", "left_semi")
@@ -128,6 +134,14 @@ def listing(c: Catalogue, q: Query) -> DataFrame:
     return candidates(c, q).select(*hit_columns(F.lit(1.0), F.lit(None).cast("int"), _no_snippet())).orderBy(F.desc_nulls_last("taken_at"), F.desc("id"))
 
 
+def listing_page(c: Catalogue | Lazy, q: Query, found: DataFrame) -> DataFrame:
+    """The page of a listing: out of the stored one, where there is one, by cursor or offset."""
+    if c.listing is not None:
+        rows = listing_index.page(c.listing, visible(q), q.limit, q.after, q.offset, lambda df: with_people(c, q, df))
+        return rows.select(*hit_columns(F.lit(1.0), F.lit(None).cast("int"), _no_snippet())).orderBy(F.desc_nulls_last("taken_at"), F.desc("id"))
+    return page(found if q.after is None else found.where(listing_index.after(q.after)), q)
+
+
 def page_scores(c: Catalogue, text: str) -> DataFrame:
     """file_id, score, page of the best page of each file that matches."""
     return fts.best_page(fts.match_index(c.index, text) if c.index else fts.match(c.texts, text))
@@ -212,13 +226,14 @@ def search(c: Catalogue, q: Query, encode_text=None, snippets: bool = True) -> R
     text = q.text.strip()
     if not text:
         found = listing(c, q)
-        return Results(page(found, q), found)
+        return Results(listing_page(c, q, found), found)
     shown = lambda hits: with_snippets(c, hits, text) if snippets else hits
     person = find_person(c, text)
     if person is not None:
-        photos = listing(c, replace(q, text="", people=(*q.people, person)))
+        mine = replace(q, text="", people=(*q.people, person))
+        photos = listing(c, mine)
         mentions = ranked(fused(c, replace(q, text=text), None, 1.0), q.order).limit(q.limit)
-        return Results(page(photos, q), photos, shown(mentions), person)
+        return Results(listing_page(c, mine, photos), photos, shown(mentions), person)
     vector = encode_text(text) if encode_text else None
     found = ranked(fused(c, replace(q, text=text), vector), q.order)
     without = candidates(c, q).agg(F.count(F.lit(1)).alias("total")) if q.people or q.date_from or q.date_to or q.kinds else None

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, literal
 from .metric import PIVOTS, choose_pivots, unit, with_cells
 
-#: Vectors of a cell on average at least.
-CELL_ROWS = 256
+#: Vectors of a cell on average at least, and vectors that a search for the nearest reads before it asks which other cells it needs: so many
+#: take less time than another job.
+CELL_ROWS, FIRST_ROWS = 256, 50_000
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,8 @@ class VectorIndex:
 
     placed: DataFrame
     cells: DataFrame
+    #: The folder that the cells are published in, which never changes: they are read once in a session.
+    folder: str | None = None
 
 
 def placed_vectors(vectors: DataFrame, most: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
@@ -41,20 +44,34 @@ def placed_vectors(vectors: DataFrame, most: int = PIVOTS) -> tuple[DataFrame, D
     every = found.select("i", "v", "cell", "far").unionByName(zero)
     at = vectors.sparkSession.createDataFrame([(k, p.tolist()) for k, p in enumerate(pivots)], "cell int, pivot array<double>")
     sizes = every.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n"))
-    return every.select(F.col("i").alias("file_id"), F.col("v").alias("embedding"), "cell"), sizes.join(F.broadcast(at), "cell", "left")
+    return every.select(F.col("i").alias("file_id"), F.col("v").alias("embedding"), "cell").repartition("cell"), sizes.join(F.broadcast(at), "cell", "left")
+
+
+_READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _cells(index: VectorIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, rows, far, pivot) of the cells."""
+    if index.folder in _READ:
+        return _READ[index.folder]
+    rows = index.cells.where("pivot IS NOT NULL").collect()
+    out = tuple(np.array([r[n] for r in rows]) for n in ("cell", "n", "far", "pivot"))
+    if index.folder:
+        if len(_READ) >= 16:
+            _READ.clear()
+        _READ[index.folder] = out
+    return out
 
 
 def bounds(index: VectorIndex, vector: list[float]) -> list[tuple[float, int, int]]:
     """(largest possible dot product, cell, rows) of each cell, the best first."""
-    rows = index.cells.where("pivot IS NOT NULL").collect()
-    if not rows:
+    cell, n, far, pivots = _cells(index)
+    if not len(cell):
         return []
     q = np.asarray(vector, float)
-    size = float(np.linalg.norm(q))
-    angle = np.arccos(np.clip(unit(q[None, :]) @ np.array([r["pivot"] for r in rows]).T, -1, 1))[0]
-    far = np.array([r["far"] for r in rows])
-    top = np.cos(np.clip(angle - far, 0, np.pi)) * size + 1e-6  # vectors are of unit length up to rounding
-    return sorted(((float(t), r["cell"], r["n"]) for t, r in zip(top, rows)), reverse=True)
+    angle = np.arccos(np.clip(unit(q[None, :]) @ pivots.T, -1, 1))[0]
+    top = np.cos(np.clip(angle - far, 0, np.pi)) * float(np.linalg.norm(q)) + 1e-6  # vectors are of unit length up to rounding
+    return sorted(zip(top.tolist(), cell.tolist(), n.tolist()), reverse=True)
 
 
 def _in(index: VectorIndex, cells: list[int], vector: list[float]) -> DataFrame:
@@ -73,7 +90,7 @@ def nearest(index: VectorIndex, vector: list[float], k: int, least: float, files
     The nearest cells that hold a few times ``k`` vectors are read first; their k-th best is the bar for the other cells."""
     order = [(top, c, n) for top, c, n in bounds(index, vector) if top >= least]
     first, held = 0, 0
-    while first < len(order) and held < 4 * k:
+    while first < len(order) and held < max(4 * k, FIRST_ROWS):
         held += order[first][2]
         first += 1
 

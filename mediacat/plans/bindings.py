@@ -153,12 +153,12 @@ def published_vectors(spark: SparkSession, sf_dir: str) -> Catalog:
 def catalogue(spark: SparkSession, sf_dir: str) -> Lazy:
     """The catalogue as a search reads it: with its index."""
     store = published(spark, sf_dir)
-    return Lazy(index=lambda: stored_index(store), people_keys=lambda: store.read("people_keys"), vector_index=lambda: stored_vectors(published_vectors(spark, sf_dir)), **_bare(spark, sf_dir))
+    return Lazy(index=lambda: stored_index(store), people_keys=lambda: store.read("people_keys"), vector_index=lambda: stored_vectors(published_vectors(spark, sf_dir)), listing=lambda: None, **_bare(spark, sf_dir))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Lazy:
     """The bare tables, for queries without text."""
-    return Lazy(index=lambda: None, people_keys=lambda: None, vector_index=lambda: None, **_bare(spark, sf_dir))
+    return Lazy(index=lambda: None, people_keys=lambda: None, vector_index=lambda: None, listing=lambda: None, **_bare(spark, sf_dir))
 
 
 def _bare(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:

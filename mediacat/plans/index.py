@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, assign_ids, get_meta, upsert
-from ..operators import cdc, fts, people, vector_index
+from ..operators import cdc, fts, listing_index, people, vector_index
 from ..operators.search import Lazy
 from ..schema import TABLES
 from ..sources.listing import in_hidden_folder, is_sticker, list_folder, listed_kind
@@ -72,13 +72,43 @@ def sync_vectors(catalog: Catalog, vectors: DataFrame | None = None) -> bool:
         return False
     placed, cells = vector_index.placed_vectors(vectors)
     placed = kept(placed)  # pivots are chosen once for both tables
-    catalog.publish({"clip_placed": placed, "clip_cells": cells}, version)
+    catalog.publish({"clip_placed": placed.repartition("cell"), "clip_cells": cells}, version)
     drop_kept(placed)
     return True
 
 
 def stored_vectors(catalog: Catalog, version: int | None = None) -> vector_index.VectorIndex:
-    return vector_index.VectorIndex(catalog.read("clip_placed", version), catalog.read("clip_cells", version))
+    return vector_index.VectorIndex(catalog.read("clip_placed", version), catalog.read("clip_cells", version), catalog.folder("clip_cells", version))
+
+
+def sync_listing(catalog: Catalog, part_rows: int = listing_index.PART_ROWS) -> bool:
+    """Brings the stored listing up to the catalogue's files; whether they had changed.  Meta says which files it is of."""
+    version = catalog.version()
+    source = catalog.folder("files", version) or ""
+    if get_meta(catalog.read("meta", version), "listing_of") == source:
+        return False
+    rows = kept(listing_index.in_parts(catalog.read("files", version), part_rows))
+    meta = catalog.spark.createDataFrame([("listing_of", source)], TABLES["meta"])
+    catalog.publish({"listing": rows, "listing_fences": listing_index.fences_of(rows), "meta": upsert(catalog.read("meta", version), meta, ["key"])}, version)
+    drop_kept(rows)
+    return True
+
+
+_FENCES: dict[str, tuple] = {}
+
+
+def stored_listing(catalog: Catalog, version: int | None = None) -> listing_index.Listing | None:
+    """The stored listing, if it is of this version's files.  Its fences, a row a part, are read once a session."""
+    version = catalog.version() if version is None else version
+    folder = catalog.folder("listing_fences", version)
+    if folder is None or get_meta(catalog.read("meta", version), "listing_of") != catalog.folder("files", version):
+        return None
+    if folder not in _FENCES:
+        if len(_FENCES) >= 16:
+            _FENCES.clear()
+        rows = catalog.read("listing_fences", version).orderBy("part").collect()
+        _FENCES[folder] = tuple((r["part"], r["n"], tuple(r["newest"]), tuple(r["oldest"])) for r in rows)
+    return listing_index.Listing(catalog.read("listing", version), _FENCES[folder])
 
 
 def stored_index(catalog: Catalog) -> fts.Index:
@@ -91,7 +121,7 @@ def searchable(catalog: Catalog) -> Lazy:
     version = catalog.version()
     read = lambda table: lambda: catalog.read(table, version)
     index = lambda: fts.Index(catalog.read("fts_postings", version), catalog.read("fts_totals", version))
-    return Lazy(files=read("files"), texts=read("texts"), faces=read("faces"), people=read("people"), clip=read("clip_embeddings"), index=index, people_keys=read("people_keys"), vector_index=lambda: stored_vectors(catalog, version))
+    return Lazy(files=read("files"), texts=read("texts"), faces=read("faces"), people=read("people"), clip=read("clip_embeddings"), index=index, people_keys=read("people_keys"), vector_index=lambda: stored_vectors(catalog, version), listing=lambda: stored_listing(catalog, version))
 
 
 #: Files of a chunk, about.
@@ -221,5 +251,6 @@ def _run_index(spark, root, catalog, extract, places, settings, only, force, ret
         catalog.publish({"faces": faces, "people": everyone})
     meta = spark.createDataFrame([("root_path", root), ("last_index_processed", str(counts["processed"]))], "key string, value string")
     catalog.publish({"meta": upsert(catalog.read("meta"), meta, ["key"])})
+    sync_listing(catalog)
     counts["errors"] = catalog.read("files").where("status = 'error'").count()
     return counts

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as cat
 from ..functions import dates, geo, geometry, text, vectors
-from ..operators import browse, cdc, cluster, fts, people, search
+from ..operators import browse, cdc, cluster, fts, listing_index, people, search
 from ..schema import TABLES
 from ..sources import documents, listing
 from ..sources.pictures import save_pictures
@@ -21,7 +21,7 @@ from ..streaming import monitor
 from .bindings import bound, table_sign, tables
 from .catalog_queries import _CHANGES, _FREE, _SCORES, AUTO, EPS, HIT, SAMPLES, SUGGEST, VISIBLE, _known, query, rounded
 from .extract import Engines, EngineSource, encoded, extractor
-from .index import run_index
+from .index import run_index, searchable
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -782,6 +782,17 @@ def index_postings(spark, sf):
     return mine.join(store.read("files").select(F.col("id").alias("file_id"), "rel_path"), "file_id").select("rel_path", F.col("token").alias("word"), "page")
 
 
+@query(f"""SELECT id, rel_path, taken_at FROM (SELECT row_number() OVER (ORDER BY rel_path) AS id, rel_path, k, CASE k WHEN 'jpg' THEN printf('2019-07-%02dT10:11:12', i % 28 + 1) ELSE '2023-01-01' END AS taken_at FROM ({_MEDIA}))
+  WHERE k IN ('jpg', 'sticker') ORDER BY taken_at DESC, id DESC LIMIT 60 OFFSET 40""")
+def listing_by_cursor(spark, sf):
+    """The second and third page of pictures out of the stored listing, each after the last row of the one before."""
+    c, pages, cursor = searchable(_index(spark, sf)), [], None
+    for limit in (40, 30, 30):
+        pages.append(search.search(c, search.Query(kinds=("image",), stickers=True, limit=limit, after=cursor)).hits.select("id", "rel_path", "taken_at"))
+        cursor = listing_index.next_cursor(pages[-1])
+    return pages[1].union(pages[2])
+
+
 @query("SELECT doc_id, least(strlen(text), 20)::BIGINT AS first_bytes, true AS bounded FROM documents WHERE text IS NOT NULL")
 def encoded_batches(spark, sf):
     """Contents given to an encoder made once a worker, in batches of at most 256 KB (or one content)."""

@@ -10,6 +10,7 @@ SCHEMA_VERSION = 4
 
 _TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "ints": ArrayType(IntegerType()), "doubles": ArrayType(DoubleType()), "vector": ArrayType(FloatType())}
 _TYPES["box"] = StructType([StructField(n, IntegerType()) for n in "xywh"])
+_TYPES["key"] = StructType([StructField("taken_at", StringType()), StructField("id", LongType())])
 
 
 def _table(columns: str) -> StructType:
@@ -17,12 +18,13 @@ def _table(columns: str) -> StructType:
     return StructType([StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(","))])
 
 
+_FILES = (
+    "id long, rel_path string, kind string, size long, mtime double, hash string, taken_at string, date_source string, width int, height int, "
+    "is_sticker boolean, status string, error string, stages_done strings, lat double, lon double, city string, state string, country string"
+)
 TABLES: dict[str, StructType] = {
     "meta": _table("key string, value string"),
-    "files": _table(
-        "id long, rel_path string, kind string, size long, mtime double, hash string, taken_at string, date_source string, width int, height int, "
-        "is_sticker boolean, status string, error string, stages_done strings, lat double, lon double, city string, state string, country string"
-    ),
+    "files": _table(_FILES),
     "texts": _table("content string, file_id long, page int"),
     "people": _table("id long, name string, hidden boolean, cover_face_id long"),
     "faces": _table("id long, file_id long, bbox box, det_score double, embedding vector, person_id long, assign_source string, assign_score double, manual boolean"),
@@ -30,6 +32,8 @@ TABLES: dict[str, StructType] = {
     "clip_embeddings": _table("file_id long, embedding vector"),
     "places": _table("name string, state string, country string, lat double, lon double"),
     # derived from the tables above
+    "listing": _table(_FILES + ", part int"),
+    "listing_fences": _table("part int, n long, newest key, oldest key"),
     "fts_postings": _table("token string, file_id long, page int, tf int, len int, positions ints"),
     "fts_pages": _table("file_id long, page int, len int, sign long"),
     "fts_totals": _table("n long, avg double"),
@@ -40,7 +44,7 @@ TABLES: dict[str, StructType] = {
 
 #: The column that a table has a folder a value of, and columns whose sorted ranges a table is written in: a filter on the first reads
 #: few files or row groups.
-PARTITIONED = {"clip_placed": "cell"}
+PARTITIONED = {"clip_placed": "cell", "listing": "part"}
 CLUSTERED = {"fts_postings": ["token", "file_id", "page"]}
 
 

@@ -48,7 +48,8 @@ def files_read(df):
     return total
 
 
-def test_a_search_reads_the_cells_that_can_hold_a_hit(spark, store, vectors):
+def test_a_search_reads_the_cells_that_can_hold_a_hit(spark, store, vectors, monkeypatch):
+    monkeypatch.setattr(vector_index, "FIRST_ROWS", 100)
     index = stored_vectors(store)
     every = len(index.placed.inputFiles())
     for q in (vectors[3], vectors[700], vectors[2300] * 2, -vectors[5]):
