@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..catalog import get_meta
 from ..operators.cdc import pending_changes
@@ -33,16 +36,26 @@ def settled(ticks: DataFrame) -> DataFrame:
     return sets.select("tick", F.coalesce(same, F.lit(False)).alias("act"))
 
 
-class Settler:
-    """The rule with its state: the changes last seen, forgotten after acting."""
+#: A tick: the folder, its number, and the fingerprint of its pending changes (null: none, or not watched).
+TICK = StructType([StructField("root", StringType()), StructField("tick", LongType()), StructField("sign", StringType())])
 
-    def __init__(self) -> None:
-        self.last: str | None = None
 
-    def tick(self, sign: str | None) -> bool:
-        act = sign is not None and sign == self.last
-        self.last = None if act else sign
-        return act
+def _settle(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The rule for one folder: act on a tick whose changes are those of the tick before, and then forget them.  The changes last seen are
+    the state, which the checkpoint keeps."""
+    last, out = (state.get[0] if state.exists else None), []
+    ticks = pd.concat(list(frames)).sort_values("tick")
+    for tick, sign in zip(ticks["tick"], ticks["sign"]):
+        act = isinstance(sign, str) and sign == last
+        last = sign if isinstance(sign, str) and not act else None
+        out.append((key[0], tick, act))
+    state.update((last,))
+    yield pd.DataFrame(out, columns=["root", "tick", "act"])
+
+
+def settling(ticks: DataFrame) -> DataFrame:
+    """root, tick, act of a stream of ticks, one state a folder."""
+    return ticks.groupBy("root").applyInPandasWithState(_settle, "root string, tick long, act boolean", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def enabled(meta: DataFrame) -> bool:
@@ -55,22 +68,44 @@ def switched_on(roots: DataFrame, meta: DataFrame) -> DataFrame:
     return roots.join(off, "root", "left").select("root", F.col("_off").isNull().alias("enabled"))
 
 
+class Monitor:
+    """The two queries of a monitor: one writes ticks, the other acts on them."""
+
+    def __init__(self, *queries: StreamingQuery) -> None:
+        self.queries = queries
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+    def awaitTermination(self, seconds: float) -> bool:  # noqa: N802  (as of a query)
+        return any(q.awaitTermination(seconds / len(self.queries)) for q in self.queries)
+
+
 def start_monitor(
     spark: SparkSession, root: str, known: Callable[[], DataFrame], index: Callable[[], None], checkpoint: str, meta: Callable[[], DataFrame] | None = None, seconds: float = SECONDS
-) -> StreamingQuery:
-    """A query that lists the folder on every trigger and calls ``index`` once changes have settled."""
-    state = Settler()
+) -> Monitor:
+    """Lists the folder on every trigger and calls ``index`` once changes have settled; a restart on the same checkpoint goes on where
+    it was, with the changes that were seen last."""
 
     def tick(batch: DataFrame, number: int) -> None:
-        if meta is not None and not enabled(meta()):
-            state.last = None
-            return
-        seen = list_folder(spark, root, head=False).withColumn("kind", F.coalesce(kind_of(F.col("rel_path")), F.lit("other")))
-        if state.tick(fingerprint(pending_changes(known(), seen))):
+        sign = None
+        if meta is None or enabled(meta()):
+            seen = list_folder(spark, root, head=False).withColumn("kind", F.coalesce(kind_of(F.col("rel_path")), F.lit("other")))
+            sign = fingerprint(pending_changes(known(), seen))
+        spark.createDataFrame([(root, number, sign)], TICK).coalesce(1).write.mode("append").parquet(f"{checkpoint}/ticks")
+
+    def act(batch: DataFrame, number: int) -> None:
+        if batch.agg(F.count_if("act")).first()[0]:  # all of the batch, or its state would not be whole
             index()
 
+    spark.createDataFrame([], TICK).write.mode("append").parquet(f"{checkpoint}/ticks")
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    every = {"processingTime": f"{seconds} seconds"}
+    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{checkpoint}/clock").trigger(**every).start()
+    ticks = spark.readStream.schema(TICK).parquet(f"{checkpoint}/ticks")
+    actor = settling(ticks).writeStream.foreachBatch(act).option("checkpointLocation", f"{checkpoint}/settled").trigger(**every).start()
+    return Monitor(writer, actor)
 
 
 class Progress(StreamingQueryListener):

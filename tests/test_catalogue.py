@@ -15,7 +15,7 @@ from mediacat.plans import index
 from mediacat.plans.index import run_index
 from mediacat.schema import TABLES, empty
 from mediacat.sources import documents, listing
-from mediacat.streaming.monitor import Settler, fingerprint, settled, start_monitor
+from mediacat.streaming.monitor import TICK, fingerprint, settled, settling, start_monitor
 
 FACES = TABLES["faces"]
 
@@ -291,8 +291,6 @@ def test_listing_and_monitor(spark, tmp_path, tmp_path_factory):
     (tmp_path / "a/.nomedia").write_bytes(b"")
     (tmp_path / "x.jpg").write_bytes(b"abc")
     assert {(r["rel_path"], r["size"]) for r in listing.list_folder(spark, str(tmp_path)).collect()} == {("a/.nomedia", 0), ("x.jpg", 3)}
-    s = Settler()
-    assert [s.tick(x) for x in (None, "1", "2", "2", None, "3", "3", "3")] == [False, False, False, True, False, False, True, False]
     ticks = spark.createDataFrame([(1, "f", 1, 1.0), (2, "f", 2, 1.0), (3, "f", 2, 1.0)], "tick int, rel_path string, size long, mtime double")
     assert {r["tick"]: r["act"] for r in settled(ticks).collect()} == {1: False, 2: False, 3: True}
     assert fingerprint(ticks.limit(0)) is None
@@ -309,6 +307,25 @@ def test_listing_and_monitor(spark, tmp_path, tmp_path_factory):
     assert done
 
 
+def test_settling_survives_a_restart(spark, tmp_path):
+    """The state is the checkpoint's: each run of the query is another one, and sees only ticks that the runs before have not."""
+    found = []
+
+    def run(*ticks):
+        spark.createDataFrame(list(ticks), TICK).write.mode("append").parquet(f"{tmp_path}/ticks")
+        stream = settling(spark.readStream.schema(TICK).parquet(f"{tmp_path}/ticks"))
+        keep = lambda batch, _: found.extend(tuple(r) for r in batch.collect())
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    signs = [None, "1", "2", "2", None, "3", "3", "3"]
+    run(*[("a", k, s) for k, s in enumerate(signs[:3])], ("b", 0, "9"))
+    run(("a", 3, "2"), ("b", 1, "8"))
+    run(*[("a", k, signs[k]) for k in range(4, 6)], ("b", 2, "8"))
+    run(*[("a", k, signs[k]) for k in range(6, 8)])
+    assert [act for root, _, act in sorted(found) if root == "a"] == [False, False, False, True, False, False, True, False]
+    assert [act for root, _, act in sorted(found) if root == "b"] == [False, False, True]
+
+
 def test_model_manifest(spark):
     manifest = listing.model_manifest(spark.createDataFrame([("| `m.onnx` | ABC | MIT | web |",), ("| x | y |",), ("|---|---|---|---|",)], "value string"))
     assert [tuple(r) for r in manifest.collect()] == [("m.onnx", "ABC", "MIT", "web")]
