@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -142,6 +144,42 @@ class Catalog:
         return self.publish({"meta": upsert(meta, self.spark.createDataFrame([("schema_version", str(SCHEMA_VERSION))], TABLES["meta"]), ["key"])})
 
 
+class Catalogues:
+    """The catalogues below a base folder, one a root: opening one brings it up to date and makes it the latest."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def open(self, root: str, now: float | None = None) -> Catalog:
+        """The catalogue of a root, made if there is none, migrated if it is older; ``now`` (seconds) is noted as its last use."""
+        c = Catalog(self.spark, self.base, root_id(root))
+        c.migrate()
+        version = c.version()
+        rows = self.spark.createDataFrame([("root_path", root), ("last_used", repr(float(time.time() if now is None else now)))], TABLES["meta"])
+        c.publish({"meta": upsert(c.read("meta", version), rows, ["key"])}, version)
+        return c
+
+    def roots(self) -> DataFrame:
+        """root_id, root_path, last_used of every catalogue that has been opened: one small read of all their meta tables."""
+        fs, path = Catalog(self.spark, self.base, "")._fs()
+        base = path(self.base)
+        names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+        ids = [n.removeprefix("root_id=") for n in names if n.startswith("root_id=")]
+        metas = [Catalog(self.spark, self.base, i).read("meta").withColumn("root_id", F.lit(i)) for i in ids]
+        every = reduce(DataFrame.unionByName, metas) if metas else empty(self.spark, "meta").withColumn("root_id", F.lit(""))
+        value = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+        found = every.groupBy("root_id").agg(value("root_path").alias("root_path"), value("last_used").cast("double").alias("last_used"))
+        return found.where("last_used IS NOT NULL")
+
+    def recent(self) -> DataFrame:
+        return recent_roots(self.roots())
+
+    def latest(self) -> Catalog | None:
+        """The catalogue used last, which a program opens when no root is named."""
+        row = latest_root(self.roots()).first()
+        return Catalog(self.spark, self.base, row["root_id"]) if row and row["root_id"] else None
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with equal keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)

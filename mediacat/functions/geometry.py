@@ -3,6 +3,8 @@ arithmetic on decoded pixels that goes with them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -95,23 +97,44 @@ def encoder_input(pixels: np.ndarray) -> np.ndarray:
     return ((out - np.array(MEAN)) / np.array(STD)).transpose(2, 0, 1).astype(np.float32)
 
 
-def encoder_tokens(text: Column, path: str, length: int = CONTEXT, pad: int = PAD) -> Column:
-    """Ids of a text under a tokenizer file: white space collapsed, cut and padded to ``length``."""
+def encoder_ids(path: str, length: int = CONTEXT, pad: int = PAD) -> Callable[[list[str | None]], list[list[int]]]:
+    """What turns texts into ids under a tokenizer file: white space collapsed, cut and padded to ``length``.  The file is read at the first call."""
     loaded = []
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(texts: list[str | None]) -> list[list[int]]:
         if not loaded:
             from tokenizers import Tokenizer
 
             loaded.append(Tokenizer.from_file(path))
             loaded[0].enable_truncation(length)
             loaded[0].enable_padding(pad_id=pad, length=length)
-        return pd.Series([e.ids for e in loaded[0].encode_batch([" ".join((t or "").split()) for t in texts])])
+        return [e.ids for e in loaded[0].encode_batch([" ".join((t or "").split()) for t in texts])]
+
+    return encode
+
+
+def encoder_tokens(text: Column, path: str, length: int = CONTEXT, pad: int = PAD) -> Column:
+    """The same as a column."""
+    ids = encoder_ids(path, length, pad)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(ids(texts.tolist()))
 
     return encode(text)
 
 
+def text_encoder(path: str, model: Callable[[list[int]], list[float]], length: int = CONTEXT, pad: int = PAD) -> Callable[[str], list[float]]:
+    """What a search encodes its text with: ids under the tokenizer file, the model's vector of them, scaled to unit length."""
+    ids = encoder_ids(path, length, pad)
+
+    def encode(text: str) -> list[float]:
+        v = np.asarray(model(ids([text])[0]), np.float64)
+        return (v / max(float(np.sqrt(v @ v)), 1e-12)).tolist()
+
+    return encode
+
+
 def to_blob(vector: Column) -> Column:
     """A vector as little-endian 32-bit floats."""
 

@@ -38,7 +38,7 @@ class Engines:
     """image(content, header_only) -> width, height, exif_date, lat_ref, lat, lon_ref, lon; thumb(content) -> picture bytes;
     faces(content) -> x, y, w, h, score, embedding on the working copy; ocr(content) -> [(line, confidence)];
     region(content, {x0, y0, x1, y1}, zoom) -> the same, found in that part of the picture, in zoomed pixels of it;
-    encode(contents) -> vectors; pdf(content) -> (page texts, creation time); render(content, page) -> picture bytes."""
+    encode(contents) -> vectors, or with pixels(content) -> (height, width, 3) bytes, encode(inputs) of pictures brought into the encoder's form; pdf(content) -> (page texts, creation time); render(content, page) -> picture bytes."""
 
     image: Callable | None = None
     thumb: Callable | None = None
@@ -48,6 +48,12 @@ class Engines:
     pdf: Callable | None = None
     render: Callable | None = None
     region: Callable | None = None
+    pixels: Callable | None = None
+
+    def vectors(self, contents: list[bytes]) -> list[list[float]]:
+        """The encoder's vectors of some contents."""
+        given = contents if self.pixels is None else [geometry.encoder_input(self.pixels(c)) for c in contents]
+        return [[float(x) for x in v] for v in self.encode(given)]
 
 
 @dataclass(frozen=True)
@@ -97,8 +103,8 @@ def encoded(rows: DataFrame, key: str, content: str, source: Engines | EngineSou
         own = engines_here(source)
         pairs = ((k, bytes(c)) for batch in batches for k, c in zip(batch["key"], batch["content"]))
         for part in in_batches(pairs, lambda p: len(p[1]), batch_bytes, batch_files):
-            vectors = own.encode([c for _, c in part])
-            yield pd.DataFrame({"key": [k for k, _ in part], "embedding": [[float(x) for x in v] for v in vectors], "batch_bytes": sum(len(c) for _, c in part), "batch_files": len(part)})
+            vectors = own.vectors([c for _, c in part])
+            yield pd.DataFrame({"key": [k for k, _ in part], "embedding": vectors, "batch_bytes": sum(len(c) for _, c in part), "batch_files": len(part)})
 
     kind = wanted.schema["key"].dataType.simpleString()
     return wanted.mapInPandas(run, f"key {kind}, embedding array<float>, batch_bytes long, batch_files int").withColumnRenamed("key", key)
@@ -175,8 +181,8 @@ def extracted(work: DataFrame, root: str, engines: Engines | EngineSource, batch
             if waiting:
                 began = time.perf_counter()
                 try:
-                    for (row, _), v in zip(waiting, own.encode([c for _, c in waiting])):
-                        row["embedding"] = [float(x) for x in v]
+                    for (row, _), v in zip(waiting, own.vectors([c for _, c in waiting])):
+                        row["embedding"] = v
                 except Exception as e:
                     for row, _ in waiting:
                         row["error"] = f"clip: {type(e).__name__}: {e}"[:500]

@@ -214,6 +214,19 @@ def test_versions_share_unchanged_tables(spark, tmp_path):
     assert c.read("people").count() == 1 and c.read("meta").first()["value"] == "2" and written() == 1
 
 
+def test_catalogues_are_opened_and_switched(spark, tmp_path):
+    all_of = cat.Catalogues(spark, f"file://{tmp_path}/catalogues")
+    assert all_of.latest() is None and all_of.roots().count() == 0
+    first = all_of.open("/media/a", 10.0)
+    first.publish({"people": spark.createDataFrame([(1, "Ana", False, None)], TABLES["people"])})
+    all_of.open("/media/b", 20.0)
+    assert all_of.latest().base.endswith(cat.root_id("/media/b"))
+    again = all_of.open("/media/a", 30.0)
+    assert again.read("people").count() == 1 and all_of.latest().base == first.base
+    assert [(r["root_path"], r["last_used"]) for r in all_of.recent().collect()] == [("/media/a", 30.0), ("/media/b", 20.0)]
+    assert cat.get_meta(again.read("meta"), "schema_version") == str(cat.SCHEMA_VERSION)
+
+
 def test_two_writers_never_undo_each_other(spark, tmp_path):
     first, second = (cat.Catalog(spark, f"file://{tmp_path}", cat.root_id("y")) for _ in range(2))
     rows = lambda v: spark.createDataFrame([("a", v)], "key string, value string")

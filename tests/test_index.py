@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediacat import catalog as cat
+from mediacat.functions import geometry
 from mediacat.plans import extract, index
 from mediacat.plans.extract import Engines, EngineSource, extracted, extractor, in_batches, region_faces
 from mediacat.sources import listing
@@ -64,6 +65,28 @@ def test_encoder_gets_bounded_batches_and_is_made_once(spark, tmp_path):
     assert len(pids) == len(set(pids))  # once a process
 
 
+def test_pictures_come_to_the_encoder_in_its_form(spark, tmp_path):
+    import numpy as np
+
+    root = folder(tmp_path / "m", 2)
+    pixels = lambda c: np.full((40, 60, 3), len(c) % 256, np.uint8)
+    source = Engines(pixels=pixels, encode=lambda xs: [[x.shape == (3, 224, 224), float(x[0, 0, 0])] for x in xs])
+    work = spark.createDataFrame([("p00.jpg", "image", ["clip"]), ("p01.jpg", "image", ["clip"])], "rel_path string, kind string, todo array<string>")
+    got = {r["rel_path"]: r["embedding"] for r in extracted(work, root, source).collect()}
+    for name, (whole, value) in got.items():
+        size = os.path.getsize(f"{root}/{name}") % 256
+        assert whole == 1.0 and value == pytest.approx((size / 255 - geometry.MEAN[0]) / geometry.STD[0], abs=1e-5)
+
+
+def test_text_encoder_gives_unit_vectors():
+    import public_tokenizers
+
+    asked = []
+    encode = geometry.text_encoder(public_tokenizers.path("word_bpe_49k.json"), lambda ids: asked.append(ids) or [3.0, 4.0], length=8)
+    assert encode(" a  lake\n") == [0.6, 0.8] and len(asked[0]) == 8 and asked[0][-1] == geometry.PAD
+    assert encode("a lake") == [0.6, 0.8] and asked[0] == asked[1]
+
+
 def test_chunks_survive_a_kill(spark, tmp_path):
     root, thumbs = folder(tmp_path / "m"), str(tmp_path / "thumbs")
     store = cat.Catalog(spark, f"file://{tmp_path}/cat", cat.root_id(root))
