@@ -47,32 +47,32 @@ def iso(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def name_candidate(name: Column) -> tuple[Column, Column, Column]:
-    """(matches, stamp, source) of the first name pattern that matches: it alone is the name's candidate."""
-    android, desktop, camera = (F.coalesce(F.regexp_like(name, F.lit(p)), F.lit(False)) for p in (WHATSAPP_ANDROID, WHATSAPP_DESKTOP, CAMERA))
+def _candidate(stamp: Column, source: str, day_only: bool = False) -> Column:
+    return F.struct(stamp.alias("stamp"), F.lit(source).alias("source"), F.lit(day_only).alias("day_only"))
+
+
+def name_candidate(name: Column) -> Column:
+    """struct(stamp, source, day_only) of the first name pattern that matches, which alone is the name's candidate; null if none does."""
+    android, desktop, camera = (F.regexp_like(name, F.lit(p)) for p in (WHATSAPP_ANDROID, WHATSAPP_DESKTOP, CAMERA))
     half = _part(name, WHATSAPP_DESKTOP, 3)
     day_time = F.concat(_part(name, WHATSAPP_DESKTOP, 1), F.lit(" "), _part(name, WHATSAPP_DESKTOP, 2))
-    stamp = (
-        F.when(android, _stamp(_part(name, WHATSAPP_ANDROID, 1), "yyyyMMdd"))
-        .when(desktop & (half != ""), _stamp(F.concat(day_time, F.lit(" "), half), "yyyy-MM-dd h.mm.ss a"))
-        .when(desktop, _stamp(day_time, "yyyy-MM-dd H.mm.ss"))
-        .when(camera, _stamp(F.concat(_part(name, CAMERA, 1), _part(name, CAMERA, 2)), "yyyyMMddHHmmss"))
+    clock = F.when(half != "", _stamp(F.concat(day_time, F.lit(" "), half), "yyyy-MM-dd h.mm.ss a")).otherwise(_stamp(day_time, "yyyy-MM-dd H.mm.ss"))
+    return (
+        F.when(android, _candidate(_stamp(_part(name, WHATSAPP_ANDROID, 1), "yyyyMMdd"), "whatsapp_android", True))
+        .when(desktop, _candidate(clock, "whatsapp_desktop"))
+        .when(camera, _candidate(_stamp(F.concat(_part(name, CAMERA, 1), _part(name, CAMERA, 2)), "yyyyMMddHHmmss"), "camera_name"))
     )
-    source = F.when(android, "whatsapp_android").when(desktop, "whatsapp_desktop").when(camera, "camera_name")
-    return android | desktop | camera, stamp, source
 
 
 def resolve_date(name: Column, today: Column, exif: Column, document: Column, mtime: Column) -> Column:
     """struct(taken_at, date_source): name, EXIF, document, modification time, in that order; null if none is valid.
 
-    exif, document: timestamp_ntz; mtime: seconds since the epoch; today: the date that counts as now."""
-    _, stamp, source = name_candidate(name)
-    candidates = [(stamp, source, source == "whatsapp_android"), *((s, F.lit(n), F.lit(False)) for s, n in ((exif, "exif"), (document, "document"), (mtime_stamp(mtime), "mtime")))]
-    chosen = F.lit(None).cast("struct<taken_at: string, date_source: string>")
-    for value, label, day_only in reversed(candidates):
-        text = F.when(day_only, iso_day(value)).otherwise(iso(value))
-        chosen = F.when(F.coalesce(in_range(value, today), F.lit(False)), F.struct(text.alias("taken_at"), label.alias("date_source"))).otherwise(chosen)
-    return chosen
+    exif, document: timestamp_ntz; mtime: seconds since the epoch; today: the date that counts as now.  The candidates are an array, so that
+    each pattern and format is evaluated once a row."""
+    candidates = F.array(name_candidate(name), _candidate(exif, "exif"), _candidate(document, "document"), _candidate(mtime_stamp(mtime), "mtime"))
+    valid = F.filter(candidates, lambda c: F.coalesce(in_range(c["stamp"], today), F.lit(False)))
+    shown = F.transform(F.slice(valid, 1, 1), lambda c: F.struct(F.when(c["day_only"], iso_day(c["stamp"])).otherwise(iso(c["stamp"])).alias("taken_at"), c["source"].alias("date_source")))
+    return F.get(shown, 0)
 
 
 def display_date(taken_at: Column) -> Column:

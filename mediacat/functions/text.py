@@ -84,8 +84,13 @@ def person_name(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+#: Fixed value: what counts as white space when runs of it are collapsed.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\s+", " ")
+    """Runs of white space of any kind as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
 def day_key(taken_at: Column) -> Column:

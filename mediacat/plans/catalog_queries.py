@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,18 @@ def files_total_without_text(spark, sf):
     return search.search(tables(spark, sf), search.Query(text="estion", kinds=("pdf", "docx")), snippets=False).without_text
 
 
+_WITH_ALL = "EXISTS (SELECT 1 FROM b_faces x WHERE x.file_id = f.id AND person_id = {} AND assign_source <> 'suggested')"
+
+
 @query(
-    f"""SELECT {HIT} FROM b_files f WHERE {VISIBLE} AND EXISTS (SELECT 1 FROM b_faces x WHERE x.file_id = f.id AND person_id = 1 AND assign_source <> 'suggested')
-    AND EXISTS (SELECT 1 FROM b_faces x WHERE x.file_id = f.id AND person_id = 2 AND assign_source <> 'suggested')""",
+    " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, {HIT} FROM b_files f WHERE {VISIBLE} AND {_WITH_ALL.format(a)} AND {_WITH_ALL.format(b)}" for a in range(5) for b in range(a)),
     ("files", "faces"),
 )
 def files_all_people(spark, sf):
-    return search.candidates(tables(spark, sf), search.Query(people=(1, 2))).select("id", "rel_path", "kind", "taken_at")
+    """The files of each pair of five people."""
+    c = tables(spark, sf)
+    pairs = [search.candidates(c, search.Query(people=(a, b))).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "id", "rel_path", "kind", "taken_at") for a in range(5) for b in range(a)]
+    return reduce(DataFrame.unionByName, pairs)
 
 
 @query(f"SELECT {HIT}, city FROM b_files WHERE {VISIBLE} AND country = 'Brasil' AND state = 'S2'", ("files",))
