@@ -158,14 +158,14 @@ def test_bin_completion_beats_best_fit():
         assert sorted(n for b in out for n in b) == sorted(lengths) and max(map(sum, out)) <= 100 and len(out) <= len(packing.best_fit(lengths, 100))
 
 
-def test_decontamination(spark, awkward):
-    items = {b["item_id"]: b["text"] for b in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
+def brute_contamination(docs, items):
+    """doc_id -> items that one of the text's windows holds, all windows of all texts compared."""
     cut = lambda t: re.findall(r"[^\x00-\x20!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     held = collections.Counter(g for t in items.values() for g in set(shingles(cut(t))))
     bag = lambda w: {g: c / held.get(g, 1) for g, c in collections.Counter(shingles(w)).items()}
     want = {}
-    for d in documents():
+    for d in docs:
         w = cut(d["text"])
         own, hits = set(shingles(w)), set()
         for i, t in items.items():
@@ -179,6 +179,11 @@ def test_decontamination(spark, awkward):
                     hits.add(i)
                     break
         want[d["doc_id"]] = hits
+    return want
+
+
+def test_decontamination(spark, awkward):
+    want = brute_contamination(documents(), {b["item_id"]: b["text"] for b in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()})
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op3_decontamination(spark, SF).collect()}
     assert got == want and any(want.values())
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same words"), (4, "The same, words stand here!"), (5, "nothing of this sort is there at all")], "item_id long, text string")
