@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..catalog import Catalog, Conflict, root_id
 from ..operators.search import Lazy
+from ..schema import SCHEMA_VERSION
 from ..storage import shared_folder
 from .index import stored_index, stored_vectors, sync_index, sync_vectors
 
@@ -120,12 +122,17 @@ def table_sign(spark: SparkSession, path: str) -> str:
     return ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
 
+def bound_id(spark: SparkSession, path: str, *names: str) -> str:
+    """The id of a catalogue of bound tables: another state of the table, another binding or another schema makes another one."""
+    return root_id(";".join([str(SCHEMA_VERSION), table_sign(spark, path), *(SQL.get(n, TEXTS_SPARK) for n in names)]))
+
+
 def published(spark: SparkSession, sf_dir: str) -> Catalog:
     """The index of the bound texts and the bound people as a published catalogue in the shared folder.
 
     It is found by what the base table's files are, their names, sizes and times: another table makes another one, and a
     table that is there is read, in this session or a later one."""
-    store = Catalog(spark, f"{shared_folder(spark)}/bound", root_id(table_sign(spark, f"{sf_dir}/documents.parquet")))
+    store = Catalog(spark, f"{shared_folder(spark)}/bound", bound_id(spark, f"{sf_dir}/documents.parquet", "texts", "people"))
     if not store.version():
         try:
             store.publish({"people": bound(spark, sf_dir, "people")}, 0)
@@ -141,7 +148,7 @@ def published(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def published_vectors(spark: SparkSession, sf_dir: str) -> Catalog:
     """The bound vectors in the same way."""
-    store = Catalog(spark, f"{shared_folder(spark)}/bound", root_id(table_sign(spark, f"{sf_dir}/embeddings.parquet")))
+    store = Catalog(spark, f"{shared_folder(spark)}/bound", bound_id(spark, f"{sf_dir}/embeddings.parquet", "clip"))
     if not store.holds("clip_placed"):
         try:
             sync_vectors(store, bound(spark, sf_dir, "clip"))
@@ -150,6 +157,13 @@ def published_vectors(spark: SparkSession, sf_dir: str) -> Catalog:
     return store
 
 
+def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-text index of the bound texts made afresh, as the first index run makes it: its totals.  For measurements."""
+    store = Catalog(spark, f"{shared_folder(spark)}/fresh", root_id(uuid.uuid4().hex))
+    sync_index(store, bound(spark, sf_dir, "texts"))
+    return store.read("fts_totals")
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> Lazy:
     """The catalogue as a search reads it: with its index."""
     store = published(spark, sf_dir)

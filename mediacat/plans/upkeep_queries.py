@@ -18,7 +18,7 @@ from ..sources import documents, listing
 from ..sources.pictures import save_pictures
 from ..storage import shared_folder
 from ..streaming import monitor
-from .bindings import bound, table_sign, tables
+from .bindings import bound, bound_id, tables
 from .catalog_queries import _CHANGES, _FREE, _SCORES, AUTO, EPS, HIT, SAMPLES, SUGGEST, VISIBLE, _known, query, rounded
 from .extract import Engines, EngineSource, encoded, extractor
 from .index import run_index, searchable
@@ -76,7 +76,7 @@ _MEDIA = """SELECT doc_id AS i, CASE WHEN doc_id % 5 = 0 THEN 'a/' || doc_id ||
 
 def _media(spark, sf) -> str:
     """The folder of these files in the shared folder: written by Spark, once for each state of the table."""
-    root = f"{shared_folder(spark)}/media/{cat.root_id(table_sign(spark, f'{sf}/documents.parquet'))}"
+    root = f"{shared_folder(spark)}/media/{bound_id(spark, f'{sf}/documents.parquet')}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}.ready")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):

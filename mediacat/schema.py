@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION = 5
 
 _TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "strings": ArrayType(StringType()), "ints": ArrayType(IntegerType()), "doubles": ArrayType(DoubleType()), "vector": ArrayType(FloatType())}
 _TYPES["box"] = StructType([StructField(n, IntegerType()) for n in "xywh"])
