@@ -17,7 +17,7 @@ from mediacat.llm.jaccard_join import representatives
 from mediacat.llm.shared import bounded_session, dropped, shared_dir, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The stages' operators need SQL-inexpressible models and tokenizers; tests hold them against plain Python.
+#: The stages' operators need models and tokenizers that SQL cannot express; a test holds what each stage keeps against brute force.
 ORACLE_SQL = None
 
 
@@ -35,7 +35,8 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have the statistics of no words and are judged by them; a document with several labels counts
     with the least; a score equal to the threshold is good; without labels of both kinds all scores are the share of label 1, or
-    0.5 without any, so none is kept below the threshold; repeated rows are judged one by one; an empty table stays empty."""
+    0.5 without any, so none is kept below the threshold; very long texts are judged whole; repeated rows are judged one by one; an empty table
+    stays empty; columns other than those of ``documents`` are left out, so none can clash."""
     bounded_session(spark)  # whoever writes the stage evaluates it
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.quality_scores(docs, model, carry=COLUMNS).where("predicted = 1").select("carried.*")
@@ -46,7 +47,7 @@ def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     That is the one with the smallest id, those without an id last, and where ids tie the one with the smallest hash of its text.
     Rows that repeat id and text are one document and one of them stays.  Documents without words, null texts among them, are no
-    duplicates of anything; very long texts count whole; an empty table stays empty."""
+    duplicates of anything; very long texts count whole; an empty table stays empty; other columns are left out, so none can clash."""
     bounded_session(spark)
     kept = representatives(docs, size=5, percent=80)
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
@@ -59,7 +60,7 @@ def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops the documents that hold an item of the benchmark.
 
     Null and empty texts hold none and stay; very long texts are searched whole; repeated rows are judged one by one; a
-    similarity equal to the least one counts; an empty table stays empty, and an empty benchmark drops nothing."""
+    similarity equal to the least one counts; an empty table stays empty, and an empty benchmark drops nothing; other columns are left out, so none can clash."""
     bounded_session(spark)  # whoever writes the stage evaluates it
     found = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, least=0.8, carry=COLUMNS)
     return found.where("NOT contaminated").select("carried.*")

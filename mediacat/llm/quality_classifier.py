@@ -3,8 +3,9 @@
 Every whole text becomes a vector of statistics.  A bounded sample of labelled rows fits their scale, the
 ridge weights on the Fourier features (each task sums its own normal equations) and, on rows of the
 sample that the ridge has not seen, the isotonic calibration.  Null and empty texts have the statistics
-of no words and are scored like any other; repeated rows are scored one by one; other columns are not
-read; without labels of both kinds every score is the share of label 1 (0.5 without any).
+of no words and are scored like any other; very long texts are measured whole; repeated rows are scored
+one by one; a score equal to the threshold is predicted 1, and of several labels of a document the least counts;
+an empty table gives no rows; other columns are not read; without labels of both kinds every score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 
 Texts are cut at special strings and at white space exactly as the tokenizer's own pattern cuts, distinct
 pieces of a batch are held as one ragged array of symbols, and in each round every piece applies its
-own lowest-rank pair at all its places at once.  Null and empty texts have 0 bytes and tokens; repeated
-rows are counted one by one; columns other than the id and the text are not read.
+own lowest-rank pair at all its places at once.  Null and empty texts have 0 bytes and tokens; very long
+texts are counted whole; repeated rows are counted one by one; a count equal to the limit is not over it; an empty table gives
+no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
