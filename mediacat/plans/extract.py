@@ -224,12 +224,14 @@ def region_faces(boxes: DataFrame, root: str, engines: Engines | EngineSource) -
 
 
 def extractor(root: str, engines: Engines | EngineSource, today: date, batch_bytes: int = BATCH_BYTES) -> Callable[[DataFrame], dict[str, DataFrame]]:
-    """The extractor that the index driver calls: results, pages, faces and vectors of a work list, out of one kept pass."""
+    """The extractor that the index driver calls: results, pages, faces and vectors of a work list, out of one pass
+    that is kept: ``kept`` is its table, to be dropped when the others have been stored."""
 
     def extract(work: DataFrame) -> dict[str, DataFrame]:
         from ..functions.vectors import normalise
 
-        out = kept(extracted(work, root, engines, batch_bytes)).join(work.select("rel_path", F.col("id").alias("file_id")), "rel_path")
+        raw = kept(extracted(work, root, engines, batch_bytes))
+        out = raw.join(work.select("rel_path", F.col("id").alias("file_id")), "rel_path")
         good = out.where("error IS NULL")
         when = dates.resolve_date(F.substring_index("rel_path", "/", -1), F.lit(str(today)).cast("date"), dates.exif_stamp(F.col("exif_date")), F.col("created"), F.col("mtime"))
         place = geo.gps_from_exif(F.col("lat_ref"), F.col("lat"), F.col("lon_ref"), F.col("lon"))
@@ -244,7 +246,7 @@ def extractor(root: str, engines: Engines | EngineSource, today: date, batch_byt
             "file_id", "n", box.alias("bbox"), F.col("f.score").alias("det_score"), normalise(F.col("f.embedding")).cast("array<float>").alias("embedding")
         ))
         vectors = good.where("embedding IS NOT NULL").select("file_id", normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
-        return {"files": files, "texts": texts, "faces": faces, "clip_embeddings": vectors, "seconds": good.select("seconds"), "thumbs": good.where("thumb IS NOT NULL").select("file_id", "thumb")}
+        return {"files": files, "texts": texts, "faces": faces, "clip_embeddings": vectors, "seconds": good.select("seconds"), "thumbs": good.where("thumb IS NOT NULL").select("file_id", "thumb"), "kept": raw}
 
     return extract
 

@@ -20,7 +20,8 @@ from ..sources.listing import in_hidden_folder, is_sticker, list_folder, listed_
 from ..sources.pictures import save_pictures
 from ..storage import drop_kept, kept
 
-#: extract(work list: id, rel_path, kind, todo) -> {"files": rel_path, error, ran, r_*; "texts", "clip_embeddings", "faces": new rows}
+#: extract(work list: id, rel_path, kind, todo) -> {"files": rel_path, error, ran, r_*; "texts", "clip_embeddings", "faces": new rows; perhaps
+#: "thumbs": file_id, thumb; "kept": a kept table that the others are read from}
 Extractor = Callable[[DataFrame], dict[str, DataFrame]]
 
 
@@ -232,8 +233,10 @@ def _run_index(spark, root, catalog, extract, places, settings, only, force, ret
         if cancelled():
             break
         chunk = work.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == k)
-        out = {name: df for name, df in extract(chunk).items() if name in (*_EXTRACTED, *(["thumbs"] if thumbs else []))}
-        made = staged.add(f"{run}-{k:06d}", out)
+        found = extract(chunk)
+        made = staged.add(f"{run}-{k:06d}", {name: df for name, df in found.items() if name in (*_EXTRACTED, *(["thumbs"] if thumbs else []))})
+        if "kept" in found:
+            drop_kept(found["kept"])
         done, errors = done + made["files"], errors + made["errors"]
         progress({"done": done, "total": total, "errors": errors})
     drop_kept(work)
