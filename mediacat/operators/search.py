@@ -169,21 +169,22 @@ def vector_scores(c: Catalogue, q: Query, vector: list[float], least: float = CL
 
 def fused(c: Catalogue, q: Query, vector: list[float] | None, text_weight: float = 1 - CLIP_WEIGHT) -> DataFrame:
     """All hits of text and vector among the candidates, each side min-max scaled over its own matches (equal values are all 1), missing
-    sides 0.  Both sides are one set of rows that meets the candidates once; one row of bounds scales them."""
+    sides 0.  Both sides become one row a file, whose shuffle serves the bounds and the scores alike."""
     none = F.lit(None).cast("int")
-    rows = page_scores(c, q.text).select("file_id", F.lit("text").alias("side"), F.col("score").alias("raw"), F.col("page").cast("int").alias("page"))
+    rows = page_scores(c, q.text).select("file_id", F.col("score").alias("text"), F.lit(None).cast("double").alias("vector"), F.col("page").cast("int").alias("page"))
     if vector is not None:
-        rows = rows.unionByName(near_vectors(c, vector).select("file_id", F.lit("vector").alias("side"), F.col("sim").alias("raw"), none.alias("page")))
+        rows = rows.unionByName(near_vectors(c, vector).select("file_id", F.lit(None).cast("double").alias("text"), F.col("sim").alias("vector"), none.alias("page")))
     own = candidates(c, q).select(F.col("id").alias("file_id"), "rel_path", "kind", "taken_at", "city", "state", "country")
-    rows = rows.join(own, "file_id")
-    of = lambda f, side: f(F.when(F.col("side") == side, F.col("raw")))
-    bounds = rows.agg(*[of(f, side).alias(f"{name}_{side}") for side in ("text", "vector") for name, f in (("lo", F.min), ("hi", F.max))])
-    pick = lambda name: F.when(F.col("side") == "text", F.col(f"{name}_text")).otherwise(F.col(f"{name}_vector"))
-    low, span = pick("lo"), pick("hi") - pick("lo")
-    scaled = F.when(span < 1e-9, 1.0).otherwise((F.col("raw") - low) / span)
-    weighted = F.when(F.col("side") == "text", text_weight).otherwise(CLIP_WEIGHT) * scaled
-    same = ["rel_path", "kind", "taken_at", "city", "state", "country"]
-    both = rows.join(F.broadcast(bounds)).groupBy(F.col("file_id").alias("id")).agg(F.sum(weighted).alias("total"), F.max("page").alias("page"), *[F.first(x).alias(x) for x in same])
+    shown = ["rel_path", "kind", "taken_at", "city", "state", "country"]
+    pairs = rows.join(own, "file_id").groupBy("file_id").agg(*[F.max(x).alias(x) for x in ("text", "vector", "page")], *[F.first(x).alias(x) for x in shown])
+    bounds = pairs.agg(*[f(x).alias(f"{name}_{x}") for x in ("text", "vector") for name, f in (("lo", F.min), ("hi", F.max))])
+
+    def scaled(side: str) -> Column:
+        low, span = F.col(f"lo_{side}"), F.col(f"hi_{side}") - F.col(f"lo_{side}")
+        return F.coalesce(F.when(F.col(side).isNotNull(), F.when(span < 1e-9, 1.0).otherwise((F.col(side) - low) / span)), F.lit(0.0))
+
+    total = text_weight * scaled("text") + CLIP_WEIGHT * scaled("vector")
+    both = pairs.join(F.broadcast(bounds)).select(F.col("file_id").alias("id"), total.alias("total"), "page", *shown)
     return both.select(*hit_columns(F.col("total"), F.col("page"), _no_snippet()))
 
 
