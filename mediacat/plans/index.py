@@ -196,7 +196,7 @@ def merge_staged(catalog: Catalog, root: str, thumbs: str | None = None) -> int:
 
 
 def index_tag(catalog: Catalog) -> str:
-    """The tag of the jobs of an index run: ``spark.interruptTag(index_tag(catalog))`` stops the one that is running."""
+    """The tag of the jobs of an index run: ``spark.sparkContext.cancelJobsWithTag(index_tag(catalog))`` stops the one that is running."""
     return f"index-{catalog.base.rsplit('root_id=', 1)[-1]}"
 
 
@@ -212,11 +212,11 @@ def run_index(
     if only is not None and cdc.unknown_stages(only):
         raise ValueError(f"unknown stages: {', '.join(cdc.unknown_stages(only))}")
     tag = index_tag(catalog)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         return _run_index(spark, root, catalog, extract, places, settings, only, force, retry_errors, cancelled, chunk_files, progress, thumbs)
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def _run_index(spark, root, catalog, extract, places, settings, only, force, retry_errors, cancelled, chunk_files, progress, thumbs) -> dict[str, int]:

@@ -140,12 +140,12 @@ def test_a_cancelled_run_keeps_its_chunks(spark, tmp_path):
     inner, calls = extractor(root, engines(), date(2026, 9, 24)), []
 
     def run(work):
-        calls.append(index.index_tag(store) in spark.getTags())
+        calls.append(index.index_tag(store) in spark.sparkContext.getJobTags())
         return inner(work)
 
     counts = index.run_index(spark, root, store, run, chunk_files=3, cancelled=lambda: len(calls) >= 2)
     done = store.read("files").where("status IN ('done', 'error')").count()
-    assert calls == [True, True] and 0 < counts["processed"] == done < 10 and index.index_tag(store) not in spark.getTags()
+    assert calls == [True, True] and 0 < counts["processed"] == done < 10 and index.index_tag(store) not in spark.sparkContext.getJobTags()
 
 
 def test_pictures_appear_when_committed(spark, tmp_path):
@@ -195,3 +195,37 @@ def test_one_folder_on_top_is_many_tasks(spark, tmp_path):
     by_uri = listing.list_folder(spark, f"file://{root}/only").collect()
     assert {r["rel_path"] for r in by_uri} == {f"d{k}/{n}" for k in range(24) for n in ("f.jpg", ".kept")}
     assert listing.list_folder(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_a_running_job_is_stopped_by_its_tag(spark, tmp_path):
+    import threading
+    import time
+
+    root = folder(tmp_path / "m", 8)
+    store = cat.Catalog(spark, f"file://{tmp_path}/cat", cat.root_id(root))
+    quick, calls, raised = extractor(root, engines(), date(2026, 9, 24)), [], []
+
+    def slow(contents):
+        time.sleep(60)
+        return []
+
+    def run(work):
+        calls.append(1)
+        return quick(work) if len(calls) == 1 else extractor(root, Engines(image=image, encode=slow), date(2026, 9, 24))(work)
+
+    def job():
+        try:
+            index.run_index(spark, root, store, run, chunk_files=5)
+        except Exception as e:
+            raised.append(e)
+
+    began, thread = time.time(), threading.Thread(target=job)
+    thread.start()
+    while thread.is_alive() and time.time() - began < 120:
+        if len(calls) == 2:
+            time.sleep(2)
+            spark.sparkContext.cancelJobsWithTag(index.index_tag(store))
+        thread.join(1)
+    assert not thread.is_alive() and raised and len(index.Staged(store).chunks()) == 1
+    counts = index.run_index(spark, root, store, quick)
+    assert counts["resumed"] == 1 and store.read("files").where("status = 'pending'").count() == 0
