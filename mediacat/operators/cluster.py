@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept
-from .metric import matrix, neighbour_pairs
+from .metric import density_links, matrix
 
 #: Points of a block, which are copied to as many tasks as the other side has blocks, labelled points and points multiplied at once.
 BLOCK, TILE, ROWS = 16_384, 2048, 256
@@ -124,10 +124,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
     """points: i, v (unit vectors).  (i, label, is_core): clusters numbered by their lowest core, border points with the lowest
-    adjacent cluster, noise -1.  A point counts among its own neighbours; zero vectors are neighbours of nothing."""
-    close = kept(neighbour_pairs(points, 1 - eps, block).select("i", "j"))
+    adjacent cluster, noise -1.  A point counts among its own neighbours; zero vectors are neighbours of nothing.
+
+    Tasks count neighbours and give out what connects cores and borders them, not all pairs: a group of equal vectors is no larger than its rows."""
+    found = kept(density_links(points, 1 - eps, min_samples - 1, block))
+    close = found.where("j IS NOT NULL").select("i", "j")
     both = close.union(close.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("n"))
+    degree = found.where("j IS NULL").groupBy("i").agg((F.sum("n") + 1).alias("n"))
     cores = points.select("i").join(degree, "i", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("i")
     inner = both.join(cores, "i").join(cores.select(F.col("i").alias("j")), "j")
     roots = kept(components(cores.select(F.col("i").alias("node")), inner.select(F.col("i").alias("u"), F.col("j").alias("v"))))

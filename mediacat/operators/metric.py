@@ -23,6 +23,9 @@ from ..storage import kept
 
 #: Rows that pivots are chosen from, pivots at most, rows of a cell on average at least, and slack of the angle tests for rounding.
 SAMPLE, PIVOTS, CELL, SLACK = 8192, 256, 2048, 1e-5
+#: Blocks of points without structure, and bytes of a block at most: so many copies of each point leave its task however many points there
+#: are, until blocks are as large as that.
+BLOCKS, BLOCK_BYTES = 16, 128 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -44,9 +47,16 @@ def angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def choose_pivots(points: DataFrame, reach: float, most: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """Pivots so that each row of a sample (the ``sample`` rows of the smallest hash of the id) is within ``reach`` of one, or ``most`` of them: each
     next one is the row that is farthest from all before."""
+    return _pivots_of(_sampled(points, sample), reach, most)
+
+
+def _sampled(points: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     rows = points.select("i", F.col("v").cast("array<double>").alias("v")).orderBy(F.xxhash64("i"), "i").limit(sample).toArrow()
     m = unit(matrix(rows["v"], rows.num_rows))
-    m = m[(m != 0).any(axis=1)]
+    return m[(m != 0).any(axis=1)]
+
+
+def _pivots_of(m: np.ndarray, reach: float, most: int) -> np.ndarray:
     if not len(m):
         return np.zeros((0, m.shape[1]))
     chosen, far = [0], angles(m, m[:1])[:, 0]
@@ -86,8 +96,16 @@ def with_cells(points: DataFrame, pivots: np.ndarray, width: float) -> DataFrame
 
 def cells(points: DataFrame, reach: float, most: int = PIVOTS) -> Cells:
     """The index of ``points`` (i, v) for neighbours within the angle ``reach``, kept in the shared folder.  Cells of fewer rows than
-    ``CELL`` on average would cost more copies than they save products."""
-    pivots, width = choose_pivots(points, reach / 2, min(most, 1 + points.count() // CELL)), max(reach, 1e-3)
+    ``CELL`` on average would cost more copies than they save products, and so would any cells where most points of a sample must visit
+    most pivots: such points are one cell of one ring."""
+    m = _sampled(points)
+    pivots, width = _pivots_of(m, reach / 2, min(most, 1 + points.count() // CELL)), max(reach, 1e-3)
+    if len(pivots) > 1:
+        a = angles(m, pivots)
+        cell, far = a.argmin(axis=1), a.min(axis=1)
+        ends = np.array([far[cell == c].max(initial=0.0) for c in range(len(pivots))])
+        if ((a <= far[:, None] + 2 * reach + SLACK) & (a - reach - SLACK <= ends)).sum() > len(m) * (len(pivots) + 1) / 2:
+            pivots, width = pivots[:1], 4.0
     placed = kept(with_cells(points.select("i", F.col("v").cast("array<float>").alias("v")), pivots, width)) if len(pivots) else None
     if placed is None:
         return Cells(points.where(F.lit(False)), pivots, width, {})
@@ -110,16 +128,20 @@ def visits(a: np.ndarray, cell: np.ndarray, far: np.ndarray, reach: float, width
     return out
 
 
-def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream: int = 2048, most: int = PIVOTS) -> DataFrame:
-    """points: i (distinct), v (unit vectors).  (i, j, sim), i < j, of the pairs with dot product >= ``least`` (> 0 for zero vectors to have none).
+def _dealt(points: DataFrame, least: float, block: int, most: int) -> DataFrame | None:
+    """Rows (cell, ring, block, shard, side, i, v) sorted by task, the first four columns: side 0 for the points of a block, side 1 for the
+    same points and side 2 for others that it is multiplied with.  None if no point has a direction.
 
-    A ring of many points is dealt to several tasks by a hash, and so are its visitors.  A task holds ``block`` points of one ring and
-    multiplies whoever visits them ``stream`` rows at a time; pairs leave it as they are found."""
+    A ring of many points is dealt to several tasks by a hash, and so are its visitors.  A task holds ``block`` points of one ring, more where
+    all points are one cell."""
     reach = float(np.arccos(np.clip(least, -1.0, 1.0)))
     index = cells(points, reach, most)
     if not index.rings:
-        return points.sparkSession.createDataFrame([], "i long, j long, sim double")
+        return None
     pivots, width, rings = index.pivots, index.width, index.rings
+    flat, total = width > np.pi, sum(rings.values())
+    if flat:
+        block = max(block, min(-(-total // BLOCKS), BLOCK_BYTES // (8 * pivots.shape[1])))
     blocks = {k: -(-n // block) for k, n in rings.items()}
 
     def tally(batches):  # how many visitors each ring has
@@ -130,13 +152,12 @@ def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream:
                 n[c, r] = n.get((c, r), 0) + len(rows)
         yield pa.RecordBatch.from_pydict({"cell": [c for c, _ in n], "ring": [r for _, r in n], "n": list(n.values())}, pa.schema([("cell", pa.int32()), ("ring", pa.int32()), ("n", pa.int64())]))
 
-    few = sum(rings.values()) <= 7 * block  # no ring can have so many visitors that they need a second task
+    few = flat or total <= 7 * block  # no ring can have so many visitors that they need a second task
     seen = [] if few else index.points.mapInArrow(tally, "cell int, ring int, n long").groupBy("cell", "ring").agg(F.sum("n").alias("n")).collect()
     visitors = {(r["cell"], r["ring"]): r["n"] for r in seen}
-    shards = {k: -(-(visitors.get(k, 0) + n) // (8 * block)) for k, n in rings.items()}
+    shards = {k: -(-(visitors.get(k, 0) + n) // ((2 if flat else 8) * block)) for k, n in rings.items()}
 
     def deal(batches):
-        """Rows of tasks: side 0 for the points of a block, side 1 for the same points and side 2 for others that it is multiplied with."""
         names = ["cell", "ring", "block", "shard", "side"]
 
         def rows(batch, at, c, r, b, s, side):
@@ -167,8 +188,34 @@ def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream:
                         for b in range(blocks[c, r]):
                             yield rows(batch, part, c, r, b, s, 2)
 
+    tasks = index.points.mapInArrow(deal, "cell int, ring int, block int, shard int, side int, i long, v array<float>")
+    order = ["cell", "ring", "block", "shard"]
+    return tasks.repartition(*order).sortWithinPartitions(*order, "side")
+
+
+def _parts(batches, rows: int):
+    """(task, side, i, v) of at most ``rows`` rows, as they come."""
+    for batch in batches:
+        columns = [batch[x].to_numpy() for x in ("cell", "ring", "block", "shard", "side", "i")]
+        v = matrix(batch["v"], batch.num_rows)
+        keys = np.stack(columns[:5], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            for at in range(a, b, rows):
+                to = min(at + rows, b)
+                yield tuple(keys[a, :4].tolist()), int(keys[a, 4]), columns[5][at:to], v[at:to]
+
+
+def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream: int = 2048, most: int = PIVOTS) -> DataFrame:
+    """points: i (distinct), v (unit vectors).  (i, j, sim), i < j, of the pairs with dot product >= ``least`` (> 0 for zero vectors to have none).
+
+    A task multiplies whoever visits its block ``stream`` rows at a time; pairs leave it as they are found."""
+    tasks = _dealt(points, least, block, most)
+    if tasks is None:
+        return points.sparkSession.createDataFrame([], "i long, j long, sim double")
+
     def multiply(batches):
-        key, held, ids, kept_ids, m, waiting = None, [], [], np.zeros(0, np.int64), None, []
+        key, held, ids, kept_ids, m = None, [], [], np.zeros(0, np.int64), None
 
         def pairs(i, v, own):
             for at in range(0, len(m), stream):
@@ -180,26 +227,90 @@ def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream:
                 for k in range(0, len(u), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)[k : k + (1 << 18)]), pa.array(np.maximum(u, w)[k : k + (1 << 18)]), pa.array(s[k : k + (1 << 18)])], ["i", "j", "sim"])
 
-        for batch in batches:
-            columns = [batch[x].to_numpy() for x in ("cell", "ring", "block", "shard", "side", "i")]
-            v = matrix(batch["v"], batch.num_rows)
-            keys = np.stack(columns[:5], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                task, side = tuple(keys[a, :4].tolist()), int(keys[a, 4])
-                if task != key:
-                    key, held, ids, m = task, [], [], None
-                if side == 0:
-                    held.append(v[a:b])
-                    ids.append(columns[5][a:b])
-                    continue
-                if m is None:
-                    m, kept_ids = (np.concatenate(held), np.concatenate(ids)) if held else (np.zeros((0, v.shape[1])), np.zeros(0, np.int64))
-                for at in range(a, b, stream):
-                    yield from pairs(columns[5][at : min(at + stream, b)], v[at : min(at + stream, b)], side == 1)
+        for task, side, i, v in _parts(batches, stream):
+            if task != key:
+                key, held, ids, m = task, [], [], None
+            if side == 0:
+                held.append(v)
+                ids.append(i)
+                continue
+            if m is None:
+                m, kept_ids = (np.concatenate(held), np.concatenate(ids)) if held else (np.zeros((0, v.shape[1])), np.zeros(0, np.int64))
+            yield from pairs(i, v, side == 1)
+
+    return tasks.mapInArrow(multiply, "i long, j long, sim double")
+
+
+class _Block:
+    """The points of a task's block: how many neighbours each has been seen with, and which of them the links given out connect."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, least: float, enough: int) -> None:
+        self.ids, self.m, self.least, self.enough = ids, m, least, enough
+        self.seen, self.visited, self.group = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+    def meet(self, i: np.ndarray, v: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows meet the block: (neighbours of each row in it, link ends among the rows, link ends in the block)."""
+        near = np.empty((len(i), len(self.ids)), bool)
+        for at in range(0, len(self.ids), 2048):
+            near[:, at : at + 2048] = v @ self.m[at : at + 2048].T >= self.least
+        if own:
+            near &= i[:, None] != self.ids[None, :]
+        counts, columns = near.sum(axis=1), near.sum(axis=0)
+        self.seen += columns
+        if own:
+            near &= i[:, None] < self.ids[None, :]  # both orders of a pair come up
+        else:
+            self.visited += columns
+        dense, full = counts >= self.enough, self.seen >= self.enough
+        x, y = np.nonzero(near & ~(dense[:, None] & full[None, :]))
+        links = [(x, y)]
+        near &= full[None, :]
+        for r in np.flatnonzero(dense):
+            at = np.flatnonzero(near[r])
+            if len(at):
+                groups, first = np.unique(self.group[at], return_index=True)
+                links.append((np.full(len(first), r), at[first]))
+                if len(groups) > 1:
+                    self.group[np.isin(self.group, groups)] = groups[0]
+        x, y = (np.concatenate([link[k] for link in links]) for k in range(2))
+        return counts, x, y
+
+
+def density_links(points: DataFrame, least: float, enough: int, block: int = 8192, stream: int = 1024, most: int = PIVOTS) -> DataFrame:
+    """points: i (distinct), v (unit vectors).  What tells which points have ``enough`` neighbours (dot product >= ``least``) and what those connect:
+    rows (i, null, n), whose sum over n is the number of neighbours of i, and rows (i, j, 0) of neighbours.
+
+    Not all pairs leave a task.  A point with ``enough`` neighbours inside a task has enough of them; of the pairs of two such points only those
+    go out that connect what the task's earlier ones have not.  Other points have fewer than ``enough`` pairs in the task, and all of them go
+    out.  So a task gives out at most about ``enough`` rows a point, however many pairs it finds."""
+    tasks = _dealt(points, least, block, most)
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64())])
+    if tasks is None:
+        return points.sparkSession.createDataFrame([], "i long, j long, n long")
+
+    def degrees(i, n):
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(i[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], schema=schema)
 
-    tasks = index.points.mapInArrow(deal, "cell int, ring int, block int, shard int, side int, i long, v array<float>")
-    order = ["cell", "ring", "block", "shard"]
-    return tasks.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(multiply, "i long, j long, sim double")
+    def multiply(batches):
+        key, held, ids, own = None, [], [], None
+        for task, side, i, v in _parts(batches, stream):
+            if task != key:
+                if own is not None:
+                    yield degrees(own.ids, own.visited)
+                key, held, ids, own = task, [], [], None
+            if side == 0:
+                held.append(v)
+                ids.append(i)
+                continue
+            if own is None:
+                own = _Block(np.concatenate(ids), np.concatenate(held), least, enough) if held else _Block(np.zeros(0, np.int64), np.zeros((0, v.shape[1])), least, enough)
+            n, x, y = own.meet(i, v, side == 1)
+            yield degrees(i, n)
+            for k in range(0, len(x), 1 << 18):
+                a, b = i[x[k : k + (1 << 18)]], own.ids[y[k : k + (1 << 18)]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], schema=schema)
+        if own is not None:
+            yield degrees(own.ids, own.visited)
+
+    return tasks.mapInArrow(multiply, "i long, j long, n long")

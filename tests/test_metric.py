@@ -114,3 +114,44 @@ def test_cell_bounds_hold_for_every_pair():
     for i, j in zip(*np.nonzero(near)):
         if (cell[i], ring[i]) != (cell[j], ring[j]):
             assert (int(cell[j]), int(ring[j]), int(i)) in seen or (int(cell[i]), int(ring[i]), int(j)) in seen
+
+
+def brute_dbscan(x, least, need):
+    """(label, is_core) of each point, over all pairs."""
+    near = x.astype(float) @ x.T.astype(float) >= least
+    np.fill_diagonal(near, False)
+    core = near.sum(1) + 1 >= need
+    root = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        step = np.array([min([root[i], *root[near[i] & core]]) if core[i] else len(x) for i in range(len(x))])
+        if (step == root).all():
+            break
+        root = step
+    number = {r: k for k, r in enumerate(sorted(set(root[core])))}
+    own = [number[root[i]] if core[i] else min((number[r] for r in root[near[i] & core]), default=-1) for i in range(len(x))]
+    return [(k, bool(c)) for k, c in zip(own, core)]
+
+
+@pytest.mark.parametrize(("least", "need", "block"), [(0.5, 3, 50), (0.8, 8, 7), (0.97, 1, 50), (0.97, 2, 4096)])
+def test_dbscan_equals_all_pairs(spark, monkeypatch, least, need, block):
+    monkeypatch.setattr(metric, "CELL", 40)
+    rng = np.random.default_rng(need * 100 + block)
+    copies = np.repeat(unit(rng.normal(size=(3, 6))), 30, 0)
+    x = np.concatenate([copies, grouped(rng, 4, 15, 6, 0.12), unit(rng.normal(size=(80, 6))), np.zeros((2, 6))]).astype(np.float32)[rng.permutation(232)]
+    got = {r["i"]: (r["label"], r["is_core"]) for r in cluster.dbscan(frame(spark, x), 1 - least, need, block).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(x, least, need)
+
+
+def test_pairs_of_a_dense_group_stay_in_their_tasks(spark):
+    """600 copies are 179,700 pairs; what leaves the tasks grows with the points."""
+    x = np.repeat(unit(np.arange(1, 9).reshape(1, 8).astype(float)), 600, 0).astype(np.float32)
+    found = metric.density_links(frame(spark, x), 0.9, 2)
+    assert found.where("j IS NOT NULL").count() < 3 * len(x) and found.agg(F.sum("n")).first()[0] == 600 * 599
+
+
+def test_points_without_structure_are_one_cell(spark, monkeypatch):
+    """Where most points must visit most pivots, cells would only make copies of them."""
+    monkeypatch.setattr(metric, "CELL", 40)
+    rng = np.random.default_rng(1)
+    index = metric.cells(frame(spark, unit(rng.normal(size=(800, 64))).astype(np.float32)), float(np.arccos(0.38)))
+    assert len(index.pivots) == 1 and list(index.rings) == [(0, 0)]
