@@ -144,9 +144,13 @@ def person_reference(text: str) -> tuple[str, int | str | None]:
 
 
 def file_size(size: Column) -> Column:
-    """Above one MB in MB with one decimal, else in whole KB, halves up."""
-    mb = F.lit(1024.0 * 1024.0)
-    return F.when(size > mb, F.format_string("%.1f MB", size / mb)).otherwise(F.format_string("%d KB", F.floor(size / F.lit(1024.0) + 0.5).cast("long")))
+    """Above one MB in MB with one decimal, halves to the even one (1.25 MB is 1.2 MB), else in whole KB, halves up; null
+    without a size.  The decimal is found in whole numbers: ``format_string`` rounds halves up."""
+    size = size.cast("long")
+    mb, rest = F.shiftright(size, 20), size.bitwiseAND(F.lit((1 << 20) - 1)) * 10
+    tenth, left = F.shiftright(rest, 20), rest.bitwiseAND(F.lit((1 << 20) - 1))
+    tenth = tenth + F.when((left > 1 << 19) | ((left == 1 << 19) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.when(size > 1 << 20, F.format_string("%d.%d MB", mb + F.when(tenth == 10, 1).otherwise(0), tenth % 10)).when(size.isNotNull(), F.format_string("%d KB", F.floor(size / F.lit(1024.0) + 0.5).cast("long")))
 
 
 def elapsed(seconds: Column) -> Column:

@@ -73,6 +73,9 @@ def test_foldings(spark):
     assert one(spark, text.place_label(F.lit("Rio"), F.lit(""), F.lit(None).cast("string"))) == "Rio"
     assert one(spark, text.place_label(F.lit(""), F.lit(""), F.lit(None).cast("string"))) is None
     assert one(spark, text.file_size(F.lit(5 * 1024 * 1024))) == "5.0 MB" and one(spark, text.file_size(F.lit(2048))) == "2 KB"
+    quarters = [one(spark, text.file_size(F.lit(k << 18))) for k in (5, 7, 9, 39)]
+    assert quarters == ["1.2 MB", "1.8 MB", "2.2 MB", "9.8 MB"]  # halves go to the even digit, as in SQL's printf
+    assert one(spark, text.file_size(F.lit((2 << 20) - 1))) == "2.0 MB" and one(spark, text.file_size(F.lit(None).cast("long"))) is None
 
 
 def test_kinds(spark):
