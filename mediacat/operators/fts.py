@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,6 +21,8 @@ from ..functions.text import fts_query, tokens, tokens_py
 
 K1, B = 1.2, 0.75
 SNIPPET_TOKENS = 12
+#: Tokens that a task brings into order at a time, or one page.
+RUN_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -33,9 +38,48 @@ def tokenised(texts: DataFrame) -> DataFrame:
     return texts.select("file_id", "page", "content", tokens(F.col("content")).alias("tokens"))
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """token, file_id, page, tf, len, positions: a row for each token of each page."""
-    each = tokenised(texts).select("file_id", "page", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
+def page_count(texts: DataFrame) -> tuple[int, bool]:
+    """(rows of ``texts``, whether each has a file and page of its own)."""
+    row = texts.groupBy("file_id", "page").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return row[0], row[1] <= 1
+
+
+def _page_runs(batches):
+    """Each page's tokens as runs of equal ones with their positions."""
+    for batch in batches:
+        sizes = pa.compute.list_value_length(batch["tokens"]).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_TOKENS, "right")))
+            part, n = batch.slice(at, to - at), sizes[at:to].astype(np.int64)
+            at = to
+            words = part["tokens"].flatten().dictionary_encode()
+            if not len(words):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            key = row * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")  # positions of a token stay in order
+            begins = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            first = order[begins]
+            of = pa.array(row[first])
+            cuts = np.r_[begins, len(order)].astype(np.int32)
+            found = [words.dictionary.take(words.indices.take(pa.array(first))), part["file_id"].take(of), part["page"].take(of), part["len"].take(of)]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(pos[order].astype(np.int32)))], ["token", "file_id", "page", "len", "tf", "positions"])
+
+
+def postings(texts: DataFrame, distinct: bool | None = None) -> DataFrame:
+    """token, file_id, page, tf, len, positions: a row for each token of each page.
+
+    A page's tokens are in one row, so its task counts them and nothing is shuffled; only where rows share a file and page (``distinct`` says
+    that none do, if it is known) their tokens are brought together."""
+    rows = tokenised(texts).select("file_id", "page", F.size("tokens").alias("len"), "tokens")
+    if page_count(texts)[1] if distinct is None else distinct:
+        kind = lambda c: rows.schema[c].dataType.simpleString()
+        found = rows.mapInArrow(_page_runs, f"token string, file_id {kind('file_id')}, page {kind('page')}, len int, tf int, positions array<int>")
+        return found.select("token", "file_id", "page", "len", "tf", "positions")
+    each = rows.select("file_id", "page", "len", F.posexplode("tokens").alias("pos", "token"))
     return each.groupBy("token", "file_id", "page", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -55,8 +99,12 @@ def updated_index(texts: DataFrame, old_postings: DataFrame, old_pages: DataFram
     """(postings, pages) after ``changes``: those of stale pages go, those of fresh ones come."""
     key = ["file_id", "page"]
     stale, fresh = changes.where("stale").select(key), texts.join(changes.where("fresh").select(key), key, "left_semi").select("file_id", "page", "content")
-    signs = tokenised(fresh).select("file_id", "page", F.size("tokens").alias("len"), F.xxhash64("content").alias("sign"))
-    return old_postings.join(stale, key, "left_anti").unionByName(postings(fresh)), old_pages.join(stale, key, "left_anti").unionByName(signs)
+    return old_postings.join(stale, key, "left_anti").unionByName(postings(fresh)), old_pages.join(stale, key, "left_anti").unionByName(page_signs(fresh))
+
+
+def page_signs(texts: DataFrame) -> DataFrame:
+    """file_id, page, len (tokens), sign (hash of the text)."""
+    return tokenised(texts).select("file_id", "page", F.size("tokens").alias("len"), F.xxhash64("content").alias("sign"))
 
 
 def page_totals(pages: DataFrame) -> DataFrame:
@@ -211,7 +259,13 @@ def snippet(content: Column, query: str) -> Column:
 
 
 def token_frequencies(texts: DataFrame) -> DataFrame:
-    """token, df (rows that hold it), cf (its occurrences)."""
+    """token, df (pages that hold it), cf (its occurrences).  Tasks add up their pages' tokens; only where rows share a file and page
+    they are brought together first."""
+    if page_count(texts)[1]:
+        mark = lambda n: lambda t: F.struct(t.alias("token"), F.lit(n).alias("df"), F.lit(1 - n).alias("cf"))
+        own = F.concat(F.transform("tokens", mark(0)), F.transform(F.array_distinct("tokens"), mark(1)))
+        each = tokenised(texts).select(F.inline(own))
+        return each.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     each = tokenised(texts).select("file_id", "page", F.explode("tokens").alias("token")).groupBy("token", "file_id", "page").agg(F.count(F.lit(1)).alias("tf"))
     return each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 

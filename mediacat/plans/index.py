@@ -52,9 +52,17 @@ def scan(catalog: Catalog, seen: DataFrame, force: bool = False, retry_errors: b
 def sync_index(catalog: Catalog, texts: DataFrame | None = None) -> int:
     """Brings the full-text index up to the catalogue's texts (or those given) and publishes it; how many pages changed.
 
-    Only pages whose text changed are tokenised; if none did, nothing is written.  A run that died before this is mended by the next."""
+    Only pages whose text changed are tokenised; if none did, nothing is written.  A run that died before this is mended by the next.
+    Where nothing is indexed yet all pages are new, and there is nothing to compare them with."""
     version = catalog.version()
     texts = catalog.read("texts") if texts is None else texts
+    if not catalog.holds("fts_pages"):
+        n, distinct = fts.page_count(texts)
+        if n:
+            pages = kept(fts.page_signs(texts))
+            catalog.publish({"fts_postings": fts.postings(texts, distinct), "fts_pages": pages, "fts_totals": fts.page_totals(pages)}, version)
+            drop_kept(pages)
+        return n
     changes = kept(fts.index_changes(texts, catalog.read("fts_pages")))
     n = changes.count()
     if n:
