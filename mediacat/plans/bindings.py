@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -165,9 +166,9 @@ def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Lazy:
-    """The catalogue as a search reads it: with its index."""
-    store = published(spark, sf_dir)
-    return Lazy(index=lambda: stored_index(store), people_keys=lambda: store.read("people_keys"), vector_index=lambda: stored_vectors(published_vectors(spark, sf_dir)), listing=lambda: None, **_bare(spark, sf_dir))
+    """The catalogue as a search reads it: with its index, which is made when a search first asks for it."""
+    store = cache(lambda: published(spark, sf_dir))
+    return Lazy(index=lambda: stored_index(store()), people_keys=lambda: store().read("people_keys"), vector_index=lambda: stored_vectors(published_vectors(spark, sf_dir)), listing=lambda: None, **_bare(spark, sf_dir))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Lazy:
