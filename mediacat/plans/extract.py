@@ -230,8 +230,9 @@ def extractor(root: str, engines: Engines | EngineSource, today: date, batch_byt
     def extract(work: DataFrame) -> dict[str, DataFrame]:
         from ..functions.vectors import normalise
 
-        raw = kept(extracted(work, root, engines, batch_bytes))
-        out = raw.join(work.select("rel_path", F.col("id").alias("file_id")), "rel_path")
+        # a chunk's ids are few, and what is read from the kept table needs no join any more
+        ids = F.broadcast(work.select("rel_path", F.col("id").alias("file_id")))
+        raw = out = kept(extracted(work, root, engines, batch_bytes).join(ids, "rel_path"))
         good = out.where("error IS NULL")
         when = dates.resolve_date(F.substring_index("rel_path", "/", -1), F.lit(str(today)).cast("date"), dates.exif_stamp(F.col("exif_date")), F.col("created"), F.col("mtime"))
         place = geo.gps_from_exif(F.col("lat_ref"), F.col("lat"), F.col("lon_ref"), F.col("lon"))

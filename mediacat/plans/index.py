@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,9 +159,10 @@ class Staged:
 
     def add(self, name: str, tables: dict[str, DataFrame]) -> dict[str, int]:
         """Stores a chunk; files and errors in it."""
-        for table, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.base}/{name}/{table}")
-        row = self.catalog.spark.read.parquet(f"{self.base}/{name}/files").agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("errors")).first()
+        write = lambda table: tables[table].write.mode("overwrite").parquet(f"{self.base}/{name}/{table}")
+        with ThreadPoolExecutor(len(tables)) as pool:  # small jobs, side by side, under the tag of this thread
+            list(pool.map(inheritable_thread_target(self.catalog.spark)(write), tables))
+        row = self.catalog.spark.read.schema(tables["files"].schema).parquet(f"{self.base}/{name}/files").agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("errors")).first()
         self.fs.create(self.path(f"{self.base}/{name}/_DONE")).close()
         return row.asDict()
 
@@ -233,14 +236,16 @@ def _run_index(spark, root, catalog, extract, places, settings, only, force, ret
     counts |= {r["change"]: r["n"] for r in cdc.scan_stats(cdc.changes(catalog.read("files"), seen)).collect()}
     scan(catalog, seen, force, retry_errors)
     drop_kept(seen)
-    work = kept(cdc.work_list(catalog.read("files"), only))
-    total, staged = work.count(), Staged(catalog)
+    due = cdc.work_list(catalog.read("files"), only)
+    total, staged = due.count(), Staged(catalog)
     counts["processed"] = done = errors = 0
-    chunks, run = max(1, -(-total // chunk_files)), uuid.uuid4().hex
+    chunks, run, many = max(1, -(-total // chunk_files)), uuid.uuid4().hex, spark.sparkContext.defaultParallelism
+    # in ranges of the chunk: each chunk reads its own rows, not the whole list
+    work = kept(due.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))), "_chunk")
     for k in range(chunks if total else 0):
         if cancelled():
             break
-        chunk = work.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == k)
+        chunk = work.where(F.col("_chunk") == k).drop("_chunk").repartition(many)
         found = extract(chunk)
         made = staged.add(f"{run}-{k:06d}", {name: df for name, df in found.items() if name in (*_EXTRACTED, *(["thumbs"] if thumbs else []))})
         if "kept" in found:
