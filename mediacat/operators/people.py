@@ -52,10 +52,12 @@ META_KEYS = {"auto": "faces_t_auto", "suggest": "faces_t_suggest", "eps": "faces
 
 
 def effective_settings(meta: DataFrame, defaults: DataFrame) -> DataFrame:
-    """defaults: key, value.  The defaults with what meta overrides under the key's entry of ``META_KEYS``."""
+    """defaults: key, value.  The defaults with what meta overrides under the key's entry of ``META_KEYS``.
+
+    Of meta only the rows of those entries are joined, a handful; keys without an entry would else meet in one task."""
     keys = F.create_map(*[F.lit(x) for pair in META_KEYS.items() for x in pair])
-    own = meta.select(F.col("key").alias("_key"), F.col("value").cast("string").alias("own"))
-    return defaults.join(own, F.col("_key") == keys[F.col("key")], "left").select("key", F.coalesce("own", "value").alias("value"))
+    own = meta.where(F.col("key").isin(list(META_KEYS.values()))).select(F.col("key").alias("_key"), F.col("value").cast("string").alias("own"))
+    return defaults.join(F.broadcast(own), F.col("_key") == keys[F.col("key")], "left").select("key", F.coalesce("own", "value").alias("value"))
 
 
 def load_settings(meta: DataFrame) -> Settings:
