@@ -138,7 +138,7 @@ def group_faces(faces: DataFrame, files: DataFrame, people: DataFrame, negatives
     orphans = free.select(F.col("id").alias("i"), F.col("embedding").alias("v")).join(made.where("decision <> 'orphan'").select(F.col("face_id").alias("i")), "i", "left_anti")
     labels = dbscan(orphans, s.eps, s.min_samples).where("label >= 0")
     top = people.agg(F.max("id")).first()[0] or 0
-    grouped = labels.select(F.col("i").alias("id"), (F.col("label") + top + 1).cast("long").alias("new_person"))
+    grouped = kept(labels.select(F.col("i").alias("id"), (F.col("label") + top + 1).cast("long").alias("new_person")))  # faces and people are made of it
     taken = made.where("decision <> 'orphan'").select(F.col("face_id").alias("id"), F.col("person_id").alias("found"), F.col("score").alias("found_score"), "decision")
     out = faces.join(taken, "id", "left").join(grouped, "id", "left").select(
         *[F.col(c) for c in faces.columns if c not in ("person_id", "assign_source", "assign_score")],

@@ -13,14 +13,13 @@ from dataclasses import dataclass
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, geometry
 from ..operators.people import detections
 from ..sources.documents import docx_text
 from ..sources.pictures import file_system
-from ..storage import kept
 
 #: Bytes of contents, and files, that are decoded before the encoder runs and their rows go.
 BATCH_BYTES, BATCH_FILES = 64 << 20, 256
@@ -31,6 +30,8 @@ SCHEMA = (
     "lon_ref string, lon array<double>, pages array<struct<page: int, content: string>>, faces array<struct<x: double, y: double, w: double, h: double, score: double, embedding: array<float>>>, "
     "embedding array<float>, thumb binary, seconds map<string, double>"
 )
+#: The same with the file's id, and the day that dates are resolved on: what is stored of a chunk.
+ROWS = f"file_id long, {SCHEMA}, today date"
 
 
 @dataclass(frozen=True)
@@ -155,9 +156,10 @@ def process(path: str, kind: str, todo: list[str], content: bytes, engines: Engi
     return out
 
 
-def extracted(work: DataFrame, root: str, engines: Engines | EngineSource, batch_bytes: int = BATCH_BYTES, batch_files: int = BATCH_FILES) -> DataFrame:
-    """work: rel_path, kind, todo.  A row a file of ``SCHEMA``: every file is opened once, in the task that its row is in."""
-    names = ["rel_path", "error", "ran", "hash", "width", "height", "exif_date", "created", "mtime", "lat_ref", "lat", "lon_ref", "lon", "pages", "faces", "embedding", "thumb", "seconds"]
+def extracted(work: DataFrame, root: str, engines: Engines | EngineSource, batch_bytes: int = BATCH_BYTES, batch_files: int = BATCH_FILES, ids: bool = False) -> DataFrame:
+    """work: rel_path, kind, todo.  A row a file of ``SCHEMA``: every file is opened once, in the task that its row is in.  With ``ids`` work
+    has id, too, and the row begins with it as file_id."""
+    names = ["file_id", "rel_path", "error", "ran", "hash", "width", "height", "exif_date", "created", "mtime", "lat_ref", "lat", "lon_ref", "lon", "pages", "faces", "embedding", "thumb", "seconds"]
 
     def run(batches):
         own = engines_here(engines)
@@ -165,15 +167,15 @@ def extracted(work: DataFrame, root: str, engines: Engines | EngineSource, batch
 
         def read():
             for batch in batches:
-                for path, kind, todo in zip(batch["rel_path"], batch["kind"], batch["todo"]):
-                    row, content = {"rel_path": path, "ran": list(todo)}, b""
+                for own_id, path, kind, todo in zip(batch["file_id"], batch["rel_path"], batch["kind"], batch["todo"]):
+                    row, content = {"file_id": own_id, "rel_path": path, "ran": list(todo)}, b""
                     try:
                         full = posixpath.join(base, path)
                         with files.open_input_stream(full) as f:
                             content = f.read()
                         row |= {"mtime": files.get_file_info(full).mtime_ns / 1e9, **process(path, kind, list(todo), content, own)}
                     except Exception as e:
-                        row, content = {"rel_path": path, "ran": list(todo), "error": f"{type(e).__name__}: {e}"[:500]}, b""
+                        row, content = {"file_id": own_id, "rel_path": path, "ran": list(todo), "error": f"{type(e).__name__}: {e}"[:500]}, b""
                     yield row, content if "clip" in todo and own.encode and "error" not in row else b""
 
         for part in in_batches(read(), lambda x: len(x[1]) + len(x[0].get("thumb") or b""), batch_bytes, batch_files):
@@ -191,7 +193,8 @@ def extracted(work: DataFrame, root: str, engines: Engines | EngineSource, batch
                     row["seconds"]["clip"] = share
             yield pd.DataFrame([[row.get(n) for n in names] for row, _ in part], columns=names, dtype=object)
 
-    return work.select("rel_path", "kind", "todo").mapInPandas(run, SCHEMA)
+    found = work.select((F.col("id") if ids else F.lit(-1)).cast("long").alias("file_id"), "rel_path", "kind", "todo").mapInPandas(run, f"file_id long, {SCHEMA}")
+    return found if ids else found.drop("file_id")
 
 
 def region_faces(boxes: DataFrame, root: str, engines: Engines | EngineSource) -> DataFrame:
@@ -223,31 +226,48 @@ def region_faces(boxes: DataFrame, root: str, engines: Engines | EngineSource) -
     return out.withColumn("embedding", F.when(F.col("embedding").isNotNull(), normalise(F.col("embedding")).cast("array<float>")))
 
 
+def file_error() -> Column:
+    """The error of an extracted row."""
+    fits = geometry.accepted(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0)))
+    return F.when(~fits, "ValueError: too many pixels").otherwise(F.col("error"))
+
+
+def tables_of(out: DataFrame) -> dict[str, DataFrame]:
+    """Results, pages, faces, vectors, seconds and thumbnails of extracted rows (``ROWS``), each by a projection of them."""
+    from ..functions.vectors import normalise
+
+    good = out.where("error IS NULL")
+    when = dates.resolve_date(F.substring_index("rel_path", "/", -1), F.col("today"), dates.exif_stamp(F.col("exif_date")), F.col("created"), F.col("mtime"))
+    place = geo.gps_from_exif(F.col("lat_ref"), F.col("lat"), F.col("lon_ref"), F.col("lon"))
+    files = out.withColumns({"d": when, "p": place}).select(
+        "rel_path", file_error().alias("error"), "ran", F.col("hash").alias("r_hash"), F.col("d.taken_at").alias("r_taken_at"), F.col("d.date_source").alias("r_date_source"),
+        F.col("width").alias("r_width"), F.col("height").alias("r_height"), F.col("p.lat").alias("r_lat"), F.col("p.lon").alias("r_lon"),
+    )
+    texts = good.select("file_id", F.explode("pages").alias("s")).select(F.col("s.content").alias("content"), "file_id", F.col("s.page").alias("page"))
+    box = geometry.box_times(F.col("f"), geometry.working_scale(F.col("width"), F.col("height")))
+    faces = detections(good.where("faces IS NOT NULL").select("file_id", "width", "height", F.posexplode("faces").alias("n", "f")).select(
+        "file_id", "n", box.alias("bbox"), F.col("f.score").alias("det_score"), normalise(F.col("f.embedding")).cast("array<float>").alias("embedding")
+    ))
+    vectors = good.where("embedding IS NOT NULL").select("file_id", normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
+    return {"files": files, "texts": texts, "faces": faces, "clip_embeddings": vectors, "seconds": good.select("seconds"), "thumbs": good.where("thumb IS NOT NULL").select("file_id", "thumb")}
+
+
+class Extracted(dict):
+    """``raw``, the extracted rows, and the tables made of them, each when it is asked for: their plans take longer to make than a small chunk."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        self.update(made := tables_of(self["raw"]))
+        return made[name]
+
+
 def extractor(root: str, engines: Engines | EngineSource, today: date, batch_bytes: int = BATCH_BYTES) -> Callable[[DataFrame], dict[str, DataFrame]]:
-    """The extractor that the index driver calls: results, pages, faces and vectors of a work list, out of one pass
-    that is kept: ``kept`` is its table, to be dropped when the others have been stored."""
+    """The extractor that the index driver calls: ``raw``, the extracted rows of a work list, and the tables made of them.
+
+    Nothing is stored here: the driver stores ``raw`` and reads the tables from what it has stored.  Whoever collects several of the tables given
+    runs the engines for each."""
 
     def extract(work: DataFrame) -> dict[str, DataFrame]:
-        from ..functions.vectors import normalise
-
-        # a chunk's ids are few, and what is read from the kept table needs no join any more
-        ids = F.broadcast(work.select("rel_path", F.col("id").alias("file_id")))
-        raw = out = kept(extracted(work, root, engines, batch_bytes).join(ids, "rel_path"))
-        good = out.where("error IS NULL")
-        when = dates.resolve_date(F.substring_index("rel_path", "/", -1), F.lit(str(today)).cast("date"), dates.exif_stamp(F.col("exif_date")), F.col("created"), F.col("mtime"))
-        place = geo.gps_from_exif(F.col("lat_ref"), F.col("lat"), F.col("lon_ref"), F.col("lon"))
-        error = F.when(~geometry.accepted(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0))), "ValueError: too many pixels").otherwise(F.col("error"))
-        files = out.withColumns({"d": when, "p": place}).select(
-            "rel_path", error.alias("error"), "ran", F.col("hash").alias("r_hash"), F.col("d.taken_at").alias("r_taken_at"), F.col("d.date_source").alias("r_date_source"),
-            F.col("width").alias("r_width"), F.col("height").alias("r_height"), F.col("p.lat").alias("r_lat"), F.col("p.lon").alias("r_lon"),
-        )
-        texts = good.select("file_id", F.explode("pages").alias("s")).select(F.col("s.content").alias("content"), "file_id", F.col("s.page").alias("page"))
-        box = geometry.box_times(F.col("f"), geometry.working_scale(F.col("width"), F.col("height")))
-        faces = detections(good.where("faces IS NOT NULL").select("file_id", "width", "height", F.posexplode("faces").alias("n", "f")).select(
-            "file_id", "n", box.alias("bbox"), F.col("f.score").alias("det_score"), normalise(F.col("f.embedding")).cast("array<float>").alias("embedding")
-        ))
-        vectors = good.where("embedding IS NOT NULL").select("file_id", normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
-        return {"files": files, "texts": texts, "faces": faces, "clip_embeddings": vectors, "seconds": good.select("seconds"), "thumbs": good.where("thumb IS NOT NULL").select("file_id", "thumb"), "kept": raw}
+        raw = extracted(work, root, engines, batch_bytes, ids=True).withColumn("today", F.lit(str(today)).cast("date"))
+        return Extracted(raw=raw)
 
     return extract
-

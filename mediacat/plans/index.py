@@ -21,15 +21,16 @@ from ..schema import TABLES
 from ..sources.listing import in_hidden_folder, is_sticker, list_folder, listed_kind
 from ..sources.pictures import save_pictures
 from ..storage import drop_kept, kept
+from .extract import ROWS, file_error, tables_of
 
 #: extract(work list: id, rel_path, kind, todo) -> {"files": rel_path, error, ran, r_*; "texts", "clip_embeddings", "faces": new rows; perhaps
-#: "thumbs": file_id, thumb; "kept": a kept table that the others are read from}
+#: "thumbs": file_id, thumb; or "raw": rows of ``extract.ROWS``, of which all these are made when they are saved}
 Extractor = Callable[[DataFrame], dict[str, DataFrame]]
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, kind, size, mtime of the folder; extension-less files go by their first bytes."""
-    rows = list_folder(spark, root).where(~in_hidden_folder(F.col("rel_path")))
+    rows = list_folder(spark, root, bare=True).where(~in_hidden_folder(F.col("rel_path")))
     return rows.select("rel_path", listed_kind().alias("kind"), "size", "mtime")
 
 
@@ -37,18 +38,26 @@ def scan(catalog: Catalog, seen: DataFrame, force: bool = False, retry_errors: b
     """Publishes the catalogue after a scan: ids for new files, stale rows of changed and purged ones gone."""
     files = catalog.read("files")
     after = cdc.apply_scan(files, seen, force, retry_errors)
-    kept = after.join(files.drop("kind", "size", "mtime", "status", "error", "stages_done", "is_sticker"), "rel_path", "left")
+    rows = after.join(files.drop("kind", "size", "mtime", "status", "error", "stages_done", "is_sticker"), "rel_path", "left")
     fresh = F.col("change").isin("new", "changed")
     reset = {"hash": F.when(~fresh, F.col("hash")), **{c: F.when(~fresh & ~F.col("forget_place"), F.col(c)) for c in ("lat", "lon", "city", "state", "country")}}
-    kept = kept.withColumns({**reset, "is_sticker": is_sticker(F.col("rel_path"))}).select(*TABLES["files"].names)
-    old = kept.where("id IS NOT NULL")
-    new = assign_ids(kept.where("id IS NULL").drop("id"), files, "rel_path").select(*TABLES["files"].names)
-    out = old.unionByName(new)
-    changed = {"files": out, "texts": fts.without_stale(cdc.cascade(catalog.read("texts"), out, "file_id"), out)}
-    for table in ("faces", "clip_embeddings"):
+    rows = rows.withColumns({**reset, "is_sticker": is_sticker(F.col("rel_path"))}).select(*TABLES["files"].names)
+    old = rows.where("id IS NOT NULL")
+    new = assign_ids(rows.where("id IS NULL").drop("id"), files, "rel_path").select(*TABLES["files"].names)
+    # only tables that are there can have stale rows; with any of them the scan's result is read several times
+    held = [t for t in ("texts", "faces", "clip_embeddings", "face_negatives") if catalog.holds(t)]
+    out = kept(old.unionByName(new)) if held else old.unionByName(new)
+    changed = {"files": out}
+    if "texts" in held:
+        changed["texts"] = fts.without_stale(cdc.cascade(catalog.read("texts"), out, "file_id"), out)
+    for table in {"faces", "clip_embeddings"} & set(held):
         changed[table] = cdc.cascade(catalog.read(table), out.where("kind <> 'other'"), "file_id")
-    changed["face_negatives"] = cdc.cascade(catalog.read("face_negatives"), changed["faces"], "face_id")
-    return catalog.publish(changed)
+    if "face_negatives" in held:
+        changed["face_negatives"] = cdc.cascade(catalog.read("face_negatives"), changed.get("faces", catalog.read("faces")), "face_id")
+    version = catalog.publish(changed)
+    if held:
+        drop_kept(out)
+    return version
 
 
 def sync_index(catalog: Catalog, texts: DataFrame | None = None) -> int:
@@ -158,17 +167,24 @@ class Staged:
         return whole
 
     def add(self, name: str, tables: dict[str, DataFrame]) -> dict[str, int]:
-        """Stores a chunk; files and errors in it."""
+        """Stores a chunk; files and errors in it.  Of extracted rows nothing else is stored, so that a chunk is one pass and one table."""
         write = lambda table: tables[table].write.mode("overwrite").parquet(f"{self.base}/{name}/{table}")
         with ThreadPoolExecutor(len(tables)) as pool:  # small jobs, side by side, under the tag of this thread
             list(pool.map(inheritable_thread_target(self.catalog.spark)(write), tables))
-        row = self.catalog.spark.read.schema(tables["files"].schema).parquet(f"{self.base}/{name}/files").agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("errors")).first()
+        main = "raw" if "raw" in tables else "files"
+        rows = self.catalog.spark.read.schema(tables[main].schema).parquet(f"{self.base}/{name}/{main}")
+        row = rows.agg(F.count(F.lit(1)).alias("files"), F.count(file_error() if main == "raw" else "error").alias("errors")).first()
         self.fs.create(self.path(f"{self.base}/{name}/_DONE")).close()
         return row.asDict()
 
     def read(self, names: list[str]) -> dict[str, DataFrame]:
-        held = {t: [f"{self.base}/{n}/{t}" for n in names if self.fs.exists(self.path(f"{self.base}/{n}/{t}"))] for t in (*_EXTRACTED, "thumbs")}
-        return {t: self.catalog.spark.read.parquet(*paths) for t, paths in held.items() if paths}
+        held = {t: [f"{self.base}/{n}/{t}" for n in names if self.fs.exists(self.path(f"{self.base}/{n}/{t}"))] for t in ("raw", *_EXTRACTED, "thumbs")}
+        raw = held.pop("raw")
+        out = {t: self.catalog.spark.read.parquet(*paths) for t, paths in held.items() if paths}
+        if raw:
+            made = tables_of(self.catalog.spark.read.schema(ROWS).parquet(*raw))  # thumbnails that were not asked for are null
+            out |= {t: out[t].unionByName(made[t], allowMissingColumns=True) if t in out else made[t] for t in held}
+        return out
 
     def drop(self, names: list[str]) -> None:
         for n in names:
@@ -247,9 +263,9 @@ def _run_index(spark, root, catalog, extract, places, settings, only, force, ret
             break
         chunk = work.where(F.col("_chunk") == k).drop("_chunk").repartition(many)
         found = extract(chunk)
-        made = staged.add(f"{run}-{k:06d}", {name: df for name, df in found.items() if name in (*_EXTRACTED, *(["thumbs"] if thumbs else []))})
-        if "kept" in found:
-            drop_kept(found["kept"])
+        if "raw" in found:
+            found = {"raw": found["raw"] if thumbs else found["raw"].drop("thumb")}
+        made = staged.add(f"{run}-{k:06d}", {name: df for name, df in found.items() if name in ("raw", *_EXTRACTED, *(["thumbs"] if thumbs else []))})
         done, errors = done + made["files"], errors + made["errors"]
         progress({"done": done, "total": total, "errors": errors})
     drop_kept(work)

@@ -105,9 +105,9 @@ def _with_heads(listed: DataFrame, root: str) -> DataFrame:
     return listed.mapInArrow(run, "rel_path string, size long, mtime double, head binary, archive string")
 
 
-def list_folder(spark: SparkSession, root: str, head: bool = True) -> DataFrame:
+def list_folder(spark: SparkSession, root: str, head: bool = True, bare: bool = False) -> DataFrame:
     """rel_path, size, mtime, head, archive (what a zip without an extension is) of all files below ``root``, hidden files too; folders that begin
-    with a dot are not entered, symbolic links not followed.  ``head`` = False opens no file.
+    with a dot are not entered, symbolic links not followed.  ``head`` = False opens no file, ``bare`` only those without an extension, whose kind their bytes decide.
 
     Breadth first: each round lists the folders that the one before has found, spread over all tasks, and is kept in the shared folder;
     so the depth of the tree, not the width of any folder, is the number of rounds.  Files are opened in a pass of their own."""
@@ -122,8 +122,13 @@ def list_folder(spark: SparkSession, root: str, head: bool = True) -> DataFrame:
         if folders.isEmpty():
             break
         folders = folders.repartition(many)
-    if head:
-        return _with_heads(files.repartition(many), root)
+    if head and bare:
+        named = kind_of(F.col("rel_path")).isNotNull()
+        return _unopened(files.where(named)).unionByName(_with_heads(files.where(~named).repartition(many), root))
+    return _with_heads(files.repartition(many), root) if head else _unopened(files)
+
+
+def _unopened(files: DataFrame) -> DataFrame:
     return files.select("*", F.lit(None).cast("binary").alias("head"), F.lit(None).cast("string").alias("archive"))
 
 

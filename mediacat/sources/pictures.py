@@ -59,8 +59,12 @@ class PictureWriter(DataSourceWriter):
         moves = [(f"{m.folder}/{n}", f"{base}/{n}") for m in messages if m for n in m.names]
         for folder in {posixpath.dirname(to) for _, to in moves}:
             files.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(32) as pool:
-            list(pool.map(lambda x: files.move(*x), moves))
+        if isinstance(files, fs.LocalFileSystem):  # renames of one disk wait for each other: threads only add to that
+            for move in moves:
+                files.move(*move)
+        else:
+            with ThreadPoolExecutor(32) as pool:
+                list(pool.map(lambda x: files.move(*x), moves))
         self._done()
 
     def abort(self, messages):

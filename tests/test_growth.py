@@ -1,5 +1,6 @@
 """What must not grow with the input: plans without needless shuffles, and the results they must keep."""
 
+import os
 from datetime import date
 
 import pytest
@@ -9,8 +10,9 @@ from mediacat.catalog import Catalog
 from mediacat.operators import fts, people, search
 from mediacat.plans import bindings
 from mediacat.plans.extract import extractor
-from mediacat.plans.index import sync_index
+from mediacat.plans.index import Staged, listed, scan, sync_index
 from mediacat.plans.upkeep_queries import stand_ins
+from mediacat.sources.listing import list_folder
 
 PAGES = [(1, 1, "foo bar foo"), (1, 2, ""), (2, 1, "bar, Bár baz"), (3, 1, None), (4, 1, "foo")]
 
@@ -95,3 +97,39 @@ def test_what_a_chunk_has_extracted_is_stored_without_joins(spark, tmp_path):
     found = extractor(str(tmp_path), stand_ins(), date(2026, 1, 1))(work)
     assert all("Join" not in plan(found[t]) for t in ("files", "texts", "faces", "clip_embeddings"))
     assert [r["file_id"] for t in ("texts", "faces", "clip_embeddings") for r in found[t].collect()] == [5, 5, 5]
+
+
+def test_a_chunk_is_one_table(spark, tmp_path):
+    for name, content in (("a.jpg", b"picture,1000,800,2019:07:01 10:11:12"), ("bad.jpg", b"junk,1,1,"), ("huge.jpg", b"picture,100000,100000,")):
+        (tmp_path / name).write_bytes(content)
+    work = spark.createDataFrame([(k, n, "image", ["date", "thumb", "faces", "clip", "ocr"]) for k, n in enumerate(("a.jpg", "bad.jpg", "huge.jpg"), 5)], "id long, rel_path string, kind string, todo array<string>")
+    found = extractor(str(tmp_path), stand_ins(), date(2026, 1, 1))(work)
+    staged = Staged(Catalog(spark, f"file://{tmp_path}/cat", "a" * 16))
+    assert staged.add("x", {"raw": found["raw"].drop("thumb")}) == {"files": 3, "errors": 2}  # what is too large is an error, too
+    assert sorted(n for n in os.listdir(f"{staged.base.removeprefix('file://')}/x") if not n.startswith(".")) == ["_DONE", "raw"] and staged.chunks() == ["x"]
+    out = staged.read(["x"])
+    for t in ("files", "texts", "faces", "clip_embeddings"):
+        assert rows(out[t]) == rows(found[t]) and out[t].count()
+    assert found["thumbs"].count() == 2 and out["thumbs"].count() == 0
+
+
+def test_only_files_without_an_extension_are_opened(spark, tmp_path):
+    for name in ("a.jpg", "b", ".c"):
+        (tmp_path / name).write_bytes(b"%PDF-1.4")
+    heads = {r["rel_path"]: r["head"] and bytes(r["head"]) for r in list_folder(spark, str(tmp_path), bare=True).collect()}
+    every = {r["rel_path"]: r["head"] and bytes(r["head"]) for r in list_folder(spark, str(tmp_path)).collect()}
+    assert heads == {**every, "a.jpg": None} and every["a.jpg"] == b"%PDF-1.4"
+    assert {r["rel_path"]: r["kind"] for r in listed(spark, str(tmp_path)).collect()} == {"a.jpg": "image", "b": "pdf", ".c": "pdf"}
+
+
+def test_the_first_scan_writes_no_dependent_tables(spark, tmp_path):
+    seen = spark.createDataFrame([("a.jpg", "image", 1, 1.0), ("b.pdf", "pdf", 1, 1.0)], "rel_path string, kind string, size long, mtime double")
+    store = Catalog(spark, f"file://{tmp_path}", "a" * 16)
+    scan(store, seen)
+    assert store.read("files").count() == 2 and not any(store.holds(t) for t in ("texts", "faces", "clip_embeddings", "face_negatives"))
+    ids = {r["rel_path"]: r["id"] for r in store.read("files").collect()}
+    store.publish({"texts": texts(spark, [(i, 1, "x") for i in ids.values()]), "faces": spark.createDataFrame([(n, i) for n, i in enumerate(ids.values())], "id long, file_id long"),
+                   "face_negatives": spark.createDataFrame([(0, 1), (1, 1), (9, 1)], "face_id long, person_id long")})
+    store.publish({"files": store.read("files").withColumn("status", F.lit("done"))})
+    scan(store, seen.withColumn("size", F.when(F.col("rel_path") == "a.jpg", 2).otherwise(F.col("size")).cast("long")))
+    assert [r["file_id"] for r in store.read("texts").collect()] == [ids["b.pdf"]] and store.read("faces").count() == 2 and store.read("face_negatives").count() == 2
