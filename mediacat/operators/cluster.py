@@ -15,6 +15,8 @@ from .metric import density_links, matrix
 
 #: Points of a block, which are copied to as many tasks as the other side has blocks, labelled points and points multiplied at once.
 BLOCK, TILE, ROWS = 16_384, 2048, 256
+#: Edges that a task replaces by stars at a time, and edges of a task, about.
+RUN_EDGES, TASK_EDGES = 1 << 20, 4 << 20
 
 
 def _blocks(points: DataFrame, other: DataFrame, block: int, barred: bool = False) -> DataFrame:
@@ -104,6 +106,38 @@ def top_labels(points: DataFrame, other: DataFrame, keep: int = 2, block: int =
     return best.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node of some edges to the least one that they connect it with."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    some = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[some], nodes[root[some]]
+
+
+def contracted(edges: DataFrame, many: int) -> DataFrame:
+    """edges: u, v.  Edges with the same components: each of ``many`` tasks gives out one a node at most, whatever it gets."""
+
+    def run(batches):
+        held, n, u, v = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            held.append((batch["u"].to_numpy(), batch["v"].to_numpy()))
+            n += batch.num_rows
+            if n >= RUN_EDGES:
+                u, v = _stars(*(np.concatenate([x, *(h[k] for h in held)]) for k, x in enumerate((u, v))))
+                held, n = [], 0
+        if held:
+            u, v = _stars(*(np.concatenate([x, *(h[k] for h in held)]) for k, x in enumerate((u, v))))
+        for k in range(0, len(u), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 18)]), pa.array(v[k : k + (1 << 18)])], ["u", "v"])
+
+    return edges.select("u", "v").repartition(many).mapInArrow(run, "u long, v long")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): the least node that edges (u, v) reach, for every row of nodes (node); large-star and small-star steps until
     nothing changes, each step kept in the shared folder."""
@@ -132,8 +166,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, block: int = BLOCK)
     both = close.union(close.select(F.col("j").alias("i"), F.col("i").alias("j")))
     degree = found.where("j IS NULL").groupBy("i").agg((F.sum("n") + 1).alias("n"))
     cores = points.select("i").join(degree, "i", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("i")
-    inner = both.join(cores, "i").join(cores.select(F.col("i").alias("j")), "j")
-    roots = kept(components(cores.select(F.col("i").alias("node")), inner.select(F.col("i").alias("u"), F.col("j").alias("v"))))
+    inner = close.join(cores, "i").join(cores.select(F.col("i").alias("j")), "j").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    # tasks of the links have each connected what they hold: most links say the same again
+    roots = kept(components(cores.select(F.col("i").alias("node")), contracted(inner, 1 + close.count() // TASK_EDGES)))
     numbers = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)  # one row a cluster
     core_labels = roots.join(numbers, "root").select(F.col("node").alias("i"), "label")
     border = both.join(core_labels.select(F.col("i").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("near"))

@@ -25,7 +25,7 @@ from ..storage import kept
 SAMPLE, PIVOTS, CELL, SLACK = 8192, 256, 2048, 1e-5
 #: Blocks of points without structure, and bytes of a block at most: so many copies of each point leave its task however many points there
 #: are, until blocks are as large as that.
-BLOCKS, BLOCK_BYTES = 16, 128 << 20
+BLOCKS, BLOCK_BYTES = 8, 128 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -129,8 +129,8 @@ def visits(a: np.ndarray, cell: np.ndarray, far: np.ndarray, reach: float, width
 
 
 def _dealt(points: DataFrame, least: float, block: int, most: int) -> DataFrame | None:
-    """Rows (cell, ring, block, shard, side, i, v) sorted by task, the first four columns: side 0 for the points of a block, side 1 for the
-    same points and side 2 for others that it is multiplied with.  None if no point has a direction.
+    """Rows (cell, ring, block, shard, side, i, v) sorted by task, the first four columns: sides 0 and 1 for the points of a block, side 1 for those
+    of them that this task multiplies with the block, and side 2 for others that it is multiplied with.  None if no point has a direction.
 
     A ring of many points is dealt to several tasks by a hash, and so are its visitors.  A task holds ``block`` points of one ring, more where
     all points are one cell."""
@@ -175,7 +175,7 @@ def _dealt(points: DataFrame, least: float, block: int, most: int) -> DataFrame
                 shard = (mixed[own] >> np.uint64(12)) % np.uint64(shards[c, r])
                 for b in range(blocks[c, r]):
                     for s in range(shards[c, r]):
-                        if len(at := own[mine == b]):
+                        if len(at := own[(mine == b) & (shard != s)]):
                             yield rows(batch, at, c, r, b, s, 0)
                         if len(at := own[(mine == b) & (shard == s)]):
                             yield rows(batch, at, c, r, b, s, 1)
@@ -206,6 +206,37 @@ def _parts(batches, rows: int):
                 yield tuple(keys[a, :4].tolist()), int(keys[a, 4]), columns[5][at:to], v[at:to]
 
 
+def _meetings(batches, rows: int):
+    """What a task does, in order: ("block", i, v) for the points of its block, then those that are multiplied with it, at most ``rows`` at a
+    time: ("own", i, v) for points of the block itself and ("other", i, v)."""
+    key, held = None, None
+
+    def opened():
+        ids, m, mine = (np.concatenate([h[k] for h in held]) for k in range(3))
+        yield "block", ids, m
+        at = np.flatnonzero(mine)
+        for k in range(0, len(at), rows):
+            yield "own", ids[at[k : k + rows]], m[at[k : k + rows]]
+
+    for task, side, i, v in _parts(batches, rows):
+        if task != key:
+            if held:
+                yield from opened()
+            key, held = task, []
+        if side < 2:
+            held.append((i, v, np.full(len(i), side == 1)))
+            continue
+        if held is not None:
+            if held:
+                yield from opened()
+            else:  # a hash has left the block empty
+                yield "block", i[:0], v[:0]
+            held = None
+        yield "other", i, v
+    if held:
+        yield from opened()
+
+
 def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream: int = 2048, most: int = PIVOTS) -> DataFrame:
     """points: i (distinct), v (unit vectors).  (i, j, sim), i < j, of the pairs with dot product >= ``least`` (> 0 for zero vectors to have none).
 
@@ -215,7 +246,7 @@ def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream:
         return points.sparkSession.createDataFrame([], "i long, j long, sim double")
 
     def multiply(batches):
-        key, held, ids, kept_ids, m = None, [], [], np.zeros(0, np.int64), None
+        kept_ids = m = None
 
         def pairs(i, v, own):
             for at in range(0, len(m), stream):
@@ -227,16 +258,11 @@ def neighbour_pairs(points: DataFrame, least: float, block: int = 8192, stream:
                 for k in range(0, len(u), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)[k : k + (1 << 18)]), pa.array(np.maximum(u, w)[k : k + (1 << 18)]), pa.array(s[k : k + (1 << 18)])], ["i", "j", "sim"])
 
-        for task, side, i, v in _parts(batches, stream):
-            if task != key:
-                key, held, ids, m = task, [], [], None
-            if side == 0:
-                held.append(v)
-                ids.append(i)
-                continue
-            if m is None:
-                m, kept_ids = (np.concatenate(held), np.concatenate(ids)) if held else (np.zeros((0, v.shape[1])), np.zeros(0, np.int64))
-            yield from pairs(i, v, side == 1)
+        for what, i, v in _meetings(batches, stream):
+            if what == "block":
+                kept_ids, m = i, v
+            else:
+                yield from pairs(i, v, what == "own")
 
     return tasks.mapInArrow(multiply, "i long, j long, sim double")
 
@@ -293,19 +319,14 @@ def density_links(points: DataFrame, least: float, enough: int, block: int = 819
         return pa.RecordBatch.from_arrays([pa.array(i[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], schema=schema)
 
     def multiply(batches):
-        key, held, ids, own = None, [], [], None
-        for task, side, i, v in _parts(batches, stream):
-            if task != key:
+        own = None
+        for what, i, v in _meetings(batches, stream):
+            if what == "block":
                 if own is not None:
                     yield degrees(own.ids, own.visited)
-                key, held, ids, own = task, [], [], None
-            if side == 0:
-                held.append(v)
-                ids.append(i)
+                own = _Block(i, v, least, enough)
                 continue
-            if own is None:
-                own = _Block(np.concatenate(ids), np.concatenate(held), least, enough) if held else _Block(np.zeros(0, np.int64), np.zeros((0, v.shape[1])), least, enough)
-            n, x, y = own.meet(i, v, side == 1)
+            n, x, y = own.meet(i, v, what == "own")
             yield degrees(i, n)
             for k in range(0, len(x), 1 << 18):
                 a, b = i[x[k : k + (1 << 18)]], own.ids[y[k : k + (1 << 18)]]

@@ -155,3 +155,28 @@ def test_points_without_structure_are_one_cell(spark, monkeypatch):
     rng = np.random.default_rng(1)
     index = metric.cells(frame(spark, unit(rng.normal(size=(800, 64))).astype(np.float32)), float(np.arccos(0.38)))
     assert len(index.pivots) == 1 and list(index.rings) == [(0, 0)]
+
+
+def test_points_leave_their_task_in_few_copies(spark, monkeypatch):
+    """However many points without structure there are, and none is sent twice to one task."""
+    x = unit(np.random.default_rng(8).normal(size=(4000, 24)))
+    monkeypatch.setattr(metric, "BLOCKS", 4)
+    monkeypatch.setattr(metric, "CELL", 40)
+    copies = []
+    for n in (1000, 4000):
+        tasks = metric._dealt(frame(spark, x[:n]), 0.5, 64, 4)
+        assert tasks.groupBy("cell", "ring", "block", "shard", "i").count().where("count > 1").count() == 0
+        copies.append(tasks.count() / n)
+    assert max(copies) < 4 and abs(copies[1] - copies[0]) < 0.5
+
+
+def test_links_are_contracted_to_one_a_node(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "RUN_EDGES", 50)
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (2000, 2)) if a % 3 == b % 3] + [(900, 900), (901, 902)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    few = cluster.contracted(edges, 2)
+    nodes = spark.createDataFrame([(k,) for k in [*range(300), 900, 901, 902]], "node long")
+    found = {r["node"]: r["root"] for r in cluster.components(nodes, few).collect()}
+    assert found == {r["node"]: r["root"] for r in cluster.components(nodes, edges).collect()} and found[902] == 901 and found[299] == 2
+    assert few.count() <= 2 * 303 < len(pairs)
