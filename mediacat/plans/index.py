@@ -1,17 +1,18 @@
 """The index driver: scan, extraction of due stages, places and grouping, published as catalogue versions.
 
-The work list is done in chunks.  What a chunk has extracted is stored beside the catalogue and marked as done before the next one
-begins; a run that is killed or cancelled loses one chunk, and the next run saves what it finds and goes on with the rest.  Tables
-are written once a run, not once a chunk."""
+The work list is done in chunks, a few at a time.  What a chunk has extracted is stored beside the catalogue and marked as done; a run that
+is killed or cancelled loses ``IN_FLIGHT`` chunks at most, and the next run saves what it finds and goes on with the rest.  Tables are
+written once a run, not once a chunk."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, assign_ids, get_meta, upsert
@@ -144,8 +145,8 @@ def searchable(catalog: Catalog) -> Lazy:
     return Lazy(files=read("files"), texts=read("texts"), faces=read("faces"), people=read("people"), clip=read("clip_embeddings"), index=index, people_keys=read("people_keys"), vector_index=lambda: stored_vectors(catalog, version), listing=lambda: stored_listing(catalog, version))
 
 
-#: Files of a chunk, about.
-CHUNK_FILES = 100_000
+#: Files of a chunk, about, and chunks that run at a time: while the last tasks of one end and the next is planned, cores would wait.
+CHUNK_FILES, IN_FLIGHT = 100_000, 2
 _EXTRACTED = ("files", "texts", "clip_embeddings", "faces")
 
 
@@ -167,15 +168,16 @@ class Staged:
         return whole
 
     def add(self, name: str, tables: dict[str, DataFrame]) -> dict[str, int]:
-        """Stores a chunk; files and errors in it.  Of extracted rows nothing else is stored, so that a chunk is one pass and one table."""
+        """Stores a chunk; files and errors in it, counted as they are written.  Of extracted rows nothing else is stored, so that a chunk is one
+        pass and one table."""
+        main, made = "raw" if "raw" in tables else "files", Observation()
+        counts = F.count(F.lit(1)).alias("files"), F.count(file_error() if main == "raw" else F.col("error")).alias("errors")
+        tables = {**tables, main: tables[main].observe(made, *counts)}
         write = lambda table: tables[table].write.mode("overwrite").parquet(f"{self.base}/{name}/{table}")
         with ThreadPoolExecutor(len(tables)) as pool:  # small jobs, side by side, under the tag of this thread
             list(pool.map(inheritable_thread_target(self.catalog.spark)(write), tables))
-        main = "raw" if "raw" in tables else "files"
-        rows = self.catalog.spark.read.schema(tables[main].schema).parquet(f"{self.base}/{name}/{main}")
-        row = rows.agg(F.count(F.lit(1)).alias("files"), F.count(file_error() if main == "raw" else "error").alias("errors")).first()
         self.fs.create(self.path(f"{self.base}/{name}/_DONE")).close()
-        return row.asDict()
+        return dict(made.get)
 
     def read(self, names: list[str]) -> dict[str, DataFrame]:
         held = {t: [f"{self.base}/{n}/{t}" for n in names if self.fs.exists(self.path(f"{self.base}/{n}/{t}"))] for t in ("raw", *_EXTRACTED, "thumbs")}
@@ -222,6 +224,19 @@ def merge_staged(catalog: Catalog, root: str, thumbs: str | None = None) -> int:
     return len(fresh)
 
 
+def _in_flight(begun: Callable[[ThreadPoolExecutor], Iterator[Future]], most: int = IN_FLIGHT) -> Iterator[dict[str, int]]:
+    """What the tasks of ``begun`` give, in order; the next one begins when fewer than ``most`` are under way.  If one fails, those under
+    way are still waited for."""
+    with ThreadPoolExecutor(most) as pool:
+        running: deque[Future] = deque()
+        for task in begun(pool):
+            running.append(task)
+            if len(running) == most:
+                yield running.popleft().result()
+        while running:
+            yield running.popleft().result()
+
+
 def index_tag(catalog: Catalog) -> str:
     """The tag of the jobs of an index run: ``spark.sparkContext.cancelJobsWithTag(index_tag(catalog))`` stops the one that is running."""
     return f"index-{catalog.base.rsplit('root_id=', 1)[-1]}"
@@ -258,14 +273,19 @@ def _run_index(spark, root, catalog, extract, places, settings, only, force, ret
     chunks, run, many = max(1, -(-total // chunk_files)), uuid.uuid4().hex, spark.sparkContext.defaultParallelism
     # in ranges of the chunk: each chunk reads its own rows, not the whole list
     work = kept(due.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))), "_chunk")
-    for k in range(chunks if total else 0):
-        if cancelled():
-            break
-        chunk = work.where(F.col("_chunk") == k).drop("_chunk").repartition(many)
-        found = extract(chunk)
-        if "raw" in found:
-            found = {"raw": found["raw"] if thumbs else found["raw"].drop("thumb")}
-        made = staged.add(f"{run}-{k:06d}", {name: df for name, df in found.items() if name in ("raw", *_EXTRACTED, *(["thumbs"] if thumbs else []))})
+
+    def begun(pool: ThreadPoolExecutor) -> Iterator[Future]:
+        """The chunks, each as it is given to the pool; whether to go on is asked before each."""
+        for k in range(chunks if total else 0):
+            if cancelled():
+                break
+            found = extract(work.where(F.col("_chunk") == k).drop("_chunk").repartition(many))
+            if "raw" in found:
+                found = {"raw": found["raw"] if thumbs else found["raw"].drop("thumb")}
+            tables = {name: df for name, df in found.items() if name in ("raw", *_EXTRACTED, *(["thumbs"] if thumbs else []))}
+            yield pool.submit(inheritable_thread_target(spark)(staged.add), f"{run}-{k:06d}", tables)
+
+    for made in _in_flight(begun):
         done, errors = done + made["files"], errors + made["errors"]
         progress({"done": done, "total": total, "errors": errors})
     drop_kept(work)

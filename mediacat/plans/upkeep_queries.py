@@ -80,7 +80,7 @@ def _media(spark, sf) -> str:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}.ready")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        save_pictures(_media_rows(spark, sf), root, "/nonexistent/root")
+        save_pictures(_media_rows(spark, sf), root, "/nonexistent/root", marked=True)
         fs.create(path).close()
     return root
 

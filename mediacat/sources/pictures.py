@@ -2,7 +2,8 @@
 
 Each task writes under a folder of its own below ``_staged``; the commit moves what tasks report into place, in threads, and an
 abort deletes it.  A task that ran twice reports once, so nothing of the other attempt stays.  Folders may have any scheme that
-pyarrow's file systems know; a plain path is a mounted folder.
+pyarrow's file systems know; a plain path is a mounted folder.  Where a mark of the caller's says that the folder is whole, tasks move their
+files themselves.
 """
 
 from __future__ import annotations
@@ -31,20 +32,26 @@ class Written(WriterCommitMessage):
 
 
 class PictureWriter(DataSourceWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder, self.run = folder, uuid.uuid4().hex
+    def __init__(self, folder: str, marked: bool = False) -> None:
+        self.folder, self.marked, self.run = folder, marked, uuid.uuid4().hex
 
     def write(self, iterator):
         files, base = file_system(self.folder)
-        own, names = f"{base}/_staged/{self.run}/{uuid.uuid4().hex}", []
+        own, names, made = f"{base}/_staged/{self.run}/{uuid.uuid4().hex}", [], set()
         files.create_dir(own, recursive=True)
         for row in iterator:
             name = posixpath.normpath("/" + row["name"])[1:]  # never above the folder
-            if "/" in name:
-                files.create_dir(posixpath.dirname(f"{own}/{name}"), recursive=True)
+            inner = posixpath.dirname(name)
+            if inner not in made:
+                for top in [own, base] if self.marked else [own]:
+                    files.create_dir(f"{top}/{inner}".rstrip("/"), recursive=True)
+                made.add(inner)
             with files.open_output_stream(f"{own}/{name}") as out:
                 out.write(bytes(row["content"]))
-            names.append(name)
+            if self.marked:
+                files.move(f"{own}/{name}", f"{base}/{name}")
+            else:
+                names.append(name)
         return Written(own, names)
 
     def _done(self) -> None:
@@ -82,14 +89,17 @@ class Pictures(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return PictureWriter(self.options["path"])
+        return PictureWriter(self.options["path"], self.options.get("marked") == "true")
 
 
-def save_pictures(rows: DataFrame, folder: str, root: str) -> None:
-    """rows: name (a path below the folder), content.  Writes a file each into ``folder``, which must not lie inside the indexed root; files that are there are replaced."""
+def save_pictures(rows: DataFrame, folder: str, root: str, marked: bool = False) -> None:
+    """rows: name (a path below the folder), content.  Writes a file each into ``folder``, which must not lie inside the indexed root; files that are there are replaced.
+
+    ``marked``: the caller marks the folder as whole afterwards, and nobody reads it before.  Then tasks move their files into place, each whole,
+    and no name goes through the driver; what a failed write has moved stays."""
     _, target = file_system(folder)
     _, inside = file_system(root)
     if posixpath.commonpath([target, inside]) == inside:
         raise ValueError("the output folder lies inside the indexed root")
     rows.sparkSession.dataSource.register(Pictures)
-    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("pictures").mode("append").save(folder)
+    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("pictures").option("marked", str(marked).lower()).mode("append").save(folder)

@@ -1,6 +1,7 @@
 """What must not grow with the input: plans without needless shuffles, and the results they must keep."""
 
 import os
+import threading
 from datetime import date
 
 import pytest
@@ -8,11 +9,12 @@ from pyspark.sql import functions as F
 
 from mediacat.catalog import Catalog
 from mediacat.operators import fts, people, search
-from mediacat.plans import bindings
+from mediacat.plans import bindings, index
 from mediacat.plans.extract import extractor
 from mediacat.plans.index import Staged, listed, scan, sync_index
 from mediacat.plans.upkeep_queries import stand_ins
 from mediacat.sources.listing import list_folder
+from mediacat.sources.pictures import PictureWriter, save_pictures
 
 PAGES = [(1, 1, "foo bar foo"), (1, 2, ""), (2, 1, "bar, Bár baz"), (3, 1, None), (4, 1, "foo")]
 
@@ -133,3 +135,43 @@ def test_the_first_scan_writes_no_dependent_tables(spark, tmp_path):
     store.publish({"files": store.read("files").withColumn("status", F.lit("done"))})
     scan(store, seen.withColumn("size", F.when(F.col("rel_path") == "a.jpg", 2).otherwise(F.col("size")).cast("long")))
     assert [r["file_id"] for r in store.read("texts").collect()] == [ids["b.pdf"]] and store.read("faces").count() == 2 and store.read("face_negatives").count() == 2
+
+
+def test_chunks_run_side_by_side(spark, tmp_path, monkeypatch):
+    (tmp_path / "m").mkdir()
+    for k in range(14):
+        (tmp_path / "m" / f"{k}.jpg").write_bytes(b"picture,1000,800,2019:07:01 10:11:12")
+    store, both, add, states = Catalog(spark, f"file://{tmp_path}/cat", "a" * 16), threading.Barrier(2, timeout=60), Staged.add, []
+
+    def waits(self, name, tables):
+        both.wait()  # breaks if nobody else comes
+        return add(self, name, tables)
+
+    monkeypatch.setattr(Staged, "add", waits)
+    root = str(tmp_path / "m")
+    counts = index.run_index(spark, root, store, extractor(root, stand_ins(), date(2026, 1, 1)), chunk_files=7, progress=states.append)
+    assert counts["processed"] == 14 and counts["errors"] == 0 and [s["done"] for s in states] == sorted(s["done"] for s in states) and states[-1]["done"] == 14
+
+
+def test_chunks_under_way_are_finished_when_one_fails():
+    ended, second = [], threading.Event()
+
+    def begun(pool):
+        yield pool.submit(lambda: second.wait(60) and ended.append(1))
+        second.set()
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        list(index._in_flight(begun))
+    assert ended == [1]
+
+
+def test_names_of_a_marked_folder_stay_with_the_tasks(spark, tmp_path):
+    out = str(tmp_path / "out")
+    writer = PictureWriter(out, marked=True)
+    told = writer.write(iter([{"name": "a/b/1.jpg", "content": b"1"}, {"name": "../2.jpg", "content": b"2"}]))
+    assert told.names == [] and open(f"{out}/a/b/1.jpg", "rb").read() == b"1" and open(f"{out}/2.jpg", "rb").read() == b"2"
+    writer.commit([told])
+    assert sorted(os.listdir(out)) == ["2.jpg", "a"]
+    save_pictures(spark.range(20).select(F.format_string("a/%d.jpg", "id").alias("name"), F.lit(b"x").alias("content")), out, str(tmp_path / "in"), marked=True)
+    assert sorted(os.listdir(out)) == ["2.jpg", "a"] and len(os.listdir(f"{out}/a")) == 21
