@@ -16,8 +16,9 @@ def literal(vector: list[float]) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    norm = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / norm)
+    """The vector over its norm.  The norm is the end of the sum, which is made once: beside each number it would be made again for each."""
+    over = lambda s: F.transform(a, lambda x: x.cast("double") / F.greatest(F.sqrt(s), F.lit(1e-12)))
+    return F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x, over)
 
 
 def has_signature(a: Column) -> Column:

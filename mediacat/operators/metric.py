@@ -156,14 +156,20 @@ def _dealt(points: DataFrame, least: float, block: int, most: int) -> DataFrame
     seen = [] if few else index.points.mapInArrow(tally, "cell int, ring int, n long").groupBy("cell", "ring").agg(F.sum("n").alias("n")).collect()
     visitors = {(r["cell"], r["ring"]): r["n"] for r in seen}
     shards = {k: -(-(visitors.get(k, 0) + n) // ((2 if flat else 8) * block)) for k, n in rings.items()}
+    # a partition a task: by their bytes, which say nothing of the products, equal vectors would all meet in one, and by a hash some
+    first, every = {}, 0
+    for k in sorted(rings):
+        first[k], every = every, every + blocks[k] * shards[k]
+    many = min(every, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(batches):
-        names = ["cell", "ring", "block", "shard", "side"]
+        names = ["part", "cell", "ring", "block", "shard", "side"]
 
         def rows(batch, at, c, r, b, s, side):
-            values = [np.broadcast_to(np.int32(x), len(at)) for x in (c, r, b, s, side)]
-            part = batch.take(pa.array(at))
-            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in values), part["i"], part["v"]], [*names, "i", "v"])
+            part = (first[c, r] + b * shards[c, r] + s) % many
+            values = [np.broadcast_to(np.int32(x), len(at)) for x in (part, c, r, b, s, side)]
+            own = batch.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in values), own["i"], own["v"]], [*names, "i", "v"])
 
         for batch in batches:
             a = angles(matrix(batch["v"], batch.num_rows), pivots)
@@ -188,9 +194,8 @@ def _dealt(points: DataFrame, least: float, block: int, most: int) -> DataFrame
                         for b in range(blocks[c, r]):
                             yield rows(batch, part, c, r, b, s, 2)
 
-    tasks = index.points.mapInArrow(deal, "cell int, ring int, block int, shard int, side int, i long, v array<float>")
-    order = ["cell", "ring", "block", "shard"]
-    return tasks.repartition(*order).sortWithinPartitions(*order, "side")
+    tasks = index.points.mapInArrow(deal, "part int, cell int, ring int, block int, shard int, side int, i long, v array<float>")
+    return tasks.repartitionById(many, F.col("part")).drop("part").sortWithinPartitions("cell", "ring", "block", "shard", "side")
 
 
 def _parts(batches, rows: int):

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediacat.catalog import Catalog
-from mediacat.operators import fts, people, search
+from mediacat.functions import vectors
+from mediacat.operators import cluster, fts, metric, people, search
 from mediacat.plans import bindings, index
 from mediacat.plans.extract import extractor
 from mediacat.plans.index import Staged, listed, scan, sync_index
@@ -175,3 +176,18 @@ def test_names_of_a_marked_folder_stay_with_the_tasks(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["2.jpg", "a"]
     save_pictures(spark.range(20).select(F.format_string("a/%d.jpg", "id").alias("name"), F.lit(b"x").alias("content")), out, str(tmp_path / "in"), marked=True)
     assert sorted(os.listdir(out)) == ["2.jpg", "a"] and len(os.listdir(f"{out}/a")) == 21
+
+
+def test_a_norm_is_made_once_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([3.0, None],)], "v array<double>").select(vectors.normalise(F.col("v")).alias("u"))
+    inner = df._jdf.queryExecution().analyzed().toString().split("Project", 1)[1]
+    assert inner.index("aggregate(") < inner.index("transform(")  # not made again for each number
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None, [3.0 / 1e-12, None]]
+
+
+def test_groups_of_equal_vectors_are_dealt_to_several_tasks(spark):
+    rows = spark.range(4000).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (k == F.col("id") % 10).cast("float")).alias("v"))
+    dealt = metric._dealt(rows, 0.95, 100, 256).withColumn("p", F.spark_partition_id())
+    tasks = dealt.groupBy("p").agg(F.countDistinct("cell", "ring", "block", "shard").alias("n")).collect()
+    assert len(tasks) == 8 and max(r["n"] for r in tasks) - min(r["n"] for r in tasks) <= 1
+    assert {r["n"] for r in cluster.dbscan(rows, 0.05, 50).groupBy("label").agg(F.count("*").alias("n")).collect()} == {400}
